@@ -336,7 +336,7 @@ def _clean(t: pa.Table, texts, gone, covered, match: int, schema: pa.Schema, car
     return pa.table(out | {f"c{k}": t.column(f"c{k}") for k in range(len(carry))}, schema=schema)
 
 
-def remove_repeats(docs: DataFrame, match: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), keep_text: bool = False, batch_bytes: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, match: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), keep_text: bool = False, batch_bytes: int = 8 << 20) -> DataFrame:
     """One row for each row of ``docs``: ``id, n_bytes, n_removed, n_spans, kept_sha256``, the columns named in
     ``carry`` and, with ``keep_text``, ``kept``: the text without each byte covered by a string of ``match``
     bytes that also starts in a row with a smaller id. Repeats inside one document stay. In ``kept`` a character that
@@ -357,7 +357,7 @@ def remove_repeats(docs: DataFrame, match: int = 50, id_col: str = "doc_id", tex
     narrow = table(docs.select(rank.alias("rank"), F.octet_length(text).alias("n"), F.unhex(F.md5(text)).alias("d")))
     total = narrow.agg(F.sum("n")).first()[0] or 0
     batches = max(64, math.ceil(total / batch_bytes))
-    shards = max(64, math.ceil(total / (48 << 20)))
+    shards = max(128, math.ceil(total / (6 << 20)))
     of = F.pmod(F.xxhash64("rank"), F.lit(batches)).cast("int").alias("batch")
     # a text's smallest id; the digests are dealt, and equal ones are folded before
     firsts = table(narrow.filter(F.col("n") >= match).groupBy("d").agg(F.min("rank").alias("first"), F.max("rank").alias("most")).filter("most > first").select("d", "first"))
