@@ -54,6 +54,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def _key(h: np.ndarray) -> np.ndarray:
+    """The key of a sampled suffix. Its hash is a minimum, so mostly small; keys fill their range evenly."""
+    return _mix(h + _U(_P))
+
+
 def _low(x: np.ndarray, n: int) -> np.ndarray:
     """The minimum of every ``n`` neighbours, by doubling."""
     size = 1
@@ -152,7 +157,7 @@ def _runs(data: np.ndarray, match: int, shared: np.ndarray):
     if not len(at):
         return []
     cut = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-    hit = _has(shared, low[cut])
+    hit = _has(shared, _key(low[cut]))
     if not hit.any():
         return []
     size = np.diff(np.append(cut, len(low)))
@@ -163,7 +168,7 @@ def _runs(data: np.ndarray, match: int, shared: np.ndarray):
     cut = np.flatnonzero(np.concatenate(([True], (np.diff(ok) != 1) | (np.diff(j) != 0))))
     size = np.diff(np.append(cut, len(ok)))
     p = at[j[cut]]
-    return list(zip(ok[cut].tolist(), size.tolist(), p.tolist(), h[p].tolist()))
+    return list(zip(ok[cut].tolist(), size.tolist(), p.tolist(), _key(h[p]).tolist()))
 
 
 def _contexts(rows, match: int, shared: np.ndarray):
@@ -205,7 +210,7 @@ def _arrays(b: int, rows, match: int, shards: int) -> pa.Table:
     for rank, _, data in rows:
         h, at, _ = anchors(data, match)
         if len(at):
-            keys.append(np.unique(h[at]))
+            keys.append(np.unique(_key(h[at])))
             owner.append(np.full(len(keys[-1]), rank))
     out: dict = {"shard": [], "batch": [], "keys": [], "many": []}
     if keys:
