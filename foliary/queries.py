@@ -1,9 +1,474 @@
 """All queries of the library, by name, with their DuckDB counterparts."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from .functions import fixed, question, text
+from .operators import backend, inputs, pages, retrieval, toc
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "embeddings", "conversations")
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Runs SQL over the tables it names. The views are resolved at once, so a later call may replace them."""
+    for t in TABLES:
+        if t in sql:
+            read(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(sql)
+
+
+def _both(name: str, sql: str) -> None:
+    """A query whose SQL both engines read."""
+    _QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, sql)
+    _SQL[name] = sql
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark, sf_dir):
+    return read(spark, sf_dir, "documents")
+
+
+TOKENS = ["that", "with", "from"]
+LINES_SQL = "SELECT doc_id, CAST(line AS BIGINT) AS line, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents) WHERE regexp_matches(text, '[^\\s\\v]')"
+
+
+# --- lines and retrieval ------------------------------------------------------
+
+
+@_query(LINES_SQL)
+def s2_lines(spark, sf_dir):
+    return retrieval.text_lines(docs(spark, sf_dir))
+
+
+_SHARE = "(" + " + ".join(f"CAST(contains(lower(text), '{t}') AS INT)" for t in TOKENS) + ") / CAST(3 AS DOUBLE)"
+
+
+@_query(f"SELECT doc_id, line, text, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line) AS rank FROM (SELECT *, {_SHARE} AS score FROM ({LINES_SQL})) WHERE score > 0) WHERE rank <= 3")
+def l1_retrieve(spark, sf_dir):
+    return retrieval.retrieve(s2_lines(spark, sf_dir), TOKENS)
+
+
+@_query(f"SELECT doc_id, line FROM ({LINES_SQL}) WHERE {_SHARE} > 0")
+def f1_keyword_filter(spark, sf_dir):
+    return s2_lines(spark, sf_dir).filter(retrieval.keyword_share(F.col("text"), TOKENS) > 0).select("doc_id", "line")
+
+
+@_query(f"SELECT doc_id, line FROM ({LINES_SQL}) WHERE text ILIKE '%that%' OR text ILIKE '%from%' ORDER BY doc_id, line LIMIT 50")
+def f2_like_filter(spark, sf_dir):
+    return s2_lines(spark, sf_dir).filter(F.col("text").ilike("%that%") | F.col("text").ilike("%from%")).select("doc_id", "line").orderBy("doc_id", "line").limit(50)
+
+
+@_query(f"SELECT doc_id, line, {_SHARE} AS score FROM ({LINES_SQL}) WHERE {_SHARE} > 0 ORDER BY score DESC, doc_id, line LIMIT 20")
+def t1_relevance_top_k(spark, sf_dir):
+    out = s2_lines(spark, sf_dir).withColumn("score", retrieval.keyword_share(F.col("text"), TOKENS)).filter("score > 0")
+    return out.select("doc_id", "line", "score").orderBy(F.desc("score"), "doc_id", "line").limit(20)
+
+
+_TERMS = "SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS terms FROM documents)"
+
+
+@_query(f"SELECT term, doc_id, CAST(length AS BIGINT) AS length, count(*) AS tf FROM ({_TERMS}) GROUP BY ALL")
+def k2_postings(spark, sf_dir):
+    return retrieval.postings(docs(spark, sf_dir)).select("term", "doc_id", "length", "tf")
+
+
+@_query(f"""WITH t AS ({_TERMS}), l AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(text), '[a-z]+'))) AS mean FROM documents),
+h AS (SELECT doc_id, length, term, count(*) AS tf FROM t WHERE term IN ('the', 'that', 'shonat') GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+SELECT doc_id, round(sum(greatest(1e-6, ln((n - df + 0.5e0) / (df + 0.5e0))) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * length / mean))), 9) AS score
+FROM h JOIN d USING (term), l GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""")
+def t3_bm25(spark, sf_dir):
+    return retrieval.bm25(docs(spark, sf_dir), ["the", "that", "shonat"])
+
+
+@_query(f"SELECT doc_id, term, tf FROM (SELECT term, doc_id, count(*) AS tf FROM ({_TERMS}) WHERE term IN ('shonat', 'thou') GROUP BY ALL)")
+def j2_postings_join(spark, sf_dir):
+    wanted = spark.createDataFrame([("shonat",), ("thou",)], "term string")
+    return retrieval.postings(docs(spark, sf_dir)).join(F.broadcast(wanted), "term").select("doc_id", "term", "tf")
+
+
+@_query("SELECT v.vec_id, round(coalesce(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / nullif(sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 0), 0), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id = 7 ORDER BY score DESC, vec_id LIMIT 10")
+def t2_cosine(spark, sf_dir):
+    return retrieval.cosine(read(spark, sf_dir, "embeddings"), 7)
+
+
+# --- text rules ---------------------------------------------------------------
+
+
+def _text_query(name: str, sql: str, /, **columns) -> None:
+    def run(spark, sf_dir):
+        return docs(spark, sf_dir).select("doc_id", *[f(F.col("text")).alias(n) for n, f in columns.items()])
+
+    _QUERIES[name] = run
+    _SQL[name] = f"SELECT doc_id, {sql} FROM documents"
+
+
+_W = "[\\p{L}\\p{M}\\p{N}_]+"
+_text_query("x1_normalize", "trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{M}\\p{N}_\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS norm", norm=text.normalize)
+_text_query("x4_query_tokens", f"len(list_filter(regexp_extract_all(lower(text), '{_W}'), lambda t: length(t) > 2)) AS n", n=lambda c: F.size(text.query_tokens(c)).cast("long"))
+_text_query("x5_fts_query", f"array_to_string(list_transform(list_filter(regexp_extract_all(lower(substr(text, 1, 80)), '{_W}'), lambda t: length(t) > 2), lambda t: '\"' || t || '\"'), ' OR ') AS fts", fts=lambda c: text.fts_query(F.substring(c, 1, 80)))
+_text_query("x6_safe_name", "coalesce(nullif(trim(regexp_replace(regexp_replace(substr(text, 1, 40), '[^\\p{L}\\p{M}\\p{N}_]', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'sheet') AS name", name=lambda c: text.safe_name(F.substring(c, 1, 40)))
+_text_query("x7_clean_column", "regexp_replace(replace(substr(text, 1, 60), chr(10), ' '), ' +', ' ', 'g') AS col", col=lambda c: F.regexp_replace(F.replace(F.substring(c, 1, 60), F.lit("\n"), F.lit(" ")), " +", " "))
+_text_query("x10_strip_controls", "length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) AS n", n=lambda c: F.length(text.strip_controls(c)).cast("long"))
+_text_query("x15_html_escape", "replace(replace(replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html", html=text.html_escape)
+_OWN = "list_filter(regexp_split_to_array(text, '[\\s\\x0B]+'), lambda w: w <> '')"
+_MEAN = f"(list_sum(list_transform({_OWN}, lambda w: length(w))) / CAST(len({_OWN}) AS DOUBLE))"
+_BASE = "greatest(0e0, 1e0 - 4e0 * len(regexp_extract_all(text, '[\\x{FFFD}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) / length(text))"
+_text_query("x19_ocr_quality", f"CASE WHEN coalesce(length(text), 0) = 0 THEN 0e0 ELSE round(CASE WHEN {_MEAN} BETWEEN 3 AND 10 THEN least(1e0, {_BASE} + 0.1e0) WHEN {_MEAN} < 2 OR {_MEAN} > 15 THEN greatest(0e0, {_BASE} - 0.2e0) ELSE {_BASE} END, 3) END AS q", q=text.ocr_quality)
+_ART = "[" + "".join("\\" + c for c in fixed.OCR_ARTIFACTS) + "]"
+_LONG = "list_filter(regexp_split_to_array(text, '[\\s\\x0B]+'), lambda w: length(w) >= 2)"
+_text_query("x20_readable_share", f"CASE WHEN len({_LONG}) > 0 THEN len(list_filter({_LONG}, lambda w: NOT regexp_matches(w, '{_ART}') AND len(regexp_extract_all(w, '\\p{{L}}')) >= 0.6e0 * length(w))) / CAST(len({_LONG}) AS DOUBLE) ELSE 0e0 END AS share", share=text.readable_share)
+_text_query("x21_toc_keyword", "(" + " OR ".join(f"contains(lower(substr(text, 1, 500)), '{k}')" for k in fixed.TOC_KEYWORDS) + ") AS hit", hit=text.has_toc_keyword)
+_FULL = "list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\s\\x0B]'))"
+_text_query("x22_dotted_leaders", "len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '.+\\.{4,}\\s*\\d*\\s*$'))) AS n", n=lambda c: text.dotted_leaders(c).cast("long"))
+_text_query("x23_numeric_ends", f"CASE WHEN len({_FULL}) > 0 THEN len(list_filter({_FULL}, lambda x: regexp_matches(x, '\\d\\s*$'))) / CAST(len({_FULL}) AS DOUBLE) ELSE 0e0 END AS ratio", ratio=text.numeric_end_ratio)
+_text_query("x24_hierarchical", "len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\s*\\d+(?:\\.\\d+)*(?:[.)]\\s+|\\s+)\\S'))) AS n", n=lambda c: text.hierarchical_prefixes(c).cast("long"))
+_text_query("x25_short_lines", f"CASE WHEN len({_FULL}) > 0 THEN len(list_filter({_FULL}, lambda x: length(trim(x)) <= 60)) / CAST(len({_FULL}) AS DOUBLE) ELSE 0e0 END AS ratio", ratio=text.short_line_ratio)
+_HITS = lambda ws: f"len(list_filter(regexp_extract_all(lower(text), '{_W}'), lambda w: w IN ({', '.join(repr(w) for w in ws)})))"
+_EN, _FR = _HITS(fixed.EN_STOPWORDS), _HITS(fixed.FR_STOPWORDS)
+_text_query("x26_language", f"CASE WHEN {_EN} > {_FR} THEN 'en' WHEN {_FR} > {_EN} THEN 'fr' END AS guess", guess=text.language)
+_text_query("s1_content_hash", "sha256(text) AS doc_hash, md5(text) AS image_hash", doc_hash=lambda c: F.sha2(c, 256), image_hash=F.md5)
+_text_query("w11_chunks", "CAST(ceil(length(text) / 3000e0) AS BIGINT) AS chunks", chunks=lambda c: F.ceil(F.length(c) / 3000.0).cast("long"))
+
+# --- tables of contents -------------------------------------------------------
+
+
+@_query("SELECT doc_id, pos, trim(regexp_extract(line, '^(.*?)\\.{4,}\\s*(\\d+)\\s*$', 1)) AS title, CAST(regexp_extract(line, '^(.*?)\\.{4,}\\s*(\\d+)\\s*$', 2) AS BIGINT) AS page FROM (" + inputs.LEADERS + ")")
+def r15_dotted_entries(spark, sf_dir):
+    p = r"^(.*?)\.{4,}\s*(\d+)\s*$"
+    own = run_sql(spark, sf_dir, inputs.LEADERS)
+    return own.filter(F.rlike("line", F.lit(p))).select("doc_id", "pos", F.trim(F.regexp_extract("line", p, 1)).alias("title"), F.regexp_extract("line", p, 2).cast("long").alias("page"))
+
+
+@_query("""SELECT doc_id, pos, title, CAST(CASE WHEN regexp_matches(title, '^\\s*\\d+(\\.\\d+)*\\.?\\s*$') THEN greatest(length(title) - length(replace(title, '.', '')), 1)
+  WHEN regexp_matches(title, '^\\s*\\d+(\\.\\d+)*[.)]?\\s+\\S') THEN length(split_part(title, ' ', 1)) - length(replace(split_part(title, ' ', 1), '.', '')) + 1 ELSE 1 END AS INT) AS level
+  FROM (SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN '1.2.' || CAST(pos % 9 AS VARCHAR(9)) || ' ' || title WHEN 1 THEN '3.1' WHEN 2 THEN CAST(pos % 9 AS VARCHAR(9)) || ' ' || title ELSE title END AS title FROM (""" + inputs.TOC + "))")
+def x9_toc_level(spark, sf_dir):
+    own = run_sql(spark, sf_dir, "SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN '1.2.' || CAST(pos % 9 AS VARCHAR(9)) || ' ' || title WHEN 1 THEN '3.1' WHEN 2 THEN CAST(pos % 9 AS VARCHAR(9)) || ' ' || title ELSE title END AS title FROM (" + inputs.TOC + ")")
+    return own.withColumn("level", text.toc_level(F.col("title")))
+
+
+@_query("SELECT doc_id, pos, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^\\s*\\d+(?:\\.\\d+)*\\.?\\s*', ''), '\\.{3,}', ' ', 'g'), '\\s*\\d+\\s*$', ''), '\\s+', ' ', 'g')) AS title FROM (" + inputs.LEADERS + ")")
+def x8_clean_toc_text(spark, sf_dir):
+    return run_sql(spark, sf_dir, inputs.LEADERS).select("doc_id", "pos", text.clean_toc_text(F.col("line")).alias("title"))
+
+
+@_query("SELECT *, CASE WHEN lead(page) OVER w IS NULL OR page IS NULL THEN NULL ELSE greatest(lead(page) OVER w - 1, page) END AS page_end FROM (" + inputs.TOC + ") WINDOW w AS (PARTITION BY doc_id ORDER BY pos)")
+def w1_page_end(spark, sf_dir):
+    return toc.page_ends(run_sql(spark, sf_dir, inputs.TOC))
+
+
+_LEVELS = range(1, 5)
+_G = ", ".join(f"sum(CASE WHEN level < {k} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g{k}" for k in _LEVELS)
+_C = ", ".join(f"sum(CASE WHEN level = {k} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, g{k} ORDER BY pos) AS c{k}" for k in _LEVELS)
+
+
+@_query(f"SELECT doc_id, pos, level, page, title, 'L' || concat_ws('.', {', '.join(f'CASE WHEN level >= {k} AND c{k} > 0 THEN CAST(CAST(c{k} AS BIGINT) AS VARCHAR) END' for k in _LEVELS)}) AS indicator FROM (SELECT *, {_C} FROM (SELECT *, {_G} FROM ({inputs.TOC})))")
+def w2_indicator(spark, sf_dir):
+    return toc.indicators(run_sql(spark, sf_dir, inputs.TOC))
+
+
+@_query(f"SELECT a.doc_id, a.pos, a.level, a.page, a.title, max(b.pos) AS parent_pos FROM ({inputs.TOC}) a LEFT JOIN ({inputs.TOC}) b ON a.doc_id = b.doc_id AND b.pos < a.pos AND b.level < a.level GROUP BY ALL")
+def w3_parent(spark, sf_dir):
+    return toc.parents(run_sql(spark, sf_dir, inputs.TOC))
+
+
+_both("w6_toc_order", "SELECT doc_id, pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, level, title, pos) AS BIGINT) AS n FROM (" + inputs.TOC + ")")
+_both("f7_toc_cleaning", "SELECT doc_id, pos, level, page, title FROM (SELECT doc_id, pos, level, CASE WHEN pos % 7 = 0 THEN page - 60 ELSE page END AS page, CASE WHEN pos % 5 = 0 THEN ' ' WHEN pos % 11 = 0 THEN NULL ELSE title END AS title FROM (" + inputs.TOC + ")) WHERE title IS NOT NULL AND level IS NOT NULL AND page >= 1 AND trim(title) <> ''")
+_both("k5_bookmarks", "SELECT doc_id, pos, greatest(level, 1) AS level, greatest(coalesce(CASE WHEN pos % 3 = 0 THEN NULL ELSE page END, page + 1, 1), 1) AS page, title FROM (" + inputs.TOC + ")")
+_both("a10_page_offset", "SELECT doc_id, shift FROM (SELECT doc_id, shift, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS r FROM (SELECT doc_id, page - displayed AS shift, count(*) AS n, min(pos) AS first_pos FROM (SELECT doc_id, pos, page, page - pos % 3 AS displayed FROM (" + inputs.TOC + ")) GROUP BY doc_id, page - displayed)) WHERE r = 1")
+_both("m1_native_toc", "SELECT doc_id, count(*) > 0 AS has_toc, max(page) + 1 AS page_count FROM (" + inputs.TOC + ") GROUP BY doc_id")
+_both("r19_cascade", "SELECT doc_id, pos, title, priority FROM (SELECT *, min(priority) OVER (PARTITION BY doc_id) AS best FROM (SELECT doc_id, pos, title, 1 AS priority FROM (" + inputs.TOC + ") WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, pos, line AS title, 3 AS priority FROM (" + inputs.LEADERS + "))) WHERE priority = best")
+_both("t5_title_candidates", "SELECT doc_id, page, line, sum(length(text)) AS n, avg(size) AS size, min(x0) AS x0, max(x1) AS x1 FROM (" + inputs.SPANS + ") GROUP BY doc_id, page, line HAVING avg(size) >= 10.5 AND sum(length(text)) < 80 AND max(CASE WHEN bold THEN 1 ELSE 0 END) = 1")
+_both("w4_isolated_numbers", "SELECT doc_id, pos, CASE WHEN lonely AND follows IS NOT NULL THEN label || ' ' || follows ELSE label END AS title FROM (SELECT doc_id, pos, label, lonely, lead(label) OVER (PARTITION BY doc_id ORDER BY pos) AS follows, lag(lonely) OVER (PARTITION BY doc_id ORDER BY pos) AS taken FROM (SELECT doc_id, pos, CASE WHEN pos % 400 < 200 THEN CAST(pos AS VARCHAR(9)) ELSE title END AS label, pos % 400 < 200 AS lonely FROM (" + inputs.TOC + "))) WHERE NOT coalesce(taken, FALSE)")
+
+
+_TOC_PAGE = "SELECT doc_id, page_num, doc_id % 9 AS links, CASE page_num % 3 WHEN 0 THEN 'Sommaire' || chr(10) || 'Intro ..... 3' || chr(10) || 'Fin ..... 9' WHEN 1 THEN 'A line' || chr(10) || 'Total 42' ELSE 'plain prose' END AS text FROM (" + inputs.PAGES + ")"
+
+
+@_query(f"""SELECT doc_id, page_num, CAST(CASE WHEN contains(lower(substr(text, 1, 500)), 'sommaire') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(text, '\\.{{4,}}') THEN 2 ELSE 0 END
+ + CASE WHEN len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\d\\s*$'))) / CAST(len(string_split(text, chr(10))) AS DOUBLE) > 0.3 THEN 2 ELSE 0 END
+ + CASE WHEN links > 5 THEN 2 ELSE 0 END + CASE WHEN page_num + 1 < 15 THEN 1 ELSE 0 END AS INT) AS score FROM ({_TOC_PAGE})""")
+def r10_toc_page_score(spark, sf_dir):
+    own = run_sql(spark, sf_dir, _TOC_PAGE.replace("chr(10)", "char(10)"))
+    return own.select("doc_id", "page_num", text.toc_score(F.col("text"), F.col("page_num") + 1, F.col("links")).alias("score"))
+
+
+@_query("SELECT doc_id, max(score) AS score, count(*) FILTER (WHERE score >= 3) AS n_selected FROM (" + _SQL["r10_toc_page_score"] + ") GROUP BY doc_id")
+def r11_detect_toc(spark, sf_dir):
+    return r10_toc_page_score(spark, sf_dir).groupBy("doc_id").agg(F.max("score").alias("score"), F.count_if(F.col("score") >= 3).alias("n_selected"))
+
+
+@_query()
+def w5_multi_line_leaders(spark, sf_dir):
+    own = run_sql(spark, sf_dir, inputs.LEADERS).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text"))
+    return toc.multi_line_entries(own.withColumn("page_num", F.lit(0).cast("long")))
+
+
+@_query()
+def j7_align_titles(spark, sf_dir):
+    own = run_sql(spark, sf_dir, inputs.TOC)
+    lines = own.select("doc_id", "page", F.when(F.col("pos") % 3 == 0, F.col("title")).otherwise(F.concat("title", F.lit("s x"))).alias("text"))
+    return toc.align_titles(own.select("doc_id", "pos", "title"), lines)
+
+
+# --- pages and documents ------------------------------------------------------
+
+_TYPE = """CASE WHEN native_char_count + ocr_char_count < 10 AND n_images = 0 AND drawing_count < 3 THEN 'empty' WHEN n_fonts = 0 AND coverage >= 0.85 THEN 'scanned'
+ WHEN coverage >= 0.85 AND ocr_char_count >= 50 AND quality >= 0.70 THEN 'scanned_ocr_good' WHEN coverage >= 0.85 AND ocr_char_count >= 50 THEN 'scanned_ocr_bad'
+ WHEN coverage >= 0.85 AND native_char_count >= 30 THEN 'mixed' WHEN coverage >= 0.85 THEN 'scanned'
+ WHEN n_fonts > 0 AND native_char_count >= 30 AND n_images > 0 THEN 'native_with_image' WHEN n_fonts > 0 AND native_char_count >= 30 THEN 'native' ELSE 'unknown' END"""
+
+
+@_query(f"SELECT doc_id, page_num, {_TYPE} AS page_type FROM ({inputs.PAGES})")
+def r7_page_type(spark, sf_dir):
+    return run_sql(spark, sf_dir, inputs.PAGES).select("doc_id", "page_num", pages.page_type().alias("page_type"))
+
+
+@_query(f"SELECT page_type, CASE WHEN page_type IN ('native', 'native_with_image', 'scanned_ocr_good') THEN 'native' WHEN page_type IN ('scanned', 'scanned_ocr_bad') THEN 'ocr' WHEN page_type = 'empty' THEN 'skip' ELSE 'hybrid' END AS strategy, count(*) AS n FROM (SELECT {_TYPE} AS page_type FROM ({inputs.PAGES})) GROUP BY ALL")
+def r8_strategy(spark, sf_dir):
+    return r7_page_type(spark, sf_dir).withColumn("strategy", pages.strategy(F.col("page_type"))).groupBy("page_type", "strategy").agg(F.count("*").alias("n"))
+
+
+_SUMMARY = f"""SELECT doc_id, n_pages, n_empty, n_scanned, n_ocr, n_native, n_mixed, mean_quality, content_type, ocr_label,
+ CASE content_type WHEN 'native' THEN 'use_native_extraction' WHEN 'scanned_no_text' THEN 'run_ocr' WHEN 'scanned_with_ocr' THEN CASE WHEN ocr_label = 'good' THEN 'use_existing_ocr' ELSE 'rerun_ocr' END WHEN 'mixed' THEN 'per_page_routing' ELSE 'skip' END AS advice
+FROM (SELECT *, CASE WHEN n_empty = n_pages THEN 'empty' WHEN n_scanned / CAST(n_pages - n_empty AS DOUBLE) >= 0.95 THEN 'scanned_no_text' WHEN (n_scanned + n_ocr) / CAST(n_pages - n_empty AS DOUBLE) >= 0.95 THEN 'scanned_with_ocr' WHEN n_native / CAST(n_pages - n_empty AS DOUBLE) >= 0.95 THEN 'native' ELSE 'mixed' END AS content_type,
+ CASE WHEN mean_quality IS NULL THEN 'not_applicable' WHEN mean_quality >= 0.85 THEN 'good' WHEN mean_quality >= 0.6 THEN 'degraded' ELSE 'unreliable' END AS ocr_label
+FROM (SELECT doc_id, count(*) AS n_pages, count(*) FILTER (WHERE t = 'empty') AS n_empty, count(*) FILTER (WHERE t = 'scanned') AS n_scanned, count(*) FILTER (WHERE t IN ('scanned_ocr_good', 'scanned_ocr_bad')) AS n_ocr,
+ count(*) FILTER (WHERE t IN ('native', 'native_with_image')) AS n_native, count(*) FILTER (WHERE t = 'mixed') AS n_mixed, round(avg(quality) FILTER (WHERE t IN ('scanned_ocr_good', 'scanned_ocr_bad')), 9) AS mean_quality
+FROM (SELECT *, {_TYPE} AS t FROM ({inputs.REGIMES})) GROUP BY doc_id))"""
+
+
+@_query(_SUMMARY)
+def a6_document_summary(spark, sf_dir):
+    own = run_sql(spark, sf_dir, inputs.REGIMES).withColumn("page_type", pages.page_type())
+    return pages.document_summary(own).withColumn("mean_quality", F.round("mean_quality", 9))
+
+
+@_query(f"SELECT content_type, ocr_label, advice, count(*) AS n FROM ({_SUMMARY}) GROUP BY ALL")
+def a7_content_types(spark, sf_dir):
+    return a6_document_summary(spark, sf_dir).groupBy("content_type", "ocr_label", "advice").agg(F.count("*").alias("n"))
+
+
+def _fits_sql(col: str, category: str) -> str:
+    kinds = {"exact": "{c} = '{p}'", "contains": "contains({c}, '{p}')", "regex": "regexp_matches({c}, '{p}')"}
+    return "(" + " OR ".join(kinds[k].format(c=col, p=p) for p, k in fixed.CATEGORIES[category]) + ")"
+
+
+def _score_sql(category: str) -> str:
+    return " + ".join(f"CASE WHEN {_fits_sql(c, category)} THEN {w} ELSE 0 END" for c, w in (("creator", 3), ("producer", 2), ("author", 1), ("title", 1)))
+
+
+@_query(f"""SELECT doc_id, CASE WHEN top >= 1 THEN CASE top WHEN w THEN 'word_native' WHEN d THEN 'design_tool' ELSE 'scanned' END ELSE 'other' END AS category,
+ CASE WHEN top >= 3 AND top - second >= 2 THEN 0.95e0 WHEN top >= 3 THEN 0.8e0 WHEN top >= 1 THEN 0.65e0 WHEN {' OR '.join(f"contains(producer, '{p}')" for p in fixed.GENERIC_PRODUCERS)} THEN 0.55e0 WHEN creator || producer || author || title = '' THEN 0.3e0 ELSE 0.45e0 END AS confidence
+FROM (SELECT *, greatest(w, d, s) AS top, w + d + s - greatest(w, d, s) - least(w, d, s) AS second FROM (SELECT *, {_score_sql('word_native')} AS w, {_score_sql('design_tool')} AS d, {_score_sql('scanned')} AS s FROM ({inputs.METADATA})))""")
+def r3_source_category(spark, sf_dir):
+    c = F.col
+    own = run_sql(spark, sf_dir, inputs.METADATA)
+    return own.select("doc_id", pages.source_category(c("creator"), c("producer"), c("author"), c("title"), F.array().cast("array<string>")).alias("x")).select("doc_id", "x.*")
+
+
+_both("a9_types_by_font", f"SELECT page_type, n_fonts, count(*) AS n FROM (SELECT n_fonts, {_TYPE} AS page_type FROM ({inputs.PAGES})) GROUP BY page_type, n_fonts")
+_both("a12_ratios", f"SELECT doc_id, avg(CASE WHEN coverage >= 0.8 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS full_ratio, avg(CASE WHEN native_char_count >= 50 AND quality >= 0.6 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS native_ratio FROM ({inputs.PAGES}) GROUP BY doc_id")
+_both("r2_content_rules", f"""SELECT doc_id, CASE WHEN full_ratio >= 0.7 AND chars < 50 THEN 'scanned' WHEN image_ratio >= 0.55 AND blocks < 6 THEN 'design' WHEN chars < 120 AND image_ratio > 0.3 AND blocks < 4 THEN 'design' WHEN fonts <= 8 AND chars > 200 AND blocks >= 3 THEN 'word' ELSE 'other' END AS category
+FROM (SELECT doc_id, avg(CASE WHEN coverage > 0.85 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS full_ratio, avg(native_char_count * 5) AS chars, avg(coverage) AS image_ratio, avg(drawing_count) AS blocks, count(DISTINCT n_fonts) AS fonts FROM ({inputs.PAGES}) GROUP BY doc_id)""")
+_both("f8_footer", f"SELECT doc_id, page, line, pos, sub FROM ({inputs.SPANS}) WHERE y0 <= 50 * 0.9")
+_both("f12_page_limit", f"SELECT doc_id, page_num, n_fonts FROM ({inputs.PAGES}) WHERE page_num < 2")
+_both("m3_page_metrics", f"SELECT doc_id, page, count(*) AS n_spans, count(DISTINCT size) AS n_sizes, sum(length(text)) AS n_chars FROM ({inputs.SPANS}) GROUP BY doc_id, page")
+_both("m4_invisible", f"SELECT doc_id, page, line, max(CASE WHEN color = 16777215 THEN 1 ELSE 0 END) AS invisible FROM ({inputs.SPANS}) GROUP BY doc_id, page, line")
+_both("s3_span_style", f"SELECT doc_id, page, line, pos, sub, CASE WHEN color = 0 THEN '#000000' ELSE '#' || lpad(lower(hex(color)), 6, '0') END AS rgb, bold FROM ({inputs.SPANS})")
+_both("a5_body_size", f"SELECT doc_id, size FROM (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size) AS r FROM (SELECT doc_id, size, sum(length(text)) AS n FROM ({inputs.SPANS}) GROUP BY doc_id, size)) WHERE r = 1")
+_both("a16_line_boxes", f"SELECT doc_id, page, line, min(x0) AS x0, max(x1) AS x1, avg(size) AS size, count(*) AS n FROM ({inputs.SPANS}) GROUP BY doc_id, page, line")
+_both("a18_address_zone", f"SELECT doc_id, page, min(CASE WHEN y0 < 20 AND x0 < 30000 THEN x0 END) AS left_x0, max(CASE WHEN y0 < 20 AND x0 >= 30000 THEN x1 END) AS right_x1 FROM ({inputs.SPANS}) GROUP BY doc_id, page")
+_both("w10_span_numbers", f"SELECT doc_id, page, line, pos, sub, x0, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, line, pos, sub, x0, y0) - 1 AS BIGINT) AS span_num FROM ({inputs.SPANS})")
+_both("r21_block_class", f"SELECT doc_id, page, line, CASE WHEN max(size) >= 13 THEN 'h1' WHEN max(size) >= 12 AND max(CASE WHEN bold THEN 1 ELSE 0 END) = 1 THEN 'h2' ELSE 'body' END AS class FROM ({inputs.SPANS}) GROUP BY doc_id, page, line")
+_both("t6_reading_order", f"SELECT doc_id, page, pos, sub, x0, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, pos, sub) AS BIGINT) AS n FROM ({inputs.SPANS})")
+
+
+@_query(f"SELECT doc_id, page, line, string_agg(text, ' ' ORDER BY pos, sub, x0) AS text FROM ({inputs.SPANS}) WHERE trim(text) <> '' GROUP BY doc_id, page, line")
+def s6_line_collector(spark, sf_dir):
+    own = run_sql(spark, sf_dir, inputs.SPANS).filter("trim(text) <> ''")
+    parts = F.sort_array(F.collect_list(F.struct("pos", "sub", "x0", "text")))
+    return own.groupBy("doc_id", "page", "line").agg(F.array_join(F.transform(parts, lambda s: s["text"]), " ").alias("text"))
+
+
+@_query(f"SELECT doc_id, max(n) AS size_n, min(size) AS size FROM (SELECT *, max(n) OVER (PARTITION BY doc_id) AS m FROM (SELECT doc_id, size, count(*) AS n FROM ({inputs.SPANS}) GROUP BY doc_id, size)) WHERE n = m GROUP BY doc_id")
+def a4_mode_size(spark, sf_dir):
+    own = run_sql(spark, sf_dir, inputs.SPANS).groupBy("doc_id", "size").agg(F.count("*").alias("n"))
+    best = F.max(F.struct("n", (-F.col("size")).alias("s")))
+    return own.groupBy("doc_id").agg(best.alias("b")).select("doc_id", F.col("b.n").alias("size_n"), (-F.col("b.s")).alias("size"))
+
+
+# --- images, tables, sheets ---------------------------------------------------
+
+_both("s4_first_images", f"SELECT doc_id, hash, page, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, hash ORDER BY page, pos, width, height) AS r FROM ({inputs.IMAGES})) WHERE r = 1")
+_both("j1_logos", f"SELECT hash, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({inputs.IMAGES}) GROUP BY hash HAVING count(DISTINCT doc_id) >= 30 ORDER BY docs DESC, hash")
+_both("a1_store_stats", f"SELECT count(*) AS occurrences, count(DISTINCT hash) AS images, count(DISTINCT doc_id) AS documents FROM ({inputs.IMAGES})")
+_both("f9_image_gate", f"SELECT CASE WHEN width < 30 OR height < 30 THEN 'too_small' WHEN greatest(width, height) / CAST(least(width, height) AS DOUBLE) > 20 THEN 'aspect' WHEN std / 255 < 0.02 THEN 'flat' WHEN n_colors < 8 AND std / 255 < 0.15 THEN 'few_colors' ELSE 'keep' END AS verdict, count(*) AS n FROM ({inputs.IMAGES}) GROUP BY 1")
+_both("s7_coverage", f"SELECT doc_id, page, max(least(width * height / CAST(90000 AS DOUBLE), 1)) AS coverage FROM ({inputs.IMAGES}) GROUP BY doc_id, page")
+_both("f10_table_overlap", f"SELECT doc_id, page, pos, width, height FROM ({inputs.IMAGES}) WHERE width >= 50 AND height >= 50 AND width * height / CAST(120000 AS DOUBLE) <= 0.5")
+_both("j10_cell_colors", f"SELECT s.doc_id, s.page, s.pos, min(i.pos) AS first_rect FROM ({inputs.SPANS}) s JOIN ({inputs.IMAGES}) i ON s.doc_id = i.doc_id AND s.page = i.page AND s.y0 BETWEEN 0 AND i.height GROUP BY s.doc_id, s.page, s.pos")
+_both("j13_band_join", f"SELECT a.doc_id, a.page, a.pos, b.pos AS other FROM ({inputs.SPANS}) a JOIN ({inputs.SPANS}) b ON a.doc_id = b.doc_id AND a.page = b.page AND b.y0 BETWEEN a.y0 - 5 AND a.y0 + 5 AND a.pos < b.pos")
+_both("j12_text_lookup", "SELECT a.p_partkey AS pos, b.first_pos FROM part a LEFT JOIN (SELECT lower(substr(trim(p_name), 1, 40)) AS k, min(p_partkey) AS first_pos FROM part GROUP BY 1) b ON lower(substr(trim(a.p_name), 1, 40)) = b.k")
+_both("s9_tables", "SELECT o_orderpriority AS tbl, CAST(o_orderkey AS BIGINT) AS row_id, CAST(1 AS INT) AS col, coalesce(CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END, 'col_1') AS cell FROM orders")
+_both("a20_group_sums", "SELECT c_mktsegment, count(*) AS n, sum(CAST(c_acctbal * 100 AS BIGINT)) AS cents FROM customer GROUP BY c_mktsegment")
+_both("a21_invoice_totals", "SELECT l_orderkey, round(sum(l_quantity * l_extendedprice), 2) AS subtotal, round(sum(l_quantity * l_extendedprice * l_tax), 2) AS tax FROM lineitem GROUP BY l_orderkey")
+_both("s16_sheet_rows", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders) WHERE coalesce(o_orderstatus, CAST(o_totalprice AS VARCHAR(30))) IS NOT NULL")
+_both("a2_keep_first", f"SELECT hash, min(pos) AS first_pos FROM ({inputs.IMAGES}) GROUP BY hash")
+_both("a19_bench_rollup", "SELECT o_orderpriority, count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY o_orderpriority")
+
+
+@_query("SELECT doc_id, pos, text FROM (SELECT p_partkey AS doc_id, 1 AS pos, p_name AS text FROM part WHERE p_partkey % 2 = 0 UNION ALL BY NAME SELECT p_partkey AS doc_id, p_brand AS text FROM part WHERE p_partkey % 2 = 1) WHERE doc_id IS NOT NULL OR text IS NOT NULL")
+def u1_union_by_name(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    a = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("pos"), F.col("p_name").alias("text"))
+    b = part.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("text"))
+    return a.unionByName(b, allowMissingColumns=True).filter("doc_id is not null or text is not null")
+
+
+@_query("SELECT p_partkey, len(list_intersect(list_distinct(string_split(p_name, ' ')), list_distinct(string_split(lower(p_type), ' ')))) / CAST(len(list_distinct(list_concat(string_split(p_name, ' '), string_split(lower(p_type), ' ')))) AS DOUBLE) AS jaccard FROM part")
+def u3_jaccard(spark, sf_dir):
+    a, b = F.split("p_name", " "), F.split(F.lower("p_type"), " ")
+    return read(spark, sf_dir, "part").select("p_partkey", (F.size(F.array_intersect(a, b)).cast("double") / F.size(F.array_union(a, b))).alias("jaccard"))
+
+
+# --- scope, glossary, rebuild -------------------------------------------------
+
+_both("f3_page_range", f"SELECT doc_id, page, line, pos, sub FROM (SELECT *, min(page) OVER (PARTITION BY doc_id) AS low FROM ({inputs.SPANS})) WHERE page + CASE WHEN low = 0 THEN 1 ELSE 0 END BETWEEN 2 AND 4")
+_both("f6_partition", f"SELECT CASE WHEN keep THEN 'selected' ELSE 'skipped' END AS side, count(*) AS n FROM (SELECT coalesce(contains(lower(section), 'high') OR contains(lower(section), 'urgent'), FALSE) AS keep FROM ({inputs.SPANS})) GROUP BY 1")
+_both("u4_with_and_without", f"SELECT doc_id, max(CASE WHEN level = 1 THEN 1 ELSE 0 END) = 1 AS has_top FROM ({inputs.TOC}) GROUP BY doc_id")
+
+
+@_query(f"SELECT doc_id, page, line, pos, sub FROM ({inputs.SPANS}) WHERE contains(strip_accents(lower(section)), 'high') AND NOT contains(strip_accents(lower(section)), 'not')")
+def f4_sections(spark, sf_dir):
+    near = lambda x: F.contains(F.collate("section", "UNICODE_CI_AI"), F.collate(F.lit(x), "UNICODE_CI_AI"))
+    return run_sql(spark, sf_dir, inputs.SPANS).filter(near("HÍGH") & ~near("not")).select("doc_id", "page", "line", "pos", "sub")
+
+
+_KEYS = f"SELECT DISTINCT doc_id, page, line FROM ({inputs.SPANS}) WHERE page <= 2"
+
+
+@_query(f"SELECT s.doc_id, s.page, s.line, s.pos, s.sub FROM ({inputs.SPANS}) s SEMI JOIN ({_KEYS}) k ON s.doc_id = k.doc_id AND s.page = k.page AND s.line = k.line")
+def j3_selected_spans(spark, sf_dir):
+    return run_sql(spark, sf_dir, inputs.SPANS).join(run_sql(spark, sf_dir, _KEYS), ["doc_id", "page", "line"], "left_semi").select("doc_id", "page", "line", "pos", "sub")
+
+
+@_query(f"SELECT s.doc_id, s.page, s.line, s.pos, s.sub FROM ({inputs.SPANS}) s ANTI JOIN ({_KEYS}) k ON s.doc_id = k.doc_id AND s.page = k.page AND s.line = k.line")
+def u5_skipped_spans(spark, sf_dir):
+    return run_sql(spark, sf_dir, inputs.SPANS).join(run_sql(spark, sf_dir, _KEYS), ["doc_id", "page", "line"], "left_anti").select("doc_id", "page", "line", "pos", "sub")
+
+
+_CHANGES = "SELECT p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END AS changed FROM part WHERE p_partkey % 2 = 0"
+_both("j5_cells_bypass", f"SELECT doc_id, page, line, pos, sub, bold FROM ({inputs.SPANS}) WHERE (NOT bold AND page <= 2) OR bold")
+_both("j8_rebuild_plan", f"SELECT s.doc_id, s.page, s.pos, s.sub, coalesce(c.changed, s.text) AS text FROM ({inputs.SPANS}) s LEFT JOIN ({_CHANGES}) c ON s.pos = c.pos")
+_both("j9_overlays", f"SELECT s.doc_id, s.page, s.x0, s.y0, s.x1, c.changed FROM ({inputs.SPANS}) s JOIN ({_CHANGES}) c ON s.pos = c.pos")
+_both("k6_change_counts", f"SELECT sum(CASE WHEN c.changed IS NULL THEN 1 ELSE 0 END) AS skipped, sum(CASE WHEN c.changed = s.text THEN 1 ELSE 0 END) AS unchanged, sum(CASE WHEN c.changed <> s.text THEN 1 ELSE 0 END) AS replaced FROM ({inputs.SPANS}) s LEFT JOIN ({_CHANGES}) c ON s.pos = c.pos")
+_both("k12_fonts", f"SELECT doc_id, page, pos, sub, CASE WHEN bold AND size >= 12 THEN 'Helvetica-BoldOblique' WHEN bold THEN 'Helvetica-Bold' WHEN size >= 12 THEN 'Helvetica-Oblique' ELSE 'Helvetica' END AS font FROM ({inputs.SPANS})")
+
+
+@_query(f"""SELECT c.q AS id, g.term, i AS start FROM (SELECT o_orderkey AS q, 'The ' || n_name || ' branch, not x' || n_name || '.' AS text FROM orders JOIN nation ON o_orderkey % 25 = n_nationkey) c
+JOIN ({inputs.GLOSSARY}) g ON contains(lower(text), lower(term)), unnest(range(1, length(text) + 1)) AS u(i) WHERE substr(lower(text), i, length(term)) = lower(term) AND NOT regexp_matches(substr(' ' || text, i, 1), '\\p{{L}}') AND NOT regexp_matches(substr(text || ' ', i + length(term), 1), '\\p{{L}}')""")
+def j6_glossary(spark, sf_dir):
+    own = run_sql(spark, sf_dir, "SELECT o_orderkey AS id, 'The ' || n_name || ' branch, not x' || n_name || '.' AS text FROM orders JOIN nation ON o_orderkey % 25 = n_nationkey")
+    terms = run_sql(spark, sf_dir, inputs.GLOSSARY).limit(10_000)
+    found = own.join(F.broadcast(terms), F.contains(F.lower("text"), F.lower("term")))
+    at = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: (F.substr(F.lower("text"), i, F.length("term")) == F.lower("term")) & ~F.rlike(F.substr(F.concat(F.lit(" "), "text"), i, F.lit(1)), F.lit(r"\p{L}")) & ~F.rlike(F.substr(F.concat("text", F.lit(" ")), i + F.length("term"), F.lit(1)), F.lit(r"\p{L}")))
+    return found.select("id", "term", F.explode(at).cast("long").alias("start"))
+
+
+@_query(f"SELECT term, CASE WHEN keep_as_is THEN 'keep_as_is' WHEN term = upper(term) AND length(term) <= 5 AND target IS NULL THEN 'keep_as_is' ELSE 'translate' END AS decision FROM (SELECT term, target, keep_as_is FROM ({inputs.GLOSSARY}) UNION ALL SELECT c_mktsegment, NULL, FALSE FROM customer UNION ALL SELECT substr(c_name, 1, 4), NULL, FALSE FROM customer)")
+def r24_translate_or_keep(spark, sf_dir):
+    own = run_sql(spark, sf_dir, f"SELECT term, target, keep_as_is FROM ({inputs.GLOSSARY}) UNION ALL SELECT c_mktsegment, NULL, FALSE FROM customer UNION ALL SELECT substr(c_name, 1, 4), NULL, FALSE FROM customer")
+    lang = text.language(F.col("term"))
+    upper = (F.col("term") == F.upper("term")) & (F.length("term") <= 5) & F.col("target").isNull()
+    return own.select("term", F.when(F.col("keep_as_is") | F.coalesce(lang == "en", F.lit(False)) | upper, "keep_as_is").otherwise("translate").alias("decision"))
+
+
+_both("s20_glossary_last_wins", "SELECT term, target FROM (SELECT lower(p_brand) AS term, p_type AS target, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey DESC) AS r FROM part) WHERE r = 1")
+_both("r25_engine", f"SELECT content_type, CASE WHEN content_type IN ('scanned_no_text', 'scanned_with_ocr') THEN 'ocr' WHEN content_type = 'native' THEN 'text' WHEN content_type = 'mixed' THEN 'cascade' ELSE 'none' END AS engine FROM (SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'native' WHEN 1 THEN 'scanned_no_text' WHEN 2 THEN 'mixed' ELSE 'empty' END AS content_type FROM orders)")
+
+# --- questions and requests ---------------------------------------------------
+
+
+def _cases(rules, col: str) -> str:
+    return " ".join(f"WHEN {' OR '.join(c)} THEN '{name}'" for name, c in rules)
+
+
+_q = lambda s: s.replace("'", "''")
+_INTENT = "CASE " + _cases([(n, [f"contains(lower(question), '{_q(w)}')" for w in ws]) for n, ws in fixed.INTENTS], "question") + " ELSE 'qa' END"
+_SHAPE = "CASE " + _cases([(n, [f"regexp_matches(lower(question), '{_q(p)}')" for p in ps]) for n, ps in fixed.SHAPES], "question") + " ELSE 'text' END"
+_FORMAT = "CASE " + " ".join(f"WHEN regexp_matches(lower(question), '{_q(p)}') THEN '{label}'" for p, label in fixed.FORMATS) + " END"
+_LAYOUT = "CASE " + _cases([(n, ["regexp_matches(lower(question), '\\b" + w + "\\b')" for w in ws]) for n, ws in fixed.LAYOUTS], "question") + " END"
+_PAGE = "coalesce(" + ", ".join(f"TRY_CAST(regexp_extract(question, '(?i){_q(p)}', 1) AS INT)" for p in fixed.PAGE_HINTS) + ")"
+_FOUND = "list_concat(" + ", ".join(f"regexp_extract_all(question, '{_q(p)}')" for p in fixed.ANCHORS) + ")"
+_ANCHOR = f"array_to_string(list_filter({_FOUND}, lambda t, i: NOT (upper(trim(t)) IN ({', '.join(repr(w) for w in fixed.ANCHOR_STOPWORDS)})) AND list_position({_FOUND}, t) = i), '|')"
+
+
+def _question(name: str, sql: str, /, **columns) -> None:
+    def run(spark, sf_dir):
+        return run_sql(spark, sf_dir, inputs.QUESTIONS).select("q_id", *[f(F.col("question")).alias(n) for n, f in columns.items()])
+
+    _QUERIES[name] = run
+    _SQL[name] = f"SELECT q_id, {sql} FROM ({inputs.QUESTIONS})"
+
+
+_question("q1_hints", f"{_PAGE} AS page_hint, {_LAYOUT} AS layout_hint", page_hint=question.page_hint, layout_hint=question.layout_hint)
+_question("q2_anchors", f"{_ANCHOR} AS anchors", anchors=lambda q: F.array_join(question.anchors(q), "|"))
+_question("q3_format", f"{_FORMAT} AS format", format=question.format_constraint)
+_question("q5_intent", f"{_INTENT} AS intent", intent=question.intent)
+_question("q6_shape", f"CASE WHEN {_INTENT} = 'qa' THEN {_SHAPE} ELSE 'text' END AS shape", shape=lambda q: F.when(question.intent(q) == "qa", question.answer_shape(q)).otherwise(F.lit("text")))
+
+
+@_query(f"SELECT intent, shape, layout_hint, format, count(*) AS n FROM (SELECT {_INTENT} AS intent, CASE WHEN {_INTENT} = 'qa' THEN {_SHAPE} ELSE 'text' END AS shape, {_LAYOUT} AS layout_hint, {_FORMAT} AS format FROM ({inputs.QUESTIONS})) GROUP BY ALL")
+def q8_plans(spark, sf_dir):
+    own = run_sql(spark, sf_dir, inputs.QUESTIONS).select(question.plan(F.col("question")).alias("p")).select("p.*")
+    return own.groupBy("intent", "shape", "layout_hint", "format").agg(F.count("*").alias("n"))
+
+
+def _request(name: str, sql: str, /, **columns) -> None:
+    def run(spark, sf_dir):
+        return run_sql(spark, sf_dir, inputs.REQUESTS).select("r_id", *[f(F.col("message")).alias(n) for n, f in columns.items()])
+
+    _QUERIES[name] = run
+    _SQL[name] = f"SELECT r_id, {sql} FROM ({inputs.REQUESTS})"
+
+
+_request("q15_target_language", "CASE r_id % 6 WHEN 0 THEN 'de' WHEN 1 THEN 'es' WHEN 2 THEN 'nl' WHEN 3 THEN 'pt' WHEN 4 THEN 'it' END AS target", target=question.target_language)
+_request("q16_style_and_pages", "CASE r_id % 6 WHEN 0 THEN 'formal' WHEN 1 THEN 'casual' WHEN 2 THEN 'technical' WHEN 3 THEN 'formal' ELSE 'default' END AS style, CAST(CASE r_id % 6 WHEN 0 THEN r_id % 9 WHEN 2 THEN 3 END AS INT) AS first_page, CAST(CASE r_id % 6 WHEN 0 THEN r_id % 9 + 3 WHEN 2 THEN r_id % 20 + 3 END AS INT) AS last_page", style=question.style, first_page=lambda m: question.page_range(m)["first"], last_page=lambda m: question.page_range(m)["last"])
+_both("q10_clarification", "SELECT conv_id, turn, (contains(lower(text), 'it ') OR contains(lower(text), 'this ')) AND length(text) <= 60 AND turn = 0 AS unclear FROM conversations WHERE role = 'user'")
+
+
+@_query()
+def l4_summaries(spark, sf_dir):
+    return backend.summarize(docs(spark, sf_dir))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword retrieval: the three best lines of each document."""
+    return l1_retrieve(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
