@@ -36,7 +36,7 @@ def layout_hint(q: Column) -> Column:
 def anchors(q: Column) -> Column:
     """Codes, articles, acronyms and years, in the order of the patterns, each once."""
     found = F.concat(*[F.regexp_extract_all(q, F.lit("(?U)" + p), F.lit(0)) for p in fixed.ANCHORS])
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda t: (t != "") & ~F.upper(t).isin(*fixed.ANCHOR_STOPWORDS)))
+    return F.array_distinct(F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: (t != "") & ~F.upper(t).isin(*fixed.ANCHOR_STOPWORDS)))
 
 
 def plan(q: Column) -> Column:

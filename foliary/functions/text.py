@@ -105,7 +105,7 @@ def _lines(text: Column) -> Column:
 
 
 def dotted_leaders(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r".+\.{4,}\s*\d*\s*$"))))
+    return F.size(F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("....")) & F.rlike(x, F.lit(r".\.{4,}\s*\d*\s*$"))))
 
 
 def numeric_end_ratio(text: Column) -> Column:

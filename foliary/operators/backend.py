@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Backend = Callable[[str], str]
 
@@ -17,7 +18,7 @@ def first_words(prompt: str) -> str:
 
 def complete(prompts: DataFrame, backend: Backend = first_words, column: str = "prompt") -> DataFrame:
     """Adds ``reply``. The backend runs where the rows are; ``repartition`` before caps how many calls run at once."""
-    schema = prompts.schema.add("reply", "string")
+    schema = T.StructType([*prompts.schema.fields, T.StructField("reply", T.StringType())])
 
     def run(batches):
         for b in batches:

@@ -62,7 +62,7 @@ FROM lineitem"""
 SPANS = """
 SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_linenumber AS BIGINT) AS page, CAST(l_partkey % 4 AS BIGINT) AS line, CAST(l_partkey AS BIGINT) AS pos, CAST(l_suppkey AS BIGINT) AS sub,
   CAST(8 + l_partkey % 6 AS DOUBLE) AS size, l_suppkey % 3 = 0 AS bold, CASE WHEN l_partkey % 11 = 0 THEN 16777215 ELSE CAST(l_partkey AS INT) END AS color,
-  o_orderpriority AS section, CAST(l_extendedprice AS BIGINT) AS x0, CAST(l_extendedprice AS BIGINT) + 50 AS x1, CAST(l_quantity AS BIGINT) AS y0,
+  o_orderpriority AS section, CAST(floor(l_extendedprice) AS BIGINT) AS x0, CAST(floor(l_extendedprice) AS BIGINT) + 50 AS x1, CAST(l_quantity AS BIGINT) AS y0,
   p_name AS text
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""
 

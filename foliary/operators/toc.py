@@ -83,9 +83,11 @@ def align_titles(toc: DataFrame, lines: DataFrame, least: float = 0.72) -> DataF
     page, text). The equal texts are found by a plain join; only the other entries are compared line by line, inside
     their own document."""
     key = lambda c: F.trim(F.lower(c))
-    exact = toc.withColumn("k", key(F.col("title"))).join(lines.withColumn("k", key(F.col("text"))), ["doc_id", "k"])
-    exact = exact.groupBy("doc_id", "pos").agg(F.min("page").alias("page")).withColumn("score", F.lit(1.0))
-    open_ = toc.join(exact.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti").select("doc_id", "pos", "title")
+    own = toc.select(F.col("doc_id").alias("doc_id"), "pos", "title", key(F.col("title")).alias("k"))
+    places = lines.select(F.col("doc_id").alias("d"), key(F.col("text")).alias("line"), F.col("page").alias("p")).groupBy("d", "line").agg(F.min("p").alias("page"))
+    found = own.join(places, (F.col("doc_id") == F.col("d")) & (F.col("k") == F.col("line")), "left")
+    exact = found.filter("page is not null").select("doc_id", "pos", "page", F.lit(1.0).alias("score"))
+    open_ = found.filter("page is null").select(F.col("doc_id").alias("doc_id"), "pos", "title")
 
     def run(key, left, right):
         import pandas as pd
@@ -97,5 +99,5 @@ def align_titles(toc: DataFrame, lines: DataFrame, least: float = 0.72) -> DataF
                 out.append((key[0], pos, -best[1], best[0]))
         return pd.DataFrame(out, columns=["doc_id", "pos", "page", "score"])
 
-    fuzzy = open_.groupBy("doc_id").cogroup(lines.select("doc_id", "page", "text").groupBy("doc_id")).applyInPandas(run, "doc_id long, pos long, page long, score double")
+    fuzzy = open_.groupBy("doc_id").cogroup(lines.select(F.col("doc_id").alias("doc_id"), "page", "text").groupBy("doc_id")).applyInPandas(run, "doc_id long, pos long, page long, score double")
     return exact.select("doc_id", "pos", F.col("page").cast("long"), "score").unionByName(fuzzy)

@@ -197,7 +197,7 @@ _both("k5_bookmarks", "SELECT doc_id, pos, greatest(level, 1) AS level, greatest
 _both("a10_page_offset", "SELECT doc_id, shift FROM (SELECT doc_id, shift, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS r FROM (SELECT doc_id, page - displayed AS shift, count(*) AS n, min(pos) AS first_pos FROM (SELECT doc_id, pos, page, page - pos % 3 AS displayed FROM (" + inputs.TOC + ")) GROUP BY doc_id, page - displayed)) WHERE r = 1")
 _both("m1_native_toc", "SELECT doc_id, count(*) > 0 AS has_toc, max(page) + 1 AS page_count FROM (" + inputs.TOC + ") GROUP BY doc_id")
 _both("r19_cascade", "SELECT doc_id, pos, title, priority FROM (SELECT *, min(priority) OVER (PARTITION BY doc_id) AS best FROM (SELECT doc_id, pos, title, 1 AS priority FROM (" + inputs.TOC + ") WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, pos, line AS title, 3 AS priority FROM (" + inputs.LEADERS + "))) WHERE priority = best")
-_both("t5_title_candidates", "SELECT doc_id, page, line, sum(length(text)) AS n, avg(size) AS size, min(x0) AS x0, max(x1) AS x1 FROM (" + inputs.SPANS + ") GROUP BY doc_id, page, line HAVING avg(size) >= 10.5 AND sum(length(text)) < 80 AND max(CASE WHEN bold THEN 1 ELSE 0 END) = 1")
+_both("t5_title_candidates", "SELECT doc_id, page, line, CAST(sum(length(text)) AS BIGINT) AS n, avg(size) AS size, min(x0) AS x0, max(x1) AS x1 FROM (" + inputs.SPANS + ") GROUP BY doc_id, page, line HAVING avg(size) >= 10.5 AND sum(length(text)) < 80 AND max(CASE WHEN bold THEN 1 ELSE 0 END) = 1")
 _both("w4_isolated_numbers", "SELECT doc_id, pos, CASE WHEN lonely AND follows IS NOT NULL THEN label || ' ' || follows ELSE label END AS title FROM (SELECT doc_id, pos, label, lonely, lead(label) OVER (PARTITION BY doc_id ORDER BY pos) AS follows, lag(lonely) OVER (PARTITION BY doc_id ORDER BY pos) AS taken FROM (SELECT doc_id, pos, CASE WHEN pos % 400 < 200 THEN CAST(pos AS VARCHAR(9)) ELSE title END AS label, pos % 400 < 200 AS lonely FROM (" + inputs.TOC + "))) WHERE NOT coalesce(taken, FALSE)")
 
 
@@ -289,13 +289,13 @@ def r3_source_category(spark, sf_dir):
 _both("a9_types_by_font", f"SELECT page_type, n_fonts, count(*) AS n FROM (SELECT n_fonts, {_TYPE} AS page_type FROM ({inputs.PAGES})) GROUP BY page_type, n_fonts")
 _both("a12_ratios", f"SELECT doc_id, avg(CASE WHEN coverage >= 0.8 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS full_ratio, avg(CASE WHEN native_char_count >= 50 AND quality >= 0.6 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS native_ratio FROM ({inputs.PAGES}) GROUP BY doc_id")
 _both("r2_content_rules", f"""SELECT doc_id, CASE WHEN full_ratio >= 0.7 AND chars < 50 THEN 'scanned' WHEN image_ratio >= 0.55 AND blocks < 6 THEN 'design' WHEN chars < 120 AND image_ratio > 0.3 AND blocks < 4 THEN 'design' WHEN fonts <= 8 AND chars > 200 AND blocks >= 3 THEN 'word' ELSE 'other' END AS category
-FROM (SELECT doc_id, avg(CASE WHEN coverage > 0.85 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS full_ratio, avg(native_char_count * 5) AS chars, avg(coverage) AS image_ratio, avg(drawing_count) AS blocks, count(DISTINCT n_fonts) AS fonts FROM ({inputs.PAGES}) GROUP BY doc_id)""")
+FROM (SELECT doc_id, avg(CASE WHEN coverage > 0.85 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS full_ratio, avg(native_char_count * 5) AS chars, round(avg(coverage), 9) AS image_ratio, avg(drawing_count) AS blocks, count(DISTINCT n_fonts) AS fonts FROM ({inputs.PAGES}) GROUP BY doc_id)""")
 _both("f8_footer", f"SELECT doc_id, page, line, pos, sub FROM ({inputs.SPANS}) WHERE y0 <= 50 * 0.9")
 _both("f12_page_limit", f"SELECT doc_id, page_num, n_fonts FROM ({inputs.PAGES}) WHERE page_num < 2")
-_both("m3_page_metrics", f"SELECT doc_id, page, count(*) AS n_spans, count(DISTINCT size) AS n_sizes, sum(length(text)) AS n_chars FROM ({inputs.SPANS}) GROUP BY doc_id, page")
+_both("m3_page_metrics", f"SELECT doc_id, page, count(*) AS n_spans, count(DISTINCT size) AS n_sizes, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM ({inputs.SPANS}) GROUP BY doc_id, page")
 _both("m4_invisible", f"SELECT doc_id, page, line, max(CASE WHEN color = 16777215 THEN 1 ELSE 0 END) AS invisible FROM ({inputs.SPANS}) GROUP BY doc_id, page, line")
 _both("s3_span_style", f"SELECT doc_id, page, line, pos, sub, CASE WHEN color = 0 THEN '#000000' ELSE '#' || lpad(lower(hex(color)), 6, '0') END AS rgb, bold FROM ({inputs.SPANS})")
-_both("a5_body_size", f"SELECT doc_id, size FROM (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size) AS r FROM (SELECT doc_id, size, sum(length(text)) AS n FROM ({inputs.SPANS}) GROUP BY doc_id, size)) WHERE r = 1")
+_both("a5_body_size", f"SELECT doc_id, size FROM (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size) AS r FROM (SELECT doc_id, size, CAST(sum(length(text)) AS BIGINT) AS n FROM ({inputs.SPANS}) GROUP BY doc_id, size)) WHERE r = 1")
 _both("a16_line_boxes", f"SELECT doc_id, page, line, min(x0) AS x0, max(x1) AS x1, avg(size) AS size, count(*) AS n FROM ({inputs.SPANS}) GROUP BY doc_id, page, line")
 _both("a18_address_zone", f"SELECT doc_id, page, min(CASE WHEN y0 < 20 AND x0 < 30000 THEN x0 END) AS left_x0, max(CASE WHEN y0 < 20 AND x0 >= 30000 THEN x1 END) AS right_x1 FROM ({inputs.SPANS}) GROUP BY doc_id, page")
 _both("w10_span_numbers", f"SELECT doc_id, page, line, pos, sub, x0, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, line, pos, sub, x0, y0) - 1 AS BIGINT) AS span_num FROM ({inputs.SPANS})")
@@ -329,8 +329,8 @@ _both("j10_cell_colors", f"SELECT s.doc_id, s.page, s.pos, min(i.pos) AS first_r
 _both("j13_band_join", f"SELECT a.doc_id, a.page, a.pos, b.pos AS other FROM ({inputs.SPANS}) a JOIN ({inputs.SPANS}) b ON a.doc_id = b.doc_id AND a.page = b.page AND b.y0 BETWEEN a.y0 - 5 AND a.y0 + 5 AND a.pos < b.pos")
 _both("j12_text_lookup", "SELECT a.p_partkey AS pos, b.first_pos FROM part a LEFT JOIN (SELECT lower(substr(trim(p_name), 1, 40)) AS k, min(p_partkey) AS first_pos FROM part GROUP BY 1) b ON lower(substr(trim(a.p_name), 1, 40)) = b.k")
 _both("s9_tables", "SELECT o_orderpriority AS tbl, CAST(o_orderkey AS BIGINT) AS row_id, CAST(1 AS INT) AS col, coalesce(CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END, 'col_1') AS cell FROM orders")
-_both("a20_group_sums", "SELECT c_mktsegment, count(*) AS n, sum(CAST(c_acctbal * 100 AS BIGINT)) AS cents FROM customer GROUP BY c_mktsegment")
-_both("a21_invoice_totals", "SELECT l_orderkey, round(sum(l_quantity * l_extendedprice), 2) AS subtotal, round(sum(l_quantity * l_extendedprice * l_tax), 2) AS tax FROM lineitem GROUP BY l_orderkey")
+_both("a20_group_sums", "SELECT c_mktsegment, count(*) AS n, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents FROM customer GROUP BY c_mktsegment")
+_both("a21_invoice_totals", "SELECT l_orderkey, CAST(sum(CAST(round(l_quantity * l_extendedprice) AS BIGINT)) AS BIGINT) AS subtotal, CAST(sum(CAST(round(l_quantity * l_extendedprice * l_tax) AS BIGINT)) AS BIGINT) AS tax FROM lineitem GROUP BY l_orderkey")
 _both("s16_sheet_rows", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders) WHERE coalesce(o_orderstatus, CAST(o_totalprice AS VARCHAR(30))) IS NOT NULL")
 _both("a2_keep_first", f"SELECT hash, min(pos) AS first_pos FROM ({inputs.IMAGES}) GROUP BY hash")
 _both("a19_bench_rollup", "SELECT o_orderpriority, count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY o_orderpriority")
@@ -380,7 +380,7 @@ _CHANGES = "SELECT p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN p_brand EL
 _both("j5_cells_bypass", f"SELECT doc_id, page, line, pos, sub, bold FROM ({inputs.SPANS}) WHERE (NOT bold AND page <= 2) OR bold")
 _both("j8_rebuild_plan", f"SELECT s.doc_id, s.page, s.pos, s.sub, coalesce(c.changed, s.text) AS text FROM ({inputs.SPANS}) s LEFT JOIN ({_CHANGES}) c ON s.pos = c.pos")
 _both("j9_overlays", f"SELECT s.doc_id, s.page, s.x0, s.y0, s.x1, c.changed FROM ({inputs.SPANS}) s JOIN ({_CHANGES}) c ON s.pos = c.pos")
-_both("k6_change_counts", f"SELECT sum(CASE WHEN c.changed IS NULL THEN 1 ELSE 0 END) AS skipped, sum(CASE WHEN c.changed = s.text THEN 1 ELSE 0 END) AS unchanged, sum(CASE WHEN c.changed <> s.text THEN 1 ELSE 0 END) AS replaced FROM ({inputs.SPANS}) s LEFT JOIN ({_CHANGES}) c ON s.pos = c.pos")
+_both("k6_change_counts", f"SELECT CAST(sum(CASE WHEN c.changed IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS skipped, CAST(sum(CASE WHEN c.changed = s.text THEN 1 ELSE 0 END) AS BIGINT) AS unchanged, CAST(sum(CASE WHEN c.changed <> s.text THEN 1 ELSE 0 END) AS BIGINT) AS replaced FROM ({inputs.SPANS}) s LEFT JOIN ({_CHANGES}) c ON s.pos = c.pos")
 _both("k12_fonts", f"SELECT doc_id, page, pos, sub, CASE WHEN bold AND size >= 12 THEN 'Helvetica-BoldOblique' WHEN bold THEN 'Helvetica-Bold' WHEN size >= 12 THEN 'Helvetica-Oblique' ELSE 'Helvetica' END AS font FROM ({inputs.SPANS})")
 
 
@@ -391,7 +391,7 @@ def j6_glossary(spark, sf_dir):
     terms = run_sql(spark, sf_dir, inputs.GLOSSARY).limit(10_000)
     found = own.join(F.broadcast(terms), F.contains(F.lower("text"), F.lower("term")))
     at = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: (F.substr(F.lower("text"), i, F.length("term")) == F.lower("term")) & ~F.rlike(F.substr(F.concat(F.lit(" "), "text"), i, F.lit(1)), F.lit(r"\p{L}")) & ~F.rlike(F.substr(F.concat("text", F.lit(" ")), i + F.length("term"), F.lit(1)), F.lit(r"\p{L}")))
-    return found.select("id", "term", F.explode(at).cast("long").alias("start"))
+    return found.select("id", "term", F.explode(at).alias("i")).select("id", "term", F.col("i").cast("long").alias("start"))
 
 
 @_query(f"SELECT term, CASE WHEN keep_as_is THEN 'keep_as_is' WHEN term = upper(term) AND length(term) <= 5 AND target IS NULL THEN 'keep_as_is' ELSE 'translate' END AS decision FROM (SELECT term, target, keep_as_is FROM ({inputs.GLOSSARY}) UNION ALL SELECT c_mktsegment, NULL, FALSE FROM customer UNION ALL SELECT substr(c_name, 1, 4), NULL, FALSE FROM customer)")
