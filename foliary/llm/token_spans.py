@@ -28,7 +28,7 @@ def allocate(token_ends: np.ndarray, section_ends: np.ndarray, rule: str = "star
     another without gaps, so the interval join is a search of one sorted array in the other. A token that crosses
     boundaries goes whole to the section of its first byte (``start``), of its last byte (``end``), or to the one
     with most of its bytes, the first of equals (``most``)."""
-    starts = np.concatenate(([0], token_ends[:-1]))
+    starts = np.concatenate(([0], token_ends))[:-1].astype(np.int64)
     first = np.searchsorted(section_ends, starts, side="right")
     last = np.searchsorted(section_ends, token_ends - 1, side="right")
     to = {"start": first, "end": last, "most": first.copy()}[rule]
