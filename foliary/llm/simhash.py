@@ -53,14 +53,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(run, "id long, fp long")
 
 
-def masks(radius: int, seed: int = 17) -> list[int]:
-    """2^(radius+1)-1 masks over 64 bits. Each position gets a non-zero vector of radius+1 bits, mask v holds the
+def masks(radius: int, seed: int = 17, bits: int = 64) -> list[int]:
+    """2^(radius+1)-1 masks over ``bits`` bits. Each position gets a non-zero vector of radius+1 bits, mask v holds the
     positions whose vector has an odd product with v. The vectors of any ``radius`` positions miss a dimension, so some
     v is orthogonal to all of them: two fingerprints that differ in these positions agree under mask v."""
     size = 1 << (radius + 1)
-    vectors = [1 + i % (size - 1) for i in range(64)]
+    vectors = [1 + i % (size - 1) for i in range(bits)]
     random.Random(seed).shuffle(vectors)
-    return [sum(1 << i for i in range(64) if bin(vectors[i] & v).count("1") & 1) for v in range(1, size)]
+    return [sum(1 << i for i in range(bits) if bin(vectors[i] & v).count("1") & 1) for v in range(1, size)]
 
 
 def _signed(x: int) -> int:
@@ -107,17 +107,190 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = table(fingerprints(docs, id_col, text_col, words))
     distinct = table(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    found = components(links(distinct.select("fp"), radius))
+    return _grouped(rows, distinct, links(distinct.select("fp"), radius))
+
+
+def _grouped(rows: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """Names the component of each row of ``rows`` (id, fp) by its smallest id; ``distinct`` is (fp, least)."""
+    found = components(edges)
     member = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     member = table(member)
-    top = member.filter("root <> fp").select("root", "least").unionByName(
-        member.filter("root = fp").select("root", "least")
-    ).groupBy("root").agg(F.min("least").alias("component_id"))
+    top = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = table(member.join(top, "root").select("fp", "component_id"))
     out = rows.join(named, "fp").select("id", "fp", "component_id")
     drop(member)
     return out
 
 
+# A wide fingerprint: SEGMENTS of 40 bits for the covering tables, then 128 bits that confirm a pair.
+SEGMENTS, SEGMENT_BYTES, WORDS64 = 8, 5, 7
+SEGMENT_RADIUS, CONFIRM_RADIUS = 4, 24
+_SPLIT, _FLUSH, _SHORT = 1 << 19, 1 << 21, 16
+_STEP = 0x9E3779B97F4A7C15
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes | None, words: int) -> bytes:
+    """56 bytes: the majority, bit by bit, of seven mixed hashes of each distinct shingle; empty without a word."""
+    tokens = (text or b"").lower().split()
+    if not tokens:
+        return b""
+    line = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    w = min(words, len(tokens))
+    starts, ends = starts[: len(tokens) - w + 1], ends[w - 1 :]
+    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts)))
+    out = []
+    for k in range(WORDS64):
+        counts = np.zeros(2048, np.int64)
+        for i in range(0, len(h), 1 << 16):
+            x = _mix(h[i : i + (1 << 16)] + np.uint64(_STEP * (k + 1) % (1 << 64)))
+            counts += np.bincount((x.astype("<u8").view(np.uint8).reshape(-1, 8) + _LANE).ravel(), minlength=2048)
+        out.append(np.packbits(2 * (counts.reshape(8, 256) @ _BITS).ravel() > len(h), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def _node(wide: bytes) -> int:
+    """A node stands for the confirming bits."""
+    return _signed(xxhash.xxh64_intdigest(wide[SEGMENTS * SEGMENT_BYTES :], 7))
+
+
+def _u64(block: np.ndarray) -> np.ndarray:
+    padded = np.zeros((len(block), 8), np.uint8)
+    padded[:, : block.shape[1]] = block
+    return padded.view("<u8").ravel()
+
+
+def _connected(seg: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the graph that links members within both radii. Members reached leave the search, so that
+    a group of copies takes about one pass, and no list of all its pairs is made."""
+    left, edges = np.arange(len(seg)), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = np.bitwise_count(seg[left] ^ seg[i]) <= SEGMENT_RADIUS
+            near &= np.bitwise_count(lo[left] ^ lo[i]) + np.bitwise_count(hi[left] ^ hi[i]) <= CONFIRM_RADIUS
+            edges += [(i, j) for j in left[near].tolist()]
+            queue += left[near].tolist()
+            left = left[~near]
+    return edges
+
+
+def _cell_edges(data: np.ndarray, mask: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links among the entries (segment and confirming bits, 21 bytes each) of one table's cell, as pairs of nodes, and
+    the entries that later ones are compared with: one for each masked key, segment and group of links."""
+    data = np.unique(data, axis=0) if len(data) > 1 else data
+    seg, lo, hi = _u64(data[:, :5]), _u64(data[:, 5:13]), _u64(data[:, 13:21])
+    key = seg & np.uint64(mask)
+    order = np.argsort(key, kind="stable")
+    key, seg, lo, hi, data = key[order], seg[order], lo[order], hi[order], data[order]
+    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    length = np.repeat(np.diff(cuts), np.diff(cuts))
+    pairs = []
+    for d in range(1, _SHORT):
+        i = np.flatnonzero((key[d:] == key[:-d]) & (length[:-d] <= _SHORT))
+        near = np.bitwise_count(seg[i] ^ seg[i + d]) <= SEGMENT_RADIUS
+        i = i[near]
+        i = i[np.bitwise_count(lo[i] ^ lo[i + d]) + np.bitwise_count(hi[i] ^ hi[i + d]) <= CONFIRM_RADIUS]
+        pairs += [(x, x + d) for x in i.tolist()]
+    kept, group = np.ones(len(key), bool), np.arange(len(key))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b - a > _SHORT:
+            found = [(x + int(a), y + int(a)) for x, y in _connected(seg[a:b], lo[a:b], hi[a:b])]
+            for x, y in found:
+                group[y] = group[x]
+            pairs += found
+            _, first = np.unique(np.column_stack((seg[a:b], group[a:b].astype(np.uint64))), axis=0, return_index=True)
+            kept[a:b] = False
+            kept[a + first] = True
+    names = {i: _signed(xxhash.xxh64_intdigest(data[i, 5:].tobytes(), 7)) for p in pairs for i in p}
+    return sorted({(min(names[x], names[y]), max(names[x], names[y])) for x, y in pairs if names[x] != names[y]}), data[kept]
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """``(id, fp, component_id)`` for each row: documents whose sets of shingles have a similarity of about 0.8 or more
+    are linked, component_id is the smallest id that chains of links reach. fp stands for the confirming bits.
+
+    A similarity of 0.8 puts about 15 % of the bits apart, more than one covering family over 64 bits can hold. So the
+    fingerprint has eight segments of 40 bits, and the masks of each guarantee that every pair within 4 of its bits
+    shares a key; a link takes such a segment and at most 24 of 128 further bits apart. Any pair within the radius of
+    some segment is found. Texts with equal confirming bits are linked. Texts without a word have one fingerprint, in
+    no table. Null ids stay and never name a component unless it has no other id; repeated rows stay; an empty table
+    gives an empty result.
+
+    Texts never move. A table's entries are dealt to cells by their masked key, so that a cell holds about half a
+    million; a cell with very many is worked off in parts, each followed by one entry a key, segment and group.
+    """
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary())])
+
+    def prints(batches):
+        for b in slices(batches):
+            wide = [wide_fingerprint(t, words) for t in utf8(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_node, wide), pa.int64()), pa.array(wide, pa.binary())], schema=schema)
+
+    picked = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    rows = table(picked.mapInArrow(prints, "id long, fp long, wide binary"))
+    prints_of = table(rows.filter("length(wide) > 0").select("wide").distinct())
+    split = max(1, -(-prints_of.count() // _SPLIT))
+    own = masks(SEGMENT_RADIUS, bits=8 * SEGMENT_BYTES)
+    cells = pa.schema([("cell", pa.int64()), ("data", pa.binary())])
+
+    def deal(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            all_bits = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            for g in range(SEGMENTS):
+                entry = np.hstack((all_bits[:, g * SEGMENT_BYTES : (g + 1) * SEGMENT_BYTES], all_bits[:, SEGMENTS * SEGMENT_BYTES :]))
+                seg, ids, blobs = _u64(entry[:, :5]), [], []
+                for k, m in enumerate(own):
+                    part = (_mix(seg & np.uint64(m)) % np.uint64(split)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    present, first = np.unique(part[order], return_index=True)
+                    ids += ((g * len(own) + k) * split + present).tolist()
+                    blobs += [x.tobytes() for x in np.split(entry[order], first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], schema=cells)
+
+    def link(batches):
+        cell, held, size = None, [], 0
+
+        def flush():
+            found, rest = _cell_edges(np.vstack(held), own[cell // split % len(own)])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"]), rest
+
+        for b in batches:
+            for at, data in zip(b.column(0).to_pylist(), b.column(1)):
+                if held and at != cell:
+                    yield flush()[0]
+                    held, size = [], 0
+                elif size >= _FLUSH:
+                    out, rest = flush()
+                    yield out
+                    held, size = [rest], 0
+                cell = at
+                held.append(np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 21))
+                size += len(held[-1])
+        if held:
+            yield flush()[0]
+
+    dealt = prints_of.mapInArrow(deal, "cell long, data binary")
+    parts = max(SEGMENTS * len(own) * split // 4, 1)
+    dealt = dealt.repartition(parts, "cell").sortWithinPartitions("cell")
+    edges = table(dealt.mapInArrow(link, "a long, b long").distinct())
+    named = rows.select("id", "fp")
+    out = _grouped(named, table(named.groupBy("fp").agg(F.min("id").alias("least"))), edges)
+    drop(prints_of)
+    return out
+
+
 def hex_fp(column: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")

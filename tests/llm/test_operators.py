@@ -154,6 +154,76 @@ def test_crowded_buckets_link_as_pairs_do(spark):
         assert groups(lambda f: found.get(f, f)) == groups(expected.get)
 
 
+def _near(a, b):
+    apart = lambda x, y: bin(int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).count("1")
+    return apart(a[40:], b[40:]) <= 24 and any(apart(a[i : i + 5], b[i : i + 5]) <= 4 for i in range(0, 40, 5))
+
+
+def test_near_copies(spark, docs, empty, rows):
+    rng = random.Random(9)
+    say = lambda n: [rng.choice(WORDS) + str(rng.randrange(90)) for _ in range(n)]
+    texts = [" ".join(say(n)) for n in (1, 2, 4, 5, 6, 7, 9, 40, 300) for _ in range(3)]
+    base = say(400)
+    for k in range(60):
+        words = list(base)
+        for i in rng.sample(range(400), k % 9):
+            words[i] = f"other{k}x{i}"
+        texts.append(" ".join(words).upper() if k % 2 else "  ".join(words))
+    for share in (0.3, 0.6):
+        words = base[: int(400 * share)]
+        texts.append(" ".join(words + say(400 - len(words))))
+    ids = list(range(1, len(texts) + 1))
+    wide = [simhash.wide_fingerprint(t.encode(), 5) for t in texts]
+    least = list(ids)
+    for _ in ids:
+        for i in range(len(ids)):
+            for j in range(i):
+                if least[i] != least[j] and _near(wide[i], wide[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+    frame = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in simhash.near_copies(frame).collect()}
+    assert [got[i] for i in ids] == least
+    shingles = [{tuple(t.encode().lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    for i in range(len(ids)):
+        for j in range(i):
+            similar = len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j])
+            if similar >= 0.85 or similar < 0.5 and j < 27:
+                assert (got[i + 1] == got[j + 1]) == (similar >= 0.85), (i, j, similar)
+    assert got[ids[-1]] == ids[-1] and got[ids[-2]] == ids[-2]
+    out = {r.id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert len(out) == len(rows) and {out[200], out[201], out[202], out[204]} == {200}
+    assert simhash.near_copies(empty).count() == 0
+    nameless = spark.createDataFrame([(None, "a b c d e f"), (7, "A b c d e f"), (7, "a b c d e f"), (None, "x y")], "doc_id long, text string")
+    assert sorted((r.id or 0, r.component_id or 0) for r in simhash.near_copies(nameless).collect()) == [(0, 0), (0, 7), (7, 7), (7, 7)]
+
+
+def test_a_crowded_cell_links_as_all_pairs_do():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (3, 21), dtype=np.uint8)
+    data = np.repeat(base, 40, axis=0)
+    for row in data:
+        for bit in rng.choice(168, 14, replace=False):
+            row[bit // 8] ^= 1 << (bit % 8)
+    mask = simhash.masks(simhash.SEGMENT_RADIUS, bits=40)[3]
+    names = [simhash._signed(xxhash.xxh64_intdigest(r[5:].tobytes(), 7)) for r in data]
+    seg, lo, hi = (simhash._u64(data[:, a:b]).tolist() for a, b in ((0, 5), (5, 13), (13, 21)))
+    apart = lambda x, y: bin(x ^ y).count("1")
+    want = [
+        (names[i], names[j]) for i in range(120) for j in range(i)
+        if not (seg[i] ^ seg[j]) & mask and apart(seg[i], seg[j]) <= 4 and apart(lo[i], lo[j]) + apart(hi[i], hi[j]) <= 24
+    ]
+
+    def groups(edges):
+        top = {n: n for n in names}
+        for _ in names:
+            for a, b in edges:
+                top[a] = top[b] = min(top[a], top[b])
+        return top
+
+    found, rest = simhash._cell_edges(data, mask)
+    assert want and groups(found) == groups(want) and len(rest) <= len(data)
+
+
 def test_sharding(docs, empty, rows):
     got = {r.doc_id: r for r in sharding.shard_by_bytes(docs, shards=3, whole=2).collect()}
     for i, t, *_ in rows:
