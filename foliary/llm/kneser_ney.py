@@ -1,7 +1,8 @@
 """A quality filter: interpolated modified Kneser-Ney character n-grams trained on trusted text.
 
 Counts, continuation counts, discounts, back-off weights and interpolated probabilities are joins of count tables,
-sharded by n-gram or context. Documents are then scored where they are read.
+sharded by n-gram or context. Documents are scored where they are read if the finished tables are small enough to be
+sent there, else by joins of their n-gram counts with the tables.
 """
 
 from __future__ import annotations
@@ -236,12 +237,12 @@ class _Held:
 
 def scorer(model: tuple[DataFrame, DataFrame, float], order: int = ORDER, max_rows: int = 8_000_000):
     """Sends the tables to the workers if they have ``max_rows`` rows at most (12 bytes each, 5 times that as a hash
-    table), and gives the function that scores texts there. Character n-grams of a bounded alphabet saturate; beyond
-    the bound the order is too high for the alphabet and ValueError says so."""
+    table), and gives the function that scores texts there. Beyond the bound it raises ValueError; ``scored`` then goes
+    by ``score_by_joins``."""
     grams, contexts, floor = model
     rows = grams.count() + contexts.count()
     if rows > max_rows:
-        raise ValueError(f"{rows} n-grams are more than max_rows: take a lower order")
+        raise ValueError(f"{rows} n-grams are more than max_rows")
     g = grams.select("gram", F.log("p").cast("float").alias("p"), F.length("gram").alias("k")).toArrow()
     c = contexts.select("context", F.log("weight").cast("float").alias("w"), "k").toArrow()
     value = (
@@ -269,6 +270,74 @@ def score(docs: DataFrame, perplexities, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, T.StructType(fields))
 
 
+def text_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(k, gram, n)`` of ``docs`` (k, text): the n-grams of ``order`` code points of each text, marks included. Equal
+    grams of one text come once for each piece of a million code points."""
+
+    def run(batches):
+        for b in slices(batches, 2 << 20):
+            texts = b.column(1).to_pylist()
+            points, starts = _stream(texts, order)
+            whole = points.tobytes().decode("utf-32-le", "surrogatepass")
+            ends = np.append(starts[1:], len(points))
+            for a in range(0, len(points), _CHUNK):
+                h = _hashes(points[a : a + _CHUNK + order - 1], order)[order]
+                place = np.arange(a, a + len(h))
+                who = np.searchsorted(starts, place, side="right") - 1
+                inside = place + order <= ends[who]
+                h, place, who = h[inside], place[inside], who[inside]
+                by = np.lexsort((h, who))
+                h, place, who = h[by], place[by], who[by]
+                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (who[1:] != who[:-1]))) if len(h) else h)
+                n = np.diff(np.append(first, len(h)))
+                grams = pa.array([whole[p : p + order] for p in place[first].tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who[first])), grams, pa.array(n, pa.int64())], names=["k", "gram", "n"])
+
+    return docs.select("k", "text").mapInArrow(run, "k binary, gram string, n long")
+
+
+def gram_logs(distinct: DataFrame, model: tuple[DataFrame, DataFrame, float], order: int = ORDER) -> DataFrame:
+    """``(gram, log)`` for each gram of ``distinct``: the log of the longest known ending's probability and the log
+    weights of the contexts that back off to it. One join of the distinct grams for each order; those that an order
+    knows are done, the others go on to the next."""
+    grams, contexts, floor = model
+    left, done = distinct.select("gram", F.lit(0.0).alias("log")), []
+    for k in range(order, 0, -1):
+        known = grams.filter(F.length("gram") == k).select(F.col("gram").alias("end"), "p")
+        found = table(left.withColumn("end", F.substring("gram", order - k + 1, k)).join(known, "end", "left"))
+        done.append(found.filter("p is not null").select("gram", (F.col("log") + F.log("p")).alias("log")))
+        left = found.filter("p is null")
+        if k > 1:
+            weights = contexts.filter(F.col("k") == k).select("context", "weight")
+            left = left.withColumn("context", F.substring("end", 1, k - 1)).join(weights, "context", "left")
+            left = left.select("gram", (F.col("log") + F.coalesce(F.log("weight"), F.lit(0.0))).alias("log"))
+    done.append(left.select("gram", (F.col("log") + float(np.log(floor))).alias("log")))
+    return reduce(DataFrame.unionByName, done)
+
+
+def score_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame, float], text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """As ``score``, for tables of any size: the distinct n-grams of all texts meet the tables, then the counts of each
+    text meet the distinct n-grams. A text goes by its digest; equal texts add up to the same mean, so copies need not
+    be found first. No task holds the n-grams of a document or the documents of an n-gram."""
+    key = F.unhex(F.md5(F.col(text_col).cast("binary")))
+    texts = docs.select(key.alias("k"), F.col(text_col).alias("text")).filter("length(text) > 0")
+    logs = table(gram_logs(count_grams(texts, "text", order).select("gram"), model, order))
+    sums = text_grams(texts, order).join(logs, "gram").groupBy("k").agg(F.sum(F.col("n") * F.col("log")).alias("total"), F.sum("n").alias("n"))
+    means = table(sums.select(F.col("k").alias("_digest"), F.exp(-F.col("total") / F.col("n")).alias("perplexity")))
+    drop(logs)
+    out = docs.withColumn("chars", F.coalesce(F.length(text_col), F.lit(0)).cast("long")).withColumn("_key", key)
+    return out.join(means, F.col("_key") == F.col("_digest"), "left").select(*docs.columns, "chars", "perplexity")
+
+
+def scored(model: tuple[DataFrame, DataFrame, float], order: int = ORDER, max_rows: int = 8_000_000):
+    """The function that adds ``chars`` and ``perplexity`` to a frame (text and others): where the rows are read if the
+    tables have ``max_rows`` rows at most, else by joins."""
+    if model[0].count() + model[1].count() > max_rows:
+        return lambda docs: score_by_joins(docs, model, order=order)
+    run = scorer(model, order, max_rows)
+    return lambda docs: score(docs, run)
+
+
 def trusted(labels: DataFrame, held_out: int) -> tuple[DataFrame, DataFrame]:
     """Ids of the trusted documents that train the model, and of those held out."""
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
@@ -277,7 +346,7 @@ def trusted(labels: DataFrame, held_out: int) -> tuple[DataFrame, DataFrame]:
     return good.filter(~fold), good.filter(fold)
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.95, slack: float = 1.3, prior: int = 60, held_out: int = 5, least: int = 50, order: int = ORDER, send_ids: int = 1_000_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.95, slack: float = 1.3, prior: int = 60, held_out: int = 5, least: int = 50, order: int = ORDER, send_ids: int = 1_000_000, max_rows: int = 8_000_000) -> DataFrame:
     """``docs`` (doc_id, text, lang and any others) with ``chars, perplexity, judged, threshold, keep``.
 
     Trusted text is every document that ``labels`` (doc_id, quality, toxic) calls good and not toxic. A part of it in
@@ -288,20 +357,21 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.95, slack: flo
     text everything is kept. A null or empty text has no perplexity and is rejected. Repeated rows are judged alike;
     an empty table gives an empty result.
 
-    Texts don't move: up to ``send_ids`` label ids (8 bytes each) are sent to them. Beyond, the join is Spark's choice.
+    Texts don't move: up to ``send_ids`` label ids (8 bytes each) and ``max_rows`` rows of the model are sent to them.
+    Beyond, the joins are Spark's choice.
     """
     train_ids, test_ids = trusted(labels, held_out)
     text = docs.select(F.col("doc_id").cast("long").alias("k"), "text", "lang")
     if labels.count() <= send_ids:
         train_ids, test_ids = F.broadcast(train_ids), F.broadcast(test_ids)
-    perplexities = scorer(train(text.join(train_ids, "k", "left_semi").select("text"), "text", order), order)
-    tested = score(text.join(test_ids, "k", "left_semi").select("lang", "text"), perplexities).filter("perplexity is not null")
+    measure = scored(train(text.join(train_ids, "k", "left_semi").select("text"), "text", order), order, max_rows)
+    tested = measure(text.join(test_ids, "k", "left_semi").select("lang", "text")).filter("perplexity is not null")
     tested = table(tested.select(F.col("lang").cast("string").alias("l"), "perplexity"))
     at = F.expr(f"percentile_approx(perplexity, array({quantile}, 0.5), 10000)")
     by_lang = table(tested.filter("l is not null").groupBy("l").agg(at.alias("own"), F.count("*").alias("n")).filter(F.col("n") >= least).select("l", "own"))
     every = tested.agg(at).first()[0]
     every = F.array(*[F.lit(x) for x in every]) if every else F.lit(None).cast("array<double>")
-    out = score(docs, perplexities).join(by_lang, F.col("lang") == F.col("l"), "left").withColumn("at", F.coalesce("own", every))
+    out = measure(docs).join(by_lang, F.col("lang") == F.col("l"), "left").withColumn("at", F.coalesce("own", every))
     out = out.withColumn("threshold", F.col("at")[0] * slack)
     logs = F.col("chars") * F.log("perplexity") + prior * F.log(F.col("at")[1])
     out = out.withColumn("judged", F.coalesce(F.exp(logs / (F.col("chars") + prior)), "perplexity"))

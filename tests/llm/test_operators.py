@@ -306,6 +306,25 @@ def test_model_is_a_distribution(spark):
         assert got[t] == pytest.approx(np.exp(-np.mean(logs)), rel=1e-5)
 
 
+def test_scoring_by_joins_equals_scoring_in_place(spark, docs, rows):
+    model = kneser_ney.train(docs.filter("doc_id % 3 = 0").select("text"), "text")
+    here = kneser_ney.scored(model)(docs).collect()
+    joined = kneser_ney.scored(model, max_rows=0)(docs).collect()
+    assert len(here) == len(joined) == len(rows) and here[0].asDict().keys() == joined[0].asDict().keys()
+    other = {r.doc_id: r for r in joined}
+    for r in here:
+        assert r.chars == other[r.doc_id].chars
+        assert (r.perplexity is None) == (other[r.doc_id].perplexity is None) == (not r.text)
+        assert r.perplexity is None or r.perplexity == pytest.approx(other[r.doc_id].perplexity, rel=1e-5)
+
+
+def test_classifier_beyond_the_bound(spark, docs, empty):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    kept = [{r.doc_id: r.keep for r in kneser_ney.classify(docs, labels, least=5, max_rows=m).collect()} for m in (8_000_000, 0)]
+    assert kept[0] == kept[1]
+    assert kneser_ney.classify(empty, labels, max_rows=0).count() == 0
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = kneser_ney.classify(docs, labels)
