@@ -97,3 +97,93 @@ GENERIC_PRODUCERS = (
     "acrobat distiller", "adobe pdf library", "pdfwriter", "ghostscript", "gpl ghostscript", "itext", "tcpdf", "fpdf", "reportlab", "wkhtmltopdf", "weasyprint", "prince",
     "chromium", "skia", "quartz pdfcontext", "macos quartz", "microsoft: print to pdf", "pdf-xchange", "pdfsharp", "pdfium",
 )
+
+#: Sections and documents that a question names.
+SECTION_HINTS = (
+    r"section\s+(?:called|named|nommée|appelée|nommé|appelé)\s+['\"]?([\w\s-]{2,40}?)['\"]?(?=[\.,;]|$)",
+    r"(?:dans\s+(?:la|le)|in\s+the)\s+section\s+['\"]?([\w\-]{2,40})['\"]?(?=[\s\.,;]|$)",
+    r"\b([\w\-]{2,40})\s+section\b",
+    r"\bsection\s+['\"]?([\w\-]{2,40})['\"]?(?=[\s\.,;]|$)",
+)
+SECTION_STOPWORDS = ("the", "a", "an", "le", "la", "les", "un", "une", "this", "that", "ce", "cette", "ces", "called", "named", "nommée", "appelée")
+DOCUMENT_HINTS = (
+    r"(?:la\s+)?(?:dernière|latest)\s+version(?:\s+(?:du\s+)?(?:contrat|document|policy|polic[eé]))?",
+    r"(?:dans|in)\s+(?:le|the)\s+(?:contrat|document|polic[eé]|policy)\s+([\w\-]+)",
+)
+
+#: What a question sets aside.
+DISTINCTIONS = (
+    r"\bnot\s+(?:the\s+)?([\w\s-]{2,30}?)(?=[\.,;]|$)",
+    r"\bpas\s+(?:la\s+|le\s+|les\s+)?([\w\s-]{2,30}?)(?=[\.,;]|$)",
+    r"\binstead\s+of\s+(?:the\s+)?([\w\s-]{2,30}?)(?=[\.,;]|$)",
+    r"(?:don['’]t|do\s+not)\s+confuse\s+(?:it\s+)?with\s+(?:the\s+)?([\w\s-]{2,30}?)(?=[\.,;]|$)",
+    r"\bas\s+opposed\s+to\s+(?:the\s+)?([\w\s-]{2,30}?)(?=[\.,;]|$)",
+    r"\bexcluding\s+(?:the\s+)?([\w\s-]{2,30}?)(?=[\.,;]|$)",
+)
+LONGEST_DISTINCTION = 60
+
+#: Bricks of a question plan: the part they feed, and the types of document they fit (none: all).
+BRICKS = {
+    "anchor_keywords": ("retrieval", ()),
+    "page_hint": ("retrieval", ("pdf", "pptx")),
+    "section_hint": ("retrieval", ("pdf", "word", "pptx")),
+    "layout_hint": ("retrieval", ()),
+    "document_hint": ("retrieval", ()),
+    "format": ("generation", ()),
+    "disambiguation": ("generation", ()),
+    "answer_shape": ("generation", ()),
+}
+PRESETS = {
+    "pdf": ("anchor_keywords", "page_hint", "section_hint", "layout_hint", "document_hint", "format", "disambiguation", "answer_shape"),
+    "word": ("anchor_keywords", "section_hint", "layout_hint", "document_hint", "format", "disambiguation", "answer_shape"),
+    "excel": ("anchor_keywords", "document_hint", "format", "disambiguation", "answer_shape"),
+    "email": ("anchor_keywords", "document_hint", "format", "disambiguation", "answer_shape"),
+    "pptx": ("anchor_keywords", "page_hint", "section_hint", "layout_hint", "document_hint", "format", "disambiguation", "answer_shape"),
+}
+DEFAULT_PRESET = "pdf"
+
+#: Task kinds of the older parser, in order of priority.
+TASKS = (
+    ("compare", ("compare", "consistent", "matches", "match between", "differ", "difference between", "vs ", "versus", "cohérent", "cohérence", "écart entre")),
+    ("aggregate", ("list all", "rank ", "ranked", "every ", "all of the", "all the ", "lister tous", "lister toutes", "classer ")),
+    ("conditional", ("and if so", "and if yes", "if so,", "if yes,", "et si oui", "le cas échéant")),
+    ("open", ("explain ", "summarize", "summary", "overview", "expliquer", "résumer", "résumé", "synthèse")),
+)
+
+#: Sections that a translation request names, and its glossary pairs with the places of source and target.
+EXCLUDED = (
+    r"\b(?:skip|except|without|excluding|exclude|sauf|sans|excepte|excepté|hors|hormis)\s+(?:the\s+|les\s+|le\s+|la\s+|l['])?([\w\s,&-]+?)(?=[.!,;]|$|\s+(?:and|et|but)\s+)",
+    r"\b(?:do not|don'?t|ne pas|ne)\s+translate\s+(?:the\s+|les\s+|le\s+|la\s+)?([\w\s,&-]+?)(?=[.!,;]|$)",
+)
+INCLUDED = (r"\b(?:only|just|seulement|uniquement)\s+(?:translate\s+)?(?:the\s+|les\s+|le\s+|la\s+)?([\w\s,&-]+?)(?=[.!,;]|$|\s+(?:and|et)\s+)",)
+PAIRS = (
+    (r"""use\s+['"]([^'"]+)['"]\s+for\s+['"]([^'"]+)['"]""", 2, 1),
+    (r"""translate\s+['"]([^'"]+)['"]\s+as\s+['"]([^'"]+)['"]""", 1, 2),
+    (r"""traduire\s+['"]([^'"]+)['"]\s+(?:par|en)\s+['"]([^'"]+)['"]""", 1, 2),
+    (r"""['"]([^'"]+)['"]\s*(?:->|=>|:=|=)\s*['"]([^'"]+)['"]""", 1, 2),
+)
+
+#: Fields of XMP metadata.
+XMP = {
+    "creator_tool": r"<xmp:CreatorTool[^>]*>(.*?)</xmp:CreatorTool>",
+    "producer": r"<pdf:Producer[^>]*>(.*?)</pdf:Producer>",
+    "title": r"<dc:title[^>]*>.*?<rdf:li[^>]*>(.*?)</rdf:li>",
+    "creator": r"<dc:creator[^>]*>.*?<rdf:li[^>]*>(.*?)</rdf:li>",
+}
+XMP_AGENT = r"<stEvt:softwareAgent[^>]*>(.*?)</stEvt:softwareAgent>"
+
+#: System fonts for names found in documents.
+FONTS = {
+    "TimesNewRoman": "Times New Roman", "ArialMT": "Arial", "CourierNew": "Courier New", "Helvetica": "Arial", "HelveticaNeue": "Arial",
+    "Times": "Times New Roman", "Courier": "Courier New",
+}
+BULLET_LINE = r"^[\s]*[•●○◦▪▸►–—\-\*]\s+"
+NUMBER_LINE = r"^[\s]*\d{1,3}[\.\)]\s+"
+
+#: Codes of Word files.
+ALIGNMENTS = {0: "left", 1: "center", 2: "right", 3: "justify", 4: "distribute", 5: "justify_med", 7: "justify_hi", 8: "justify_low", 9: "thai_justify"}
+LINE_SPACINGS = {1: "single", 2: "1.5", 3: "double", 4: "at_least", 5: "exactly", 6: "multiple"}
+#: Tools by a word in the author or the last editor, in order of priority.
+WORD_TOOLS = (
+    ("LibreOffice", ("libreoffice", "openoffice")), ("Google Docs", ("google",)), ("WPS Office", ("wps", "kingsoft")), ("OnlyOffice", ("onlyoffice",)), ("Apple Pages", ("pages",)),
+)

@@ -39,14 +39,26 @@ def anchors(q: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: (t != "") & ~F.upper(t).isin(*fixed.ANCHOR_STOPWORDS)))
 
 
+def section_hint(q: Column) -> Column:
+    """The first name that a pattern finds and that isn't a stop word, by the order of the patterns."""
+    found = F.concat(*[F.regexp_extract_all(q, F.lit("(?iU)" + p), F.lit(1)) for p in fixed.SECTION_HINTS])
+    found = F.transform(found, lambda t: F.lower(F.regexp_replace(F.trim(t), "[.,;:]+$", "")))
+    return F.try_element_at(F.filter(found, lambda t: (t != "") & ~t.isin(*fixed.SECTION_STOPWORDS)), F.lit(1))
+
+
+def document_hint(q: Column) -> Column:
+    return first_case([(F.rlike(q, F.lit("(?iU)" + p)), F.trim(F.regexp_extract(q, "(?iU)" + p, 0))) for p in fixed.DOCUMENT_HINTS])
+
+
 def plan(q: Column) -> Column:
     """What a question asks of retrieval and of the answer; fields without a value are null, so their JSON is absent."""
-    own = anchors(q)
+    own, aside = anchors(q), distinctions(q)
     return F.struct(
         intent(q).alias("intent"),
         F.when(intent(q) == "qa", answer_shape(q)).otherwise(F.lit("text")).alias("shape"),
         page_hint(q).alias("page_hint"), layout_hint(q).alias("layout_hint"),
-        F.when(F.size(own) > 0, own).alias("anchor_keywords"), format_constraint(q).alias("format"),
+        F.when(F.size(own) > 0, own).alias("anchor_keywords"), format_constraint(q).alias("format"), section_hint(q).alias("section_hint"),
+        document_hint(q).alias("document_hint"), F.when(F.size(aside) > 0, aside).alias("distractors"),
     )
 
 
@@ -85,3 +97,66 @@ def page_range(m: Column) -> Column:
     )
     pair = lambda p: F.struct(F.regexp_extract(m, p, 1).cast("int").alias("first"), F.regexp_extract(m, p, 2).cast("int").alias("last"))
     return first_case([(F.rlike(m, F.lit(p)), pair(p)) for p in patterns])
+
+
+def _first_of_each(a: Column, key) -> Column:
+    keys = F.transform(a, key)
+    return F.filter(a, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+
+def distinctions(q: Column) -> Column:
+    """What a question sets aside, lower-cased, each once. It steers the answer and never what is retrieved: the line
+    that answers often names both."""
+    found = F.concat(*[F.regexp_extract_all(q, F.lit("(?iU)" + p), F.lit(1)) for p in fixed.DISTINCTIONS])
+    found = F.transform(found, lambda t: F.lower(F.regexp_replace(F.trim(t), "[.,;:]+$", "")))
+    return F.array_distinct(F.filter(found, lambda t: (t != "") & (F.length(t) <= fixed.LONGEST_DISTINCTION)))
+
+
+def task(q: Column) -> Column:
+    low = F.lower(q)
+    return first_case([(any_of(F.contains(low, F.lit(w)) for w in ws), F.lit(name)) for name, ws in fixed.TASKS], F.lit("extract"))
+
+
+def active_bricks(doc_type: Column, enable: dict[str, bool] | None = None) -> Column:
+    """The bricks that run for a type of document: its preset (an unknown type takes the default's), with ``enable``
+    adding and removing, without those that don't fit the type."""
+    def of(preset, kind):
+        names = [n for n in preset if (enable or {}).get(n, True)] + [n for n, on in (enable or {}).items() if on and n not in preset]
+        return [n for n in names if n in fixed.BRICKS and (not fixed.BRICKS[n][1] or kind in fixed.BRICKS[n][1])]
+
+    lit = lambda names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    known = [(doc_type == kind, lit(of(preset, kind))) for kind, preset in fixed.PRESETS.items()]
+    return first_case(known, lit(of(fixed.PRESETS[fixed.DEFAULT_PRESET], None)))
+
+
+def source_language(m: Column) -> Column:
+    own = F.regexp_extract_all(fold(m), F.lit(r"\b(?:from|depuis|du|de)\s+(?:the\s+)?([a-z]+)"), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(own, _lookup), lambda c: c.isNotNull()), F.lit(1))
+
+
+def sections(m: Column, patterns: tuple[str, ...]) -> Column:
+    """Names of sections, each once whatever its case, the first letter upper-cased."""
+    found = F.concat(*[F.regexp_extract_all(m, F.lit("(?iU)" + p), F.lit(1)) for p in patterns])
+    found = F.filter(F.transform(found, lambda t: F.trim(F.regexp_replace(F.trim(t), "[,.;]+$", ""))), lambda t: t != "")
+    return F.transform(_first_of_each(found, F.lower), lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2))))
+
+
+def glossary_pairs(m: Column) -> Column:
+    """Pairs of a source term and the term to use, each once whatever its case."""
+    def pairs(p, source, target):
+        both = F.arrays_zip(*[F.regexp_extract_all(m, F.lit("(?i)" + p), F.lit(g)).alias(n) for n, g in (("s", source), ("t", target))])
+        return F.transform(both, lambda x: F.struct(F.trim(x["s"]).alias("source"), F.trim(x["t"]).alias("target")))
+
+    found = F.concat(*[pairs(*p) for p in fixed.PAIRS])
+    return _first_of_each(found, lambda x: F.struct(F.lower(x["source"]), F.lower(x["target"])))
+
+
+def request(m: Column) -> Column:
+    """A translation request; ``error`` says why there is no target language."""
+    target = target_language(m)
+    blank = F.trim(F.coalesce(m, F.lit(""))) == ""
+    return F.struct(
+        target.alias("target_language"), source_language(m).alias("source_language"), style(m).alias("style"), page_range(m).alias("page_range"),
+        sections(m, fixed.EXCLUDED).alias("exclude_sections"), sections(m, fixed.INCLUDED).alias("include_sections"), glossary_pairs(m).alias("glossary"),
+        F.when(blank, "empty message").when(target.isNull(), "no target language").alias("error"),
+    )

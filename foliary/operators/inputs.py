@@ -77,3 +77,32 @@ SELECT CAST(c_custkey AS BIGINT) AS doc_id,
   CASE c_custkey % 3 WHEN 0 THEN 'canva' WHEN 1 THEN '' ELSE 'a. writer' END AS author,
   CASE c_custkey % 7 WHEN 0 THEN 'abbyy' ELSE '' END AS title
 FROM customer"""
+
+#: Questions that name sections and documents or set something aside, with what should be found.
+ASIDES = """
+SELECT CAST(o_orderkey AS BIGINT) AS q_id, o_orderkey % 6 AS kind, CASE o_orderkey % 6
+  WHEN 0 THEN 'The cap in the section Limits' || CAST(o_orderkey % 9 AS VARCHAR(9)) || ', not the deductible' || CAST(o_orderkey % 30 AS VARCHAR(9))
+  WHEN 1 THEN 'Le plafond, pas la franchise'
+  WHEN 2 THEN 'Give the limit instead of the premium, and do not confuse it with the tax'
+  WHEN 3 THEN 'Revenue of the latest version, as opposed to the Profit; excluding the tax'
+  WHEN 4 THEN 'What is the premium of the Claims section?'
+  ELSE 'Compare the limits in the policy P-' || CAST(o_orderkey % 40 AS VARCHAR(9)) || ' and list all' END AS question
+FROM orders"""
+
+#: Translation requests that name sections and terms.
+WISHES = """
+SELECT CAST(c_custkey AS BIGINT) AS r_id, c_custkey % 5 AS kind, CAST(c_custkey % 30 AS VARCHAR(9)) AS k, CASE c_custkey % 5
+  WHEN 0 THEN 'Translate into English, skip the annex ' || CAST(c_custkey % 30 AS VARCHAR(9)) || ', and use "cap" for "plafond"'
+  WHEN 1 THEN 'Traduire en anglais sauf les Annexes. Traduire "RC" par "liability"'
+  WHEN 2 THEN 'only translate the Chapter ' || CAST(c_custkey % 30 AS VARCHAR(9)) || ', to German; translate "A" as "B"'
+  WHEN 3 THEN 'to Spanish "RC" -> "rc" and "DM" = "damage" and "dm" => "Damage"'
+  ELSE 'from the French, without a target' END AS message
+FROM customer"""
+
+#: Values of metadata as files hold them.
+RAW_METADATA = """
+SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(c_custkey % 20 AS VARCHAR(9)) AS k, '  Adobe   InDesign ' || CAST(c_custkey % 20 AS VARCHAR(9)) || '.1 (Mac)  ' AS tool, c_mktsegment AS segment,
+  CASE c_custkey % 6 WHEN 0 THEN 'Title' WHEN 1 THEN 'Heading 1' WHEN 2 THEN 'heading 3' WHEN 3 THEN 'Heading x' WHEN 4 THEN 'Normal' END AS style,
+  CASE c_custkey % 4 WHEN 0 THEN 'ABCDEF+TimesNewRoman-Bold' WHEN 1 THEN 'Helvetica,Italic' WHEN 2 THEN 'Calibri' ELSE '' END AS font,
+  CASE c_custkey % 7 WHEN 0 THEN 'LibreOffice user' WHEN 1 THEN 'Google' WHEN 2 THEN 'WPS' WHEN 3 THEN 'pages' WHEN 4 THEN '' ELSE c_name END AS author, c_custkey % 10 AS code
+FROM customer"""

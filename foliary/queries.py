@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import fixed, question, text
-from .operators import backend, inputs, pages, retrieval, toc
+from .functions import fixed, metadata, question, text
+from .operators import backend, fragments, inputs, pages, retrieval, toc
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -461,6 +461,68 @@ def l4_summaries(spark, sf_dir):
     return backend.summarize(docs(spark, sf_dir))
 
 
+# --- requests, metadata and fragments: the SQL states what each generated input should give ---------
+
+
+def _made(name: str, source: str, key: str, sql: str, /, **columns) -> None:
+    def run(spark, sf_dir):
+        own = run_sql(spark, sf_dir, source)
+        return own.select(key, *[f(F.col).alias(n) for n, f in columns.items()])
+
+    _QUERIES[name] = run
+    _SQL[name] = f"SELECT {key}, {sql} FROM ({source})"
+
+
+_wishes = inputs.WISHES.replace('"', "''")
+_made("q4_distinctions", inputs.ASIDES, "q_id", "CASE kind WHEN 0 THEN 'deductible' || CAST(q_id % 30 AS VARCHAR) WHEN 1 THEN 'franchise' WHEN 2 THEN 'confuse it with the tax|premium|tax' WHEN 3 THEN 'profit|tax' ELSE '' END AS aside",
+      aside=lambda c: F.array_join(question.distinctions(c("question")), "|"))
+_made("q18_section_and_document", inputs.ASIDES, "q_id", "CASE kind WHEN 0 THEN 'limits' || CAST(q_id % 9 AS VARCHAR) WHEN 4 THEN 'claims' END AS section_hint, CASE kind WHEN 3 THEN 'latest version' WHEN 5 THEN 'in the policy P-' || CAST(q_id % 40 AS VARCHAR) END AS document_hint",
+      section_hint=lambda c: question.section_hint(c("question")), document_hint=lambda c: question.document_hint(c("question")))
+_made("q9_task", inputs.ASIDES, "q_id", "CASE kind WHEN 5 THEN 'compare' ELSE 'extract' END AS task", task=lambda c: question.task(c("question")))
+_made("q7_bricks", "SELECT CAST(s_suppkey AS BIGINT) AS s_id, CASE s_suppkey % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'word' WHEN 2 THEN 'excel' WHEN 3 THEN 'email' WHEN 4 THEN 'pptx' ELSE 'other' END AS doc_type FROM supplier", "s_id",
+      "'anchor_keywords,' || CASE WHEN doc_type IN ('pdf', 'pptx') THEN 'page_hint,section_hint,layout_hint,' WHEN doc_type = 'word' THEN 'section_hint,layout_hint,' WHEN doc_type = 'other' THEN 'layout_hint,' ELSE '' END || 'document_hint,disambiguation,answer_shape' AS bricks",
+      bricks=lambda c: F.array_join(question.active_bricks(c("doc_type"), {"format": False}), ","))
+_made("q14_request", _wishes, "r_id", """CASE kind WHEN 0 THEN 'en' WHEN 1 THEN 'en' WHEN 2 THEN 'de' WHEN 3 THEN 'es' ELSE 'fr' END AS target, CASE kind WHEN 4 THEN 'fr' END AS source,
+  CASE kind WHEN 0 THEN 'Annex ' || k WHEN 1 THEN 'Annexes' WHEN 4 THEN 'A target' ELSE '' END AS excluded, CASE kind WHEN 2 THEN 'Chapter ' || k ELSE '' END AS included,
+  CASE kind WHEN 0 THEN 'plafond=cap' WHEN 1 THEN 'RC=liability' WHEN 2 THEN 'A=B' WHEN 3 THEN 'RC=rc|DM=damage' ELSE '' END AS glossary""",
+       target=lambda c: question.target_language(c("message")), source=lambda c: question.source_language(c("message")),
+       excluded=lambda c: F.array_join(question.request(c("message"))["exclude_sections"], "|"), included=lambda c: F.array_join(question.request(c("message"))["include_sections"], "|"),
+       glossary=lambda c: F.array_join(F.transform(question.glossary_pairs(c("message")), lambda x: F.concat(x["source"], F.lit("="), x["target"])), "|"))
+_made("x2_metadata", inputs.RAW_METADATA, "doc_id", "'adobe indesign ' || k || '.1 (mac)' AS whole, 'adobe indesign' AS bare",
+      whole=lambda c: metadata.normalized(c("tool")), bare=lambda c: metadata.without_version(metadata.normalized(c("tool"))))
+_XMP = "SELECT doc_id, '<x><xmp:CreatorTool>' || tool || '</xmp:CreatorTool>' || chr(10) || '<dc:title><rdf:Alt>' || chr(10) || '<rdf:li>' || segment || '</rdf:li></rdf:Alt></dc:title><stEvt:softwareAgent>A' || k || '</stEvt:softwareAgent><stEvt:softwareAgent> B </stEvt:softwareAgent></x>' AS packet, k, segment FROM (" + inputs.RAW_METADATA + ")"
+_made("x16_xmp", _XMP, "doc_id", "'Adobe   InDesign ' || k || '.1 (Mac)' AS creator_tool, segment AS title, CAST(NULL AS VARCHAR) AS producer, 'A' || k || '|B' AS agents",
+      creator_tool=lambda c: metadata.xmp(c("packet"))["creator_tool"], title=lambda c: metadata.xmp(c("packet"))["title"], producer=lambda c: metadata.xmp(c("packet"))["producer"],
+      agents=lambda c: F.array_join(metadata.xmp(c("packet"))["history_agents"], "|"))
+_made("x11_font_names", inputs.RAW_METADATA, "doc_id", "CASE doc_id % 4 WHEN 0 THEN 'Times New Roman' WHEN 1 THEN 'Arial' WHEN 2 THEN 'Calibri' ELSE '' END AS font", font=lambda c: metadata.font_name(c("font")))
+_made("r23_heading_level", inputs.RAW_METADATA, "doc_id", "CAST(CASE doc_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 END AS INT) AS level", level=lambda c: metadata.heading_level(c("style")))
+_made("r22_word_tool", inputs.RAW_METADATA, "doc_id", "CASE doc_id % 7 WHEN 0 THEN 'LibreOffice' WHEN 1 THEN 'Google Docs' WHEN 2 THEN 'WPS Office' WHEN 3 THEN 'Apple Pages' WHEN 4 THEN 'Unknown' ELSE 'Microsoft Word' END AS tool",
+      tool=lambda c: metadata.word_tool(c("author"), F.lit(""), F.lit(None).cast("string")))
+_made("m7_word_codes", inputs.RAW_METADATA, "doc_id", "CASE code WHEN 0 THEN 'left' WHEN 1 THEN 'center' WHEN 2 THEN 'right' WHEN 3 THEN 'justify' WHEN 4 THEN 'distribute' WHEN 5 THEN 'justify_med' WHEN 7 THEN 'justify_hi' WHEN 8 THEN 'justify_low' WHEN 9 THEN 'thai_justify' ELSE CAST(code AS VARCHAR) END AS alignment, CASE code WHEN 1 THEN 'single' WHEN 2 THEN '1.5' WHEN 3 THEN 'double' WHEN 4 THEN 'at_least' WHEN 5 THEN 'exactly' WHEN 6 THEN 'multiple' ELSE CAST(code AS VARCHAR) END AS spacing",
+      alignment=lambda c: metadata.named(c("code"), fixed.ALIGNMENTS), spacing=lambda c: metadata.named(c("code"), fixed.LINE_SPACINGS))
+_MARKED = "SELECT CAST(p_partkey AS BIGINT) AS p_id, p_name AS name, CASE p_partkey % 4 WHEN 0 THEN '- ' || p_name WHEN 1 THEN '  12) ' || p_name WHEN 2 THEN '1234. ' || p_name ELSE p_name END AS line FROM part"
+_made("x12_line_kinds", _MARKED, "p_id", "CASE p_id % 4 WHEN 0 THEN 'bullet' WHEN 1 THEN 'number' ELSE 'text' END AS kind", kind=lambda c: metadata.line_kind(c("line")))
+_made("x13_joined_lines", _MARKED, "p_id", "name || 'x ' || name || '-' AS text", text=lambda c: metadata.joined_lines(F.array(F.concat(c("name"), F.lit("-")), F.lit("x"), F.concat(c("name"), F.lit("-")))))
+_made("x14_fences", _MARKED, "p_id", "name AS body, name AS whole", body=lambda c: metadata.fence_body(F.concat(F.lit("Here:\n```SQL\n "), c("name"), F.lit("\n```\nand ```x```"))), whole=lambda c: metadata.fence_body(F.concat(F.lit(" "), c("name"), F.lit(" "))))
+_both("a3_line_grouping", f"SELECT doc_id, page, line, avg(size) AS size, max(CASE WHEN bold THEN 1 ELSE 0 END) AS bold, CAST(sum(length(text)) AS BIGINT) AS chars, min(x0) AS x0, max(x1) AS x1 FROM ({inputs.SPANS}) GROUP BY doc_id, page, line")
+_both("a8_ocr_label", f"SELECT doc_id, CASE WHEN q IS NULL THEN 'not_applicable' WHEN q >= 0.85 THEN 'good' WHEN q >= 0.60 THEN 'degraded' ELSE 'unreliable' END AS label FROM (SELECT doc_id, round(avg(CASE WHEN ocr_char_count >= 50 THEN quality END), 9) AS q FROM ({inputs.PAGES}) GROUP BY doc_id)")
+_both("r14_toc_by_numbering", "SELECT doc_id, pos, trim(regexp_extract(line, '^(.*?)[. ]*([0-9]+)$', 1)) AS title, CAST(regexp_extract(line, '^(.*?)[. ]*([0-9]+)$', 2) AS INT) AS page FROM (" + inputs.LEADERS + ")")
+_both("t4_logos_by_documents", f"SELECT hash, count(DISTINCT doc_id) AS n FROM ({inputs.IMAGES}) GROUP BY hash ORDER BY n DESC, hash LIMIT 100")
+_both("w7_first_of_each", f"SELECT doc_id, hash, pos FROM (SELECT doc_id, hash, pos, row_number() OVER (PARTITION BY doc_id, hash ORDER BY page, pos) AS r FROM ({inputs.IMAGES})) WHERE r = 1")
+
+
+@_query()
+def w8_fragment_groups(spark, sf_dir):
+    own = run_sql(spark, sf_dir, "SELECT CAST(p_partkey % 100 AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS pos, p_name, p_size FROM part")
+    return fragments.group_fragments(own.select("doc_id", "pos", F.slice(F.concat(F.split("p_name", " "), F.array(*[F.lit(f"c{i}") for i in range(4)])), F.lit(1), F.col("p_size") % 5 + 1).alias("columns")))
+
+
+@_query()
+def w9_merged_paragraphs(spark, sf_dir):
+    own = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return fragments.merge_paragraphs(own.withColumn("font", F.when(F.col("pos") % 3 < 2, "Arial").otherwise("Times")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword retrieval: the three best lines of each document."""
     return l1_retrieve(spark, sf_dir)
