@@ -7,7 +7,7 @@ from foliary import queries
 from foliary.plans.guard import NotAllowed, fenced, read_only
 
 SF = "/root/testdata/sf0.001"
-SOME = ["s2_lines", "l1_retrieve", "t3_bm25", "t2_cosine", "x1_normalize", "x19_ocr_quality", "x20_readable_share", "x26_language", "w1_page_end", "w2_indicator", "w3_parent", "r3_source_category", "r7_page_type", "a6_document_summary", "j6_glossary", "q1_hints", "q2_anchors", "q6_shape", "q15_target_language", "q16_style_and_pages", "s6_line_collector", "f4_sections"]
+SOME = ["s2_lines", "l1_retrieve", "t3_bm25", "t2_cosine", "x1_normalize", "x19_ocr_quality", "x20_readable_share", "x26_language", "w1_page_end", "w2_indicator", "w3_parent", "r3_source_category", "r7_page_type", "a6_document_summary", "j6_glossary", "q1_hints", "q2_anchors", "q6_shape", "q15_target_language", "q16_style_and_pages", "s6_line_collector", "f4_sections", "q4_distinctions", "q7_bricks", "q14_request", "q18_section_and_document", "x16_xmp", "x2_metadata"]
 
 
 def _value(v):
