@@ -187,3 +187,32 @@ LINE_SPACINGS = {1: "single", 2: "1.5", 3: "double", 4: "at_least", 5: "exactly"
 WORD_TOOLS = (
     ("LibreOffice", ("libreoffice", "openoffice")), ("Google Docs", ("google",)), ("WPS Office", ("wps", "kingsoft")), ("OnlyOffice", ("onlyoffice",)), ("Apple Pages", ("pages",)),
 )
+
+#: Tools by a part of their name in lower case, in order of priority.
+OFFICE_TOOLS = (
+    ("microsoft office word", "Microsoft Word"), ("microsoft® word", "Microsoft Word"), ("microsoft word", "Microsoft Word"), ("word for windows", "Microsoft Word"),
+    ("word for mac", "Microsoft Word"), ("ms word", "Microsoft Word"), ("libreoffice", "LibreOffice"), ("openoffice", "OpenOffice"), ("staroffice", "StarOffice"),
+    ("google docs", "Google Docs"), ("wps writer", "WPS Writer"), ("wps office", "WPS Office"), ("kingsoft writer", "Kingsoft Writer"), ("onlyoffice", "OnlyOffice"),
+    ("abiword", "AbiWord"), ("iwork", "Apple iWork"), ("apple pages", "Apple Pages"),
+)
+DESIGN_TOOLS = (
+    ("adobe indesign", "Adobe InDesign"), ("adobe photoshop", "Adobe Photoshop"), ("adobe illustrator", "Adobe Illustrator"), ("adobe xd", "Adobe XD"),
+    ("adobe acrobat", "Adobe Acrobat"), ("indesign", "Adobe InDesign"), ("photoshop", "Adobe Photoshop"), ("illustrator", "Adobe Illustrator"),
+    ("affinity publisher", "Affinity Publisher"), ("affinity designer", "Affinity Designer"), ("affinity photo", "Affinity Photo"), ("figma", "Figma"), ("sketch", "Sketch"),
+    ("canva", "Canva"), ("coreldraw", "CorelDRAW"), ("corel draw", "CorelDRAW"), ("corel designer", "Corel Designer"), ("inkscape", "Inkscape"),
+    ("quarkxpress", "QuarkXPress"), ("scribus", "Scribus"), ("microsoft powerpoint", "Microsoft PowerPoint"), ("keynote", "Apple Keynote"),
+)
+SCAN_TOOLS = (
+    ("hp scanjet", "HP ScanJet"), ("hp digital sender", "HP Digital Sender"), ("hp scan", "HP Scan"), ("scansnap", "Fujitsu ScanSnap"), ("xerox", "Xerox"),
+    ("epson workforce", "Epson WorkForce"), ("epson scan", "Epson Scan"), ("brother mfc", "Brother MFC"), ("brother dcp", "Brother DCP"), ("ricoh", "Ricoh"),
+    ("kyocera", "Kyocera"), ("paperstream", "Fujitsu PaperStream"), ("fujitsu", "Fujitsu"), ("kofax", "Kofax"), ("acrobat capture", "Adobe Acrobat Capture"),
+    ("readiris", "Readiris"), ("finereader", "ABBYY FineReader"), ("abbyy", "ABBYY"), ("nuance", "Nuance"), ("tesseract", "Tesseract"), ("ocrmypdf", "OCRmyPDF"),
+    ("paperport", "PaperPort"), ("camscanner", "CamScanner"), ("adobe scan", "Adobe Scan"), ("microsoft lens", "Microsoft Lens"), ("office lens", "Microsoft Office Lens"),
+    ("genius scan", "Genius Scan"), ("scanbot", "Scanbot"), ("scannable", "Scannable"), ("turboscan", "TurboScan"), ("canon", "Canon"), ("scanner", "Generic scanner"),
+)
+PRODUCER_TOOLS = (
+    ("acrobat distiller", "Adobe Acrobat Distiller"), ("adobe pdf library", "Adobe PDF Library"), ("microsoft: print to pdf", "Microsoft Print to PDF"),
+    ("gpl ghostscript", "Ghostscript"), ("ghostscript", "Ghostscript"), ("itext", "iText"), ("tcpdf", "TCPDF"), ("fpdf", "FPDF"), ("reportlab", "ReportLab"),
+    ("wkhtmltopdf", "wkhtmltopdf"), ("weasyprint", "WeasyPrint"), ("prince", "Prince"), ("chromium", "Chromium"), ("skia", "Chrome / Skia"),
+    ("quartz pdfcontext", "macOS Quartz"), ("macos quartz", "macOS Quartz"), ("pdf-xchange", "PDF-XChange"), ("pdfsharp", "PDFsharp"), ("pdfium", "PDFium"),
+)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fixed, metadata, question, text
-from .operators import backend, fragments, inputs, pages, retrieval, toc
+from .operators import backend, fragments, inputs, pages, retrieval, toc, translate
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -523,6 +523,35 @@ def w9_merged_paragraphs(spark, sf_dir):
     return fragments.merge_paragraphs(own.withColumn("font", F.when(F.col("pos") % 3 < 2, "Arial").otherwise("Times")))
 
 
+def _tool_sql(col: str) -> str:
+    parts = (*fixed.OFFICE_TOOLS, *fixed.DESIGN_TOOLS, *fixed.SCAN_TOOLS, *fixed.PRODUCER_TOOLS)
+    return "CASE " + " ".join(f"WHEN contains({col}, '{part}') THEN '{name}'" for part, name in parts) + " END"
+
+
+_made("r5_tool_name", inputs.METADATA, "doc_id", f"{_tool_sql('creator')} AS creator_tool, {_tool_sql('producer')} AS producer_tool",
+      creator_tool=lambda c: metadata.tool_name(c("creator")), producer_tool=lambda c: metadata.tool_name(c("producer")))
+_SCANS = "SELECT doc_id, creator, producer, doc_id % 2 AS scan, doc_id % 3 AS kind FROM (" + inputs.METADATA + ")"
+_made("r6_page_tool", _SCANS, "doc_id", f"CASE WHEN scan = 1 AND kind = 0 THEN 'Xerox' WHEN scan = 1 THEN 'Unknown (embedded scan)' ELSE coalesce({_tool_sql('creator')}, {_tool_sql('producer')}, 'Unknown') END AS tool",
+      tool=lambda c: metadata.page_tool(F.when(c("scan") == 1, "scanned").otherwise("native"), F.lit("other"), c("creator"), c("producer"), F.when(c("kind") == 0, F.array(F.lit("figma"), F.lit("xerox 7"), F.lit("canon"))).when(c("kind") == 1, F.array(F.lit("figma")))))
+
+
+@_query("SELECT CAST(p_partkey % 40 AS BIGINT) AS doc_id, 's' || CAST(p_partkey AS VARCHAR) AS span_id, p_name AS text FROM part")
+def l5_translated_spans(spark, sf_dir):
+    own = run_sql(spark, sf_dir, "SELECT CAST(p_partkey % 40 AS BIGINT) AS doc_id, p_partkey AS pos, concat('s', p_partkey) AS span_id, p_name AS text FROM part")
+    return translate.translate_spans(own, "en")
+
+
+@_query("SELECT doc_id, page, count(*) AS n FROM (SELECT CAST(p_partkey % 40 AS BIGINT) AS doc_id, p_size % 3 AS page FROM part WHERE p_partkey % 2 = 0) GROUP BY ALL")
+def k10_page_views(spark, sf_dir):
+    own = run_sql(spark, sf_dir, "SELECT CAST(p_partkey % 40 AS BIGINT) AS doc_id, p_size % 3 AS page, concat('s', p_partkey) AS span_id, p_name AS text, 1.0D AS x0, 2.0D AS y0, 30.0D AS x1, 12.0D AS y1, p_partkey FROM part")
+    return translate.page_views(own, own.filter("p_partkey % 2 = 0")).select("doc_id", "page", F.col("n").cast("long").alias("n"))
+
+
+@_query(f"SELECT doc_id, '[' || string_agg('{{\"title\":\"' || title || '\",\"level\":' || CAST(level AS VARCHAR) || ',\"page\":' || CAST(page AS VARCHAR) || '}}', ',' ORDER BY pos) || ']' AS json FROM ({inputs.TOC}) GROUP BY doc_id")
+def k4_toc_json(spark, sf_dir):
+    return translate.toc_json(run_sql(spark, sf_dir, inputs.TOC))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword retrieval: the three best lines of each document."""
     return l1_retrieve(spark, sf_dir)
