@@ -125,6 +125,8 @@ def _grouped(rows: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFram
 # A wide fingerprint: SEGMENTS of 40 bits for the covering tables, then 128 bits that confirm a pair.
 SEGMENTS, SEGMENT_BYTES, WORDS64 = 8, 5, 7
 SEGMENT_RADIUS, CONFIRM_RADIUS = 4, 24
+# Candidates share one of TABLES keys of KEY_BITS bits and are at most NEAR_BITS of the 128 apart; SIMILAR decides.
+TABLES, KEY_BITS, NEAR_BITS, SIMILAR = 224, 18, 36, 0.8
 _SPLIT, _FLUSH, _SHORT = 1 << 19, 1 << 21, 16
 _STEP = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -137,19 +139,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: bytes | None, words: int) -> bytes:
-    """56 bytes: the majority, bit by bit, of seven mixed hashes of each distinct shingle; empty without a word."""
+def shingles(text: bytes | None, words: int) -> np.ndarray:
+    """The sorted hashes of the distinct shingles; none without a word."""
     tokens = (text or b"").lower().split()
     if not tokens:
-        return b""
+        return np.zeros(0, np.uint64)
     line = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     w = min(words, len(tokens))
     starts, ends = starts[: len(tokens) - w + 1], ends[w - 1 :]
-    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts)))
+
+
+def _majorities(h: np.ndarray) -> bytes:
     out = []
-    for k in range(WORDS64):
+    for k in range(WORDS64 if len(h) else 0):
         counts = np.zeros(2048, np.int64)
         for i in range(0, len(h), 1 << 16):
             x = _mix(h[i : i + (1 << 16)] + np.uint64(_STEP * (k + 1) % (1 << 64)))
@@ -158,6 +163,17 @@ def wide_fingerprint(text: bytes | None, words: int) -> bytes:
     return b"".join(out)
 
 
+def wide_fingerprint(text: bytes | None, words: int) -> bytes:
+    """56 bytes: the majority, bit by bit, of seven mixed hashes of each distinct shingle; empty without a word."""
+    return _majorities(shingles(text, words))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sorted sets of hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
 def _node(wide: bytes) -> int:
     """A node stands for the confirming bits."""
     return _signed(xxhash.xxh64_intdigest(wide[SEGMENTS * SEGMENT_BYTES :], 7))
@@ -169,7 +185,7 @@ def _u64(block: np.ndarray) -> np.ndarray:
     return padded.view("<u8").ravel()
 
 
-def _connected(seg: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+def _connected(seg: np.ndarray, lo: np.ndarray, hi: np.ndarray, radii: tuple[int, int]) -> list[tuple[int, int]]:
     """A spanning forest of the graph that links members within both radii. Members reached leave the search, so that
     a group of copies takes about one pass, and no list of all its pairs is made."""
     left, edges = np.arange(len(seg)), []
@@ -177,15 +193,15 @@ def _connected(seg: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[in
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             i = queue.pop()
-            near = np.bitwise_count(seg[left] ^ seg[i]) <= SEGMENT_RADIUS
-            near &= np.bitwise_count(lo[left] ^ lo[i]) + np.bitwise_count(hi[left] ^ hi[i]) <= CONFIRM_RADIUS
+            near = np.bitwise_count(seg[left] ^ seg[i]) <= radii[0]
+            near &= np.bitwise_count(lo[left] ^ lo[i]) + np.bitwise_count(hi[left] ^ hi[i]) <= radii[1]
             edges += [(i, j) for j in left[near].tolist()]
             queue += left[near].tolist()
             left = left[~near]
     return edges
 
 
-def _cell_edges(data: np.ndarray, mask: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+def _cell_edges(data: np.ndarray, mask: int, radii: tuple[int, int] = (SEGMENT_RADIUS, CONFIRM_RADIUS)) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links among the entries (segment and confirming bits, 21 bytes each) of one table's cell, as pairs of nodes, and
     the entries that later ones are compared with: one for each masked key, segment and group of links."""
     data = np.unique(data, axis=0) if len(data) > 1 else data
@@ -198,14 +214,14 @@ def _cell_edges(data: np.ndarray, mask: int) -> tuple[list[tuple[int, int]], np.
     pairs = []
     for d in range(1, _SHORT):
         i = np.flatnonzero((key[d:] == key[:-d]) & (length[:-d] <= _SHORT))
-        near = np.bitwise_count(seg[i] ^ seg[i + d]) <= SEGMENT_RADIUS
+        near = np.bitwise_count(seg[i] ^ seg[i + d]) <= radii[0]
         i = i[near]
-        i = i[np.bitwise_count(lo[i] ^ lo[i + d]) + np.bitwise_count(hi[i] ^ hi[i + d]) <= CONFIRM_RADIUS]
+        i = i[np.bitwise_count(lo[i] ^ lo[i + d]) + np.bitwise_count(hi[i] ^ hi[i + d]) <= radii[1]]
         pairs += [(x, x + d) for x in i.tolist()]
     kept, group = np.ones(len(key), bool), np.arange(len(key))
     for a, b in zip(cuts[:-1], cuts[1:]):
         if b - a > _SHORT:
-            found = [(x + int(a), y + int(a)) for x, y in _connected(seg[a:b], lo[a:b], hi[a:b])]
+            found = [(x + int(a), y + int(a)) for x, y in _connected(seg[a:b], lo[a:b], hi[a:b], radii)]
             for x, y in found:
                 group[y] = group[x]
             pairs += found
@@ -292,5 +308,179 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out
 
 
+def key_weights() -> np.ndarray:
+    """A column for each table: powers of two at the KEY_BITS of the fingerprint's bits that make its key."""
+    rng, out = random.Random(29), np.zeros((64 * WORDS64, TABLES), np.float32)
+    for t in range(TABLES):
+        out[rng.sample(range(64 * WORDS64), KEY_BITS), t] = 2.0 ** np.arange(KEY_BITS)
+    return out
+
+
+def keys(wide: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The key in each table (columns) of each fingerprint (rows of 56 bytes)."""
+    return (np.unpackbits(wide, axis=1, bitorder="little").astype(np.float32) @ weights).astype(np.uint32)
+
+
+_ENTRY = 19  # bytes: the key and the confirming bits
+
+
+def _padded(held: list[np.ndarray]) -> np.ndarray:
+    """Entries as ``_cell_edges`` takes them: the key in the segment's place."""
+    data = np.vstack(held)
+    return np.hstack((data[:, :3], np.zeros((len(data), 2), np.uint8), data[:, 3:_ENTRY]))
+
+
+def _crossing(data: np.ndarray):
+    """``(a, b)`` arrays of nodes: all pairs of entries (as dealt, followed by the name of their group) with one key
+    that are near enough and in different groups."""
+    data = np.unique(data, axis=0)
+    key, lo, hi, group = (_u64(data[:, a:b]) for a, b in ((0, 3), (3, 11), (11, _ENTRY), (_ENTRY, _ENTRY + 8)))
+    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    names = np.array([_signed(xxhash.xxh64_intdigest(d[3:_ENTRY].tobytes(), 7)) for d in data], np.int64)
+    for end, start in zip(cuts[1:].tolist(), cuts[:-1].tolist()):
+        for i in range(start, end - 1):
+            rest = slice(i + 1, end)
+            near = (group[rest] != group[i]) & (np.bitwise_count(lo[rest] ^ lo[i]) + np.bitwise_count(hi[rest] ^ hi[i]) <= NEAR_BITS)
+            found = names[rest][near]
+            if len(found):
+                yield np.minimum(found, names[i]), np.maximum(found, names[i])
+
+
+def _dealt(prints_of: DataFrame, split: int) -> DataFrame:
+    """``(cell, data)``: the entries of each table, dealt to ``split`` cells by key. ``prints_of`` is (wide) or (wide,
+    root); a root is put behind each entry."""
+    weights = key_weights()
+    cells = pa.schema([("cell", pa.int64()), ("data", pa.binary())])
+
+    def deal(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                wide = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                tail = wide[:, SEGMENTS * SEGMENT_BYTES :]
+                if b.num_columns > 1:
+                    tail = np.hstack((tail, b.column(1).to_numpy(zero_copy_only=False).astype("<i8").view(np.uint8).reshape(-1, 8)))
+                own, ids, blobs = keys(wide, weights), [], []
+                for t in range(TABLES):
+                    key = np.ascontiguousarray(own[:, t]).astype("<u4")
+                    entry = np.hstack((key.view(np.uint8).reshape(-1, 4)[:, :3], tail))
+                    part = (_mix(key.astype(np.uint64)) % np.uint64(split)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    present, first = np.unique(part[order], return_index=True)
+                    ids += (t * split + present).tolist()
+                    blobs += [x.tobytes() for x in np.split(entry[order], first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], schema=cells)
+
+    dealt = prints_of.mapInArrow(deal, "cell long, data binary")
+    return dealt.repartition(max(TABLES * split // 4, 1), "cell").sortWithinPartitions("cell")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets of shingles (``sets``: fp, grams) have a similarity of SIMILAR or more."""
+
+    def test(batches):
+        for b in batches:
+            left, right = ([np.frombuffer(x, np.uint64) for x in b.column(k).to_pylist()] for k in (2, 3))
+            keep = pa.array([similarity(x, y) >= SIMILAR for x, y in zip(left, right)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a")
+    both = both.join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+
+
+def _across(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(a, b, ra, rb)``: the pairs that ``edges`` do not connect, with the names of their components."""
+    roots = table(components(edges))
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+    return pairs.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).filter("ra <> rb")
+
+
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """``(id, fp, component_id)`` for each row: documents whose sets of shingles have a similarity of SIMILAR or more
+    are linked, component_id is the smallest id that chains of links reach. fp stands for the confirming bits.
+
+    A similarity of 0.8 puts about 15 % of the bits apart. Each of TABLES tables keys the fingerprints by KEY_BITS of
+    their 448 bits; a pair that shares a key and is at most NEAR_BITS of the 128 confirming bits apart is a candidate,
+    which a pair at the limit is with a probability of about 0.999. Each link is confirmed by the exact similarity of
+    the two sets. Texts with equal confirming bits are linked. Texts without a word have one fingerprint, in no table.
+    Null ids stay and never name a component unless it has no other id; repeated rows stay; an empty table gives an
+    empty result.
+
+    Not all pairs of a large group are made: a key with more than _SHORT members gives a spanning forest of its
+    candidates, and what confirmed links connect is not tested again. Where tested pairs fail, the candidates between
+    the components on both sides are all made and tested, so the components are those of all candidates.
+    """
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary()), ("grams", pa.binary())])
+
+    def prints(batches):
+        for b in slices(batches):
+            sets = [shingles(t, words) for t in utf8(b.column(1))]
+            wide = [_majorities(h) for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_node, wide), pa.int64()), pa.array(wide, pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], schema=schema)
+
+    picked = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    rows = table(picked.mapInArrow(prints, "id long, fp long, wide binary, grams binary"))
+    prints_of = table(rows.filter("length(wide) > 0").select("wide", "fp").distinct())
+    split = max(1, -(-prints_of.count() // _SPLIT))
+
+    def link(batches):
+        cell, held, size = None, [], 0
+
+        def flush():
+            found, rest = _cell_edges(_padded(held), (1 << KEY_BITS) - 1, (0, NEAR_BITS))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"]), np.delete(rest, (3, 4), 1)
+
+        for b in batches:
+            for at, data in zip(b.column(0).to_pylist(), b.column(1)):
+                if held and at != cell:
+                    yield flush()[0]
+                    held, size = [], 0
+                elif size >= _FLUSH:
+                    out, rest = flush()
+                    yield out
+                    held, size = [rest], 0
+                cell = at
+                held.append(np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, _ENTRY))
+                size += len(held[-1])
+        if held:
+            yield flush()[0]
+
+    def cross(batches):
+        cell, held = None, []
+        for b in batches:
+            for at, data in zip(b.column(0).to_pylist(), b.column(1)):
+                if held and at != cell:
+                    for x, y in _crossing(np.vstack(held)):
+                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+                    held = []
+                cell = at
+                held.append(np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, _ENTRY + 8))
+        if held:
+            for x, y in _crossing(np.vstack(held)):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    pairs = table(_dealt(prints_of.select("wide"), split).mapInArrow(link, "a long, b long").distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = table(rows.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("grams").alias("grams")))
+    # One pair for each node first: in a large group these connect nearly all of it.
+    tested = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    edges = table(_similar(tested, sets))
+    edges = table(edges.unionByName(_similar(_across(pairs, edges).select("a", "b"), sets)))
+    failed = table(_across(pairs, edges))
+    if failed.count():
+        torn = table(failed.select(F.explode(F.array("ra", "rb")).alias("root")).distinct())
+        roots = table(components(edges))
+        own = prints_of.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("wide", F.coalesce("root", "fp").alias("root"))
+        more = table(_dealt(own.join(torn, "root", "left_semi").select("wide", "root"), split).mapInArrow(cross, "a long, b long").distinct())
+        edges = table(edges.unionByName(_similar(more.join(failed, ["a", "b"], "left_anti"), sets)))
+    named = rows.select("id", "fp")
+    out = _grouped(named, table(named.groupBy("fp").agg(F.min("id").alias("least"))), edges)
+    for x in (prints_of, pairs, sets):
+        drop(x)
+    return out
+
+
 def hex_fp(column: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")

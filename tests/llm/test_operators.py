@@ -197,6 +197,24 @@ def test_near_copies(spark, docs, empty, rows):
     assert sorted((r.id or 0, r.component_id or 0) for r in simhash.near_copies(nameless).collect()) == [(0, 0), (0, 7), (7, 7), (7, 7)]
 
 
+def test_isolated_pairs_link_just_from_the_limit(spark):
+    rng = random.Random(21)
+    texts, similar = [], []
+    for k in range(400):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        changed = list(words)
+        n = 22 if k % 2 else 30  # in one run at the end: Jaccard 174 / 218 = 0.798 or below, or with one less just above
+        n -= 1 if k % 4 == 1 else 0
+        changed[200 - n :] = [f"x{k}y{i}" for i in range(n)]
+        texts += [" ".join(words), " ".join(changed)]
+        x, y = (simhash.shingles(t.encode(), 5) for t in texts[-2:])
+        similar.append(simhash.similarity(x, y))
+    got = {r.id: r.component_id for r in simhash.similar_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    linked = [got[2 * k + 1] == 2 * k for k in range(400)]
+    assert not any(x for x, s in zip(linked, similar) if s < 0.8)
+    assert sum(x for x, s in zip(linked, similar) if s >= 0.8) >= 99 and sum(s >= 0.8 for s in similar) == 100
+
+
 def test_a_crowded_cell_links_as_all_pairs_do():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 256, (3, 21), dtype=np.uint8)
