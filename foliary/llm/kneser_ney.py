@@ -353,8 +353,10 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.95, slack: flo
     ``held_out``, by a hash of the id, doesn't train the model: the ``quantile`` of its perplexities, for each language,
     times ``slack`` is the threshold. A document is rejected if its perplexity is above that when ``prior`` more
     characters of the median perplexity are counted in, so that a few odd letters don't reject a short one.
-    A language with fewer than ``least`` held-out documents, and null, takes the figures of all; without any trusted
-    text everything is kept. A null or empty text has no perplexity and is rejected. Repeated rows are judged alike;
+    A language has its own median at every size; if the hash holds out none of its documents, one is held out. Its
+    spread, the ratio of quantile to median, is its own from ``least`` held-out documents on; below, that of all
+    documents counts for the missing ones (geometric mean by number). A language without trusted text, and null, takes
+    the figures of all; without any trusted text everything is kept. A null or empty text has no perplexity and is rejected. Repeated rows are judged alike;
     an empty table gives an empty result.
 
     Texts don't move: up to ``send_ids`` label ids (8 bytes each) and ``max_rows`` rows of the model are sent to them.
@@ -362,13 +364,21 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.95, slack: flo
     """
     train_ids, test_ids = trusted(labels, held_out)
     text = docs.select(F.col("doc_id").cast("long").alias("k"), "text", "lang")
+    own = text.filter("lang is not null and length(text) > 0").select("k", "lang").join(train_ids.unionByName(test_ids), "k").join(test_ids.withColumn("out", F.lit(True)), "k", "left")
+    lone = own.groupBy("lang").agg(F.min(F.struct(F.xxhash64("k"), "k"))["k"].alias("k"), F.max("out").alias("out")).filter("out is null")
+    lone = table(lone.select("k").distinct())  # a row for each language at most
+    train_ids, test_ids = train_ids.join(F.broadcast(lone), "k", "left_anti"), test_ids.unionByName(lone)
     if labels.count() <= send_ids:
         train_ids, test_ids = F.broadcast(train_ids), F.broadcast(test_ids)
     measure = scored(train(text.join(train_ids, "k", "left_semi").select("text"), "text", order), order, max_rows)
     tested = measure(text.join(test_ids, "k", "left_semi").select("lang", "text")).filter("perplexity is not null")
     tested = table(tested.select(F.col("lang").cast("string").alias("l"), "perplexity"))
     at = F.expr(f"percentile_approx(perplexity, array({quantile}, 0.5), 10000)")
-    by_lang = table(tested.filter("l is not null").groupBy("l").agg(at.alias("own"), F.count("*").alias("n")).filter(F.col("n") >= least).select("l", "own"))
+    by_lang = table(tested.filter("l is not null").groupBy("l").agg(at.alias("own"), F.count("*").alias("n")))
+    spread = tested.join(F.broadcast(by_lang), "l").agg(F.expr(f"percentile_approx(perplexity / own[1], {quantile}, 10000)")).first()[0]
+    share = F.least(F.col("n") / least, F.lit(1.0))
+    high = F.col("own")[1] * F.pow(F.col("own")[0] / F.col("own")[1], share) * F.pow(F.lit(spread or 1.0), 1 - share)
+    by_lang = by_lang.select("l", F.array(F.when(F.col("n") >= least, F.col("own")[0]).otherwise(high), F.col("own")[1]).alias("own"))
     every = tested.agg(at).first()[0]
     every = F.array(*[F.lit(x) for x in every]) if every else F.lit(None).cast("array<double>")
     out = measure(docs).join(by_lang, F.col("lang") == F.col("l"), "left").withColumn("at", F.coalesce("own", every))

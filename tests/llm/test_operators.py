@@ -352,6 +352,17 @@ def test_classifier_on_held_out_labels(spark):
     assert kept[1] > 0.97 and kept[0] < 0.3
 
 
+@pytest.mark.parametrize("some", [1, 8])
+def test_classifier_keeps_a_rare_language(spark, some):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    good = labels.filter("quality = 1 and toxic = 0").join(docs.select("doc_id", "lang"), "doc_id")
+    rare = [r.doc_id for r in good.filter("lang = 'es'").orderBy("doc_id").collect()]
+    known = good.filter(~F.col("doc_id").isin(rare[some:]))
+    got = kneser_ney.classify(docs.join(good.select("doc_id"), "doc_id"), known.drop("lang"))
+    kept = [r.keep for r in got.filter(F.col("doc_id").isin(rare[some:])).collect()]
+    assert len(kept) == len(rare) - some and sum(kept) >= 0.9 * len(kept)
+
+
 def test_classifier_edges(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.keep for r in kneser_ney.classify(docs, none).collect()}
