@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
-from itertools import combinations
+import tempfile
+from itertools import chain, combinations, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -203,7 +205,7 @@ def _connected(seg: np.ndarray, lo: np.ndarray, hi: np.ndarray, radii: tuple[int
 
 def _cell_edges(data: np.ndarray, mask: int, radii: tuple[int, int] = (SEGMENT_RADIUS, CONFIRM_RADIUS)) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links among the entries (segment and confirming bits, 21 bytes each) of one table's cell, as pairs of nodes, and
-    the entries that later ones are compared with: one for each masked key, segment and group of links."""
+    its distinct entries."""
     data = np.unique(data, axis=0) if len(data) > 1 else data
     seg, lo, hi = _u64(data[:, :5]), _u64(data[:, 5:13]), _u64(data[:, 13:21])
     key = seg & np.uint64(mask)
@@ -218,18 +220,59 @@ def _cell_edges(data: np.ndarray, mask: int, radii: tuple[int, int] = (SEGMENT_R
         i = i[near]
         i = i[np.bitwise_count(lo[i] ^ lo[i + d]) + np.bitwise_count(hi[i] ^ hi[i + d]) <= radii[1]]
         pairs += [(x, x + d) for x in i.tolist()]
-    kept, group = np.ones(len(key), bool), np.arange(len(key))
     for a, b in zip(cuts[:-1], cuts[1:]):
         if b - a > _SHORT:
-            found = [(x + int(a), y + int(a)) for x, y in _connected(seg[a:b], lo[a:b], hi[a:b], radii)]
-            for x, y in found:
-                group[y] = group[x]
-            pairs += found
-            _, first = np.unique(np.column_stack((seg[a:b], group[a:b].astype(np.uint64))), axis=0, return_index=True)
-            kept[a:b] = False
-            kept[a + first] = True
+            pairs += [(x + int(a), y + int(a)) for x, y in _connected(seg[a:b], lo[a:b], hi[a:b], radii)]
     names = {i: _signed(xxhash.xxh64_intdigest(data[i, 5:].tobytes(), 7)) for p in pairs for i in p}
-    return sorted({(min(names[x], names[y]), max(names[x], names[y])) for x, y in pairs if names[x] != names[y]}), data[kept]
+    return sorted({(min(names[x], names[y]), max(names[x], names[y])) for x, y in pairs if names[x] != names[y]}), data
+
+
+def _named_pairs(found: list[tuple[int, int]]):
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+
+def _cells(batches, width: int):
+    """``(cell, its parts)`` of batches (cell, data) in the order of cells; a part has rows of ``width`` bytes."""
+    parts = ((at, data) for b in batches for at, data in zip(b.column(0).to_pylist(), b.column(1)))
+    for cell, own in groupby(parts, itemgetter(0)):
+        yield cell, (np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, width) for _, data in own)
+
+
+def _blockwise(parts, find, most: int = _FLUSH):
+    """What ``find`` gives for all entries of a cell. Beyond ``most`` entries they go to a file of the task in blocks of
+    half as many, and ``find`` sees every two blocks together: any two entries meet, whatever the size and order."""
+
+    def blocks():
+        held, size = [], 0
+        for part in parts:
+            held.append(part)
+            size += len(part)
+            if size >= most // 2:
+                yield np.vstack(held)
+                held, size = [], 0
+        if held:
+            yield np.vstack(held)
+
+    own = blocks()
+    first, second = next(own), next(own, None)
+    if second is None:
+        yield from find(first)
+        return
+    width, ends = first.shape[1], [0]
+    with tempfile.TemporaryFile() as spill:
+        for whole in chain((first, second), own):
+            whole = np.unique(whole, axis=0)
+            spill.write(whole.tobytes())
+            ends.append(ends[-1] + len(whole))
+        del first, second
+
+        def block(k):
+            spill.seek(ends[k] * width)
+            return np.frombuffer(spill.read((ends[k + 1] - ends[k]) * width), np.uint8).reshape(-1, width)
+
+        for i in range(1, len(ends) - 1):
+            for j in range(i):
+                yield from find(np.vstack((block(j), block(i))))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -244,7 +287,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty result.
 
     Texts never move. A table's entries are dealt to cells by their masked key, so that a cell holds about half a
-    million; a cell with very many is worked off in parts, each followed by one entry a key, segment and group.
+    million; a cell with very many is worked off in blocks, every two of them together.
     """
     schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary())])
 
@@ -277,26 +320,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], schema=cells)
 
     def link(batches):
-        cell, held, size = None, [], 0
-
-        def flush():
-            found, rest = _cell_edges(np.vstack(held), own[cell // split % len(own)])
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"]), rest
-
-        for b in batches:
-            for at, data in zip(b.column(0).to_pylist(), b.column(1)):
-                if held and at != cell:
-                    yield flush()[0]
-                    held, size = [], 0
-                elif size >= _FLUSH:
-                    out, rest = flush()
-                    yield out
-                    held, size = [rest], 0
-                cell = at
-                held.append(np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 21))
-                size += len(held[-1])
-        if held:
-            yield flush()[0]
+        for cell, parts in _cells(batches, 21):
+            yield from _blockwise(parts, lambda data: _named_pairs(_cell_edges(data, own[cell // split % len(own)])[0]))  # noqa: B023
 
     dealt = prints_of.mapInArrow(deal, "cell long, data binary")
     parts = max(SEGMENTS * len(own) * split // 4, 1)
@@ -324,14 +349,13 @@ def keys(wide: np.ndarray, weights: np.ndarray) -> np.ndarray:
 _ENTRY = 19  # bytes: the key and the confirming bits
 
 
-def _padded(held: list[np.ndarray]) -> np.ndarray:
+def _padded(data: np.ndarray) -> np.ndarray:
     """Entries as ``_cell_edges`` takes them: the key in the segment's place."""
-    data = np.vstack(held)
     return np.hstack((data[:, :3], np.zeros((len(data), 2), np.uint8), data[:, 3:_ENTRY]))
 
 
 def _crossing(data: np.ndarray):
-    """``(a, b)`` arrays of nodes: all pairs of entries (as dealt, followed by the name of their group) with one key
+    """Batches ``(a, b)`` of nodes: all pairs of entries (as dealt, followed by the name of their group) with one key
     that are near enough and in different groups."""
     data = np.unique(data, axis=0)
     key, lo, hi, group = (_u64(data[:, a:b]) for a, b in ((0, 3), (3, 11), (11, _ENTRY), (_ENTRY, _ENTRY + 8)))
@@ -343,7 +367,7 @@ def _crossing(data: np.ndarray):
             near = (group[rest] != group[i]) & (np.bitwise_count(lo[rest] ^ lo[i]) + np.bitwise_count(hi[rest] ^ hi[i]) <= NEAR_BITS)
             found = names[rest][near]
             if len(found):
-                yield np.minimum(found, names[i]), np.maximum(found, names[i])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, names[i])), pa.array(np.maximum(found, names[i]))], names=["a", "b"])
 
 
 def _dealt(prints_of: DataFrame, split: int) -> DataFrame:
@@ -426,40 +450,12 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     split = max(1, -(-prints_of.count() // _SPLIT))
 
     def link(batches):
-        cell, held, size = None, [], 0
-
-        def flush():
-            found, rest = _cell_edges(_padded(held), (1 << KEY_BITS) - 1, (0, NEAR_BITS))
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"]), np.delete(rest, (3, 4), 1)
-
-        for b in batches:
-            for at, data in zip(b.column(0).to_pylist(), b.column(1)):
-                if held and at != cell:
-                    yield flush()[0]
-                    held, size = [], 0
-                elif size >= _FLUSH:
-                    out, rest = flush()
-                    yield out
-                    held, size = [rest], 0
-                cell = at
-                held.append(np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, _ENTRY))
-                size += len(held[-1])
-        if held:
-            yield flush()[0]
+        for _, parts in _cells(batches, _ENTRY):
+            yield from _blockwise(parts, lambda data: _named_pairs(_cell_edges(_padded(data), (1 << KEY_BITS) - 1, (0, NEAR_BITS))[0]))
 
     def cross(batches):
-        cell, held = None, []
-        for b in batches:
-            for at, data in zip(b.column(0).to_pylist(), b.column(1)):
-                if held and at != cell:
-                    for x, y in _crossing(np.vstack(held)):
-                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
-                    held = []
-                cell = at
-                held.append(np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, _ENTRY + 8))
-        if held:
-            for x, y in _crossing(np.vstack(held)):
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+        for _, parts in _cells(batches, _ENTRY + 8):
+            yield from _blockwise(parts, _crossing)
 
     pairs = table(_dealt(prints_of.select("wide"), split).mapInArrow(link, "a long, b long").distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()

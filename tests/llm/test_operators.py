@@ -242,6 +242,24 @@ def test_a_crowded_cell_links_as_all_pairs_do():
     assert want and groups(found) == groups(want) and len(rest) <= len(data)
 
 
+def test_an_over_full_cell_keeps_the_links_of_every_entry():
+    first = np.zeros((18, 21), np.uint8)
+    for k, row in enumerate(first):  # all within 20 bits of one another
+        for bit in range(40 + 5 * k, 50 + 5 * k):
+            row[bit // 8] |= 1 << (bit % 8)
+    for twin in range(18):
+        late = first[twin : twin + 1].copy()
+        late[:, 18:] = 255  # 24 bits: within reach of its twin only
+        for most in (4, 16, 1000):
+            find = lambda data: simhash._named_pairs(simhash._cell_edges(data, 1)[0])
+            found = [p for b in simhash._blockwise(iter((first, late)), find, most) for p in zip(*(c.to_pylist() for c in b.columns))]
+            top = {n: n for p in found for n in p}
+            for _ in range(19):
+                for a, b in found:
+                    top[a] = top[b] = min(top[a], top[b])
+            assert len(top) == 19 and len(set(top.values())) == 1, (twin, most)
+
+
 def test_sharding(docs, empty, rows):
     got = {r.doc_id: r for r in sharding.shard_by_bytes(docs, shards=3, whole=2).collect()}
     for i, t, *_ in rows:
