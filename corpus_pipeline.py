@@ -20,11 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group whose sets of five-word shingles have links of a similarity of
-    0.8 or more. Rows without an id stay."""
-    found = simhash.similar_copies(docs, words=5)
-    gone = found.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group whose sets of five-word shingles have links of a similarity of 0.8 or more: the one with
+    the smallest id, null last. Ids may repeat."""
+    return simhash.one_of_each(docs, words=5).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import tempfile
+from hashlib import md5
 from itertools import chain, combinations, groupby
 from operator import itemgetter
 
@@ -421,31 +422,30 @@ def _across(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).filter("ra <> rb")
 
 
-def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """``(id, fp, component_id)`` for each row: documents whose sets of shingles have a similarity of SIMILAR or more
-    are linked, component_id is the smallest id that chains of links reach. fp stands for the confirming bits.
+def _searched(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, fp, digest, ..)`` for each row and the links ``(a, b)`` of fps: documents whose sets of shingles have a
+    similarity of SIMILAR or more. fp stands for the confirming bits, digest for the text, null as empty.
 
     A similarity of 0.8 puts about 15 % of the bits apart. Each of TABLES tables keys the fingerprints by KEY_BITS of
     their 448 bits; a pair that shares a key and is at most NEAR_BITS of the 128 confirming bits apart is a candidate,
     which a pair at the limit is with a probability of about 0.999. Each link is confirmed by the exact similarity of
     the two sets. Texts with equal confirming bits are linked. Texts without a word have one fingerprint, in no table.
-    Null ids stay and never name a component unless it has no other id; repeated rows stay; an empty table gives an
-    empty result.
 
     Not all pairs of a large group are made: a key with more than _SHORT members gives a spanning forest of its
     candidates, and what confirmed links connect is not tested again. Where tested pairs fail, the candidates between
     the components on both sides are all made and tested, so the components are those of all candidates.
     """
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary()), ("grams", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary()), ("grams", pa.binary()), ("digest", pa.binary())])
 
     def prints(batches):
         for b in slices(batches):
-            sets = [shingles(t, words) for t in utf8(b.column(1))]
+            texts = utf8(b.column(1))
+            sets = [shingles(t, words) for t in texts]
             wide = [_majorities(h) for h in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_node, wide), pa.int64()), pa.array(wide, pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_node, wide), pa.int64()), pa.array(wide, pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array([md5(t or b"").digest() for t in texts], pa.binary())], schema=schema)
 
     picked = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    rows = table(picked.mapInArrow(prints, "id long, fp long, wide binary, grams binary"))
+    rows = table(picked.mapInArrow(prints, "id long, fp long, wide binary, grams binary, digest binary"))
     prints_of = table(rows.filter("length(wide) > 0").select("wide", "fp").distinct())
     split = max(1, -(-prints_of.count() // _SPLIT))
 
@@ -471,11 +471,33 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         own = prints_of.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("wide", F.coalesce("root", "fp").alias("root"))
         more = table(_dealt(own.join(torn, "root", "left_semi").select("wide", "root"), split).mapInArrow(cross, "a long, b long").distinct())
         edges = table(edges.unionByName(_similar(more.join(failed, ["a", "b"], "left_anti"), sets)))
-    named = rows.select("id", "fp")
-    out = _grouped(named, table(named.groupBy("fp").agg(F.min("id").alias("least"))), edges)
     for x in (prints_of, pairs, sets):
         drop(x)
-    return out
+    return rows, edges
+
+
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """``(id, fp, component_id)`` for each row, linked as ``_searched`` says: component_id is the smallest id that
+    chains of links reach. Null ids stay and never name a component unless it has no other id; repeated rows stay; an
+    empty table gives an empty result."""
+    rows, edges = _searched(docs, id_col, text_col, words)
+    named = rows.select("id", "fp")
+    return _grouped(named, table(named.groupBy("fp").agg(F.min("id").alias("least"))), edges)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """One row of ``docs`` for each component of links: the one with the smallest id, null last, then by text. Ids need
+    not be unique: rows go by id and text, and of rows equal in both any one stays."""
+    rows, edges = _searched(docs, id_col, text_col, words)
+    roots = table(components(edges)).withColumnRenamed("node", "fp")
+    each = rows.groupBy("fp", "id", "digest").agg(F.count("*").alias("n")).join(roots, "fp", "left")
+    kept = each.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "digest", "n")).alias("x"))
+    kept = table(kept.select(F.col("x.id").alias("_id"), F.col("x.digest").alias("_digest"), F.col("x.n").alias("_n")))
+    drop(rows)
+    own = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
+    found = docs.withColumn("_own", own).join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")))
+    once, more = found.filter("_n = 1"), found.filter("_n > 1").dropDuplicates(["_id", "_digest"])
+    return once.unionByName(more).select(*docs.columns)
 
 
 def hex_fp(column: str = "fp"):

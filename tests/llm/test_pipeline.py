@@ -18,3 +18,12 @@ def test_stages(spark, tmp_path):
     assert docs.select("doc_id").distinct().count() == last.select("doc_id").distinct().count()
     assert docs.filter("offset + length > 2048").count() == 0
     assert packing.pack_lot([2048, 1000, 1048], 2048) == [[0], [2, 1]]
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(None, a), (None, a), (None, b), (None, b + " end"), (7, a), (7, a), (7, "another text with one id"), (8, a + " end"), (8, "some other text of that id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert [r for r in got if r[0]] == [(7, a), (7, "another text with one id"), (8, "some other text of that id")]
+    assert len(got) == 4 and got[0][1] in (b, b + " end")
