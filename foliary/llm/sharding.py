@@ -63,10 +63,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     """``(doc_id, size, text_crc32, shard, slot)`` for each row: sizes (UTF-8 bytes of the text, null as empty, plus
     1) sum to near equal shards, equal texts share one, slots of a shard count from 0 without gaps.
 
-    A group of equal texts stays whole unless it holds more than one part in ``whole`` of a shard's fair share of
-    bytes or of rows; such a group is dealt by a hash of the id into pieces of about that size: there are less than
-    ``2 * whole * shards`` such groups, whatever the input. Groups are dealt at random into lots, each lot is
-    differenced in one task to a partial partition, and only these (``shards`` sums a lot) meet on the driver to be
+    A group of equal texts stays whole unless it holds more bytes than a shard's fair share; such a group, fewer than
+    ``shards`` of them, is dealt by a hash of the id into pieces of one part in ``whole`` of that. Slots of a group
+    with more than one part in ``whole`` of a shard's bytes or rows are counted in as many chunks, so that no task
+    holds it; there are less than ``2 * whole * shards`` such groups, whatever the input. Groups are dealt at random
+    into lots, each lot is differenced in one task to a partial partition, and only these (``shards`` sums a lot, and
+    the chunks' counts) meet on the driver to be
     differenced in turn. Equal ids and texts get slots in any order; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -77,12 +79,16 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     total, count, distinct = groups.agg(F.sum("bytes"), F.sum("n"), F.count("*")).first()
     most_bytes, most_rows = max(1, (total or 0) // (shards * whole)), max(1, (count or 0) // (shards * whole))
     cuts = F.greatest(F.ceil(F.col("bytes") / most_bytes), F.ceil(F.col("n") / most_rows)).cast("int")
-    hot = groups.filter((F.col("bytes") > most_bytes) | (F.col("n") > most_rows)).select("d", cuts.alias("pieces"))  # fewer than 2 * whole * shards rows
-    piece = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).cast("int")
-    rows = rows.join(F.broadcast(hot), "d", "left").withColumn("piece", piece).drop("pieces")
+    fair = (total or 0) / shards
+    hot = groups.filter((F.col("bytes") > most_bytes) | (F.col("n") > most_rows)).select("d", cuts.alias("pieces"), (F.col("bytes") > fair).alias("split"))  # fewer than 2 * whole * shards rows
+    chunk = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).cast("int")
+    rows = rows.join(F.broadcast(hot), "d", "left").withColumn("chunk", chunk)
+    rows = rows.withColumn("piece", F.when(F.col("split"), F.col("chunk")).otherwise(F.lit(0)))
+    rows = rows.withColumn("sub", F.when(F.col("pieces").isNull(), F.lit(b"")).otherwise(F.col("d"))).drop("pieces", "split")
     lots = min(4096, max(16, math.ceil((distinct or 0) / groups_a_lot)))
     rows = table(rows.withColumn("lot", F.pmod(F.xxhash64("d", "piece"), F.lit(lots)).cast("int")))
-    sized = rows.groupBy("lot", "d", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    fine = table(rows.groupBy("lot", "d", "piece", "sub", "chunk").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    sized = fine.groupBy("lot", "d", "piece").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
     schema = pa.schema([("lot", pa.int32()), ("d", pa.binary()), ("piece", pa.int32()), ("bytes", pa.int64()), ("n", pa.int64()), ("part", pa.int32())])
 
     def run(t):
@@ -92,16 +98,19 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
 
     parts = table(sized.groupBy("lot").applyInArrow(run, "lot int, d binary, piece int, bytes long, n long, part int"))
     sums = np.zeros((lots, shards), dtype=object)
-    counts = np.zeros((lots, shards), dtype=object)
-    for r in parts.groupBy("lot", "part").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).collect():  # lots * shards rows at most
-        sums[r.lot, r.part], counts[r.lot, r.part] = r.bytes, r.n
+    counts = {}
+    at = parts.select("lot", "d", "piece", "part")
+    for r in fine.join(at, ["lot", "d", "piece"]).groupBy("lot", "part", "sub", "chunk").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).collect():  # lots * shards rows and the chunks at most
+        sums[r.lot, r.part] += r.bytes
+        counts.setdefault((r.lot, r.part), []).append((bytes(r["sub"]), r.chunk, int(r.n)))
     _, place = difference([tuple(x) for x in sums.tolist()])
     starts, used = [], [0] * shards
-    for lot in range(lots):
-        for part in range(shards):
-            starts.append((lot, part, place[lot][part], used[place[lot][part]]))
-            used[place[lot][part]] += int(counts[lot, part])
-    starts = docs.sparkSession.createDataFrame(starts, "lot int, part int, shard int, start long")
-    out = rows.join(parts.select("lot", "d", "piece", "part"), ["lot", "d", "piece"]).join(F.broadcast(starts), ["lot", "part"])
-    slot = F.col("start") + F.row_number().over(Window.partitionBy("lot", "part").orderBy("d", "doc_id")) - 1
+    for (lot, part), own in sorted(counts.items()):
+        shard = place[lot][part]
+        for sub, chunk, n in sorted(own):
+            starts.append((lot, part, bytearray(sub), chunk, shard, used[shard]))
+            used[shard] += n
+    starts = docs.sparkSession.createDataFrame(starts, "lot int, part int, sub binary, chunk int, shard int, start long")
+    out = rows.join(at, ["lot", "d", "piece"]).join(F.broadcast(starts), ["lot", "part", "sub", "chunk"])
+    slot = F.col("start") + F.row_number().over(Window.partitionBy("lot", "part", "sub", "chunk").orderBy("d", "doc_id")) - 1
     return out.select("doc_id", "size", "text_crc32", "shard", slot.alias("slot"))

@@ -273,6 +273,21 @@ def test_sharding(docs, empty, rows):
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
+def test_equal_texts_share_a_shard(spark):
+    rng = random.Random(4)
+    texts = [f"{k} " + "x" * rng.randrange(50, 150) for k in range(300)]
+    texts = texts + texts[:60] + [texts[0]] * 30 + ["y" * 200] * 100  # 2, 32 and 100 copies; the last fit no shard of 8
+    got = sharding.shard_by_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert len(shards.pop("y" * 200)) > 1 and all(len(s) == 1 for s in shards.values())
+    sums = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    assert max(sums) - min(sums) <= 32 * (len(texts[0]) + 1), sums  # the largest whole group
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_differencing_is_exact_and_tight():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 10_000) for _ in range(9000)]
