@@ -125,8 +125,11 @@ _W = "[\\p{L}\\p{M}\\p{N}_]+"
 _text_query("x1_normalize", "trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{M}\\p{N}_\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS norm", norm=text.normalize)
 _text_query("x4_query_tokens", f"len(list_filter(regexp_extract_all(lower(text), '{_W}'), lambda t: length(t) > 2)) AS n", n=lambda c: F.size(text.query_tokens(c)).cast("long"))
 _text_query("x5_fts_query", f"array_to_string(list_transform(list_filter(regexp_extract_all(lower(substr(text, 1, 80)), '{_W}'), lambda t: length(t) > 2), lambda t: '\"' || t || '\"'), ' OR ') AS fts", fts=lambda c: text.fts_query(F.substring(c, 1, 80)))
+_text_query("x5_fts_query_whole", f"array_to_string(list_transform(list_filter(regexp_extract_all(lower(text), '{_W}'), lambda t: length(t) > 2), lambda t: '\"' || t || '\"'), ' OR ') AS fts", fts=lambda c: text.fts_query(c))
 _text_query("x6_safe_name", "coalesce(nullif(trim(regexp_replace(regexp_replace(substr(text, 1, 40), '[^\\p{L}\\p{M}\\p{N}_]', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'sheet') AS name", name=lambda c: text.safe_name(F.substring(c, 1, 40)))
+_text_query("x6_safe_name_whole", "coalesce(nullif(trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}_]', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'sheet') AS name", name=lambda c: text.safe_name(c))
 _text_query("x7_clean_column", "regexp_replace(replace(substr(text, 1, 60), chr(10), ' '), ' +', ' ', 'g') AS col", col=lambda c: F.regexp_replace(F.replace(F.substring(c, 1, 60), F.lit("\n"), F.lit(" ")), " +", " "))
+_text_query("x7_clean_column_whole", "regexp_replace(replace(text, chr(10), ' '), ' +', ' ', 'g') AS col", col=lambda c: F.regexp_replace(F.replace(c, F.lit("\n"), F.lit(" ")), " +", " "))
 _text_query("x10_strip_controls", "length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) AS n", n=lambda c: F.length(text.strip_controls(c)).cast("long"))
 _text_query("x15_html_escape", "replace(replace(replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html", html=text.html_escape)
 _OWN = "list_filter(regexp_split_to_array(text, '[\\s\\x0B]+'), lambda w: w <> '')"
@@ -388,8 +391,8 @@ _both("k12_fonts", f"SELECT doc_id, page, pos, sub, CASE WHEN bold AND size >= 1
 JOIN ({inputs.GLOSSARY}) g ON contains(lower(text), lower(term)), unnest(range(1, length(text) + 1)) AS u(i) WHERE substr(lower(text), i, length(term)) = lower(term) AND NOT regexp_matches(substr(' ' || text, i, 1), '\\p{{L}}') AND NOT regexp_matches(substr(text || ' ', i + length(term), 1), '\\p{{L}}')""")
 def j6_glossary(spark, sf_dir):
     own = run_sql(spark, sf_dir, "SELECT o_orderkey AS id, 'The ' || n_name || ' branch, not x' || n_name || '.' AS text FROM orders JOIN nation ON o_orderkey % 25 = n_nationkey")
-    terms = run_sql(spark, sf_dir, inputs.GLOSSARY).limit(10_000)
-    found = own.join(F.broadcast(terms), F.contains(F.lower("text"), F.lower("term")))
+    terms = run_sql(spark, sf_dir, inputs.GLOSSARY)
+    found = own.join(terms, F.contains(F.lower("text"), F.lower("term")))
     at = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: (F.substr(F.lower("text"), i, F.length("term")) == F.lower("term")) & ~F.rlike(F.substr(F.concat(F.lit(" "), "text"), i, F.lit(1)), F.lit(r"\p{L}")) & ~F.rlike(F.substr(F.concat("text", F.lit(" ")), i + F.length("term"), F.lit(1)), F.lit(r"\p{L}")))
     return found.select("id", "term", F.explode(at).alias("i")).select("id", "term", F.col("i").cast("long").alias("start"))
 

@@ -45,3 +45,16 @@ def test_guard(spark):
         with pytest.raises(NotAllowed):
             read_only(spark, bad)
     assert fenced("Here:\n```sql\nselect 1\n```") == "select 1"
+
+
+@pytest.mark.parametrize("name", ["x5_fts_query_whole", "x6_safe_name_whole", "x7_clean_column_whole"])
+def test_whole_texts(spark, con, name):
+    test_equals_duckdb(spark, con, name)
+    assert max(len(r[1]) for r in queries.queries()[name](spark, SF).collect()) > 1000
+
+
+def test_glossary_has_no_limit(spark, monkeypatch):
+    before = queries.j6_glossary(spark, SF).count()
+    many = f"SELECT concat('zz', id) AS term, '' AS target, false AS keep_as_is FROM range(10100) UNION ALL SELECT term, target, keep_as_is FROM ({queries.inputs.GLOSSARY})"
+    monkeypatch.setattr(queries.inputs, "GLOSSARY", many)
+    assert queries.j6_glossary(spark, SF).count() == before > 0
