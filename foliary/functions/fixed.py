@@ -216,3 +216,8 @@ PRODUCER_TOOLS = (
     ("wkhtmltopdf", "wkhtmltopdf"), ("weasyprint", "WeasyPrint"), ("prince", "Prince"), ("chromium", "Chromium"), ("skia", "Chrome / Skia"),
     ("quartz pdfcontext", "macOS Quartz"), ("macos quartz", "macOS Quartz"), ("pdf-xchange", "PDF-XChange"), ("pdfsharp", "PDFsharp"), ("pdfium", "PDFium"),
 )
+
+REFERENTS = (
+    "this", "that", "the cap", "the limit", "the latest", "last year", "the same", "the previous", "celui-ci", "celui-là", "celle-ci", "celle-là",
+    "le plafond", "la limite", "la dernière version", "l'an passé",
+)

@@ -14,6 +14,12 @@ def intent(q: Column) -> Column:
     return first_case([(any_of(F.contains(low, F.lit(w)) for w in ws), F.lit(name)) for name, ws in fixed.INTENTS], F.lit("qa"))
 
 
+def needs_clarification(q: Column, has_history: Column) -> Column:
+    """A short question without history that names something only its context tells."""
+    low = F.regexp_replace(F.lower(q), r"(?U)^\s+|\s+$", "")
+    return ~has_history & (F.length(low) <= 60) & any_of(F.contains(low, F.lit(w)) for w in fixed.REFERENTS)
+
+
 def answer_shape(q: Column) -> Column:
     low = F.lower(q)
     return first_case([(any_of(matches(low, p) for p in ps), F.lit(name)) for name, ps in fixed.SHAPES], F.lit("text"))

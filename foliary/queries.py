@@ -459,6 +459,12 @@ _request("q16_style_and_pages", "CASE r_id % 6 WHEN 0 THEN 'formal' WHEN 1 THEN
 _both("q10_clarification", "SELECT conv_id, turn, (contains(lower(text), 'it ') OR contains(lower(text), 'this ')) AND length(text) <= 60 AND turn = 0 AS unclear FROM conversations WHERE role = 'user'")
 
 
+@_query()
+def q10_needs_clarification(spark, sf_dir):
+    own = read(spark, sf_dir, "conversations").filter("role = 'user'")
+    return own.select("conv_id", "turn", question.needs_clarification(F.col("text"), F.col("turn") > 0).alias("unclear"))
+
+
 @_query()
 def l4_summaries(spark, sf_dir):
     return backend.summarize(docs(spark, sf_dir))

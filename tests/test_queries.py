@@ -58,3 +58,15 @@ def test_glossary_has_no_limit(spark, monkeypatch):
     many = f"SELECT concat('zz', id) AS term, '' AS target, false AS keep_as_is FROM range(10100) UNION ALL SELECT term, target, keep_as_is FROM ({queries.inputs.GLOSSARY})"
     monkeypatch.setattr(queries.inputs, "GLOSSARY", many)
     assert queries.j6_glossary(spark, SF).count() == before > 0
+
+
+def test_each_referent_needs_clarification(spark):
+    from foliary.functions import fixed, question
+
+    words = ["this", "that", "the cap", "the limit", "the latest", "last year", "the same", "the previous", "celui-ci", "celui-là", "celle-ci", "celle-là", "le plafond", "la limite", "la dernière version", "l'an passé"]
+    rows = [(f" And {w.upper()}?\n", 0, True) for w in words] + [(w, 0, True) for w in words] + [(w, 1, False) for w in words]
+    rows += [("edit x", 0, False), ("it is", 0, False), ("this" + "x" * 56, 0, True), ("this" + "x" * 57, 0, False), ("", 0, False)]
+    got = spark.createDataFrame(rows, "text string, turn int, want boolean")
+    got = got.withColumn("got", question.needs_clarification(queries.F.col("text"), queries.F.col("turn") > 0)).collect()
+    assert tuple(words) == fixed.REFERENTS and [r.got for r in got] == [r.want for r in got]
+    assert queries.q10_needs_clarification(spark, SF).columns == ["conv_id", "turn", "unclear"]
