@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foliary.llm import ann, components, kneser_ney, mixing, packing, png_media, sharding, simhash, suffix_levels, token_spans, url_filter
+from foliary.llm import ann, components, kneser_ney, mixing, packing, png_media, sharding, similar, simhash, suffix_levels, token_spans, url_filter
 from foliary.llm.tokens import byte_bpe_path, encoder
 
 WORDS = "the of and river stone cloud garden window letter über naïve silver road winter 日本 table".split()
@@ -154,52 +154,114 @@ def test_crowded_buckets_link_as_pairs_do(spark):
         assert groups(lambda f: found.get(f, f)) == groups(expected.get)
 
 
-def _near(a, b):
-    apart = lambda x, y: bin(int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).count("1")
-    return apart(a[40:], b[40:]) <= 24 and any(apart(a[i : i + 5], b[i : i + 5]) <= 4 for i in range(0, 40, 5))
+def _jaccard_components(texts):
+    """The smallest number of each text's component of links, by brute force."""
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    top = list(range(len(texts)))
 
+    def find(i):
+        return i if top[i] == i else find(top[i])
 
-def test_near_copies(spark, docs, empty, rows):
-    rng = random.Random(9)
-    say = lambda n: [rng.choice(WORDS) + str(rng.randrange(90)) for _ in range(n)]
-    texts = [" ".join(say(n)) for n in (1, 2, 4, 5, 6, 7, 9, 40, 300) for _ in range(3)]
-    base = say(400)
-    for k in range(60):
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                top[y] = x
+    return [find(i) for i in range(len(texts))]
+
+
+def test_similar_copies(spark, docs, empty, rows):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(2000)}" for _ in range(120)]
+    texts = [r[1] for r in rows]
+    for _ in range(150):  # a family with links and without, in chains
         words = list(base)
-        for i in rng.sample(range(400), k % 9):
-            words[i] = f"other{k}x{i}"
-        texts.append(" ".join(words).upper() if k % 2 else "  ".join(words))
-    for share in (0.3, 0.6):
-        words = base[: int(400 * share)]
-        texts.append(" ".join(words + say(400 - len(words))))
-    ids = list(range(1, len(texts) + 1))
-    wide = [simhash.wide_fingerprint(t.encode(), 5) for t in texts]
-    least = list(ids)
-    for _ in ids:
-        for i in range(len(ids)):
-            for j in range(i):
-                if least[i] != least[j] and _near(wide[i], wide[j]):
-                    least[i] = least[j] = min(least[i], least[j])
-    frame = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
-    got = {r.id: r.component_id for r in simhash.near_copies(frame).collect()}
-    assert [got[i] for i in ids] == least
-    shingles = [{tuple(t.encode().lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
-    for i in range(len(ids)):
-        for j in range(i):
-            similar = len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j])
-            if similar >= 0.85 or similar < 0.5 and j < 27:
-                assert (got[i + 1] == got[j + 1]) == (similar >= 0.85), (i, j, similar)
-    assert got[ids[-1]] == ids[-1] and got[ids[-2]] == ids[-2]
-    out = {r.id: r.component_id for r in simhash.near_copies(docs).collect()}
-    assert len(out) == len(rows) and {out[200], out[201], out[202], out[204]} == {200}
-    assert simhash.near_copies(empty).count() == 0
+        for _ in range(rng.randrange(7)):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in similar.similar_copies(frame).collect()}
+    want = _jaccard_components(texts)
+    assert len(set(want[len(rows) :])) > 5 and [got[i] for i in range(len(texts))] == want
+    assert similar.similar_copies(empty).count() == 0
     nameless = spark.createDataFrame([(None, "a b c d e f"), (7, "A b c d e f"), (7, "a b c d e f"), (None, "x y")], "doc_id long, text string")
-    assert sorted((r.id or 0, r.component_id or 0) for r in simhash.near_copies(nameless).collect()) == [(0, 0), (0, 7), (7, 7), (7, 7)]
+    assert sorted((r.id or 0, r.component_id or 0) for r in similar.similar_copies(nameless).collect()) == [(0, 0), (0, 7), (7, 7), (7, 7)]
+
+
+def _groups(n, edges):
+    top = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    return top
+
+
+def test_exact_links_and_blocks(spark):
+    rng = np.random.default_rng(3)
+    sets = []
+    for f in range(6):
+        base = rng.integers(0, 1 << 60, 90 + 10 * f).astype(np.uint64)
+        for _ in range(60):
+            own = base.copy()
+            own[rng.choice(len(base), rng.integers(0, 16), replace=False)] = rng.integers(0, 1 << 60, 1).astype(np.uint64)
+            sets.append(np.unique(np.concatenate((own, rng.integers(0, 1 << 60, rng.integers(0, 12)).astype(np.uint64)))))
+    sets += [sets[0], np.unique(sets[1][:1]), np.unique(sets[1][:1])]
+    n = len(sets)
+    want = _groups(n, [(i, j) for i in range(n) for j in range(i) if similar.similarity(sets[i], sets[j]) >= 0.8])
+    found = similar.exact_links(sets)
+    assert len(found) < n and _groups(n, found) == want and len(set(want)) > 20
+    frame = spark.createDataFrame([(i, i % 2, len(s), bytearray(s.tobytes())) for i, s in enumerate(sets)], "fp long, root long, n long, grams binary")
+    one = [(i, j) for i in range(n) for j in range(i) if i % 2 == j % 2 and similar.similarity(sets[i], sets[j]) >= 0.8]
+    for block in (1 << 20, 2000):
+        assert _groups(n, [tuple(r) for r in similar.confirmed(frame, block).collect()]) == _groups(n, one), block
+
+
+def test_a_cell_links_as_all_pairs_do():
+    rng = np.random.default_rng(5)
+    for size in (40, 400):  # below and above what is compared by shifts
+        data = np.repeat(rng.integers(0, 256, (3, 18), dtype=np.uint8), size, axis=0)
+        data[:, :2] = [7, 1]
+        data[: size // 2, 0] = 8
+        for row in data:
+            for bit in rng.choice(128, 19, replace=False):
+                row[2 + bit // 8] ^= 1 << (bit % 8)
+        bits = np.unpackbits(data[:, 2:], axis=1).astype(np.int64)
+        apart = bits.sum(1)[:, None] + bits.sum(1)[None] - 2 * bits @ bits.T
+        want = np.argwhere((apart <= similar.NEAR_BITS) & (data[:, None, 0] == data[None, :, 0]))
+        found = [tuple(p) for p in zip(*(x.tolist() for x in similar.cell_links(data)))]
+        top = np.arange(len(data))
+        for edges in (want,):
+            while True:
+                low = top.copy()
+                np.minimum.at(low, edges[:, 0], top[edges[:, 1]])
+                if (low == top).all():
+                    break
+                top = low
+        got = _groups(len(data), found) if size == 40 else None
+        assert len(found) < len(data) and (got is None or got == top.tolist())
+        assert len(data) - len(found) == len(set(top.tolist()))
+
+
+def test_fingerprints_near_in_a_segment_share_a_key():
+    rng, weights = random.Random(6), similar.cover()
+    per = weights.shape[1] // similar.ROUNDS
+    segments = 448 // similar.SEGMENT_BITS
+    covered = segments * similar.SEGMENT_BITS
+    for r in range(similar.ROUNDS):
+        own = weights[:, r * per : (r + 1) * per]
+        used = np.flatnonzero(own.any(1))
+        assert len(used) == covered and per == 3 * segments
+        for _ in range(50):  # within twice the segments, less one: some segment has one such bit at most
+            a = np.array([rng.randrange(256) for _ in range(56)], np.uint8)
+            b = np.unpackbits(a, bitorder="little")
+            b[rng.sample(used.tolist(), 2 * segments - 1)] ^= 1
+            b = np.packbits(b, bitorder="little")
+            assert (similar.keys(a[None], own) == similar.keys(b[None], own)).any()
 
 
 def test_isolated_pairs_link_just_from_the_limit(spark):
     rng = random.Random(21)
-    texts, similar = [], []
+    texts, near = [], []
     for k in range(400):
         words = [f"w{rng.randrange(10**9)}" for _ in range(200)]
         changed = list(words)
@@ -207,57 +269,12 @@ def test_isolated_pairs_link_just_from_the_limit(spark):
         n -= 1 if k % 4 == 1 else 0
         changed[200 - n :] = [f"x{k}y{i}" for i in range(n)]
         texts += [" ".join(words), " ".join(changed)]
-        x, y = (simhash.shingles(t.encode(), 5) for t in texts[-2:])
-        similar.append(simhash.similarity(x, y))
-    got = {r.id: r.component_id for r in simhash.similar_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        x, y = (similar.shingles(t.encode(), 5) for t in texts[-2:])
+        near.append(similar.similarity(x, y))
+    got = {r.id: r.component_id for r in similar.similar_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     linked = [got[2 * k + 1] == 2 * k for k in range(400)]
-    assert not any(x for x, s in zip(linked, similar) if s < 0.8)
-    assert sum(x for x, s in zip(linked, similar) if s >= 0.8) >= 99 and sum(s >= 0.8 for s in similar) == 100
-
-
-def test_a_crowded_cell_links_as_all_pairs_do():
-    rng = np.random.default_rng(5)
-    base = rng.integers(0, 256, (3, 21), dtype=np.uint8)
-    data = np.repeat(base, 40, axis=0)
-    for row in data:
-        for bit in rng.choice(168, 14, replace=False):
-            row[bit // 8] ^= 1 << (bit % 8)
-    mask = simhash.masks(simhash.SEGMENT_RADIUS, bits=40)[3]
-    names = [simhash._signed(xxhash.xxh64_intdigest(r[5:].tobytes(), 7)) for r in data]
-    seg, lo, hi = (simhash._u64(data[:, a:b]).tolist() for a, b in ((0, 5), (5, 13), (13, 21)))
-    apart = lambda x, y: bin(x ^ y).count("1")
-    want = [
-        (names[i], names[j]) for i in range(120) for j in range(i)
-        if not (seg[i] ^ seg[j]) & mask and apart(seg[i], seg[j]) <= 4 and apart(lo[i], lo[j]) + apart(hi[i], hi[j]) <= 24
-    ]
-
-    def groups(edges):
-        top = {n: n for n in names}
-        for _ in names:
-            for a, b in edges:
-                top[a] = top[b] = min(top[a], top[b])
-        return top
-
-    found, rest = simhash._cell_edges(data, mask)
-    assert want and groups(found) == groups(want) and len(rest) <= len(data)
-
-
-def test_an_over_full_cell_keeps_the_links_of_every_entry():
-    first = np.zeros((18, 21), np.uint8)
-    for k, row in enumerate(first):  # all within 20 bits of one another
-        for bit in range(40 + 5 * k, 50 + 5 * k):
-            row[bit // 8] |= 1 << (bit % 8)
-    for twin in range(18):
-        late = first[twin : twin + 1].copy()
-        late[:, 18:] = 255  # 24 bits: within reach of its twin only
-        for most in (4, 16, 1000):
-            find = lambda data: simhash._named_pairs(simhash._cell_edges(data, 1)[0])
-            found = [p for b in simhash._blockwise(iter((first, late)), find, most) for p in zip(*(c.to_pylist() for c in b.columns))]
-            top = {n: n for p in found for n in p}
-            for _ in range(19):
-                for a, b in found:
-                    top[a] = top[b] = min(top[a], top[b])
-            assert len(top) == 19 and len(set(top.values())) == 1, (twin, most)
+    assert not any(x for x, s in zip(linked, near) if s < 0.8)
+    assert sum(x for x, s in zip(linked, near) if s >= 0.8) >= 99 and sum(s >= 0.8 for s in near) == 100
 
 
 def test_sharding(docs, empty, rows):
