@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import kneser_ney, mixing, packing, simhash, suffix_levels
+from foliary.llm import kneser_ney, mixing, packing, similar, suffix_levels
 from foliary.llm.common import read, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group whose sets of five-word shingles have links of a similarity of 0.8 or more: the one with
     the smallest id, null last. Ids may repeat."""
-    return simhash.one_of_each(docs, words=5).select(*COLUMNS)
+    return similar.one_of_each(docs, words=5).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
