@@ -1,8 +1,8 @@
 """A quality filter: interpolated modified Kneser-Ney character n-grams trained on trusted text.
 
 Counts, continuation counts, discounts, back-off weights and interpolated probabilities are joins of count tables,
-sharded by n-gram or context. Documents are scored where they are read if the finished tables are small enough to be
-sent there, else by joins of their n-gram counts with the tables.
+sharded by n-gram or context, and so is scoring: the n-grams of slices of text meet the tables and come back with
+their logs.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, pick, slices, table
+from .common import drop, pick, slices, table, utf8
 
 ORDER = 5
 BEGIN, END = "\x02", "\x03"
@@ -237,8 +238,8 @@ class _Held:
 
 def scorer(model: tuple[DataFrame, DataFrame, float], order: int = ORDER, max_rows: int = 8_000_000):
     """Sends the tables to the workers if they have ``max_rows`` rows at most (12 bytes each, 5 times that as a hash
-    table), and gives the function that scores texts there. Beyond the bound it raises ValueError; ``scored`` then goes
-    by ``score_by_joins``."""
+    table), and gives the function that scores texts there. Beyond the bound it raises ValueError: ``score_by_joins`` has
+    none."""
     grams, contexts, floor = model
     rows = grams.count() + contexts.count()
     if rows > max_rows:
@@ -270,32 +271,6 @@ def score(docs: DataFrame, perplexities, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, T.StructType(fields))
 
 
-def text_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """``(k, gram, n)`` of ``docs`` (k, text): the n-grams of ``order`` code points of each text, marks included. Equal
-    grams of one text come once for each piece of a million code points."""
-
-    def run(batches):
-        for b in slices(batches, 2 << 20):
-            texts = b.column(1).to_pylist()
-            points, starts = _stream(texts, order)
-            whole = points.tobytes().decode("utf-32-le", "surrogatepass")
-            ends = np.append(starts[1:], len(points))
-            for a in range(0, len(points), _CHUNK):
-                h = _hashes(points[a : a + _CHUNK + order - 1], order)[order]
-                place = np.arange(a, a + len(h))
-                who = np.searchsorted(starts, place, side="right") - 1
-                inside = place + order <= ends[who]
-                h, place, who = h[inside], place[inside], who[inside]
-                by = np.lexsort((h, who))
-                h, place, who = h[by], place[by], who[by]
-                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (who[1:] != who[:-1]))) if len(h) else h)
-                n = np.diff(np.append(first, len(h)))
-                grams = pa.array([whole[p : p + order] for p in place[first].tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who[first])), grams, pa.array(n, pa.int64())], names=["k", "gram", "n"])
-
-    return docs.select("k", "text").mapInArrow(run, "k binary, gram string, n long")
-
-
 def gram_logs(distinct: DataFrame, model: tuple[DataFrame, DataFrame, float], order: int = ORDER) -> DataFrame:
     """``(gram, log)`` for each gram of ``distinct``: the log of the longest known ending's probability and the log
     weights of the contexts that back off to it. One join of the distinct grams for each order; those that an order
@@ -315,24 +290,152 @@ def gram_logs(distinct: DataFrame, model: tuple[DataFrame, DataFrame, float], or
     return reduce(DataFrame.unionByName, done)
 
 
+_SLICE, _SHARD = 16 << 20, 24 << 20
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _sliced(batches, text_col: str):
+    """``(name, slice)``: rows of about 16 MB of text, named by a hash of their texts. Slices of equal texts may share a
+    name: they ask for the same n-grams."""
+    for b in slices(batches, _SLICE, text_col):
+        own = xxhash.xxh64(seed=b.num_rows)
+        for t in utf8(b.column(text_col)):
+            own.update(b"\xff" if t is None else t + b"\xfe")
+        yield own.intdigest() - (1 << 63), b
+
+
+def _text_hashes(texts: list[str], order: int):
+    """Pieces ``(hashes of the n-grams, places, number of the text of each)`` of a stream of texts, and its points."""
+    points, starts = _stream(texts, order)
+    ends = np.append(starts[1:], len(points))
+
+    def pieces():
+        for a in range(0, len(points), _CHUNK):
+            h = _mix(_hashes(points[a : a + _CHUNK + order - 1], order)[order], order)
+            place = np.arange(a, a + len(h))
+            who = np.searchsorted(starts, place, side="right") - 1
+            inside = place + order <= ends[who]
+            yield h[inside], place[inside], who[inside]
+
+    return points, pieces()
+
+
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> _U(40)) * _U(shards) >> _U(24)).astype(np.int64)
+
+
+_ASKED = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("grams", pa.string())])
+
+
+def _asked(texts: list[str], order: int, shards: int) -> list[tuple[int, np.ndarray, str]]:
+    """``(shard, sorted hashes, their n-grams in a row)`` of the distinct n-grams of a slice."""
+    points, pieces = _text_hashes(texts, order)
+    found = [np.unique(h, return_index=True) + (place,) for h, place, _ in pieces]
+    if not found:
+        return []
+    h, at = np.concatenate([x[0] for x in found]), np.concatenate([x[2][x[1]] for x in found])
+    h, first = np.unique(h, return_index=True)
+    at = at[first]
+    cut = np.searchsorted(_shard(h, shards), np.arange(shards + 1))
+    out = []
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        part = slice(cut[k], cut[k + 1])
+        grams = points[(at[part][:, None] + np.arange(order)).ravel()].tobytes().decode("utf-32-le", "surrogatepass")
+        out.append((k, h[part], grams))
+    return out
+
+
 def score_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame, float], text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """As ``score``, for tables of any size: the distinct n-grams of all texts meet the tables, then the counts of each
-    text meet the distinct n-grams. A text goes by its digest; equal texts add up to the same mean, so copies need not
-    be found first. No task holds the n-grams of a document or the documents of an n-gram."""
-    key = F.unhex(F.md5(F.col(text_col).cast("binary")))
-    texts = docs.select(key.alias("k"), F.col(text_col).alias("text")).filter("length(text) > 0")
-    logs = table(gram_logs(count_grams(texts, "text", order).select("gram"), model, order))
-    sums = text_grams(texts, order).join(logs, "gram").groupBy("k").agg(F.sum(F.col("n") * F.col("log")).alias("total"), F.sum("n").alias("n"))
-    means = table(sums.select(F.col("k").alias("_digest"), F.exp(-F.col("total") / F.col("n")).alias("perplexity")))
-    drop(logs)
-    out = docs.withColumn("chars", F.coalesce(F.length(text_col), F.lit(0)).cast("long")).withColumn("_key", key)
-    return out.join(means, F.col("_key") == F.col("_digest"), "left").select(*docs.columns, "chars", "perplexity")
-
-
-def scored(model: tuple[DataFrame, DataFrame, float], order: int = ORDER, max_rows: int = 8_000_000):
-    """The function that adds ``chars`` and ``perplexity`` to a frame (text and others): where the rows are read if the
-    tables have ``max_rows`` rows at most, else by joins."""
-    if model[0].count() + model[1].count() > max_rows:
+    """As ``score``, for tables of any size. Rows are taken in slices of about 16 MB of text. A slice asks for its
+    distinct n-grams, dealt to shards by hash; a shard's distinct ones meet the model's counts (one join an order), and
+    what the slice asked for comes back to its rows, which are summed up there. Only distinct n-grams of slices, their
+    logs and the rows themselves, compressed, are shuffled. A task holds one slice, or one shard: the number of shards
+    follows the amount of text. Slices have the same names whenever ``docs`` gives its rows in the same batches; an
+    n-gram that was not asked for fails the query rather than giving a wrong sum."""
+    names = docs.columns
+    at = names.index(text_col)
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    shards = max(16, -(-total // (8 * _SHARD)))
+
+    def ask(batches):
+        for name, b in _sliced(batches, text_col):
+            parts = _asked([t for t in b.column(at).to_pylist() if t], order, shards)
+            for k, h, grams in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([k], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([grams], pa.string())], schema=_ASKED)
+
+    def distinct(t):
+        seen, out = np.empty(0, np.uint64), []
+        for blob, grams in zip(t.column("keys").to_pylist(), t.column("grams").to_pylist()):
+            h = np.frombuffer(blob, np.uint64)
+            for i in np.flatnonzero(~_in(seen, h)).tolist():
+                out.append(grams[i * order : (i + 1) * order])
+            seen = np.union1d(seen, h)
+        return pa.table([pa.array(out, pa.string())], names=["gram"])
+
+    def hashed(batches):
+        for b in batches:
+            h = _hashed(b.column(0), np.full(b.num_rows, order))
+            yield pa.RecordBatch.from_arrays([pa.array(_shard(h, shards).astype(np.int32)), pa.array(h.view(np.int64)), b.column(1).cast(pa.float32())], names=["shard", "h", "log"])
+
+    def answer(t, own):
+        h = own.column("h").to_numpy().view(np.uint64)
+        by = np.argsort(h)
+        h, log = h[by], own.column("log").to_numpy()[by]
+        logs = [log[np.searchsorted(h, np.frombuffer(x, np.uint64))].tobytes() for x in t.column("keys").to_pylist()]
+        return pa.table([t.column("slice"), t.column("keys").cast(pa.binary()), pa.array(logs, pa.binary())], names=["slice", "keys", "logs"])
+
+    def pack(batches):
+        for name, b in _sliced(batches, text_col):
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([_packed(b)], pa.binary())], names=["slice", "rows"])
+
+    fields = [*docs.schema.fields, *T._parse_datatype_string("chars long, perplexity double").fields]
+
+    def measure(t, known):
+        logs = None
+        if known.num_rows:
+            logs = Lookup(np.concatenate([np.frombuffer(x, np.uint64) for x in known.column("keys").to_pylist()]), np.concatenate([np.frombuffer(x, np.float32) for x in known.column("logs").to_pylist()]))
+        out = []
+        for blob in t.column("rows").to_pylist():
+            for b in pa.ipc.open_stream(blob):
+                texts = b.column(at).to_pylist()
+                full = [x for x in texts if x]
+                sums = np.zeros(len(full))
+                for h, _, who in _text_hashes(full, order)[1] if full else ():
+                    log, missing = logs.get(h, 0.0)
+                    if missing.any():
+                        raise ValueError("the rows of a slice changed between two readings")
+                    sums += np.bincount(who, log, len(full))
+                means = iter(np.exp(-sums / np.array([len(x) + 1 for x in full])).tolist())
+                chars = pa.array([len(x or "") for x in texts], pa.int64())
+                out.append(pa.RecordBatch.from_arrays([*b.columns, chars, pa.array([next(means) if x else None for x in texts], pa.float64())], names=[f.name for f in fields]))
+        return pa.Table.from_batches(out)
+
+    asked = table(docs.mapInArrow(ask, "slice long, shard int, keys binary, grams string"))
+    grams = table(asked.select("shard", "keys", "grams").groupBy("shard").applyInArrow(distinct, "gram string"))
+    logs = table(gram_logs(grams, model, order))
+    drop(grams)
+    logs = logs.mapInArrow(hashed, "shard int, h long, log float")
+    answers = asked.select("slice", "shard", "keys").dropDuplicates(["slice", "shard"]).groupBy("shard").cogroup(logs.groupBy("shard")).applyInArrow(answer, "slice long, keys binary, logs binary")
+    rows = docs.mapInArrow(pack, "slice long, rows binary")
+    return rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(measure, T.StructType(fields))
+
+
+def _in(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(keys), bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
+
+
+def scored(model: tuple[DataFrame, DataFrame, float], order: int = ORDER, send: bool = False, max_rows: int = 8_000_000):
+    """The function that adds ``chars`` and ``perplexity`` to a frame (text and others): by joins, or, if the caller
+    asks for it, where the rows are read, which takes tables of ``max_rows`` rows at most."""
+    if not send:
         return lambda docs: score_by_joins(docs, model, order=order)
     run = scorer(model, order, max_rows)
     return lambda docs: score(docs, run)
@@ -346,47 +449,59 @@ def trusted(labels: DataFrame, held_out: int) -> tuple[DataFrame, DataFrame]:
     return good.filter(~fold), good.filter(fold)
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.95, slack: float = 1.3, prior: int = 60, held_out: int = 5, least: int = 50, order: int = ORDER, send_ids: int = 1_000_000, max_rows: int = 8_000_000) -> DataFrame:
-    """``docs`` (doc_id, text, lang and any others) with ``chars, perplexity, judged, threshold, keep``.
+_FOUND = ("chars", "perplexity", "judged", "threshold", "keep")
+
+
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, prior: int = 60, held_out: int = 5, least: int = 50, order: int = ORDER, send: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text, lang and any others) with ``chars, perplexity, judged, threshold, keep``, which take the
+    place of columns of these names.
 
     Trusted text is every document that ``labels`` (doc_id, quality, toxic) calls good and not toxic. A part of it in
-    ``held_out``, by a hash of the id, doesn't train the model: the ``quantile`` of its perplexities, for each language,
-    times ``slack`` is the threshold. A document is rejected if its perplexity is above that when ``prior`` more
-    characters of the median perplexity are counted in, so that a few odd letters don't reject a short one.
-    A language has its own median at every size; if the hash holds out none of its documents, one is held out. Its
-    spread, the ratio of quantile to median, is its own from ``least`` held-out documents on; below, that of all
-    documents counts for the missing ones (geometric mean by number). A language without trusted text, and null, takes
-    the figures of all; without any trusted text everything is kept. A null or empty text has no perplexity and is rejected. Repeated rows are judged alike;
-    an empty table gives an empty result.
-
-    Texts don't move: up to ``send_ids`` label ids (8 bytes each) and ``max_rows`` rows of the model are sent to them.
-    Beyond, the joins are Spark's choice.
+    ``held_out``, by a hash of the id, doesn't train the model. ``judged`` is the perplexity when ``prior`` more
+    characters of the language's median perplexity are counted in, so that a few odd letters don't reject a short
+    document; the ``quantile`` of it over the held-out documents of each language is the threshold, and a document
+    above is rejected. A language has its own median at every size; if the hash holds out none of its documents, one
+    is held out. Its spread, the ratio of quantile to median, is its own from ``least`` held-out documents on; below,
+    that of all documents, to the power 1 + 1/n for n held-out ones, counts for the missing ones (geometric mean by
+    number). A language without trusted text, and
+    null, takes the figures of all; without any trusted text everything is kept. A null or empty text has no
+    perplexity and is rejected. Repeated rows are judged alike; an empty table gives an empty result.
+
+    The model is joined on the cluster (``score_by_joins``), or sent to the rows with ``send``.
     """
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in _FOUND])
     train_ids, test_ids = trusted(labels, held_out)
-    text = docs.select(F.col("doc_id").cast("long").alias("k"), "text", "lang")
-    own = text.filter("lang is not null and length(text) > 0").select("k", "lang").join(train_ids.unionByName(test_ids), "k").join(test_ids.withColumn("out", F.lit(True)), "k", "left")
-    lone = own.groupBy("lang").agg(F.min(F.struct(F.xxhash64("k"), "k"))["k"].alias("k"), F.max("out").alias("out")).filter("out is null")
+    text = docs.select(F.col("doc_id").cast("long").alias("k"), "text", F.col("lang").cast("string").alias("l"))
+    own = text.filter("l is not null and length(text) > 0").select("k", "l").join(train_ids.unionByName(test_ids), "k").join(test_ids.withColumn("out", F.lit(True)), "k", "left")
+    lone = own.groupBy("l").agg(F.min(F.struct(F.xxhash64("k"), "k"))["k"].alias("k"), F.max("out").alias("out")).filter("out is null")
     lone = table(lone.select("k").distinct())  # a row for each language at most
     train_ids, test_ids = train_ids.join(F.broadcast(lone), "k", "left_anti"), test_ids.unionByName(lone)
-    if labels.count() <= send_ids:
-        train_ids, test_ids = F.broadcast(train_ids), F.broadcast(test_ids)
-    measure = scored(train(text.join(train_ids, "k", "left_semi").select("text"), "text", order), order, max_rows)
-    tested = measure(text.join(test_ids, "k", "left_semi").select("lang", "text")).filter("perplexity is not null")
-    tested = table(tested.select(F.col("lang").cast("string").alias("l"), "perplexity"))
-    at = F.expr(f"percentile_approx(perplexity, array({quantile}, 0.5), 10000)")
-    by_lang = table(tested.filter("l is not null").groupBy("l").agg(at.alias("own"), F.count("*").alias("n")))
-    spread = tested.join(F.broadcast(by_lang), "l").agg(F.expr(f"percentile_approx(perplexity / own[1], {quantile}, 10000)")).first()[0]
+    measure = scored(train(text.join(train_ids, "k", "left_semi").select("text"), "text", order), order, send)
+    tested = measure(table(text.join(test_ids, "k", "left_semi").select("l", "text"))).filter("perplexity is not null")
+    tested = table(tested.select("l", "chars", "perplexity"))
+    middle = F.percentile_approx("perplexity", 0.5, 10000)
+    medians = table(tested.filter("l is not null").groupBy("l").agg(middle.alias("median"), F.count("*").alias("n")))  # a row a language
+    overall = tested.agg(middle).first()[0]
+
+    def smoothed(median):
+        logs = F.col("chars") * F.log("perplexity") + prior * F.log(median)
+        return F.coalesce(F.exp(logs / (F.col("chars") + prior)), "perplexity")
+
+    top = lambda x: F.percentile_approx(x, quantile, 10000)
+    tested = tested.join(F.broadcast(medians), "l", "left").withColumn("median", F.coalesce("median", F.lit(overall)))
+    tested = table(tested.withColumn("judged", smoothed(F.col("median"))))
+    spread, every = tested.agg(top(F.col("judged") / F.col("median")), top(F.col("judged"))).first()
+    by_lang = tested.filter("l is not null").groupBy("l").agg(top(F.col("judged")).alias("high"), F.first("median").alias("median"), F.first("n").alias("n"))
     share = F.least(F.col("n") / least, F.lit(1.0))
-    high = F.col("own")[1] * F.pow(F.col("own")[0] / F.col("own")[1], share) * F.pow(F.lit(spread or 1.0), 1 - share)
-    by_lang = by_lang.select("l", F.array(F.when(F.col("n") >= least, F.col("own")[0]).otherwise(high), F.col("own")[1]).alias("own"))
-    every = tested.agg(at).first()[0]
-    every = F.array(*[F.lit(x) for x in every]) if every else F.lit(None).cast("array<double>")
-    out = measure(docs).join(by_lang, F.col("lang") == F.col("l"), "left").withColumn("at", F.coalesce("own", every))
-    out = out.withColumn("threshold", F.col("at")[0] * slack)
-    logs = F.col("chars") * F.log("perplexity") + prior * F.log(F.col("at")[1])
-    out = out.withColumn("judged", F.coalesce(F.exp(logs / (F.col("chars") + prior)), "perplexity"))
+    wide = F.pow(F.lit(spread or 1.0), 1 + 1 / F.col("n"))  # the median of n documents is uncertain itself
+    mixed = F.col("median") * F.pow(F.col("high") / F.col("median"), share) * F.pow(wide, 1 - share)
+    by_lang = table(by_lang.select(F.col("l").alias("_kn_lang"), "median", F.when(F.col("n") >= least, F.col("high")).otherwise(mixed).alias("high")))
+    by_lang = by_lang.select("_kn_lang", F.struct("median", "high").alias("_kn_own"))
+    out = measure(docs).join(F.broadcast(by_lang), F.col("lang").cast("string") == F.col("_kn_lang"), "left")
+    out = out.withColumn("judged", smoothed(F.coalesce("_kn_own.median", F.lit(overall).cast("double"))))
+    out = out.withColumn("threshold", F.coalesce("_kn_own.high", F.lit(every).cast("double")))
     keep = F.col("judged").isNotNull() & (F.col("threshold").isNull() | (F.col("judged") <= F.col("threshold")))
-    return out.select(*docs.columns, "chars", "perplexity", "judged", "threshold", keep.alias("keep"))
+    return out.withColumn("keep", keep).select(*docs.columns, *_FOUND)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **parameters) -> DataFrame:

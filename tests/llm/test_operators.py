@@ -376,8 +376,10 @@ def test_model_is_a_distribution(spark):
 
 def test_scoring_by_joins_equals_scoring_in_place(spark, docs, rows):
     model = kneser_ney.train(docs.filter("doc_id % 3 = 0").select("text"), "text")
-    here = kneser_ney.scored(model)(docs).collect()
-    joined = kneser_ney.scored(model, max_rows=0)(docs).collect()
+    here = kneser_ney.scored(model, send=True)(docs).collect()
+    joined = kneser_ney.scored(model)(docs).collect()
+    again = docs.unionByName(docs.filter("text is null or text = ''")).repartition(3, "doc_id")
+    assert kneser_ney.scored(model)(again).count() == again.count()
     assert len(here) == len(joined) == len(rows) and here[0].asDict().keys() == joined[0].asDict().keys()
     other = {r.doc_id: r for r in joined}
     for r in here:
@@ -386,11 +388,27 @@ def test_scoring_by_joins_equals_scoring_in_place(spark, docs, rows):
         assert r.perplexity is None or r.perplexity == pytest.approx(other[r.doc_id].perplexity, rel=1e-5)
 
 
-def test_classifier_beyond_the_bound(spark, docs, empty):
+def test_classifier_sent_or_joined(spark, docs, empty):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 60)], "doc_id long, quality int, toxic int")
-    kept = [{r.doc_id: r.keep for r in kneser_ney.classify(docs, labels, least=5, max_rows=m).collect()} for m in (8_000_000, 0)]
+    kept = [{r.doc_id: r.keep for r in kneser_ney.classify(docs, labels, least=5, send=x).collect()} for x in (True, False)]
     assert kept[0] == kept[1]
-    assert kneser_ney.classify(empty, labels, max_rows=0).count() == 0
+    assert kneser_ney.classify(empty, labels).count() == 0
+
+
+def test_threshold_is_the_quantile_of_held_out_documents(spark):
+    rng = random.Random(12)
+    data = [(i, "".join(rng.choice("abcd efgh" if i % 2 else "mnop qrst") for _ in range(rng.randrange(30, 90))), "ab"[i % 2], 9.0, i) for i in range(900)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, perplexity double, l long")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    out = kneser_ney.judge(docs, labels, quantile=0.9, prior=0)
+    assert out.columns == ["doc_id", "text", "lang", "l", "chars", "perplexity", "judged", "threshold", "keep"]
+    held = {r.k for r in kneser_ney.trusted(labels, 5)[1].collect()}
+    rows = out.collect()
+    for lang in "ab":
+        own = sorted(r.judged for r in rows if r.lang == lang and r.doc_id in held)
+        limit = {r.threshold for r in rows if r.lang == lang}
+        assert len(own) > 50 and limit == {own[-(-len(own) * 9 // 10) - 1]}
+        assert all(r.keep == (r.judged <= r.threshold) and r.judged == pytest.approx(r.perplexity) for r in rows)
 
 
 def test_classifier_on_held_out_labels(spark):
