@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import pick, table
 
-BLOCK_ROWS, BLOCK_QUERIES, DIMS, CHUNK = 4096, 2048, 16, 512
+BLOCK_ROWS, BLOCK_QUERIES, DIMS, CHUNK = 4096, 2048, 8, 512
+#: How clearly a partial distance must exceed the bound; the part of a query's lists that is scanned for the bound.
+EPSILON, EARLY = 1.3, 0.125
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -72,33 +74,37 @@ class Index:
         return np.concatenate((q, np.zeros((len(q), 1))), 1) @ self.rotation
 
 
-def scan(x: np.ndarray, ids: np.ndarray, rx: np.ndarray, q: np.ndarray, own: np.ndarray, rq: np.ndarray, k: int, epsilon: float = 2.1):
+def scan(x: np.ndarray, ids: np.ndarray, rx: np.ndarray, q: np.ndarray, own: np.ndarray, rq: np.ndarray, k: int, limit: np.ndarray | None = None, epsilon: float = EPSILON):
     """Adaptive dimension scan of a block of a list by a block of queries: (query number, id, exact score) of the k
-    best for each query, or all if there are fewer.
+    best within ``limit`` for each query, or all if there are fewer, and how many coordinates of pairs were read.
 
-    Rows come in chunks. The first is measured fully and gives each query's k-th distance so far. In later ones
-    distances grow by blocks of columns; after each block a pair is abandoned if the distance so far, scaled up,
-    exceeds that k-th distance so clearly (``epsilon``) that by the law of random projections it is not worth going on.
+    ``limit`` is each query's k-th squared distance so far, from the lists before; without one, short chunks of rows
+    come first and give it. Distances grow by blocks of columns; after each, the first included, a pair is abandoned
+    if the distance so far, scaled up, exceeds the limit so clearly (``epsilon``) that by the law of random
+    projections it is not worth going on.
     """
     d = rx.shape[1]
     best = np.full((len(q), k), np.inf)
-    kept = []
-    for a in range(0, len(x), CHUNK):
-        part = rx[a : a + CHUNK]
+    limit = np.full(len(q), np.inf) if limit is None else limit.copy()
+    kept, read, a = [], 0, 0
+    step = CHUNK if np.isfinite(limit).all() else max(32, 2 * k)
+    while a < len(x):
+        part = rx[a : a + step]
         total = np.zeros((len(q), len(part)))
-        alive = own[:, None] != ids[None, a : a + CHUNK]
-        limit = best[:, -1]
+        alive = own[:, None] != ids[None, a : a + step]
         t, pairs = 0, None
         while t < d:
             e = min(d, t + DIMS)
             if pairs is None:
                 u, v = rq[:, t:e], part[:, t:e]
                 total += np.maximum((u * u).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * (u @ v.T), 0)
+                read += int(alive.sum()) * (e - t)
             else:
                 diff = rq[pairs[0], t:e] - part[pairs[1], t:e]
                 total[pairs] += np.einsum("ij,ij->i", diff, diff)
+                read += len(pairs[0]) * (e - t)
             t = e
-            if t < d and a:
+            if t < d:
                 bound = limit * (t / d) * (1 + epsilon / math.sqrt(t)) ** 2
                 if pairs is None:
                     alive &= total <= bound[:, None]
@@ -114,8 +120,10 @@ def scan(x: np.ndarray, ids: np.ndarray, rx: np.ndarray, q: np.ndarray, own: np.
         i, j = np.nonzero(total <= np.minimum(limit * (1 + 1e-9) + 1e-9, 1e300)[:, None])
         kept.append((i, j + a, total[i, j]))
         best = np.partition(np.concatenate((best, total), 1), k - 1, axis=1)[:, :k]
+        limit = np.minimum(limit, best[:, -1])
+        a, step = a + step, min(CHUNK, 2 * step)
     i, j, far = (np.concatenate(c) for c in zip(*kept)) if kept else (np.empty(0, np.int64),) * 3
-    near = far <= np.minimum(best[i, -1] * (1 + 1e-9) + 1e-9, 1e300)
+    near = far <= np.minimum(limit[i] * (1 + 1e-9) + 1e-9, 1e300)
     i, j = i[near], j[near]
     score = np.zeros(len(i))
     for c in range(q.shape[1]):  # one order of summation, so that equal vectors score equal
@@ -123,17 +131,19 @@ def scan(x: np.ndarray, ids: np.ndarray, rx: np.ndarray, q: np.ndarray, own: np.
     order = np.lexsort((ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
     rank = np.arange(len(i)) - np.searchsorted(i, i)
-    return i[rank < k], ids[j[rank < k]], score[rank < k]
+    return i[rank < k], ids[j[rank < k]], score[rank < k], read
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.97, sample: int = 16384, max_lists: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.94, sample: int = 16384, max_lists: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row of ``queries`` the k rows of ``vectors`` with the largest
     inner product among those in the probed lists, ties to the smaller id; score is exact, in double precision.
     A row with the query's own id is no candidate. Fewer than k candidates give fewer rows.
 
-    The lists (about the square root of the number of vectors, ``max_lists`` at most) are fitted on a sample of
+    The lists (about twice the square root of the number of vectors, ``max_lists`` at most) are fitted on a sample of
     ``sample`` vectors; every vector is indexed. A query probes as many lists of the nearest centres as
-    held ``share`` of the nearest neighbours within the sample, and in any case until they hold more than k vectors.
+    held ``share`` of the nearest neighbours within the sample, and in any case until they hold more than k candidates.
+    The nearest part of these (``EARLY``) is scanned first; the k-th distance found there bounds the scan of the others
+    from their first block of columns on.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
     neither do null ids. Of queries with equal ids one counts; repeated vectors are all candidates. A list is cut into
@@ -149,7 +159,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     if shapes is None:
         return spark.createDataFrame([], schema)
     src = src.filter(F.size("vec") == shapes.d)
-    lists = max(1, min(max_lists, round(math.sqrt(shapes.n))))
+    lists = max(1, min(max_lists, round(2 * math.sqrt(shapes.n))))
     picked = src.orderBy(F.xxhash64("id"), "id").limit(min(sample, shapes.n)).select("vec").toArrow()
     picked = _matrix(picked.column(0))
     index = Index(picked, lists, float(shapes.top))
@@ -170,35 +180,49 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
             far = _distances(shared.value.asked(_matrix(b.column(1))), shared.value.centres)
             order = np.argsort(far, axis=1, kind="stable")
             held = np.cumsum(sizes[: far.shape[1]][order], axis=1)
-            n = np.maximum(least, (held <= k).sum(1) + 1)
-            take = np.arange(order.shape[1])[None] < n[:, None]
-            row, col = np.nonzero(take)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(order[row, col].astype(np.int32))], names=["id", "vec", "list"])
+            enough = (held < k + b.column(2).to_numpy()[:, None]).sum(1) + 1  # rows with the query's id don't count
+            n = np.maximum(least, enough)
+            first = np.maximum(np.ceil(n * EARLY), enough)
+            row, col = np.nonzero(np.arange(order.shape[1])[None] < n[:, None])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(order[row, col].astype(np.int32)), pa.array(col < first[row])], names=["id", "vec", "list", "early"])
 
     asked = lists_of(queries).filter(sane).filter(F.size("vec") == shapes.d).dropDuplicates(["id"])
-    asked = table(asked.mapInArrow(probes, "id long, vec array<double>, list int"))
-    load = {r.list: r.n for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    cuts = [(i, math.ceil(n / BLOCK_ROWS), math.ceil(load.get(i, 0) / BLOCK_QUERIES)) for i, n in count.items() if load.get(i)]
-    cuts = F.broadcast(spark.createDataFrame(cuts, "list int, rows int, asks int"))  # a row a list
+    twins = placed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    asked = asked.join(twins, "id", "left").select("id", "vec", F.coalesce("n", F.lit(1)).alias("n"))
+    asked = table(asked.mapInArrow(probes, "id long, vec array<double>, list int, early boolean"))
+    load = asked.groupBy("list").agg(F.count_if("early").alias("a"), F.count_if(~F.col("early")).alias("b")).collect()  # a row a list
+    load = {r.list: (r.a, r.b) for r in load}
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    stored = placed.join(cuts, "list").withColumn("block", deal("rows", 1)).select("*", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"))
-    asked = asked.join(cuts, "list").withColumn("ask", deal("asks", 2)).select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("block"))
     key = ["list", "block", "ask"]
 
+    def met(asked, part):
+        """The best of each meeting of a block of a list with a block of its queries (id, vec, list, limit)."""
+        cuts = [(i, math.ceil(n / BLOCK_ROWS), math.ceil(load[i][part] / BLOCK_QUERIES)) for i, n in count.items() if load.get(i, (0, 0))[part]]
+        cuts = F.broadcast(spark.createDataFrame(cuts, "list int, rows int, asks int"))  # a row a list
+        stored = placed.join(cuts, "list").withColumn("block", deal("rows", 1)).select("*", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"))
+        asked = asked.join(cuts, "list").withColumn("ask", deal("asks", 2)).select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("block"))
+        return stored.select(*key, "id", "vec").groupBy(*key).cogroup(asked.select(*key, "id", "vec", "limit").groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
+
     def search(t, u):
         if not t.num_rows or not u.num_rows:
             return _FOUND.empty_table()
         x, q = _matrix(t.column("vec")), _matrix(u.column("vec"))
         ids, own = t.column("id").to_numpy(), u.column("id").to_numpy()
+        limit = (q * q).sum(1) + shared.value.top - 2 * u.column("limit").to_numpy()
+        limit += 1e-9 * (1 + np.abs(limit))
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
         found, rx = [], shared.value.stored(x)
         for a in range(0, len(q), 256):
             part = q[a : a + 256]
-            i, j, s = scan(x, ids, rx, part, own[a : a + 256], shared.value.asked(part), k)
+            i, j, s, _ = scan(x, ids, rx, part, own[a : a + 256], shared.value.asked(part), k, np.where(np.isnan(limit[a : a + 256]), np.inf, limit[a : a + 256]))
             found.append(pa.table([pa.array(own[a : a + 256][i]), pa.array(j), pa.array(s)], schema=_FOUND))
         return pa.concat_tables(found)
 
-    found = stored.select(*key, "id", "vec").groupBy(*key).cogroup(asked.select(*key, "id", "vec").groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda found: found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    early = table(best(met(asked.filter("early").withColumn("limit", F.lit(float("-inf"))), 0)))
+    bounds = early.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("limit"))
+    later = asked.filter("not early").join(bounds, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("-inf"))))
+    found = early.drop("rank").unionByName(met(later, 1))
+    return best(found).select("query_id", "rank", "vec_id", "score")

@@ -87,6 +87,40 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_scan_abandons_and_keeps_the_nearest():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((5000, 64)) * 0.9 ** np.arange(64)
+    x[200:260] = x[200]  # ties
+    q = x[rng.choice(5000, 50, replace=False)] + 0.05 * rng.standard_normal((50, 64))
+    index = ann.Index(x[:1000], 8, float((x * x).sum(1).max()))
+    own, rx, rq, ids = np.full(50, -1), index.stored(x), index.asked(q), np.arange(5000)
+    own[:5] = [3, 200, 201, 7, 9]
+    scores = np.zeros((50, 5000))
+    for c in range(64):
+        scores += q[:, c : c + 1] * x[None, :, c]
+    scores[np.arange(5), own[:5]] = -np.inf
+    want = [set(np.lexsort((ids, -s))[:10].tolist()) for s in scores]
+    kth = np.sort(scores, axis=1)[:, -10]
+    far = (q * q).sum(1) + index.top - 2 * kth
+    reads = []
+    for limit in (None, far * (1 + 1e-9)):
+        i, j, s, read = ann.scan(x, ids, rx, q, own, rq, 10, limit)
+        got = [set(j[i == k].tolist()) for k in range(50)]
+        assert sum(len(a & b) for a, b in zip(got, want)) >= 0.97 * 500 and all(len(g) <= 10 for g in got)
+        assert all(abs(v - scores[a, b]) < 1e-12 for a, b, v in zip(i, j, s))
+        reads.append(read / (50 * 5000 * 65))
+    assert reads[0] < 0.75 and reads[1] < 0.65, reads
+
+
+def test_nearest_with_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 8))
+    data = [(i % 100 if i < 200 else 0, v.tolist()) for i, v in enumerate(x)]  # id 0 has 102 rows, others two
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = ann.nearest(frame, frame.filter("vec_id in (0, 20)"), k=15).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {0: 15, 20: 15}
+
+
 def test_mixing(docs, empty, rows):
     got = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
     assert len(got) == len(rows)
