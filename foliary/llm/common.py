@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Where it is unset, a temporary one, if driver and
+    executors are one process; else RuntimeError, as each machine would write to its own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="foliary-")
@@ -54,6 +58,22 @@ def drop(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes bytes to a file in the shared folder, unless it is there, and gives its path."""
+    jvm = spark.sparkContext._jvm
+    path = f"{shared_dir(spark).rstrip('/')}/foliary/{name}"
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+        out = fs.create(part)
+        for at in range(0, len(data), 8 << 20):
+            out.write(bytearray(data[at : at + (8 << 20)]))
+        out.close()
+        fs.rename(part, p)
+    return path
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so that further columns of the input can't clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

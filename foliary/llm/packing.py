@@ -13,17 +13,20 @@ from pyspark.sql import functions as F
 from .common import pick, slices, table
 from .tokens import byte_bpe_path, encoder
 
-LOT = 4096
+#: Sequences in a lot, and pieces in it for each of them at most.
+LOT, PIECES = 1024, 256
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_ROWS = _PIECES.append(pa.field("row", pa.int64()))
 
 
 def pieces(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32)``: a document's ids, then id 0; only a document of more than
-    ``size`` ids is cut, into full pieces but for the first. A null or empty text is the id 0 alone."""
+    """``(doc_id, piece, start, length, ids_crc32, row)``: a document's ids, then id 0; only a document of more than
+    ``size`` ids is cut, into full pieces but for the first. A null or empty text is the id 0 alone. ``row`` counts the
+    documents of a task: it tells equal rows apart where they are dealt."""
 
     def run(batches):
-        enc = encoder(path)
+        enc, row = encoder(path), 0
         for b in slices(batches, 4 << 20):
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -31,11 +34,12 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id",
                 ids = np.array([*enc.ids(text), 0] if text else [0], "<u4")
                 at, k, end = 0, 0, (len(ids) - 1) % size + 1
                 while at < len(ids):
-                    out.append((doc, k, at, end - at, zlib.crc32(ids[at:end].tobytes())))
+                    out.append((doc, k, at, end - at, zlib.crc32(ids[at:end].tobytes()), row))
                     at, k, end = end, k + 1, end + size
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECES)], schema=_PIECES)
+                row += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ROWS)], schema=_ROWS)
 
-    return pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).mapInArrow(run, _DDL)
+    return pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).mapInArrow(run, _DDL + ", row long")
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
@@ -97,8 +101,15 @@ def _empty(bins, fill, lengths, size, donor, live) -> bool:
     return True
 
 
+def _few(items, lengths) -> list[int]:
+    """At most two items of a length, shortest first: others could take no other part in a step. Bins hold few
+    different lengths, as these sum to a bin."""
+    out = sorted(items, key=lambda i: lengths[i])
+    return [i for k, i in enumerate(out) if k < 2 or lengths[out[k - 2]] < lengths[i]]
+
+
 def _step(bins, fill, lengths, size, donor, others):
-    mine = sorted(bins[donor], key=lambda i: -lengths[i])
+    mine = _few(bins[donor], lengths)[::-1]
     for i in mine:  # a move into the bin it fills best
         fits = [k for k in others if lengths[i] <= size - fill[k] and fill[k] + lengths[i] > fill[donor] - lengths[i]]
         if fits:
@@ -108,7 +119,7 @@ def _step(bins, fill, lengths, size, donor, others):
         room = size - fill[k]
         if fill[k] < fill[donor]:
             continue
-        theirs = sorted(bins[k], key=lambda i: lengths[i])
+        theirs = _few(bins[k], lengths)
         for i in mine:
             for x, j in enumerate(theirs):
                 gain = lengths[i] - lengths[j]
@@ -139,14 +150,16 @@ def pack_lot(lengths: list[int], size: int) -> list[list[int]]:
 def pack(parts: DataFrame, size: int = 2048, lot: int = LOT) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to piece rows with a ``length`` of at most ``size``.
 
-    Pieces are dealt at random into lots of about ``lot``, each packed by itself. A lot loses less than a bin against
-    one packing of all pieces where its pieces fill the others, so about one sequence in some thousands is lost, and
-    memory and time of a task don't depend on the number of documents. Repeated rows are packed one by one.
+    Pieces are dealt at random into lots of tokens for about ``lot`` sequences (and ``PIECES`` times as many pieces at
+    most), each packed by itself. A lot loses less than a bin against one packing of all pieces where its pieces fill
+    the others: less than one sequence in ``lot``, whatever the lengths, and memory and time of a task don't depend
+    on the number of documents. Repeated rows are packed one by one; a column ``row`` spreads them over the lots.
     """
-    total = parts.count()
-    lots = max(1, math.ceil(total / lot))
-    names = parts.columns
-    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(lots)).cast("long")
+    tokens, n = parts.agg(F.sum("length"), F.count("*")).first()
+    lots = max(1, math.ceil((tokens or 0) / (lot * size)), math.ceil(n / (lot * PIECES)))
+    names = [f.name for f in _PIECES]
+    spread = [c for c in ("row",) if c in parts.columns]
+    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", *spread), F.lit(lots)).cast("long")
     schema = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(k, t):
@@ -161,7 +174,7 @@ def pack(parts: DataFrame, size: int = 2048, lot: int = LOT) -> DataFrame:
                 at += lengths[i]
         return t.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).cast(schema)
 
-    return parts.withColumn("lot", key).groupBy("lot").applyInArrow(run, _DDL + ", sequence_id long, offset long")
+    return parts.withColumn("lot", key).select("lot", *names).groupBy("lot").applyInArrow(run, _DDL + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, size: int = 2048, lot: int = LOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -74,27 +74,36 @@ def _unfilter(rows: np.ndarray, step: int) -> np.ndarray:
 
 
 def decode(png: bytes) -> np.ndarray:
-    """The samples of an 8-bit PNG without interlacing or palette. Every chunk's checksum is tested."""
+    """The samples of an 8-bit PNG without interlacing or palette. Every chunk's checksum is tested; whatever is damaged
+    or missing raises ValueError."""
     if png[:8] != _SIGN:
         raise ValueError("not a PNG")
-    at, head, body = 8, None, []
-    while at < len(png):
+    at, head, body, ended = 8, None, [], False
+    while at < len(png) and not ended:
+        if len(png) < at + 12:
+            raise ValueError("cut inside a chunk")
         (n,), kind = struct.unpack_from(">I", png, at), png[at + 4 : at + 8]
         data = png[at + 8 : at + 8 + n]
-        if len(data) < n or struct.unpack_from(">I", png, at + 8 + n)[0] != zlib.crc32(kind + data):
+        if len(png) < at + 12 + n or struct.unpack_from(">I", png, at + 8 + n)[0] != zlib.crc32(kind + data):
             raise ValueError(f"chunk {kind!r} is damaged")
         if kind == b"IHDR":
+            if n != 13:
+                raise ValueError("a header of the wrong length")
             head = struct.unpack(">IIBBBBB", data)
         elif kind == b"IDAT":
             body.append(data)
-        elif kind == b"IEND":
-            break
+        ended = kind == b"IEND"
         at += 12 + n
+    if not ended:
+        raise ValueError("the end is missing")
     if head is None or head[2] != 8 or head[3] not in _SAMPLES or head[4:] != (0, 0, 0):
         raise ValueError("only 8-bit images without palette and interlacing")
     w, h, _, colour, *_ = head
     step = _SAMPLES[colour]
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
+    try:
+        raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
+    except zlib.error as e:
+        raise ValueError("the image data are damaged") from e
     if len(raw) != h * (w * step + 1):
         raise ValueError("the image data have the wrong length")
     out = _unfilter(raw.reshape(h, w * step + 1), step)
@@ -144,13 +153,13 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-_FEATURES = [("payload_bytes", "long", pa.int64()), ("payload_sha256", "string", pa.string()), ("tail_crc32", "long", pa.int64()), ("media_bytes", "long", pa.int64()), ("media_sha256", "string", pa.string()), ("feature", "string", pa.string())]
+_FEATURES = [("payload_bytes", "long", pa.int64()), ("payload_sha256", "string", pa.string()), ("tail_crc32", "long", pa.int64()), ("media_bytes", "long", pa.int64()), ("media_sha256", "string", pa.string()), ("feature", "string", pa.string()), ("damage", "string", pa.string())]
 
 
 def media_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", carry: str = "n_bytes") -> DataFrame:
     """Reads the stored images back and describes them: length, SHA-256 and the CRC of the last 64 bytes of the
-    samples, length and SHA-256 of the stored form, and the cosine hash as 16 hexadecimal digits. A null image gives
-    nulls; a damaged one fails the query."""
+    samples, length and SHA-256 of the stored form, and the cosine hash as 16 hexadecimal digits. ``damage`` says what is
+    wrong with an image that can't be read, whose samples then have no features; a null image gives nulls."""
     schema = pa.schema([("doc_id", pa.int64()), (carry, pa.int64()), *[(n, k) for n, _, k in _FEATURES]])
 
     def run(batches):
@@ -160,9 +169,13 @@ def media_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "m
                 if png is None:
                     rows.append((None,) * len(_FEATURES))
                     continue
-                pixels = decode(png)
+                try:
+                    pixels = decode(png)
+                except ValueError as e:
+                    rows.append((None, None, None, len(png), hashlib.sha256(png).hexdigest(), None, str(e)))
+                    continue
                 raw = pixels.tobytes()
-                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(png), hashlib.sha256(png).hexdigest(), f"{dct_hash(pixels):016x}"))
+                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(png), hashlib.sha256(png).hexdigest(), f"{dct_hash(pixels):016x}", None))
             cols = [pa.array(c, k) for c, (_, _, k) in zip(zip(*rows), _FEATURES)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], schema=schema)
 

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LOT = 4096
-
-
 def difference(parts: list[tuple[int, ...]]) -> tuple[tuple[int, ...], list[list[int]]]:
     """Karmarkar-Karp differencing of partial partitions, each a tuple of k subset sums: the two with the largest
     spread are combined, the largest subset of one with the smallest of the other, until one is left. Gives its sums
@@ -47,28 +44,22 @@ def difference(parts: list[tuple[int, ...]]) -> tuple[tuple[int, ...], list[list
 
 
 def differenced(sizes: list[int], shards: int) -> list[int]:
-    """The subset of each size. Lots of bounded length are differenced first, their partial partitions then."""
+    """The subset of each size."""
     if not sizes:
         return []
-    tops, places, starts = [], [], range(0, len(sizes), LOT)
-    for at in starts:
-        sums, place = difference([(n,) + (0,) * (shards - 1) for n in sizes[at : at + LOT]])
-        tops.append(sums)
-        places.append(place)
-    _, over = difference(tops)
-    return [over[k][p[0]] for k, lot in enumerate(places) for p in lot]
+    return [p[0] for p in difference([(n,) + (0,) * (shards - 1) for n in sizes])[1]]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", whole: int = 64, groups_a_lot: int = 100_000) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", whole: int = 64, groups_a_lot: int = 50_000) -> DataFrame:
     """``(doc_id, size, text_crc32, shard, slot)`` for each row: sizes (UTF-8 bytes of the text, null as empty, plus
     1) sum to near equal shards, equal texts share one, slots of a shard count from 0 without gaps.
 
     A group of equal texts stays whole unless it holds more bytes than a shard's fair share; such a group, fewer than
     ``shards`` of them, is dealt by a hash of the id into pieces of one part in ``whole`` of that. Slots of a group
     with more than one part in ``whole`` of a shard's bytes or rows are counted in as many chunks, so that no task
-    holds it; there are less than ``2 * whole * shards`` such groups, whatever the input. Groups are dealt at random
-    into lots, each lot is differenced in one task to a partial partition, and only these (``shards`` sums a lot, and
-    the chunks' counts) meet on the driver to be
+    holds it; there are less than ``2 * whole * shards`` such groups, whatever the input. Up to ``groups_a_lot`` groups
+    are differenced in one task as they are. More are dealt at random into lots of that length, each lot gives a partial
+    partition, and only these (``shards`` sums for each lot, and the chunks' counts) meet on the driver to be
     differenced in turn. Equal ids and texts get slots in any order; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -85,7 +76,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     rows = rows.join(F.broadcast(hot), "d", "left").withColumn("chunk", chunk)
     rows = rows.withColumn("piece", F.when(F.col("split"), F.col("chunk")).otherwise(F.lit(0)))
     rows = rows.withColumn("sub", F.when(F.col("pieces").isNull(), F.lit(b"")).otherwise(F.col("d"))).drop("pieces", "split")
-    lots = min(4096, max(16, math.ceil((distinct or 0) / groups_a_lot)))
+    lots = max(1, math.ceil((distinct or 0) / groups_a_lot))
     rows = table(rows.withColumn("lot", F.pmod(F.xxhash64("d", "piece"), F.lit(lots)).cast("int")))
     fine = table(rows.groupBy("lot", "d", "piece", "sub", "chunk").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
     sized = fine.groupBy("lot", "d", "piece").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))

@@ -2,14 +2,17 @@
 
 Suffixes are sampled, not dropped: a suffix is indexed where its first ``K`` bytes hash lowest within some window of
 ``match`` bytes (a minimizer). Equal windows have equal minimizers, so two documents that share a string of ``match``
-bytes share an indexed suffix inside it. What the index reports is then confirmed on the bytes of the windows.
+bytes share an indexed suffix inside it. What the index reports is then confirmed on the bytes of whole windows.
 
 1. Texts are dealt once into batches by a hash of their id; later steps read the same exchange again.
 2. Each batch sends its suffix array (sorted suffix keys, cut into key ranges, delta-coded), not its texts.
 3. For each key range the batches' arrays enter a family of levels: a new array is merge-scanned against every level,
    then levels of equal size merge, so an entry takes part in a logarithmic number of merges.
-4. A batch gets back the keys that more than one document has. Windows whose suffix is shared are sent with their
-   bytes, equal ones once a batch, and grouped by key; what a smaller document has of them comes back.
+4. A batch gets back the keys that more than one document has, and which of them more than HOT batches have. Windows
+   whose suffix is shared are sent with their bytes, equal ones once a batch, and grouped by key; those of a hot
+   suffix, which common lines bring into very many documents with other bytes around, go one by one and by a hash of
+   all their bytes, so that no key range grows with the number of documents. Windows are compared byte by byte, and
+   what a smaller document has of them comes back.
 5. Each document drops the bytes of the windows that a smaller document has.
 """
 
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import table, utf8
 
-K = 20
+K, HOT = 20, 16
 _P = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -101,32 +105,41 @@ def _unpack_sorted(blob: bytes) -> np.ndarray:
 
 class Levels:
     """Sorted suffix keys of the batches so far. ``add`` scans a new array against every level and marks what both
-    have on both sides, then merges levels while two have about the same size."""
+    have on both sides, then merges levels while two have about the same size. A level also counts the batches that
+    have a key."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, keys: np.ndarray, shared: np.ndarray) -> None:
         shared = shared.copy()
-        for old, known in self.levels:
+        for old, known, _ in self.levels:
             at = np.minimum(np.searchsorted(old, keys), len(old) - 1)
             hit = old[at] == keys
             shared |= hit
             known[at[hit]] = True
         if len(keys):
-            self.levels.append((keys, shared))
+            self.levels.append((keys, shared, np.ones(len(keys), np.int32)))
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            both, mark = np.concatenate((a, b)), np.concatenate((x, y))
-            order = np.argsort(both, kind="stable")
-            both, mark = both[order], mark[order]
-            first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-            self.levels.append((both[first], np.logical_or.reduceat(mark, first)))
+            self.levels.append(_merged(self.levels.pop(), self.levels.pop()))
 
     def shared(self) -> np.ndarray:
-        found = [k[s] for k, s in self.levels if len(k)]
+        found = [k[s] for k, s, _ in self.levels if len(k)]
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
+    def hot(self, most: int) -> np.ndarray:
+        """The keys that more than ``most`` batches have."""
+        whole = reduce(_merged, self.levels) if self.levels else (np.empty(0, np.uint64), None, np.empty(0, np.int32))
+        return whole[0][whole[2] > most]
+
+
+def _merged(x, y):
+    keys, mark, count = (np.concatenate(p) for p in zip(x, y))
+    order = np.argsort(keys, kind="stable")
+    keys, mark, count = keys[order], mark[order], count[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.logical_or.reduceat(mark, first), np.add.reduceat(count, first)
+
 
 def _has(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
@@ -171,26 +184,33 @@ def _runs(data: np.ndarray, match: int, shared: np.ndarray):
     return list(zip(ok[cut].tolist(), size.tolist(), p.tolist(), _key(h[p]).tolist()))
 
 
-def _contexts(rows, match: int, shared: np.ndarray):
-    """Distinct contexts of a batch, in the order of first sight: {(key, bytes, windows): number}, the smallest
-    document of each, and for each document its (context, first window)."""
+def _contexts(rows, match: int, known: tuple[np.ndarray, np.ndarray]):
+    """Distinct contexts of a batch, in the order of first sight: {(key, place of the suffix, bytes): number}, the
+    smallest document of each, and for each document its (context, first window). ``known`` holds the shared and the
+    hot keys; windows of a hot suffix are contexts of their own, keyed by their own hash."""
+    shared, hot = known
     number: dict[tuple, int] = {}
     least: list[int] = []
     uses = []
     for rank, i, data in rows:
         own = []
         raw = data.tobytes()
-        for a, n, p, key in _runs(data, match, shared):
-            c = number.setdefault((key, p - a, raw[a : a + n + match - 1]), len(number))
-            if c == len(least):
-                least.append(rank)
-            own.append((c, a))
+        runs = _runs(data, match, shared)
+        very = _has(hot, np.array([r[3] for r in runs], np.uint64)).tolist() if len(hot) else [False] * len(runs)
+        whole = _windows(data, match) if any(very) else None
+        for (a, n, p, key), alone in zip(runs, very):
+            parts = [(a + w, 1, h, 0) for w, h in enumerate(whole[a : a + n].tolist())] if alone else [(a, n, key, p - a)]
+            for at, windows, k, place in parts:
+                c = number.setdefault((k, place, raw[at : at + windows + match - 1]), len(number))
+                if c == len(least):
+                    least.append(rank)
+                own.append((c, at))
         uses.append((rank, i, own))
     return number, least, uses
 
 
 _ARRAYS = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("keys", pa.binary()), ("many", pa.binary())])
-_SHARED = pa.schema([("batch", pa.int32()), ("keys", pa.binary())])
+_SHARED = pa.schema([("batch", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())])
 _ASKED = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("context", pa.binary()), ("least", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
 _ANSWERS = pa.schema([("batch", pa.int32()), ("runs", pa.binary())])
 _DDL = {pa.int32(): "int", pa.int64(): "bigint", pa.binary(): "binary", pa.string(): "string"}
@@ -230,7 +250,7 @@ def _arrays(b: int, rows, match: int, shards: int) -> pa.Table:
     return pa.table(out, schema=_ARRAYS)
 
 
-def _scan(t: pa.Table) -> pa.Table:
+def _scan(t: pa.Table, most: int = HOT) -> pa.Table:
     """Enters the arrays of one key range into the family of levels; gives each batch its shared keys."""
     family, runs = Levels(), []
     t = t.sort_by("batch")
@@ -238,24 +258,25 @@ def _scan(t: pa.Table) -> pa.Table:
         keys = _unpack_sorted(blob)
         family.add(keys, np.unpackbits(np.frombuffer(many, np.uint8))[: len(keys)].astype(bool))
         runs.append((b, blob))
-    shared = family.shared()
-    out: dict = {"batch": [], "keys": []}
+    shared, hot = family.shared(), family.hot(most)
+    out: dict = {"batch": [], "keys": [], "hot": []}
     for b, blob in runs:
         keys = _unpack_sorted(blob)
         keys = keys[_has(shared, keys)]
         if len(keys):
             out["batch"].append(b)
             out["keys"].append(_pack_sorted(keys))
+            out["hot"].append(_pack_sorted(keys[_has(hot, keys)]))
     return pa.table(out, schema=_SHARED)
 
 
-def _known(extra: pa.Table) -> np.ndarray:
-    found = [_unpack_sorted(x) for x in extra.column("keys").to_pylist() if x]
-    return np.sort(np.concatenate(found)) if found else np.empty(0, np.uint64)
+def _known(extra: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    found = [[_unpack_sorted(x) for x in extra.column(c).to_pylist() if x] for c in ("keys", "hot")]
+    return tuple(np.sort(np.concatenate(x)) if x else np.empty(0, np.uint64) for x in found)
 
 
-def _ask(b: int, rows, match: int, shards: int, shared: np.ndarray) -> pa.Table:
-    number, least, _ = _contexts(rows, match, shared)
+def _ask(b: int, rows, match: int, shards: int, known: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    number, least, _ = _contexts(rows, match, known)
     by: dict[int, list] = {}
     to = _split(np.array([k for k, _, _ in number], np.uint64), shards).tolist()
     for s, ((_, _, raw), c) in zip(to, number.items()):
@@ -272,6 +293,28 @@ def _ask(b: int, rows, match: int, shards: int, shared: np.ndarray) -> pa.Table:
     return pa.table(out, schema=_ASKED)
 
 
+def _same(data: np.ndarray, match: int, start: np.ndarray, h: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Where, among windows sorted by hash, others follow: windows of one hash are compared byte by byte, and where
+    their bytes differ they are sorted by these (``start`` and ``order`` are rearranged)."""
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    words = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+    size = np.diff(np.append(first, len(h)))
+    differ = np.zeros(len(h), bool)
+    for off in [*range(0, match - 7, 8), match - 8]:
+        w = words[start + off]
+        differ |= w != np.repeat(w[first], size)
+    if not differ.any():
+        return first
+    cuts = [first]
+    for g in np.unique(np.searchsorted(first, np.flatnonzero(differ), side="right") - 1).tolist():
+        a, z = int(first[g]), int(first[g] + size[g])
+        raw = [data[s : s + match].tobytes() for s in start[a:z].tolist()]
+        by = sorted(range(z - a), key=raw.__getitem__)
+        start[a:z], order[a:z] = start[a:z][by], order[a:z][by]
+        cuts.append(np.array([a + k for k in range(1, z - a) if raw[by[k]] != raw[by[k - 1]]], np.int64))
+    return np.sort(np.concatenate(cuts))
+
+
 def _answer(t: pa.Table, match: int) -> pa.Table:
     """For each context of one key range the runs of windows that a smaller document than the batch's own has."""
     size, least, context = (_longs(t.column(c).to_pylist()) for c in ("size", "least", "context"))
@@ -280,9 +323,10 @@ def _answer(t: pa.Table, match: int) -> pa.Table:
     n = size - match + 1
     which = np.repeat(np.arange(len(size)), n)
     place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    h = _windows(data, match)[np.repeat(np.cumsum(size) - size, n) + place]
+    start = np.repeat(np.cumsum(size) - size, n) + place
+    h = _windows(data, match)[start]
     order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+    first = _same(data, match, start[order], h[order], order)
     low = np.minimum.reduceat(least[which][order], first)
     best = np.empty(len(h), np.int64)
     best[order] = np.repeat(low, np.diff(np.append(first, len(h))))
@@ -298,9 +342,9 @@ def _answer(t: pa.Table, match: int) -> pa.Table:
     return pa.table(out, schema=_ANSWERS)
 
 
-def _covered(rows, match: int, shared: np.ndarray, runs: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+def _covered(rows, match: int, known: tuple[np.ndarray, np.ndarray], runs: np.ndarray) -> dict[int, list[tuple[int, int]]]:
     """For each row the byte ranges to remove, not merged."""
-    number, least, uses = _contexts(rows, match, shared)
+    number, least, uses = _contexts(rows, match, known)
     windows = [len(raw) - match + 1 for _, _, raw in number]
     runs = runs[np.argsort(runs[:, 0], kind="stable")]
     at = np.searchsorted(runs[:, 0], np.arange(len(least) + 1)).tolist()
@@ -341,7 +385,7 @@ def _clean(t: pa.Table, texts, gone, covered, match: int, schema: pa.Schema, car
     return pa.table(out | {f"c{k}": t.column(f"c{k}") for k in range(len(carry))}, schema=schema)
 
 
-def remove_repeats(docs: DataFrame, match: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), keep_text: bool = False, batch_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, match: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), keep_text: bool = False, batch_bytes: int = 8 << 20, hot: int = HOT) -> DataFrame:
     """One row for each row of ``docs``: ``id, n_bytes, n_removed, n_spans, kept_sha256``, the columns named in
     ``carry`` and, with ``keep_text``, ``kept``: the text without each byte covered by a string of ``match``
     bytes that also starts in a row with a smaller id. Repeats inside one document stay. In ``kept`` a character that
@@ -377,7 +421,7 @@ def remove_repeats(docs: DataFrame, match: int = 50, id_col: str = "doc_id", tex
         return _arrays(key[0].as_py(), _texts(t, extra)[0], match, shards)
 
     def scan(key, t):
-        return _scan(t)
+        return _scan(t, hot)
 
     def ask(key, t, extra):
         return _ask(key[0].as_py(), _texts(t, extra)[0], match, shards, _known(extra))
@@ -388,11 +432,11 @@ def remove_repeats(docs: DataFrame, match: int = 50, id_col: str = "doc_id", tex
     indexed = dealt.cogroup(copy).applyInArrow(arrays, _ddl(_ARRAYS))
     shared = indexed.groupBy("shard").applyInArrow(scan, _ddl(_SHARED))
     none = "cast(null as binary)"
-    given = copies.select("batch", "copies", F.expr(f"{none} as keys"), F.expr(f"{none} as runs"))
-    given = given.unionByName(shared.select("batch", F.expr("cast(null as array<struct<rank: bigint, d: binary>>) as copies"), "keys", F.expr(f"{none} as runs")))
+    given = copies.select("batch", "copies", *[F.expr(f"{none} as {c}") for c in ("keys", "hot", "runs")])
+    given = given.unionByName(shared.select("batch", F.expr("cast(null as array<struct<rank: bigint, d: binary>>) as copies"), "keys", "hot", F.expr(f"{none} as runs")))
     asked = dealt.cogroup(given.groupBy("batch")).applyInArrow(ask, _ddl(_ASKED))
     answers = asked.groupBy("shard").applyInArrow(answer, _ddl(_ANSWERS))
-    given = given.unionByName(answers.select("batch", F.expr("cast(null as array<struct<rank: bigint, d: binary>>) as copies"), F.expr(f"{none} as keys"), "runs"))
+    given = given.unionByName(answers.select("batch", F.expr("cast(null as array<struct<rank: bigint, d: binary>>) as copies"), F.expr(f"{none} as keys"), F.expr(f"{none} as hot"), "runs"))
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * keep_text
     kinds = dict(docs.select(*others).dtypes)
     ddl = ", ".join([f"{n} {_DDL[k]}" for n, k in fields] + [f"c{k} {kinds[c]}" for k, c in enumerate(carry)])

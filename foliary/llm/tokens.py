@@ -27,10 +27,24 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _ranked(spec: dict) -> bool:
+    """Whether the file is a byte-level BPE whose ids are the ranks of its merges and whose words are split as
+    ``_SPLIT`` does, so that ids may come from the vocabulary alone."""
+    model, words = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    split = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space")
+    if not plain or not split:
+        return False
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [model["vocab"].get(a + b) for a, b in merges]
+    return None not in made and made == sorted(set(made)) and set(_byte_of()) <= set(model["vocab"])
+
+
 class Encoder:
     """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` with special tokens' strings read
-    as ordinary text. Plain texts go through the faster library with the same vocabulary: its merges are in the order
-    of the ids, so the ids are ranks. Texts with other characters or very long words go through ``tokenizers``."""
+    as ordinary text. Plain texts go through the faster library with the same vocabulary if the file's merges are in
+    the order of the ids and its other settings agree, which is tested here: the ids are ranks then. Texts with other
+    characters or very long words, and every text for another file, go through ``tokenizers``."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -43,12 +57,12 @@ class Encoder:
         special = {x["content"] for x in spec.get("added_tokens", ())}
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.fast = tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.fast = tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}) if _ranked(spec) else None
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         self.lengths[list(ranks.values())] = [len(t) for t in ranks]
 
     def ids(self, text: str) -> list[int]:
-        if _PLAIN.search(text) or max(map(len, text.split()), default=0) > _LONG_WORD:
+        if self.fast is None or _PLAIN.search(text) or max(map(len, text.split()), default=0) > _LONG_WORD:
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

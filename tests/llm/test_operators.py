@@ -60,9 +60,19 @@ def test_url_rules(spark):
 
 
 def test_digest_collisions_are_confirmed():
-    array = url_filter.DigestArray([b"a", b"b", b"c"], digest=lambda k: 7)
+    block = lambda keys, **more: np.frombuffer(url_filter.DigestArray.build(keys, **more), np.uint8)
+    array = url_filter.DigestArray(block([b"a", b"b", b"c"], digest=lambda k: 7), digest=lambda k: 7)
     assert array.find([b"c", b"x", b"a", b"b"]).tolist() == [2, -1, 0, 1]
-    assert url_filter.DigestArray([]).find([b"a"]).tolist() == [-1]
+    assert url_filter.DigestArray(block([])).find([b"a"]).tolist() == [-1]
+
+
+def test_keys_of_a_long_host_are_bounded_by_the_rules(spark):
+    host = b"a." * 500_000 + b"example.com"
+    assert url_filter.host_suffixes(host, 11) == [b"example.com", b"com"]
+    assert url_filter.host_suffixes(b"com", 11) == [b"com"] and url_filter.host_suffixes(b"", 11) == [] and url_filter.host_suffixes(b"xcom", 3) == []
+    urls = [f"http://{host.decode()}/en/1", "http://" + "b." * 300 + "net/de/1"]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filter.RULES).collect()
+    assert {r.page_id: r.rule for r in got} == {0: "com/en/", 1: "net/de/"}
 
 
 def test_nearest(spark):
@@ -339,6 +349,32 @@ def test_equal_texts_share_a_shard(spark):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_groups_stay_whole_and_shards_tight(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()
+    texts = {r.doc_id: r.text or "" for r in docs}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = sharding.shard_by_bytes(frame).collect()
+    shards = {}
+    for r in rows:
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert len(rows) == len(texts) and all(len(s) == 1 for s in shards.values())
+    sums = [sum(r.size for r in rows if r.shard == k) for k in range(8)]
+    groups = {}
+    for t in texts.values():
+        groups[t] = groups.get(t, 0) + len(t.encode()) + 1
+    best = sharding.difference([(n,) + (0,) * 7 for n in sorted(groups.values(), reverse=True)])[0]
+    assert max(sums) - min(sums) <= max(1, max(best) - min(best)) and sum(sums) == sum(best)
+
+
+def test_lots_of_groups_are_differenced_in_turn(spark):
+    rng = random.Random(6)
+    frame = spark.createDataFrame([(i, str(i) + "z" * rng.randrange(400)) for i in range(3000)], "doc_id long, text string")
+    rows = sharding.shard_by_bytes(frame, groups_a_lot=200).collect()
+    sums = [sum(r.size for r in rows if r.shard == k) for k in range(8)]
+    assert max(sums) - min(sums) <= 8
+
+
 def test_differencing_is_exact_and_tight():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 10_000) for _ in range(9000)]
@@ -372,6 +408,31 @@ def test_packing(docs, empty, rows):
     assert len(seen) <= -(-total // 2048) + 1 and packing.pack_documents(empty).count() == 0
 
 
+def test_short_and_equal_documents_fill_their_sequences(spark):
+    same = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(3).cast("long").alias("length"), F.lit(9).cast("long").alias("ids_crc32"), F.col("id").alias("row"))
+    got = packing.pack(same)
+    assert "row" not in got.columns and got.select("sequence_id").distinct().count() == 74  # 682 pieces a sequence
+    lots = packing.pack(same, lot=8).groupBy((F.col("sequence_id") / 2**32).cast("int").alias("lot")).count().collect()
+    assert len(lots) == 25 and max(r["count"] for r in lots) < 2 * min(r["count"] for r in lots)
+
+
+def test_packing_reaches_the_least_possible():
+    rng = random.Random(7)  # small lots against all ways to fill bins
+    for _ in range(60):
+        lengths, size = [rng.randrange(1, 10) for _ in range(9)], 10
+
+        def bins(rest, rooms):
+            if not rest:
+                return len(rooms)
+            out = 99
+            for k, room in enumerate(rooms):
+                if rest[0] <= room and room not in rooms[:k]:
+                    out = min(out, bins(rest[1:], (*rooms[:k], room - rest[0], *rooms[k + 1 :])))
+            return min(out, bins(rest[1:], (*rooms, size - rest[0]))) if len(rooms) < 8 else out
+
+        assert len(packing.pack_lot(lengths, size)) <= bins(sorted(lengths, reverse=True), ()) + 1
+
+
 def test_local_search_empties_bins():
     lengths = [6, 6, 4, 4, 3, 3, 2, 2, 5, 5]
     found = packing.local_search([[i] for i in range(len(lengths))], lengths, 10)
@@ -496,6 +557,49 @@ def test_token_spans(docs, empty, rows, rule):
     assert token_spans.section_tokens(empty).count() == 0
 
 
+def test_sections_and_fields_of_the_caller(spark):
+    enc = encoder(byte_bpe_path())
+    text = "Straße über 12 Wörter, naïve tokens here"
+    spans = [("b", 12, 22), ("a", 0, 6), ("over", 18, 99), ("none", 5, 5)]
+    frame = spark.createDataFrame([(1, text, spans), (2, "", spans), (3, None, None), (4, "x y", [])], "doc_id long, text string, own array<struct<name:string,start:long,end:long>>")
+    got = {}
+    for r in token_spans.section_tokens(frame, sections_col="own").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    rows = sorted(got[1], key=lambda r: r.section)
+    raw = text.encode()
+    assert [(r.name, raw[r.start : r.start + r.length].decode()) for r in rows] == [("a", text[:5]), ("none", ""), (None, text[5:12]), ("b", text[12:18]), ("over", text[18:])]
+    assert sum(r.tokens for r in rows) == len(enc.ids(text)) and rows[1].tokens == 0
+    assert sum(r.tokens for r in got[4]) == len(enc.ids("x y")) and [r.tokens for r in got[3]] == [0]
+    pair = spark.createDataFrame([(1, "a title", "the body of it"), (2, None, "only")], "doc_id long, title string, body string")
+    fields = {(r.doc_id, r.name): r for r in token_spans.field_tokens(pair, ("title", "body")).collect()}
+    assert fields[1, "title"].length == 7 and fields[1, "body"].start == 8 and fields[2, "title"].tokens == 0
+    assert sum(r.tokens for k, r in fields.items() if k[0] == 1) == len(enc.ids("a title\nthe body of it"))
+
+
+def test_token_spans_equal_the_offsets_of_the_slow_encoder(rows):
+    enc = encoder(byte_bpe_path())
+    for _, t, *_ in rows:
+        t = (t or "")[:2000]
+        ends = np.cumsum(enc.lengths[enc.ids(t)])
+        char = np.cumsum([0, *[len(c.encode()) for c in t]])
+        offsets = enc.slow.encode(t, add_special_tokens=False).offsets
+        assert len(offsets) == len(ends)
+        for (a, b), end in zip(offsets, ends):
+            assert char[b - 1] < end <= char[b] or a == b
+
+
+def test_an_unranked_vocabulary_goes_through_the_slow_encoder(tmp_path):
+    import json
+
+    spec = json.load(open(byte_bpe_path(), encoding="utf-8"))
+    spec["model"]["merges"][:2] = spec["model"]["merges"][1::-1]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    other = encoder(str(path))
+    assert other.fast is None and encoder(byte_bpe_path()).fast is not None
+    assert other.ids("that is the test") == other.slow.encode("that is the test", add_special_tokens=False).ids
+
+
 def test_png(docs, empty, rows):
     got = {r.doc_id: r for r in png_media.media_features(png_media.store_texts(docs)).collect()}
     for i, t, *_ in rows:
@@ -523,8 +627,28 @@ def test_png_filters_and_damage():
     assert (png_media._unfilter(filtered, 1) == pixels).all()
     png = bytearray(png_media.encode(pixels.astype(np.uint8)))
     png[60] ^= 1
-    with pytest.raises(ValueError):
-        png_media.decode(bytes(png))
+    good = png_media.encode(pixels.astype(np.uint8))
+    for bad in (bytes(png), good[:-12], good[:20], good[:40], good[:-3], b"", good.replace(b"IDAT", b"IDAX")):
+        with pytest.raises(ValueError):
+            png_media.decode(bad)
+
+
+def test_a_damaged_image_is_reported(spark):
+    good = png_media.encode(np.zeros((4, 64), np.uint8))
+    frame = spark.createDataFrame([(1, 0, bytearray(good)), (2, 0, bytearray(good[:-5])), (3, 0, None)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in png_media.media_features(frame).collect()}
+    assert got[1].payload_bytes == 256 and got[1].damage is None and got[3].media_bytes is None
+    assert got[2].payload_bytes is None and got[2].damage and got[2].media_bytes == len(good) - 5
+
+
+def test_hash_is_that_of_the_plain_cosine_transform():
+    rng = np.random.default_rng(3)
+    pixels = rng.integers(0, 256, (96, 64), np.uint8)
+    small = [[sum(int(pixels[y, x]) for y in range(3 * r, 3 * r + 3) for x in range(2 * c, 2 * c + 2)) / 6 for c in range(32)] for r in range(32)]
+    wave = lambda u, n: np.cos(np.pi * u * (2 * n + 1) / 64)
+    low = [round(sum(small[y][x] * wave(u, y) * wave(v, x) for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = np.median(low)
+    assert png_media.dct_hash(pixels) == int("".join("01"[int(x > middle)] for x in low), 2)
 
 
 def test_suffix_levels(docs, empty, rows):
@@ -547,6 +671,48 @@ def test_suffix_levels(docs, empty, rows):
     assert suffix_levels.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 3, 10**9])
+def test_a_common_line_in_all_documents(spark, hot):
+    rng = random.Random(5)
+    line = "this very line of a hundred bytes and more stands in each of the documents, be they short ones or not. "
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = [(text(rng.randrange(40)) + line[: rng.choice((60, 104))] + text(rng.randrange(90))).encode() for _ in range(300)]
+    texts[7] = texts[3][:70] + texts[5][-60:]
+    first = {}
+    for i, raw in enumerate(texts):
+        for k in range(len(raw) - 49):
+            first.setdefault(raw[k : k + 50], i)
+    frame = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.id: r.kept_sha256 for r in suffix_levels.remove_repeats(frame, batch_bytes=1 << 11, hot=hot).collect()}
+    for i, raw in enumerate(texts):
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 49):
+            if first[raw[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        assert got[i] == hashlib.sha256(bytes(x for x, g in zip(raw, gone) if not g)).hexdigest(), i
+
+
+def test_windows_of_one_hash_are_compared_by_bytes():
+    data = np.frombuffer(b"a" * 60 + b"b" * 60 + b"a" * 60, np.uint8)
+    start = np.array([0, 60, 120, 1, 61])
+    order = np.arange(5)
+    first = suffix_levels._same(data, 50, start, np.array([5, 5, 5, 9, 9], np.uint64), order)
+    groups = [sorted(order[a:z].tolist()) for a, z in zip(first, [*first[1:], 5])]
+    assert sorted(groups) == [[0, 2], [1], [3], [4]]
+
+
+def test_windows_of_a_common_line_do_not_gather():
+    rng = np.random.default_rng(1)
+    line = bytes(rng.integers(97, 122, 300, np.uint8))
+    rows = [(i, i, np.frombuffer(bytes(rng.integers(97, 122, 80, np.uint8)) + line + bytes(rng.integers(97, 122, 80, np.uint8)), np.uint8)) for i in range(400)]
+    keys = np.unique(np.concatenate([suffix_levels._key(h[at]) for h, at, _ in (suffix_levels.anchors(d, 50) for _, _, d in rows)]))
+    share = []
+    for hot in (keys[:0], keys):  # the largest part of the bytes that goes to one key range
+        sizes = [len(x) for x in suffix_levels._ask(0, rows, 50, 64, (keys, hot)).column("bytes").to_pylist()]
+        share.append(max(sizes) / sum(sizes))
+    assert share[1] < 0.03 < 0.1 < share[0], share
+
+
 def test_levels_merge_geometrically():
     rng, family, seen, twice = np.random.default_rng(4), suffix_levels.Levels(), set(), set()
     for _ in range(40):
