@@ -290,7 +290,7 @@ def gram_logs(distinct: DataFrame, model: tuple[DataFrame, DataFrame, float], or
     return reduce(DataFrame.unionByName, done)
 
 
-_SLICE, _SHARD = 16 << 20, 24 << 20
+_SLICE, _SHARD = 8 << 20, 24 << 20
 
 
 def _packed(batch: pa.RecordBatch) -> bytes:
@@ -301,7 +301,7 @@ def _packed(batch: pa.RecordBatch) -> bytes:
 
 
 def _sliced(batches, text_col: str):
-    """``(name, slice)``: rows of about 16 MB of text, named by a hash of their texts. Slices of equal texts may share a
+    """``(name, slice)``: rows of about 8 MB of text, named by a hash of their texts. Slices of equal texts may share a
     name: they ask for the same n-grams."""
     for b in slices(batches, _SLICE, text_col):
         own = xxhash.xxh64(seed=b.num_rows)
@@ -310,20 +310,24 @@ def _sliced(batches, text_col: str):
         yield own.intdigest() - (1 << 63), b
 
 
-def _text_hashes(texts: list[str], order: int):
-    """Pieces ``(hashes of the n-grams, places, number of the text of each)`` of a stream of texts, and its points."""
-    points, starts = _stream(texts, order)
-    ends = np.append(starts[1:], len(points))
-
-    def pieces():
+def _text_hashes(column: pa.Array, order: int):
+    """For pieces of a column's texts: the code points, the hashes of the n-grams, their places among the points, and
+    the row of each; a long text comes in several pieces. Null and empty texts have none."""
+    at = 0
+    for part in slices([pa.RecordBatch.from_arrays([column], names=["text"])], 1 << 20):
+        texts = part.column(0).to_pylist()
+        rows = np.array([at + i for i, t in enumerate(texts) if t], np.int64)
+        at += len(texts)
+        if not len(rows):
+            continue
+        points, starts = _stream([t for t in texts if t], order)
+        ends = np.append(starts[1:], len(points))
         for a in range(0, len(points), _CHUNK):
             h = _mix(_hashes(points[a : a + _CHUNK + order - 1], order)[order], order)
             place = np.arange(a, a + len(h))
             who = np.searchsorted(starts, place, side="right") - 1
             inside = place + order <= ends[who]
-            yield h[inside], place[inside], who[inside]
-
-    return points, pieces()
+            yield points, h[inside], place[inside], rows[who[inside]]
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -333,26 +337,23 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 _ASKED = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("grams", pa.string())])
 
 
-def _asked(texts: list[str], order: int, shards: int) -> list[tuple[int, np.ndarray, str]]:
+def _asked(column: pa.Array, order: int, shards: int) -> list[tuple[int, np.ndarray, str]]:
     """``(shard, sorted hashes, their n-grams in a row)`` of the distinct n-grams of a slice."""
-    points, pieces = _text_hashes(texts, order)
-    found = [np.unique(h, return_index=True) + (place,) for h, place, _ in pieces]
-    if not found:
-        return []
-    h, at = np.concatenate([x[0] for x in found]), np.concatenate([x[2][x[1]] for x in found])
-    h, first = np.unique(h, return_index=True)
-    at = at[first]
-    cut = np.searchsorted(_shard(h, shards), np.arange(shards + 1))
-    out = []
-    for k in np.flatnonzero(np.diff(cut)).tolist():
-        part = slice(cut[k], cut[k + 1])
-        grams = points[(at[part][:, None] + np.arange(order)).ravel()].tobytes().decode("utf-32-le", "surrogatepass")
-        out.append((k, h[part], grams))
-    return out
+    known, grams = np.empty(0, np.uint64), np.empty((0, order), np.uint32)
+    for points, h, place, _ in _text_hashes(column, order):
+        h, first = np.unique(h, return_index=True)
+        new = ~_in(known, h)
+        known = np.concatenate((known, h[new]))
+        grams = np.concatenate((grams, points[place[first[new]][:, None] + np.arange(order)]))
+        by = np.argsort(known)
+        known, grams = known[by], grams[by]
+    cut = np.searchsorted(_shard(known, shards), np.arange(shards + 1))
+    parts = [slice(cut[k], cut[k + 1]) for k in range(shards)]
+    return [(k, known[p], grams[p].tobytes().decode("utf-32-le", "surrogatepass")) for k, p in enumerate(parts) if p.stop > p.start]
 
 
 def score_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame, float], text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """As ``score``, for tables of any size. Rows are taken in slices of about 16 MB of text. A slice asks for its
+    """As ``score``, for tables of any size. Rows are taken in slices of about 8 MB of text. A slice asks for its
     distinct n-grams, dealt to shards by hash; a shard's distinct ones meet the model's counts (one join an order), and
     what the slice asked for comes back to its rows, which are summed up there. Only distinct n-grams of slices, their
     logs and the rows themselves, compressed, are shuffled. A task holds one slice, or one shard: the number of shards
@@ -365,8 +366,7 @@ def score_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame, float], t
 
     def ask(batches):
         for name, b in _sliced(batches, text_col):
-            parts = _asked([t for t in b.column(at).to_pylist() if t], order, shards)
-            for k, h, grams in parts:
+            for k, h, grams in _asked(b.column(at), order, shards):
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([k], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([grams], pa.string())], schema=_ASKED)
 
     def distinct(t):
@@ -403,17 +403,15 @@ def score_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame, float], t
         out = []
         for blob in t.column("rows").to_pylist():
             for b in pa.ipc.open_stream(blob):
-                texts = b.column(at).to_pylist()
-                full = [x for x in texts if x]
-                sums = np.zeros(len(full))
-                for h, _, who in _text_hashes(full, order)[1] if full else ():
+                sums = np.zeros(b.num_rows)
+                for _, h, _, who in _text_hashes(b.column(at), order):
                     log, missing = logs.get(h, 0.0)
                     if missing.any():
                         raise ValueError("the rows of a slice changed between two readings")
-                    sums += np.bincount(who, log, len(full))
-                means = iter(np.exp(-sums / np.array([len(x) + 1 for x in full])).tolist())
-                chars = pa.array([len(x or "") for x in texts], pa.int64())
-                out.append(pa.RecordBatch.from_arrays([*b.columns, chars, pa.array([next(means) if x else None for x in texts], pa.float64())], names=[f.name for f in fields]))
+                    sums += np.bincount(who, log, b.num_rows)
+                chars = np.array([len(x.as_py() or "") for x in b.column(at)], np.int64)
+                means = pa.array(np.exp(-sums / (chars + 1)), mask=chars == 0)
+                out.append(pa.RecordBatch.from_arrays([*b.columns, pa.array(chars), means], names=[f.name for f in fields]))
         return pa.Table.from_batches(out)
 
     asked = table(docs.mapInArrow(ask, "slice long, shard int, keys binary, grams string"))
@@ -452,7 +450,7 @@ def trusted(labels: DataFrame, held_out: int) -> tuple[DataFrame, DataFrame]:
 _FOUND = ("chars", "perplexity", "judged", "threshold", "keep")
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, prior: int = 60, held_out: int = 5, least: int = 50, order: int = ORDER, send: bool = False) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, prior: int = 60, held_out: int = 5, least: int = 50, order: int = ORDER, send: bool = False, send_ids: int = 1_000_000) -> DataFrame:
     """``docs`` (doc_id, text, lang and any others) with ``chars, perplexity, judged, threshold, keep``, which take the
     place of columns of these names.
 
@@ -467,7 +465,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, prior: in
     null, takes the figures of all; without any trusted text everything is kept. A null or empty text has no
     perplexity and is rejected. Repeated rows are judged alike; an empty table gives an empty result.
 
-    The model is joined on the cluster (``score_by_joins``), or sent to the rows with ``send``.
+    The model is joined on the cluster (``score_by_joins``), or sent to the rows with ``send``. Up to ``send_ids`` label
+    ids (8 bytes each) are sent to the texts; with more, the join with them is Spark's choice.
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in _FOUND])
     train_ids, test_ids = trusted(labels, held_out)
@@ -476,6 +475,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, prior: in
     lone = own.groupBy("l").agg(F.min(F.struct(F.xxhash64("k"), "k"))["k"].alias("k"), F.max("out").alias("out")).filter("out is null")
     lone = table(lone.select("k").distinct())  # a row for each language at most
     train_ids, test_ids = train_ids.join(F.broadcast(lone), "k", "left_anti"), test_ids.unionByName(lone)
+    if labels.count() <= send_ids:
+        train_ids, test_ids = F.broadcast(train_ids), F.broadcast(test_ids)
     measure = scored(train(text.join(train_ids, "k", "left_semi").select("text"), "text", order), order, send)
     tested = measure(table(text.join(test_ids, "k", "left_semi").select("l", "text"))).filter("perplexity is not null")
     tested = table(tested.select("l", "chars", "perplexity"))
