@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -58,6 +59,13 @@ def drop(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more; it looks for them when the
+    driver collects garbage, which a small driver heap may not do for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def put(spark: SparkSession, name: str, data: bytes) -> str:
     """Writes bytes to a file in the shared folder, unless it is there, and gives its path."""
     jvm = spark.sparkContext._jvm

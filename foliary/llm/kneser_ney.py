@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, pick, slices, table, utf8
+from .common import drop, pick, release, slices, table, utf8
 
 ORDER = 5
 BEGIN, END = "\x02", "\x03"
@@ -271,15 +271,16 @@ def score(docs: DataFrame, perplexities, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, T.StructType(fields))
 
 
-def gram_logs(distinct: DataFrame, model: tuple[DataFrame, DataFrame, float], order: int = ORDER) -> DataFrame:
-    """``(gram, log)`` for each gram of ``distinct``: the log of the longest known ending's probability and the log
+def gram_logs(distinct: DataFrame, model: tuple[DataFrame, DataFrame, float], order: int = ORDER) -> tuple[DataFrame, list[DataFrame]]:
+    """``(gram, log)`` and the tables it reads: for each gram of ``distinct``: the log of the longest known ending's probability and the log
     weights of the contexts that back off to it. One join of the distinct grams for each order; those that an order
     knows are done, the others go on to the next."""
     grams, contexts, floor = model
-    left, done = distinct.select("gram", F.lit(0.0).alias("log")), []
+    left, done, steps = distinct.select("gram", F.lit(0.0).alias("log")), [], []
     for k in range(order, 0, -1):
         known = grams.filter(F.length("gram") == k).select(F.col("gram").alias("end"), "p")
         found = table(left.withColumn("end", F.substring("gram", order - k + 1, k)).join(known, "end", "left"))
+        steps.append(found)
         done.append(found.filter("p is not null").select("gram", (F.col("log") + F.log("p")).alias("log")))
         left = found.filter("p is null")
         if k > 1:
@@ -287,10 +288,10 @@ def gram_logs(distinct: DataFrame, model: tuple[DataFrame, DataFrame, float], or
             left = left.withColumn("context", F.substring("end", 1, k - 1)).join(weights, "context", "left")
             left = left.select("gram", (F.col("log") + F.coalesce(F.log("weight"), F.lit(0.0))).alias("log"))
     done.append(left.select("gram", (F.col("log") + float(np.log(floor))).alias("log")))
-    return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, done), steps
 
 
-_SLICE, _SHARD = 8 << 20, 24 << 20
+_SLICE, _SHARD = 32 << 20, 24 << 20
 
 
 def _packed(batch: pa.RecordBatch) -> bytes:
@@ -301,7 +302,7 @@ def _packed(batch: pa.RecordBatch) -> bytes:
 
 
 def _sliced(batches, text_col: str):
-    """``(name, slice)``: rows of about 8 MB of text, named by a hash of their texts. Slices of equal texts may share a
+    """``(name, slice)``: rows of about 32 MB of text, named by a hash of their texts. Slices of equal texts may share a
     name: they ask for the same n-grams."""
     for b in slices(batches, _SLICE, text_col):
         own = xxhash.xxh64(seed=b.num_rows)
@@ -334,26 +335,41 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> _U(40)) * _U(shards) >> _U(24)).astype(np.int64)
 
 
-_ASKED = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("grams", pa.string())])
+_ASKED = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("grams", pa.string())])
 
 
-def _asked(column: pa.Array, order: int, shards: int) -> list[tuple[int, np.ndarray, str]]:
-    """``(shard, sorted hashes, their n-grams in a row)`` of the distinct n-grams of a slice."""
+def _asked(column: pa.Array, order: int, shards: int) -> list[tuple[int, str]]:
+    """``(shard, n-grams in a row, in the order of their hashes)`` of the distinct n-grams of a slice."""
     known, grams = np.empty(0, np.uint64), np.empty((0, order), np.uint32)
+    seen = np.zeros(1 << 21, np.uint64)  # the last hash of each slot: most n-grams were seen a moment ago
     for points, h, place, _ in _text_hashes(column, order):
+        slot = (h >> _U(43)).astype(np.int64)
+        late = seen[slot] != h
+        h, place = h[late], place[late]
+        seen[slot[late]] = h
         h, first = np.unique(h, return_index=True)
         new = ~_in(known, h)
+        if not new.any():
+            continue
         known = np.concatenate((known, h[new]))
         grams = np.concatenate((grams, points[place[first[new]][:, None] + np.arange(order)]))
         by = np.argsort(known)
         known, grams = known[by], grams[by]
     cut = np.searchsorted(_shard(known, shards), np.arange(shards + 1))
     parts = [slice(cut[k], cut[k + 1]) for k in range(shards)]
-    return [(k, known[p], grams[p].tobytes().decode("utf-32-le", "surrogatepass")) for k, p in enumerate(parts) if p.stop > p.start]
+    return [(k, grams[p].tobytes().decode("utf-32-le", "surrogatepass")) for k, p in enumerate(parts) if p.stop > p.start]
+
+
+def _gram_hashes(grams: str, order: int) -> np.ndarray:
+    points = np.frombuffer(grams.encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, order).astype(np.uint64) + _U(1)
+    h = np.zeros(len(points), np.uint64)
+    for k in range(order):
+        h = h * _U(_P) + points[:, k]
+    return _mix(h, order)
 
 
 def score_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame, float], text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """As ``score``, for tables of any size. Rows are taken in slices of about 8 MB of text. A slice asks for its
+    """As ``score``, for tables of any size. Rows are taken in slices of about 32 MB of text. A slice asks for its
     distinct n-grams, dealt to shards by hash; a shard's distinct ones meet the model's counts (one join an order), and
     what the slice asked for comes back to its rows, which are summed up there. Only distinct n-grams of slices, their
     logs and the rows themselves, compressed, are shuffled. A task holds one slice, or one shard: the number of shards
@@ -366,13 +382,13 @@ def score_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame, float], t
 
     def ask(batches):
         for name, b in _sliced(batches, text_col):
-            for k, h, grams in _asked(b.column(at), order, shards):
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([k], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([grams], pa.string())], schema=_ASKED)
+            for k, grams in _asked(b.column(at), order, shards):
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([k], pa.int32()), pa.array([grams], pa.string())], schema=_ASKED)
 
     def distinct(t):
         seen, out = np.empty(0, np.uint64), []
-        for blob, grams in zip(t.column("keys").to_pylist(), t.column("grams").to_pylist()):
-            h = np.frombuffer(blob, np.uint64)
+        for grams in t.column("grams").to_pylist():
+            h = _gram_hashes(grams, order)
             for i in np.flatnonzero(~_in(seen, h)).tolist():
                 out.append(grams[i * order : (i + 1) * order])
             seen = np.union1d(seen, h)
@@ -387,8 +403,9 @@ def score_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame, float], t
         h = own.column("h").to_numpy().view(np.uint64)
         by = np.argsort(h)
         h, log = h[by], own.column("log").to_numpy()[by]
-        logs = [log[np.searchsorted(h, np.frombuffer(x, np.uint64))].tobytes() for x in t.column("keys").to_pylist()]
-        return pa.table([t.column("slice"), t.column("keys").cast(pa.binary()), pa.array(logs, pa.binary())], names=["slice", "keys", "logs"])
+        keys = [_gram_hashes(x, order) for x in t.column("grams").to_pylist()]
+        logs = [log[np.searchsorted(h, x)].tobytes() for x in keys]
+        return pa.table([t.column("slice"), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array(logs, pa.binary())], names=["slice", "keys", "logs"])
 
     def pack(batches):
         for name, b in _sliced(batches, text_col):
@@ -414,12 +431,15 @@ def score_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame, float], t
                 out.append(pa.RecordBatch.from_arrays([*b.columns, pa.array(chars), means], names=[f.name for f in fields]))
         return pa.Table.from_batches(out)
 
-    asked = table(docs.mapInArrow(ask, "slice long, shard int, keys binary, grams string"))
-    grams = table(asked.select("shard", "keys", "grams").groupBy("shard").applyInArrow(distinct, "gram string"))
-    logs = table(gram_logs(grams, model, order))
-    drop(grams)
+    asked = table(docs.mapInArrow(ask, "slice long, shard int, grams string"))
+    grams = table(asked.select("shard", "grams").groupBy("shard").applyInArrow(distinct, "gram string"))
+    logs, steps = gram_logs(grams, model, order)
+    logs = table(logs)
+    for x in (grams, *steps):
+        drop(x)
+    release(docs.sparkSession)
     logs = logs.mapInArrow(hashed, "shard int, h long, log float")
-    answers = asked.select("slice", "shard", "keys").dropDuplicates(["slice", "shard"]).groupBy("shard").cogroup(logs.groupBy("shard")).applyInArrow(answer, "slice long, keys binary, logs binary")
+    answers = asked.dropDuplicates(["slice", "shard"]).groupBy("shard").cogroup(logs.groupBy("shard")).applyInArrow(answer, "slice long, keys binary, logs binary")
     rows = docs.mapInArrow(pack, "slice long, rows binary")
     return rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(measure, T.StructType(fields))
 
