@@ -296,7 +296,7 @@ _SLICE, _SHARD = 32 << 20, 24 << 20
 
 def _packed(batch: pa.RecordBatch) -> bytes:
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as w:
         w.write_batch(batch)
     return out.getvalue().to_pybytes()
 
