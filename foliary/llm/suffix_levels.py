@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import table, utf8
 
-K, HOT = 20, 16
+K, HOT = 20, 64
 _P = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
