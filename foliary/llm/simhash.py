@@ -117,7 +117,7 @@ def _grouped(rows: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFram
     member = table(member)
     top = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = table(member.join(top, "root").select("fp", "component_id"))
-    out = rows.join(named, "fp").select("id", "fp", "component_id")
+    out = rows.join(named, "fp").select("id", "fp", "component_id")  # AQE splits a hot fp on the side of the rows
     drop(member)
     return out
 

@@ -288,6 +288,11 @@ def confirmed(sets: DataFrame, block: int = _BLOCK) -> DataFrame:
     return out.unionByName(cut.groupBy("root", "x", "y").applyInArrow(_linked_sets, "a long, b long"))
 
 
+def _firsts(rows: DataFrame) -> DataFrame:
+    """``(fp, x)``: the smallest id of each fp, null last, and its text's digest. Copies are folded where they are."""
+    return rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "digest")).alias("x"))
+
+
 def searched(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
     """``(id, fp, wide, digest)`` for each row and the links ``(a, b)`` of fps: documents whose sets of shingles have a
     similarity of 0.8 or more. fp stands for the confirming bits, digest for the text, null as empty.
@@ -313,8 +318,7 @@ def searched(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[D
     found = components(_cells(prints_of, split).mapInArrow(_links_of_cells, "a long, b long").distinct())
     drop(prints_of)
     members = table(found.select("node", "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct()))
-    first = rows.join(members, F.col("fp") == F.col("node")).groupBy("fp", "root").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "digest")).alias("x"))
-    first = table(first.select("fp", "root", F.col("x.id").alias("own_id"), F.col("x.digest").alias("own_digest")))
+    first = table(_firsts(rows).join(members, F.col("fp") == F.col("node")).select("fp", "root", F.col("x.id").alias("own_id"), F.col("x.digest").alias("own_digest")))
     texts = picked.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     texts = texts.join(first, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))).select("fp", "root", "text")
 
@@ -344,9 +348,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     not be unique: rows go by id and text, and of rows equal in both any one stays."""
     rows, edges = searched(docs, id_col, text_col, words)
     roots = table(components(edges)).withColumnRenamed("node", "fp")
-    each = rows.groupBy("fp", "id", "digest").agg(F.count("*").alias("n")).join(roots, "fp", "left")
-    kept = each.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "digest", "n")).alias("x"))
-    kept = table(kept.select(F.col("x.id").alias("_id"), F.col("x.digest").alias("_digest"), F.col("x.n").alias("_n")))
+    each = _firsts(rows).join(roots, "fp", "left")
+    kept = each.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("x").alias("x")).select(F.col("x.id").alias("_id"), F.col("x.digest").alias("_digest"))
+    twins = rows.groupBy("id", "digest").agg(F.count("*").alias("_n")).filter("_n > 1")
+    kept = table(kept.join(twins, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest")), "left").select("_id", "_digest", F.coalesce("_n", F.lit(1)).alias("_n")))
     drop(rows)
     own = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
     found = docs.withColumn("_own", own).join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")))
