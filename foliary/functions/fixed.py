@@ -188,36 +188,78 @@ WORD_TOOLS = (
     ("LibreOffice", ("libreoffice", "openoffice")), ("Google Docs", ("google",)), ("WPS Office", ("wps", "kingsoft")), ("OnlyOffice", ("onlyoffice",)), ("Apple Pages", ("pages",)),
 )
 
-#: Tools by a part of their name in lower case, in order of priority.
-OFFICE_TOOLS = (
+#: Tools by a part of their name in lower case, in order of priority, and those of them that scan.
+TOOLS = (
     ("microsoft office word", "Microsoft Word"), ("microsoft® word", "Microsoft Word"), ("microsoft word", "Microsoft Word"), ("word for windows", "Microsoft Word"),
     ("word for mac", "Microsoft Word"), ("ms word", "Microsoft Word"), ("libreoffice", "LibreOffice"), ("openoffice", "OpenOffice"), ("staroffice", "StarOffice"),
     ("google docs", "Google Docs"), ("wps writer", "WPS Writer"), ("wps office", "WPS Office"), ("kingsoft writer", "Kingsoft Writer"), ("onlyoffice", "OnlyOffice"),
     ("abiword", "AbiWord"), ("iwork", "Apple iWork"), ("apple pages", "Apple Pages"),
-)
-DESIGN_TOOLS = (
     ("adobe indesign", "Adobe InDesign"), ("adobe photoshop", "Adobe Photoshop"), ("adobe illustrator", "Adobe Illustrator"), ("adobe xd", "Adobe XD"),
     ("adobe acrobat", "Adobe Acrobat"), ("indesign", "Adobe InDesign"), ("photoshop", "Adobe Photoshop"), ("illustrator", "Adobe Illustrator"),
     ("affinity publisher", "Affinity Publisher"), ("affinity designer", "Affinity Designer"), ("affinity photo", "Affinity Photo"), ("figma", "Figma"), ("sketch", "Sketch"),
     ("canva", "Canva"), ("coreldraw", "CorelDRAW"), ("corel draw", "CorelDRAW"), ("corel designer", "Corel Designer"), ("inkscape", "Inkscape"),
     ("quarkxpress", "QuarkXPress"), ("scribus", "Scribus"), ("microsoft powerpoint", "Microsoft PowerPoint"), ("keynote", "Apple Keynote"),
-)
-SCAN_TOOLS = (
     ("hp scanjet", "HP ScanJet"), ("hp digital sender", "HP Digital Sender"), ("hp scan", "HP Scan"), ("scansnap", "Fujitsu ScanSnap"), ("xerox", "Xerox"),
     ("epson workforce", "Epson WorkForce"), ("epson scan", "Epson Scan"), ("brother mfc", "Brother MFC"), ("brother dcp", "Brother DCP"), ("ricoh", "Ricoh"),
     ("kyocera", "Kyocera"), ("paperstream", "Fujitsu PaperStream"), ("fujitsu", "Fujitsu"), ("kofax", "Kofax"), ("acrobat capture", "Adobe Acrobat Capture"),
     ("readiris", "Readiris"), ("finereader", "ABBYY FineReader"), ("abbyy", "ABBYY"), ("nuance", "Nuance"), ("tesseract", "Tesseract"), ("ocrmypdf", "OCRmyPDF"),
     ("paperport", "PaperPort"), ("camscanner", "CamScanner"), ("adobe scan", "Adobe Scan"), ("microsoft lens", "Microsoft Lens"), ("office lens", "Microsoft Office Lens"),
     ("genius scan", "Genius Scan"), ("scanbot", "Scanbot"), ("scannable", "Scannable"), ("turboscan", "TurboScan"), ("canon", "Canon"), ("scanner", "Generic scanner"),
-)
-PRODUCER_TOOLS = (
     ("acrobat distiller", "Adobe Acrobat Distiller"), ("adobe pdf library", "Adobe PDF Library"), ("microsoft: print to pdf", "Microsoft Print to PDF"),
     ("gpl ghostscript", "Ghostscript"), ("ghostscript", "Ghostscript"), ("itext", "iText"), ("tcpdf", "TCPDF"), ("fpdf", "FPDF"), ("reportlab", "ReportLab"),
     ("wkhtmltopdf", "wkhtmltopdf"), ("weasyprint", "WeasyPrint"), ("prince", "Prince"), ("chromium", "Chromium"), ("skia", "Chrome / Skia"),
     ("quartz pdfcontext", "macOS Quartz"), ("macos quartz", "macOS Quartz"), ("pdf-xchange", "PDF-XChange"), ("pdfsharp", "PDFsharp"), ("pdfium", "PDFium"),
 )
+SCANNERS = TOOLS[39:71]  # from the first to the last scanner of the table
 
+#: What an unclear question refers to.
 REFERENTS = (
     "this", "that", "the cap", "the limit", "the latest", "last year", "the same", "the previous", "celui-ci", "celui-là", "celle-ci", "celle-là",
     "le plafond", "la limite", "la dernière version", "l'an passé",
 )
+
+# Parts of creator and producer that tell how a document was made, by category, with the confidence.
+MADE_WITH = (
+    ("word_native", 0.95, "meta:word_creator", ("microsoft word", "word", "libreoffice writer", "openoffice writer", "wps writer", "wps office", "google docs")),
+    ("design_tool", 0.95, "meta:design_creator", ("adobe photoshop", "adobe illustrator", "adobe indesign", "figma", "sketch", "canva", "affinity publisher", "affinity designer", "coreldraw", "inkscape")),
+    ("scanned", 0.90, "meta:scanner_creator", ("scanner", "scan", "xerox", "hp scanjet", "epson scan", "canon scan", "acrobat capture", "readiris", "nuance", "finereader", "abbyy", "paperstream", "kofax")),
+)
+# Page sizes in points (A4, Letter, A5, A3) and their tolerance, and limits of the content rules.
+PAGE_SIZES, SIZE_TOLERANCE = ((595, 842), (612, 792), (420, 595), (842, 1191)), 0.05
+MIN_PAGE_CHARS, MIN_TEXT_QUALITY, DESIGN_IMAGES, DESIGN_CHARS, COMPLEX_IMAGES = 50, 0.60, 0.55, 120, 0.50
+
+# Conversion engines, what they are called, whether their result can be edited, and how close it comes.
+ENGINES = {
+    "adobe": ("AdobeConverter (cloud, qualité Acrobat Pro)", True, "pixel-perfect"),
+    "msword": ("MSWordConverter (PDF Reflow natif)", True, "high"),
+    "docling": ("DoclingConverter (IBM ML, offline)", True, "high"),
+    "libreoffice": ("LibreOfficeConverter (headless)", True, "high"),
+    "text": ("TextConverter (pdf2docx)", True, "high"),
+    "ocr": ("OCRConverter (tesseract)", True, "approximate"),
+    "hybrid": ("HybridConverter (image+overlay, 200dpi)", False, "pixel-perfect"),
+    "smart": ("SmartConverter (PyMuPDF)", True, "approximate"),
+}
+
+# Patterns of page ranges in requests.
+PAGE_RANGES = (
+    r"\bpages?\s+(\d+)\s*(?:to|-|–|a|à|jusqu['’]?a|jusqu['’]?à)\s*(\d+)\b",
+    r"\bfrom\s+page\s+(\d+)\s+to\s+(?:page\s+)?(\d+)\b",
+    r"\bde\s+la\s+page\s+(\d+)\s+(?:a|à|jusqu['’]?a|jusqu['’]?à)\s+(?:la\s+page\s+)?(\d+)\b",
+)
+
+# What to ask back, by words of the question.
+CLARIFICATIONS = (
+    (("cap", "limit", "plafond", "limite"), ("Liability cap?", "Indemnification cap?", "Coverage limit per claim?", "Aggregate limit?")),
+    (("version", "latest", "dernière"), ("Latest signed version?", "Latest draft?", "Latest as of a specific date?")),
+    (("compare", "last year", "l'an passé"), ("Compare with which year/document?", "Compare on which dimension (price, scope, parties)?")),
+    ((), ("Could you clarify which document?", "Could you clarify which concept exactly?")),
+)
+
+# Steps of the older way of reading questions, by type of document.
+OLDER_PRESETS = {
+    "pdf": ("rewrite", "anchor_keywords", "page_hint", "section_hint", "layout_hint", "format", "disambiguation"),
+    "word": ("rewrite", "anchor_keywords", "section_hint", "layout_hint", "format", "disambiguation"),
+    "excel": ("rewrite", "anchor_keywords", "format", "disambiguation"),
+    "email": ("rewrite", "anchor_keywords", "format", "disambiguation"),
+    "pptx": ("rewrite", "anchor_keywords", "page_hint", "section_hint", "layout_hint", "format", "disambiguation"),
+}

@@ -73,18 +73,15 @@ def fence_body(reply: Column, tag: str = "sql") -> Column:
     return F.trim(F.when(F.rlike(reply, F.lit(p)), F.regexp_extract(reply, p, 1)).otherwise(reply))
 
 
-_TOOLS = (*fixed.OFFICE_TOOLS, *fixed.DESIGN_TOOLS, *fixed.SCAN_TOOLS, *fixed.PRODUCER_TOOLS)
-
-
 def tool_name(value: Column) -> Column:
     """The tool that a normalized value names, null if it names none."""
-    return first_case([(F.contains(value, F.lit(part)), F.lit(name)) for part, name in _TOOLS])
+    return first_case([(F.contains(value, F.lit(part)), F.lit(name)) for part, name in fixed.TOOLS])
 
 
 def page_tool(page_type: Column, category: Column, creator: Column, producer: Column, history: Column) -> Column:
     """What made a page: a scan inside a document that was not scanned comes from the first scanner of the history, any
     other page from the creator or the producer."""
-    scans = F.filter(F.coalesce(history, F.array().cast("array<string>")), lambda a: any_of(F.contains(a, F.lit(part)) for part, _ in fixed.SCAN_TOOLS))
+    scans = F.filter(F.coalesce(history, F.array().cast("array<string>")), lambda a: any_of(F.contains(a, F.lit(part)) for part, _ in fixed.SCANNERS))
     embedded = page_type.isin("scanned", "scanned_ocr_good", "scanned_ocr_bad") & (category != "scanned")
     own = F.coalesce(tool_name(creator), tool_name(producer), F.lit("Unknown"))
     return F.when(embedded, F.coalesce(tool_name(F.try_element_at(scans, F.lit(1))), F.lit("Unknown (embedded scan)"))).otherwise(own)

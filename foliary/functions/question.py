@@ -96,11 +96,7 @@ def style(m: Column) -> Column:
 
 def page_range(m: Column) -> Column:
     """``(first, last)`` of the first pattern that fits."""
-    patterns = (
-        r"(?iU)\bpages?\s+(\d+)\s*(?:to|-|–|a|à)\s*(\d+)\b",
-        r"(?iU)\bfrom\s+page\s+(\d+)\s+to\s+(?:page\s+)?(\d+)\b",
-        r"(?iU)\bde\s+la\s+page\s+(\d+)\s+(?:a|à)\s+(?:la\s+page\s+)?(\d+)\b",
-    )
+    patterns = tuple("(?iU)" + p for p in fixed.PAGE_RANGES)
     pair = lambda p: F.struct(F.regexp_extract(m, p, 1).cast("int").alias("first"), F.regexp_extract(m, p, 2).cast("int").alias("last"))
     return first_case([(F.rlike(m, F.lit(p)), pair(p)) for p in patterns])
 
@@ -166,3 +162,37 @@ def request(m: Column) -> Column:
         sections(m, fixed.EXCLUDED).alias("exclude_sections"), sections(m, fixed.INCLUDED).alias("include_sections"), glossary_pairs(m).alias("glossary"),
         F.when(blank, "empty message").when(target.isNull(), "no target language").alias("error"),
     )
+
+
+def clarifications(q: Column) -> Column:
+    """What to ask back about an unclear question: the suggestions of the first words that it holds."""
+    low = F.lower(q)
+    own = [(any_of(F.contains(low, F.lit(w)) for w in words), F.array(*[F.lit(x) for x in asks])) for words, asks in fixed.CLARIFICATIONS[:-1]]
+    return first_case(own, F.array(*[F.lit(x) for x in fixed.CLARIFICATIONS[-1][1]]))
+
+
+def older_steps(doc_type: Column, enable: dict[str, bool] | None = None) -> Column:
+    """The steps of the older way of reading questions: the preset of the type (an unknown one takes that of pdf), with
+    ``enable`` adding at the end and removing."""
+    def of(preset):
+        return [n for n in preset if (enable or {}).get(n, True)] + [n for n, on in (enable or {}).items() if on and n not in preset]
+
+    lit = lambda names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    return first_case([(doc_type == kind, lit(of(p))) for kind, p in fixed.OLDER_PRESETS.items()], lit(of(fixed.OLDER_PRESETS["pdf"])))
+
+
+def understood(q: Column, has_history: Column, doc_type: Column, rewrite=lambda c: c) -> Column:
+    """The older way from question to plan without a model: an unclear question gives only what to ask back; another one
+    its task, one part for each half of a comparison or list joined by ``and``, and the fields of the type's steps.
+    ``rewrite`` may put a model's correction in front."""
+    own = rewrite(q)
+    unclear = needs_clarification(own, has_history)
+    kind = task(own)
+    parts = F.when(kind == "compare", F.split(F.regexp_replace(own, r"(?i)^\s*compare\s+", ""), r"(?i)\s+(?:and|versus|vs\.?|with|et)\s+")).otherwise(F.array(own))
+    steps = older_steps(doc_type)
+    on = lambda name, value: F.when(F.array_contains(steps, name) & ~unclear, value)
+    return F.struct(
+        unclear.alias("unclear"), F.when(unclear, clarifications(own)).alias("options"), F.when(~unclear, kind).alias("task"), F.when(~unclear, parts).alias("parts"),
+        on("anchor_keywords", anchors(own)).alias("anchor_keywords"), on("page_hint", page_hint(own)).alias("page_hint"), on("section_hint", section_hint(own)).alias("section_hint"),
+        on("layout_hint", layout_hint(own)).alias("layout_hint"), on("format", format_constraint(own)).alias("format"), on("disambiguation", distinctions(own)).alias("distractors"),
+    )

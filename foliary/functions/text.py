@@ -135,3 +135,8 @@ def toc_score(text: Column, page: Column, links: Column) -> Column:
     """Keyword 3, dotted leaders 2, over 30 percent of lines that end in a number 2, over 5 links 2, page below 15 1."""
     rules = ((has_toc_keyword(text), 3), (dotted_leaders(text) >= 1, 2), (numeric_end_ratio(text) > 0.30, 2), (links > 5, 2), (page < 15, 1))
     return reduce(lambda a, b: a + b, [F.when(c, F.lit(w)).otherwise(F.lit(0)) for c, w in rules])
+
+
+def clean_column(text: Column) -> Column:
+    """The name of a column: line feeds as spaces, runs of spaces as one."""
+    return F.regexp_replace(F.replace(text, F.lit("\n"), F.lit(" ")), " +", " ")

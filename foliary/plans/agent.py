@@ -23,6 +23,19 @@ def ask(spark: SparkSession, tables: dict[str, DataFrame], question: str, backen
         df.createOrReplaceTempView(name)
     sql = fenced(backend(f"{describe(tables)}\n\nWrite one SELECT that answers: {question}"))
     try:
-        return read_only(spark, sql)
+        return read_only(spark, sql, list(tables))
     except Exception as e:
         return spark.createDataFrame([(str(e).split("\n")[0], sql)], "error string, sql string")
+
+
+def refresh(spark: SparkSession, tables: dict[str, DataFrame]) -> list[str]:
+    """Puts the present frames behind the names that questions use; names of earlier ones stay until they are replaced."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return sorted(tables)
+
+
+def summary(answer: DataFrame, question: str, backend: Backend, rows: int = 20) -> str:
+    """What a model says of the first rows of an answer."""
+    head = [" | ".join(answer.columns)] + [" | ".join(str(v) for v in r) for r in answer.limit(rows).collect()]
+    return backend(f"{question}\n\n" + "\n".join(head))

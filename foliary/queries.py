@@ -27,10 +27,10 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
-def _both(name: str, sql: str) -> None:
-    """A query whose SQL both engines read."""
-    _QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, sql)
-    _SQL[name] = sql
+def pair(name: str, source: str, sql: str, operator: Callable[[DataFrame], DataFrame]) -> None:
+    """A query: ``operator`` on the frame of ``source``, against ``sql``, where ``{source}`` stands for that frame."""
+    _QUERIES[name] = lambda spark, sf_dir: operator(run_sql(spark, sf_dir, source))
+    _SQL[name] = sql.replace("{source}", f"({source})")
 
 
 def _query(sql: str | None = None):
@@ -124,12 +124,9 @@ def _text_query(name: str, sql: str, /, **columns) -> None:
 _W = "[\\p{L}\\p{M}\\p{N}_]+"
 _text_query("x1_normalize", "trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{M}\\p{N}_\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS norm", norm=text.normalize)
 _text_query("x4_query_tokens", f"len(list_filter(regexp_extract_all(lower(text), '{_W}'), lambda t: length(t) > 2)) AS n", n=lambda c: F.size(text.query_tokens(c)).cast("long"))
-_text_query("x5_fts_query", f"array_to_string(list_transform(list_filter(regexp_extract_all(lower(substr(text, 1, 80)), '{_W}'), lambda t: length(t) > 2), lambda t: '\"' || t || '\"'), ' OR ') AS fts", fts=lambda c: text.fts_query(F.substring(c, 1, 80)))
-_text_query("x5_fts_query_whole", f"array_to_string(list_transform(list_filter(regexp_extract_all(lower(text), '{_W}'), lambda t: length(t) > 2), lambda t: '\"' || t || '\"'), ' OR ') AS fts", fts=lambda c: text.fts_query(c))
-_text_query("x6_safe_name", "coalesce(nullif(trim(regexp_replace(regexp_replace(substr(text, 1, 40), '[^\\p{L}\\p{M}\\p{N}_]', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'sheet') AS name", name=lambda c: text.safe_name(F.substring(c, 1, 40)))
-_text_query("x6_safe_name_whole", "coalesce(nullif(trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}_]', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'sheet') AS name", name=lambda c: text.safe_name(c))
-_text_query("x7_clean_column", "regexp_replace(replace(substr(text, 1, 60), chr(10), ' '), ' +', ' ', 'g') AS col", col=lambda c: F.regexp_replace(F.replace(F.substring(c, 1, 60), F.lit("\n"), F.lit(" ")), " +", " "))
-_text_query("x7_clean_column_whole", "regexp_replace(replace(text, chr(10), ' '), ' +', ' ', 'g') AS col", col=lambda c: F.regexp_replace(F.replace(c, F.lit("\n"), F.lit(" ")), " +", " "))
+_text_query("x5_fts_query", f"array_to_string(list_transform(list_filter(regexp_extract_all(lower(text), '{_W}'), lambda t: length(t) > 2), lambda t: '\"' || t || '\"'), ' OR ') AS fts", fts=lambda c: text.fts_query(c))
+_text_query("x6_safe_name", "coalesce(nullif(trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}_]', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'sheet') AS name", name=lambda c: text.safe_name(c))
+_text_query("x7_clean_column", "regexp_replace(replace(text, chr(10), ' '), ' +', ' ', 'g') AS col", col=text.clean_column)
 _text_query("x10_strip_controls", "length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) AS n", n=lambda c: F.length(text.strip_controls(c)).cast("long"))
 _text_query("x15_html_escape", "replace(replace(replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html", html=text.html_escape)
 _OWN = "list_filter(regexp_split_to_array(text, '[\\s\\x0B]+'), lambda w: w <> '')"
@@ -194,16 +191,6 @@ def w3_parent(spark, sf_dir):
     return toc.parents(run_sql(spark, sf_dir, inputs.TOC))
 
 
-_both("w6_toc_order", "SELECT doc_id, pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, level, title, pos) AS BIGINT) AS n FROM (" + inputs.TOC + ")")
-_both("f7_toc_cleaning", "SELECT doc_id, pos, level, page, title FROM (SELECT doc_id, pos, level, CASE WHEN pos % 7 = 0 THEN page - 60 ELSE page END AS page, CASE WHEN pos % 5 = 0 THEN ' ' WHEN pos % 11 = 0 THEN NULL ELSE title END AS title FROM (" + inputs.TOC + ")) WHERE title IS NOT NULL AND level IS NOT NULL AND page >= 1 AND trim(title) <> ''")
-_both("k5_bookmarks", "SELECT doc_id, pos, greatest(level, 1) AS level, greatest(coalesce(CASE WHEN pos % 3 = 0 THEN NULL ELSE page END, page + 1, 1), 1) AS page, title FROM (" + inputs.TOC + ")")
-_both("a10_page_offset", "SELECT doc_id, shift FROM (SELECT doc_id, shift, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS r FROM (SELECT doc_id, page - displayed AS shift, count(*) AS n, min(pos) AS first_pos FROM (SELECT doc_id, pos, page, page - pos % 3 AS displayed FROM (" + inputs.TOC + ")) GROUP BY doc_id, page - displayed)) WHERE r = 1")
-_both("m1_native_toc", "SELECT doc_id, count(*) > 0 AS has_toc, max(page) + 1 AS page_count FROM (" + inputs.TOC + ") GROUP BY doc_id")
-_both("r19_cascade", "SELECT doc_id, pos, title, priority FROM (SELECT *, min(priority) OVER (PARTITION BY doc_id) AS best FROM (SELECT doc_id, pos, title, 1 AS priority FROM (" + inputs.TOC + ") WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, pos, line AS title, 3 AS priority FROM (" + inputs.LEADERS + "))) WHERE priority = best")
-_both("t5_title_candidates", "SELECT doc_id, page, line, CAST(sum(length(text)) AS BIGINT) AS n, avg(size) AS size, min(x0) AS x0, max(x1) AS x1 FROM (" + inputs.SPANS + ") GROUP BY doc_id, page, line HAVING avg(size) >= 10.5 AND sum(length(text)) < 80 AND max(CASE WHEN bold THEN 1 ELSE 0 END) = 1")
-_both("w4_isolated_numbers", "SELECT doc_id, pos, CASE WHEN lonely AND follows IS NOT NULL THEN label || ' ' || follows ELSE label END AS title FROM (SELECT doc_id, pos, label, lonely, lead(label) OVER (PARTITION BY doc_id ORDER BY pos) AS follows, lag(lonely) OVER (PARTITION BY doc_id ORDER BY pos) AS taken FROM (SELECT doc_id, pos, CASE WHEN pos % 400 < 200 THEN CAST(pos AS VARCHAR(9)) ELSE title END AS label, pos % 400 < 200 AS lonely FROM (" + inputs.TOC + "))) WHERE NOT coalesce(taken, FALSE)")
-
-
 _TOC_PAGE = "SELECT doc_id, page_num, doc_id % 9 AS links, CASE page_num % 3 WHEN 0 THEN 'Sommaire' || chr(10) || 'Intro ..... 3' || chr(10) || 'Fin ..... 9' WHEN 1 THEN 'A line' || chr(10) || 'Total 42' ELSE 'plain prose' END AS text FROM (" + inputs.PAGES + ")"
 
 
@@ -289,23 +276,6 @@ def r3_source_category(spark, sf_dir):
     return own.select("doc_id", pages.source_category(c("creator"), c("producer"), c("author"), c("title"), F.array().cast("array<string>")).alias("x")).select("doc_id", "x.*")
 
 
-_both("a9_types_by_font", f"SELECT page_type, n_fonts, count(*) AS n FROM (SELECT n_fonts, {_TYPE} AS page_type FROM ({inputs.PAGES})) GROUP BY page_type, n_fonts")
-_both("a12_ratios", f"SELECT doc_id, avg(CASE WHEN coverage >= 0.8 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS full_ratio, avg(CASE WHEN native_char_count >= 50 AND quality >= 0.6 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS native_ratio FROM ({inputs.PAGES}) GROUP BY doc_id")
-_both("r2_content_rules", f"""SELECT doc_id, CASE WHEN full_ratio >= 0.7 AND chars < 50 THEN 'scanned' WHEN image_ratio >= 0.55 AND blocks < 6 THEN 'design' WHEN chars < 120 AND image_ratio > 0.3 AND blocks < 4 THEN 'design' WHEN fonts <= 8 AND chars > 200 AND blocks >= 3 THEN 'word' ELSE 'other' END AS category
-FROM (SELECT doc_id, avg(CASE WHEN coverage > 0.85 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS full_ratio, avg(native_char_count * 5) AS chars, round(avg(coverage), 9) AS image_ratio, avg(drawing_count) AS blocks, count(DISTINCT n_fonts) AS fonts FROM ({inputs.PAGES}) GROUP BY doc_id)""")
-_both("f8_footer", f"SELECT doc_id, page, line, pos, sub FROM ({inputs.SPANS}) WHERE y0 <= 50 * 0.9")
-_both("f12_page_limit", f"SELECT doc_id, page_num, n_fonts FROM ({inputs.PAGES}) WHERE page_num < 2")
-_both("m3_page_metrics", f"SELECT doc_id, page, count(*) AS n_spans, count(DISTINCT size) AS n_sizes, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM ({inputs.SPANS}) GROUP BY doc_id, page")
-_both("m4_invisible", f"SELECT doc_id, page, line, max(CASE WHEN color = 16777215 THEN 1 ELSE 0 END) AS invisible FROM ({inputs.SPANS}) GROUP BY doc_id, page, line")
-_both("s3_span_style", f"SELECT doc_id, page, line, pos, sub, CASE WHEN color = 0 THEN '#000000' ELSE '#' || lpad(lower(hex(color)), 6, '0') END AS rgb, bold FROM ({inputs.SPANS})")
-_both("a5_body_size", f"SELECT doc_id, size FROM (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size) AS r FROM (SELECT doc_id, size, CAST(sum(length(text)) AS BIGINT) AS n FROM ({inputs.SPANS}) GROUP BY doc_id, size)) WHERE r = 1")
-_both("a16_line_boxes", f"SELECT doc_id, page, line, min(x0) AS x0, max(x1) AS x1, avg(size) AS size, count(*) AS n FROM ({inputs.SPANS}) GROUP BY doc_id, page, line")
-_both("a18_address_zone", f"SELECT doc_id, page, min(CASE WHEN y0 < 20 AND x0 < 30000 THEN x0 END) AS left_x0, max(CASE WHEN y0 < 20 AND x0 >= 30000 THEN x1 END) AS right_x1 FROM ({inputs.SPANS}) GROUP BY doc_id, page")
-_both("w10_span_numbers", f"SELECT doc_id, page, line, pos, sub, x0, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, line, pos, sub, x0, y0) - 1 AS BIGINT) AS span_num FROM ({inputs.SPANS})")
-_both("r21_block_class", f"SELECT doc_id, page, line, CASE WHEN max(size) >= 13 THEN 'h1' WHEN max(size) >= 12 AND max(CASE WHEN bold THEN 1 ELSE 0 END) = 1 THEN 'h2' ELSE 'body' END AS class FROM ({inputs.SPANS}) GROUP BY doc_id, page, line")
-_both("t6_reading_order", f"SELECT doc_id, page, pos, sub, x0, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, pos, sub) AS BIGINT) AS n FROM ({inputs.SPANS})")
-
-
 @_query(f"SELECT doc_id, page, line, string_agg(text, ' ' ORDER BY pos, sub, x0) AS text FROM ({inputs.SPANS}) WHERE trim(text) <> '' GROUP BY doc_id, page, line")
 def s6_line_collector(spark, sf_dir):
     own = run_sql(spark, sf_dir, inputs.SPANS).filter("trim(text) <> ''")
@@ -322,22 +292,6 @@ def a4_mode_size(spark, sf_dir):
 
 # --- images, tables, sheets ---------------------------------------------------
 
-_both("s4_first_images", f"SELECT doc_id, hash, page, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, hash ORDER BY page, pos, width, height) AS r FROM ({inputs.IMAGES})) WHERE r = 1")
-_both("j1_logos", f"SELECT hash, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({inputs.IMAGES}) GROUP BY hash HAVING count(DISTINCT doc_id) >= 30 ORDER BY docs DESC, hash")
-_both("a1_store_stats", f"SELECT count(*) AS occurrences, count(DISTINCT hash) AS images, count(DISTINCT doc_id) AS documents FROM ({inputs.IMAGES})")
-_both("f9_image_gate", f"SELECT CASE WHEN width < 30 OR height < 30 THEN 'too_small' WHEN greatest(width, height) / CAST(least(width, height) AS DOUBLE) > 20 THEN 'aspect' WHEN std / 255 < 0.02 THEN 'flat' WHEN n_colors < 8 AND std / 255 < 0.15 THEN 'few_colors' ELSE 'keep' END AS verdict, count(*) AS n FROM ({inputs.IMAGES}) GROUP BY 1")
-_both("s7_coverage", f"SELECT doc_id, page, max(least(width * height / CAST(90000 AS DOUBLE), 1)) AS coverage FROM ({inputs.IMAGES}) GROUP BY doc_id, page")
-_both("f10_table_overlap", f"SELECT doc_id, page, pos, width, height FROM ({inputs.IMAGES}) WHERE width >= 50 AND height >= 50 AND width * height / CAST(120000 AS DOUBLE) <= 0.5")
-_both("j10_cell_colors", f"SELECT s.doc_id, s.page, s.pos, min(i.pos) AS first_rect FROM ({inputs.SPANS}) s JOIN ({inputs.IMAGES}) i ON s.doc_id = i.doc_id AND s.page = i.page AND s.y0 BETWEEN 0 AND i.height GROUP BY s.doc_id, s.page, s.pos")
-_both("j13_band_join", f"SELECT a.doc_id, a.page, a.pos, b.pos AS other FROM ({inputs.SPANS}) a JOIN ({inputs.SPANS}) b ON a.doc_id = b.doc_id AND a.page = b.page AND b.y0 BETWEEN a.y0 - 5 AND a.y0 + 5 AND a.pos < b.pos")
-_both("j12_text_lookup", "SELECT a.p_partkey AS pos, b.first_pos FROM part a LEFT JOIN (SELECT lower(substr(trim(p_name), 1, 40)) AS k, min(p_partkey) AS first_pos FROM part GROUP BY 1) b ON lower(substr(trim(a.p_name), 1, 40)) = b.k")
-_both("s9_tables", "SELECT o_orderpriority AS tbl, CAST(o_orderkey AS BIGINT) AS row_id, CAST(1 AS INT) AS col, coalesce(CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END, 'col_1') AS cell FROM orders")
-_both("a20_group_sums", "SELECT c_mktsegment, count(*) AS n, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents FROM customer GROUP BY c_mktsegment")
-_both("a21_invoice_totals", "SELECT l_orderkey, CAST(sum(CAST(round(l_quantity * l_extendedprice) AS BIGINT)) AS BIGINT) AS subtotal, CAST(sum(CAST(round(l_quantity * l_extendedprice * l_tax) AS BIGINT)) AS BIGINT) AS tax FROM lineitem GROUP BY l_orderkey")
-_both("s16_sheet_rows", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders) WHERE coalesce(o_orderstatus, CAST(o_totalprice AS VARCHAR(30))) IS NOT NULL")
-_both("a2_keep_first", f"SELECT hash, min(pos) AS first_pos FROM ({inputs.IMAGES}) GROUP BY hash")
-_both("a19_bench_rollup", "SELECT o_orderpriority, count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY o_orderpriority")
-
 
 @_query("SELECT doc_id, pos, text FROM (SELECT p_partkey AS doc_id, 1 AS pos, p_name AS text FROM part WHERE p_partkey % 2 = 0 UNION ALL BY NAME SELECT p_partkey AS doc_id, p_brand AS text FROM part WHERE p_partkey % 2 = 1) WHERE doc_id IS NOT NULL OR text IS NOT NULL")
 def u1_union_by_name(spark, sf_dir):
@@ -355,10 +309,6 @@ def u3_jaccard(spark, sf_dir):
 
 # --- scope, glossary, rebuild -------------------------------------------------
 
-_both("f3_page_range", f"SELECT doc_id, page, line, pos, sub FROM (SELECT *, min(page) OVER (PARTITION BY doc_id) AS low FROM ({inputs.SPANS})) WHERE page + CASE WHEN low = 0 THEN 1 ELSE 0 END BETWEEN 2 AND 4")
-_both("f6_partition", f"SELECT CASE WHEN keep THEN 'selected' ELSE 'skipped' END AS side, count(*) AS n FROM (SELECT coalesce(contains(lower(section), 'high') OR contains(lower(section), 'urgent'), FALSE) AS keep FROM ({inputs.SPANS})) GROUP BY 1")
-_both("u4_with_and_without", f"SELECT doc_id, max(CASE WHEN level = 1 THEN 1 ELSE 0 END) = 1 AS has_top FROM ({inputs.TOC}) GROUP BY doc_id")
-
 
 @_query(f"SELECT doc_id, page, line, pos, sub FROM ({inputs.SPANS}) WHERE contains(strip_accents(lower(section)), 'high') AND NOT contains(strip_accents(lower(section)), 'not')")
 def f4_sections(spark, sf_dir):
@@ -380,11 +330,6 @@ def u5_skipped_spans(spark, sf_dir):
 
 
 _CHANGES = "SELECT p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END AS changed FROM part WHERE p_partkey % 2 = 0"
-_both("j5_cells_bypass", f"SELECT doc_id, page, line, pos, sub, bold FROM ({inputs.SPANS}) WHERE (NOT bold AND page <= 2) OR bold")
-_both("j8_rebuild_plan", f"SELECT s.doc_id, s.page, s.pos, s.sub, coalesce(c.changed, s.text) AS text FROM ({inputs.SPANS}) s LEFT JOIN ({_CHANGES}) c ON s.pos = c.pos")
-_both("j9_overlays", f"SELECT s.doc_id, s.page, s.x0, s.y0, s.x1, c.changed FROM ({inputs.SPANS}) s JOIN ({_CHANGES}) c ON s.pos = c.pos")
-_both("k6_change_counts", f"SELECT CAST(sum(CASE WHEN c.changed IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS skipped, CAST(sum(CASE WHEN c.changed = s.text THEN 1 ELSE 0 END) AS BIGINT) AS unchanged, CAST(sum(CASE WHEN c.changed <> s.text THEN 1 ELSE 0 END) AS BIGINT) AS replaced FROM ({inputs.SPANS}) s LEFT JOIN ({_CHANGES}) c ON s.pos = c.pos")
-_both("k12_fonts", f"SELECT doc_id, page, pos, sub, CASE WHEN bold AND size >= 12 THEN 'Helvetica-BoldOblique' WHEN bold THEN 'Helvetica-Bold' WHEN size >= 12 THEN 'Helvetica-Oblique' ELSE 'Helvetica' END AS font FROM ({inputs.SPANS})")
 
 
 @_query(f"""SELECT c.q AS id, g.term, i AS start FROM (SELECT o_orderkey AS q, 'The ' || n_name || ' branch, not x' || n_name || '.' AS text FROM orders JOIN nation ON o_orderkey % 25 = n_nationkey) c
@@ -397,17 +342,14 @@ def j6_glossary(spark, sf_dir):
     return found.select("id", "term", F.explode(at).alias("i")).select("id", "term", F.col("i").cast("long").alias("start"))
 
 
-@_query(f"SELECT term, CASE WHEN keep_as_is THEN 'keep_as_is' WHEN term = upper(term) AND length(term) <= 5 AND target IS NULL THEN 'keep_as_is' ELSE 'translate' END AS decision FROM (SELECT term, target, keep_as_is FROM ({inputs.GLOSSARY}) UNION ALL SELECT c_mktsegment, NULL, FALSE FROM customer UNION ALL SELECT substr(c_name, 1, 4), NULL, FALSE FROM customer)")
+@_query(f"SELECT term, CASE WHEN keep_as_is THEN 'keep_as_is' WHEN term = upper(term) AND length(term) <= 5 AND target IS NULL THEN 'keep_as_is' ELSE 'translate' END AS decision FROM (SELECT term, target, keep_as_is FROM ({inputs.GLOSSARY}) UNION ALL SELECT c_mktsegment, NULL, FALSE FROM customer UNION ALL SELECT c_name, NULL, FALSE FROM customer)")
 def r24_translate_or_keep(spark, sf_dir):
-    own = run_sql(spark, sf_dir, f"SELECT term, target, keep_as_is FROM ({inputs.GLOSSARY}) UNION ALL SELECT c_mktsegment, NULL, FALSE FROM customer UNION ALL SELECT substr(c_name, 1, 4), NULL, FALSE FROM customer")
+    own = run_sql(spark, sf_dir, f"SELECT term, target, keep_as_is FROM ({inputs.GLOSSARY}) UNION ALL SELECT c_mktsegment, NULL, FALSE FROM customer UNION ALL SELECT c_name, NULL, FALSE FROM customer")
     lang = text.language(F.col("term"))
     upper = (F.col("term") == F.upper("term")) & (F.length("term") <= 5) & F.col("target").isNull()
     return own.select("term", F.when(F.col("keep_as_is") | F.coalesce(lang == "en", F.lit(False)) | upper, "keep_as_is").otherwise("translate").alias("decision"))
 
 
-_both("s20_glossary_last_wins", "SELECT term, target FROM (SELECT lower(p_brand) AS term, p_type AS target, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey DESC) AS r FROM part) WHERE r = 1")
-_both("r25_engine", f"SELECT content_type, CASE WHEN content_type IN ('scanned_no_text', 'scanned_with_ocr') THEN 'ocr' WHEN content_type = 'native' THEN 'text' WHEN content_type = 'mixed' THEN 'cascade' ELSE 'none' END AS engine FROM (SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'native' WHEN 1 THEN 'scanned_no_text' WHEN 2 THEN 'mixed' ELSE 'empty' END AS content_type FROM orders)")
-
 # --- questions and requests ---------------------------------------------------
 
 
@@ -456,7 +398,6 @@ def _request(name: str, sql: str, /, **columns) -> None:
 
 _request("q15_target_language", "CASE r_id % 6 WHEN 0 THEN 'de' WHEN 1 THEN 'es' WHEN 2 THEN 'nl' WHEN 3 THEN 'pt' WHEN 4 THEN 'it' END AS target", target=question.target_language)
 _request("q16_style_and_pages", "CASE r_id % 6 WHEN 0 THEN 'formal' WHEN 1 THEN 'casual' WHEN 2 THEN 'technical' WHEN 3 THEN 'formal' ELSE 'default' END AS style, CAST(CASE r_id % 6 WHEN 0 THEN r_id % 9 WHEN 2 THEN 3 END AS INT) AS first_page, CAST(CASE r_id % 6 WHEN 0 THEN r_id % 9 + 3 WHEN 2 THEN r_id % 20 + 3 END AS INT) AS last_page", style=question.style, first_page=lambda m: question.page_range(m)["first"], last_page=lambda m: question.page_range(m)["last"])
-_both("q10_clarification", "SELECT conv_id, turn, (contains(lower(text), 'it ') OR contains(lower(text), 'this ')) AND length(text) <= 60 AND turn = 0 AS unclear FROM conversations WHERE role = 'user'")
 
 
 @_query()
@@ -513,11 +454,6 @@ _MARKED = "SELECT CAST(p_partkey AS BIGINT) AS p_id, p_name AS name, CASE p_part
 _made("x12_line_kinds", _MARKED, "p_id", "CASE p_id % 4 WHEN 0 THEN 'bullet' WHEN 1 THEN 'number' ELSE 'text' END AS kind", kind=lambda c: metadata.line_kind(c("line")))
 _made("x13_joined_lines", _MARKED, "p_id", "name || 'x ' || name || '-' AS text", text=lambda c: metadata.joined_lines(F.array(F.concat(c("name"), F.lit("-")), F.lit("x"), F.concat(c("name"), F.lit("-")))))
 _made("x14_fences", _MARKED, "p_id", "name AS body, name AS whole", body=lambda c: metadata.fence_body(F.concat(F.lit("Here:\n```SQL\n "), c("name"), F.lit("\n```\nand ```x```"))), whole=lambda c: metadata.fence_body(F.concat(F.lit(" "), c("name"), F.lit(" "))))
-_both("a3_line_grouping", f"SELECT doc_id, page, line, avg(size) AS size, max(CASE WHEN bold THEN 1 ELSE 0 END) AS bold, CAST(sum(length(text)) AS BIGINT) AS chars, min(x0) AS x0, max(x1) AS x1 FROM ({inputs.SPANS}) GROUP BY doc_id, page, line")
-_both("a8_ocr_label", f"SELECT doc_id, CASE WHEN q IS NULL THEN 'not_applicable' WHEN q >= 0.85 THEN 'good' WHEN q >= 0.60 THEN 'degraded' ELSE 'unreliable' END AS label FROM (SELECT doc_id, round(avg(CASE WHEN ocr_char_count >= 50 THEN quality END), 9) AS q FROM ({inputs.PAGES}) GROUP BY doc_id)")
-_both("r14_toc_by_numbering", "SELECT doc_id, pos, trim(regexp_extract(line, '^(.*?)[. ]*([0-9]+)$', 1)) AS title, CAST(regexp_extract(line, '^(.*?)[. ]*([0-9]+)$', 2) AS INT) AS page FROM (" + inputs.LEADERS + ")")
-_both("t4_logos_by_documents", f"SELECT hash, count(DISTINCT doc_id) AS n FROM ({inputs.IMAGES}) GROUP BY hash ORDER BY n DESC, hash LIMIT 100")
-_both("w7_first_of_each", f"SELECT doc_id, hash, pos FROM (SELECT doc_id, hash, pos, row_number() OVER (PARTITION BY doc_id, hash ORDER BY page, pos) AS r FROM ({inputs.IMAGES})) WHERE r = 1")
 
 
 @_query()
@@ -533,8 +469,7 @@ def w9_merged_paragraphs(spark, sf_dir):
 
 
 def _tool_sql(col: str) -> str:
-    parts = (*fixed.OFFICE_TOOLS, *fixed.DESIGN_TOOLS, *fixed.SCAN_TOOLS, *fixed.PRODUCER_TOOLS)
-    return "CASE " + " ".join(f"WHEN contains({col}, '{part}') THEN '{name}'" for part, name in parts) + " END"
+    return "CASE " + " ".join(f"WHEN contains({col}, '{part}') THEN '{name}'" for part, name in fixed.TOOLS) + " END"
 
 
 _made("r5_tool_name", inputs.METADATA, "doc_id", f"{_tool_sql('creator')} AS creator_tool, {_tool_sql('producer')} AS producer_tool",
@@ -561,6 +496,9 @@ def k4_toc_json(spark, sf_dir):
     return translate.toc_json(run_sql(spark, sf_dir, inputs.TOC))
 
 
+from . import document_queries  # noqa: E402, F401  registers the queries of documents' layout, contents and rules
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword retrieval: the three best lines of each document."""
     return l1_retrieve(spark, sf_dir)

@@ -9,7 +9,7 @@ import zipfile
 from email import message_from_bytes, policy
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -133,14 +133,18 @@ def parse(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def sheet_table(cells: DataFrame, sheet: str, header_rows: int = 5) -> DataFrame:
-    """Rows of a sheet as maps from header to text. The header is the first of the first rows with at least half of
-    its cells filled, all of these text that is no number; empty rows are dropped."""
+    """``(doc_hash, row, cells)``: rows of each file's sheet as maps from header to text. The header is the first of the
+    first rows with at least half of its cells filled, all of these text that is no number; a header that repeats gets
+    the number of its column, one without text is called after it; empty rows are dropped."""
+    key = ["doc_hash"]
     own = cells.filter(F.col("sheet") == sheet)
-    width = own.agg((F.max("col") + 1).alias("w"))
+    width = own.groupBy(*key).agg((F.max("col") + 1).alias("w"))
     text = F.count_if(F.col("text").try_cast("double").isNull())
-    rows = own.filter(F.col("row") < header_rows).groupBy("row").agg(F.count("*").alias("n"), text.alias("t"))
-    head = rows.join(F.broadcast(width)).filter("n >= 0.5 * w and t >= 0.5 * n").agg(F.min("row").alias("head"))
-    own = own.join(F.broadcast(head))
-    names = own.filter("row = head").select("col", F.col("text").alias("name"))
-    body = own.filter("row > head").join(F.broadcast(names), "col")  # a row a column of the sheet
-    return body.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("cells"))
+    rows = own.filter(F.col("row") < header_rows).groupBy(*key, "row").agg(F.count("text").alias("n"), text.alias("t"))
+    head = rows.join(width, key).filter("n >= 0.5 * w and t >= 0.5 * n").groupBy(*key).agg(F.min("row").alias("head"))
+    own = own.join(head, key)
+    names = own.filter("row = head").select(*key, "col", F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.concat(F.lit("col_"), F.col("col"))).alias("name"))
+    nth = F.row_number().over(Window.partitionBy(*key, "name").orderBy("col"))
+    names = names.withColumn("name", F.when(nth > 1, F.concat_ws("_", "name", "col")).otherwise(F.col("name")))
+    body = own.filter("row > head").join(names, [*key, "col"], "left").withColumn("name", F.coalesce("name", F.concat(F.lit("col_"), F.col("col"))))
+    return body.groupBy(*key, "row").agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("cells"))
