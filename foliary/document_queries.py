@@ -8,6 +8,7 @@ from .functions import fixed, question, text
 from .operators import contents, inputs, layout, pages, rules
 from .operators import scope as scopes
 from .queries import _SQL, _TOC_PAGE, _TYPE, _query, pair, read, run_sql
+from .sources import pdf
 
 SPANS, IMAGES, PAGES, TOC, LEADERS = inputs.SPANS, inputs.IMAGES, inputs.PAGES, inputs.TOC, inputs.LEADERS
 _SPAN = ("doc_id", "page", "line", "pos", "sub")
@@ -385,3 +386,37 @@ _OLDER = "SELECT CAST(o_orderkey AS BIGINT) AS q_id, CASE o_orderkey % 3 WHEN 0
 pair("q12_understood", _OLDER, "SELECT q_id, q_id % 3 = 2 AS unclear, CASE q_id % 3 WHEN 2 THEN 'Could you clarify which document?|Could you clarify which concept exactly?' END AS options, CASE q_id % 3 WHEN 0 THEN 'compare' WHEN 1 THEN 'extract' END AS task, CASE q_id % 3 WHEN 0 THEN 'cost A|cost B' WHEN 1 THEN text END AS parts, CAST(CASE q_id % 3 WHEN 1 THEN 7 END AS INT) AS page_hint FROM {source}",
      lambda s: s.select("q_id", question.understood(F.col("text"), F.lit(False), F.lit("pdf")).alias("x")).select("q_id", "x.unclear", F.array_join("x.options", "|").alias("options"), "x.task", F.array_join("x.parts", "|").alias("parts"), "x.page_hint"))
 
+
+
+# --- PDF files, written from tables and read again ---------------------------------
+
+_PDF = "SELECT CAST(p_partkey % 40 AS BIGINT) AS doc_id, CAST(p_size % 4 AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS pos, p_name || CASE WHEN p_partkey % 5 = 0 THEN ' (a) é' ELSE '' END AS text FROM part"
+_PDF_LINES = f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) - 1 AS line, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS n FROM ({_PDF})"
+
+
+def _pdf_files(spark, sf_dir):
+    own = layout.numbered(run_sql(spark, sf_dir, _PDF), "n", ("doc_id", "page"), ("pos",), first=1)
+    spans = own.select("doc_id", "page", "pos", "text", F.lit(50.0).alias("x"), (F.col("n") * 5.0).alias("y"), (8.0 + F.col("pos") % 5).alias("size"))
+    toc = run_sql(spark, sf_dir, TOC).filter("doc_id < 40 and page <= 4").select("doc_id", "pos", F.lit(1).cast("long").alias("level"), "title", "page")
+    return pdf.files(spans, toc)
+
+
+@_query(f"SELECT page AS page_num, line, text, CAST(8 + pos % 5 AS DOUBLE) AS size, count(*) AS n FROM ({_PDF_LINES}) GROUP BY ALL")
+def s2_pdf_lines(spark, sf_dir):
+    return pdf.table(_pdf_files(spark, sf_dir), "lines").groupBy("page_num", "line", "text", "size").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT page AS page_num, 'p_' || page || '_' || line || '_0' AS span_id, text, 50e0 AS x0, count(*) AS n FROM ({_PDF_LINES}) GROUP BY ALL")
+def s3_pdf_spans(spark, sf_dir):
+    return pdf.table(_pdf_files(spark, sf_dir), "spans").groupBy("page_num", "span_id", "text", "x0").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT page_num, native_char_count, drawing_count, count(*) AS n FROM (SELECT page AS page_num, CAST(sum(length(text)) AS BIGINT) AS native_char_count, 0 AS drawing_count FROM ({_PDF}) GROUP BY doc_id, page) GROUP BY ALL")
+def s5_pdf_pages(spark, sf_dir):
+    own = pdf.table(_pdf_files(spark, sf_dir), "pages").filter("n_fonts > 0")
+    return own.groupBy("page_num", "native_char_count", "drawing_count").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT t.title, t.page, count(*) AS n FROM ({TOC}) t JOIN (SELECT doc_id, max(page) + 1 AS pages FROM ({_PDF}) GROUP BY doc_id) d ON t.doc_id = d.doc_id AND t.page <= d.pages WHERE t.page <= 4 GROUP BY ALL")
+def k5_outline_files(spark, sf_dir):
+    return pdf.table(_pdf_files(spark, sf_dir), "outline").groupBy("title", "page").agg(F.count("*").alias("n"))
