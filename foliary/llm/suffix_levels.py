@@ -10,9 +10,9 @@ bytes share an indexed suffix inside it. What the index reports is then confirme
    then levels of equal size merge, so an entry takes part in a logarithmic number of merges.
 4. A batch gets back the keys that more than one document has, and which of them more than HOT batches have. Windows
    whose suffix is shared are sent with their bytes, equal ones once a batch, and grouped by key; those of a hot
-   suffix, which common lines bring into very many documents with other bytes around, go one by one and by a hash of
-   all their bytes, so that no key range grows with the number of documents. Windows are compared byte by byte, and
-   what a smaller document has of them comes back.
+   suffix, which common lines bring into very many documents with other bytes around, go one by one as two independent
+   64-bit hashes of all their bytes, so that no key range grows with the number of documents. Other windows are
+   compared byte by byte. What a smaller document has of them comes back.
 5. Each document drops the bytes of the windows that a smaller document has.
 """
 
@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from .common import table, utf8
 
 K, HOT = 20, 64
-_P = 0x9E3779B97F4A7C15 | 1
+_P, _P2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F
 _U = np.uint64
 
 
-def _windows(data: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of every ``n`` bytes, by doubling."""
+def _windows(data: np.ndarray, n: int, p: int = _P) -> np.ndarray:
+    """A 64-bit hash of every ``n`` bytes, by doubling; another multiplier ``p`` gives another hash."""
     if len(data) < n:
         return np.empty(0, np.uint64)
     cur, size, out, done = data.astype(np.uint64) + _U(1), 1, None, 0
@@ -45,11 +45,11 @@ def _windows(data: np.ndarray, n: int) -> np.ndarray:
                 out, done = cur, size
             else:
                 m = len(data) - done - size + 1
-                out, done = out[:m] * _U(pow(_P, size, 1 << 64)) + cur[done : done + m], done + size
+                out, done = out[:m] * _U(pow(p, size, 1 << 64)) + cur[done : done + m], done + size
         if size * 2 > n:
             return _mix(out[: len(data) - n + 1])
         m = len(data) - 2 * size + 1
-        cur, size = cur[:m] * _U(pow(_P, size, 1 << 64)) + cur[size : size + m], size * 2
+        cur, size = cur[:m] * _U(pow(p, size, 1 << 64)) + cur[size : size + m], size * 2
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -186,9 +186,10 @@ def _runs(data: np.ndarray, match: int, shared: np.ndarray):
 
 def _contexts(rows, match: int, known: tuple[np.ndarray, np.ndarray]):
     """Distinct contexts of a batch, in the order of first sight: {(key, place of the suffix, bytes): number}, the
-    smallest document of each, and for each document its (context, first window). ``known`` holds the shared and the
-    hot keys; windows of a hot suffix are contexts of their own, keyed by their own hash."""
+    smallest document of each, for each document its (context, first window), and the windows of hot suffixes as
+    columns: document, row, place, two hashes. ``known`` holds the shared and the hot keys."""
     shared, hot = known
+    alone = [np.empty((5, 0), np.uint64)]
     number: dict[tuple, int] = {}
     least: list[int] = []
     uses = []
@@ -197,22 +198,33 @@ def _contexts(rows, match: int, known: tuple[np.ndarray, np.ndarray]):
         raw = data.tobytes()
         runs = _runs(data, match, shared)
         very = _has(hot, np.array([r[3] for r in runs], np.uint64)).tolist() if len(hot) else [False] * len(runs)
-        whole = _windows(data, match) if any(very) else None
-        for (a, n, p, key), alone in zip(runs, very):
-            parts = [(a + w, 1, h, 0) for w, h in enumerate(whole[a : a + n].tolist())] if alone else [(a, n, key, p - a)]
-            for at, windows, k, place in parts:
-                c = number.setdefault((k, place, raw[at : at + windows + match - 1]), len(number))
-                if c == len(least):
-                    least.append(rank)
-                own.append((c, at))
+        if any(very):
+            place = np.concatenate([np.arange(a, a + n) for (a, n, _, _), v in zip(runs, very) if v])
+            alone.append(np.stack([np.full(len(place), x, np.int64).view(np.uint64) for x in (rank, i)] + [place.astype(np.uint64), _windows(data, match)[place], _windows(data, match, _P2)[place]]))
+        for (a, n, p, key), v in zip(runs, very):
+            if v:
+                continue
+            c = number.setdefault((key, p - a, raw[a : a + n + match - 1]), len(number))
+            if c == len(least):
+                least.append(rank)
+            own.append((c, a))
         uses.append((rank, i, own))
-    return number, least, uses
+    return number, least, uses, np.concatenate(alone, 1)
+
+
+def _grouped(rank: np.ndarray, h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts equal windows together, the smallest document first; where each group starts in it; and that
+    smallest document for every window, in the order."""
+    order = np.lexsort((rank, h2, h))
+    x, y = h[order], h2[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+    return order, first, np.repeat(rank[order][first], np.diff(np.append(first, len(x))))
 
 
 _ARRAYS = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("keys", pa.binary()), ("many", pa.binary())])
 _SHARED = pa.schema([("batch", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())])
-_ASKED = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("context", pa.binary()), ("least", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
-_ANSWERS = pa.schema([("batch", pa.int32()), ("runs", pa.binary())])
+_ASKED = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("context", pa.binary()), ("least", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary()), ("windows", pa.binary())])
+_ANSWERS = pa.schema([("batch", pa.int32()), ("runs", pa.binary()), ("windows", pa.binary())])
 _DDL = {pa.int32(): "int", pa.int64(): "bigint", pa.binary(): "binary", pa.string(): "string"}
 
 
@@ -276,14 +288,20 @@ def _known(extra: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ask(b: int, rows, match: int, shards: int, known: tuple[np.ndarray, np.ndarray]) -> pa.Table:
-    number, least, _ = _contexts(rows, match, known)
+    number, least, _, alone = _contexts(rows, match, known)
+    order, first, low = _grouped(alone[0].view(np.int64), alone[3], alone[4])
+    alone = np.stack((alone[3][order][first], alone[4][order][first], low[first].view(np.uint64)), 1)
+    apart = _split(alone[:, 0], shards)
+    cut = np.searchsorted(apart, np.arange(shards + 1))
     by: dict[int, list] = {}
     to = _split(np.array([k for k, _, _ in number], np.uint64), shards).tolist()
     for s, ((_, _, raw), c) in zip(to, number.items()):
         by.setdefault(s, []).append((c, raw))
-    out: dict = {"shard": [], "batch": [], "context": [], "least": [], "size": [], "bytes": []}
+    out: dict = {"shard": [], "batch": [], "context": [], "least": [], "size": [], "bytes": [], "windows": []}
     longs = lambda x: np.array(x, "<i8").tobytes()
-    for s, items in by.items():
+    for s in sorted({*by, *np.unique(apart).tolist()}):
+        items = by.get(s, [])
+        out["windows"].append(np.ascontiguousarray(alone[cut[s] : cut[s + 1]].T).tobytes())
         out["shard"].append(s)
         out["batch"].append(b)
         out["context"].append(longs([c for c, _ in items]))
@@ -317,7 +335,20 @@ def _same(data: np.ndarray, match: int, start: np.ndarray, h: np.ndarray, order:
 
 def _answer(t: pa.Table, match: int) -> pa.Table:
     """For each context of one key range the runs of windows that a smaller document than the batch's own has."""
+    out: dict = {"batch": [], "runs": [], "windows": []}
+    alone = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in t.column("windows").to_pylist()]
+    whose = np.repeat(t.column("batch").to_numpy(), [x.shape[1] for x in alone])
+    h, h2, low = np.concatenate(alone, 1)
+    order, _, best = _grouped(low.view(np.int64), h, h2)
+    known = order[best < low.view(np.int64)[order]]
+    for b in np.unique(whose[known]).tolist():
+        own = known[whose[known] == b]
+        out["batch"].append(b)
+        out["runs"].append(None)
+        out["windows"].append(np.stack((h[own], h2[own])).tobytes())
     size, least, context = (_longs(t.column(c).to_pylist()) for c in ("size", "least", "context"))
+    if not len(size):
+        return pa.table(out, schema=_ANSWERS)
     owner = np.repeat(t.column("batch").to_numpy(), [len(x) // 8 for x in t.column("size").to_pylist()])
     data = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8)
     n = size - match + 1
@@ -335,17 +366,18 @@ def _answer(t: pa.Table, match: int) -> pa.Table:
     length = np.diff(np.append(head, len(h)))
     packed = np.stack([context[which[head]], place[head], length], 1).astype("<i8")
     of = owner[which[head]]
-    out: dict = {"batch": [], "runs": []}
     for b in np.unique(of[less[head]]).tolist():
         out["batch"].append(b)
         out["runs"].append(packed[less[head] & (of == b)].tobytes())
+        out["windows"].append(None)
     return pa.table(out, schema=_ANSWERS)
 
 
-def _covered(rows, match: int, known: tuple[np.ndarray, np.ndarray], runs: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """For each row the byte ranges to remove, not merged."""
-    number, least, uses = _contexts(rows, match, known)
-    windows = [len(raw) - match + 1 for _, _, raw in number]
+def _covered(rows, match: int, known: tuple[np.ndarray, np.ndarray], runs: np.ndarray, windows: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """For each row the byte ranges to remove, not merged. ``windows``: the hashes of those of hot suffixes that a smaller
+    document of another batch has."""
+    number, least, uses, alone = _contexts(rows, match, known)
+    count = [len(raw) - match + 1 for _, _, raw in number]
     runs = runs[np.argsort(runs[:, 0], kind="stable")]
     at = np.searchsorted(runs[:, 0], np.arange(len(least) + 1)).tolist()
     runs = runs.tolist()
@@ -353,10 +385,22 @@ def _covered(rows, match: int, known: tuple[np.ndarray, np.ndarray], runs: np.nd
     for rank, i, own in uses:
         for c, a in own:
             if rank > least[c]:  # the batch itself has the whole context in a smaller document
-                out.setdefault(i, []).append((a, a + windows[c] + match - 1))
+                out.setdefault(i, []).append((a, a + count[c] + match - 1))
             else:
                 for _, off, n in runs[at[c] : at[c + 1]]:
                     out.setdefault(i, []).append((a + off, a + off + n + match - 1))
+    if alone.shape[1]:
+        rank, row, place = alone[0].view(np.int64), alone[1].astype(np.int64), alone[2].astype(np.int64)
+        # windows of other batches take part as those of a document before all others
+        whole = np.concatenate((rank, np.full(windows.shape[1], -(1 << 63), np.int64)))
+        order, _, low = _grouped(whole, np.concatenate((alone[3], windows[0])), np.concatenate((alone[4], windows[1])))
+        gone = order[low < whole[order]]
+        gone = gone[np.lexsort((place[gone], row[gone]))]
+        row, place = row[gone], place[gone]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), (np.diff(row) != 0) | (np.diff(place) != 1))))
+        last = np.append(first[1:], len(row))[: len(first)] - 1
+        for i, a, z in zip(row[first].tolist(), place[first].tolist(), place[last].tolist()):
+            out.setdefault(i, []).append((a, z + match))
     return out
 
 
@@ -432,11 +476,11 @@ def remove_repeats(docs: DataFrame, match: int = 50, id_col: str = "doc_id", tex
     indexed = dealt.cogroup(copy).applyInArrow(arrays, _ddl(_ARRAYS))
     shared = indexed.groupBy("shard").applyInArrow(scan, _ddl(_SHARED))
     none = "cast(null as binary)"
-    given = copies.select("batch", "copies", *[F.expr(f"{none} as {c}") for c in ("keys", "hot", "runs")])
-    given = given.unionByName(shared.select("batch", F.expr("cast(null as array<struct<rank: bigint, d: binary>>) as copies"), "keys", "hot", F.expr(f"{none} as runs")))
+    given = copies.select("batch", "copies", *[F.expr(f"{none} as {c}") for c in ("keys", "hot", "runs", "windows")])
+    given = given.unionByName(shared.select("batch", F.expr("cast(null as array<struct<rank: bigint, d: binary>>) as copies"), "keys", "hot", F.expr(f"{none} as runs"), F.expr(f"{none} as windows")))
     asked = dealt.cogroup(given.groupBy("batch")).applyInArrow(ask, _ddl(_ASKED))
     answers = asked.groupBy("shard").applyInArrow(answer, _ddl(_ANSWERS))
-    given = given.unionByName(answers.select("batch", F.expr("cast(null as array<struct<rank: bigint, d: binary>>) as copies"), F.expr(f"{none} as keys"), F.expr(f"{none} as hot"), "runs"))
+    given = given.unionByName(answers.select("batch", F.expr("cast(null as array<struct<rank: bigint, d: binary>>) as copies"), F.expr(f"{none} as keys"), F.expr(f"{none} as hot"), "runs", "windows"))
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * keep_text
     kinds = dict(docs.select(*others).dtypes)
     ddl = ", ".join([f"{n} {_DDL[k]}" for n, k in fields] + [f"c{k} {kinds[c]}" for k, c in enumerate(carry)])
@@ -444,7 +488,8 @@ def remove_repeats(docs: DataFrame, match: int = 50, id_col: str = "doc_id", tex
     def clean(key, t, extra):
         rows, texts, gone = _texts(t, extra)
         runs = _longs(extra.column("runs").to_pylist()).reshape(-1, 3)
-        covered = _covered(rows, match, _known(extra), runs)
+        windows = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in extra.column("windows").to_pylist() if x]
+        covered = _covered(rows, match, _known(extra), runs, np.concatenate([np.empty((2, 0), np.uint64), *windows], 1))
         schema = pa.schema(fields + [(f"c{k}", t.schema.field(f"c{k}").type) for k in range(len(carry))])
         return _clean(t, texts, gone, covered, match, schema, list(carry), keep_text)
 
