@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from hashlib import md5
 
@@ -15,13 +16,16 @@ from .common import drop, pick, slices, table, utf8
 from .components import components
 from .simhash import _BITS, _LANE, _grouped, _signed, masks
 
-#: A fingerprint has 448 bits. A round cuts them, in an order of its own, into segments of SEGMENT_BITS; the masks of a
-#: segment guarantee that two fingerprints at most SEGMENT_RADIUS bits apart in it share a key.
-WORDS64, SEGMENT_BITS, SEGMENT_RADIUS, ROUNDS = 7, 24, 1, 4
+#: A fingerprint has 448 bits. A round cuts them, in an order of its own, into segments; the masks of a segment guarantee
+#: that two fingerprints at most SEGMENT_RADIUS bits apart in it share a key. A key keeps two thirds of a segment's bits.
+WORDS64, SEGMENT_RADIUS = 7, 1
+#: The share of bits that a similarity of 0.8 puts apart, and the share of such pairs that no table may find.
+APART, MISSED = math.acos(1.6 / 1.8) / math.pi, 0.0005
 #: Of the last 128 bits, a candidate pair may differ in NEAR_BITS.
 NEAR_BITS = 36
 #: Cells of one table, members of a key that are compared pair by pair, shingles a task compares at once.
 _SPLIT, _SHORT, _BLOCK = 1 << 19, 256, 1 << 20
+_PARTITIONS = 1 << 16
 _STEP = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -65,14 +69,25 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def cover() -> np.ndarray:
+def segment_bits(n: int) -> int:
+    """Longer segments for more fingerprints, so that by chance a key has some hundreds of them at any size."""
+    return 24 if n <= 1 << 24 else 30 if n <= 1 << 28 else 36
+
+
+def rounds(size: int) -> int:
+    """Rounds of segments of ``size`` bits after which no more than MISSED of the pairs at the limit share no key."""
+    hit = (1 - APART) ** size + size * APART * (1 - APART) ** (size - 1)
+    return math.ceil(math.log(MISSED) / math.log(1 - hit) / (64 * WORDS64 // size))
+
+
+def cover(size: int = 24) -> np.ndarray:
     """A column for each table: powers of two at the bits of the fingerprint that its mask keeps."""
     rng, bits, out = random.Random(29), 64 * WORDS64, []
-    for _ in range(ROUNDS):
+    for _ in range(rounds(size)):
         order = rng.sample(range(bits), bits)
-        for at in range(0, bits - SEGMENT_BITS + 1, SEGMENT_BITS):
-            for m in masks(SEGMENT_RADIUS, bits=SEGMENT_BITS):
-                own = [order[at + i] for i in range(SEGMENT_BITS) if m >> i & 1]
+        for at in range(0, bits - size + 1, size):
+            for m in masks(SEGMENT_RADIUS, bits=size):
+                own = [order[at + i] for i in range(size) if m >> i & 1]
                 column = np.zeros(bits, np.float32)
                 column[own] = 2.0 ** np.arange(len(own))
                 out.append(column)
@@ -101,12 +116,12 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def cell_links(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stars that connect what chains of candidate pairs connect among the entries of a table's cell (rows of 2 bytes
+    """Stars that connect what chains of candidate pairs connect among the entries of a table's cell (rows of 3 bytes
     of key and the 16 confirming bytes): those with one key and at most NEAR_BITS apart. A key with up to _SHORT members
     is compared by shifts; in a larger one, members reached leave the search, so that a group of copies takes about
     one pass. No list of a group's pairs is made."""
-    wide = np.ascontiguousarray(data[:, 2:]).view("<u8")
-    key = np.ascontiguousarray(data[:, :2]).view("<u2").ravel()
+    wide = np.ascontiguousarray(data[:, 3:]).view("<u8")
+    key = data[:, 0].astype(np.uint32) | data[:, 1].astype(np.uint32) << 8 | data[:, 2].astype(np.uint32) << 16
     order = np.argsort(key, kind="stable")
     key, lo, hi = key[order], wide[order, 0], wide[order, 1]
     cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
@@ -205,9 +220,9 @@ def exact_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return edges
 
 
-def _cells(prints_of: DataFrame, split: int) -> DataFrame:
+def _cells(prints_of: DataFrame, split: int, size: int) -> DataFrame:
     """``(cell, data)``: the entries of each table, dealt to ``split`` cells by key."""
-    weights = cover()
+    weights = cover(size)
     tables = weights.shape[1]
     cells = pa.schema([("cell", pa.int64()), ("data", pa.binary())])
 
@@ -219,7 +234,7 @@ def _cells(prints_of: DataFrame, split: int) -> DataFrame:
                 own, ids, blobs = keys(wide, weights), [], []
                 for t in range(tables):
                     key = np.ascontiguousarray(own[:, t])
-                    entry = np.hstack((key.astype("<u2").view(np.uint8).reshape(-1, 2), wide[:, -16:]))
+                    entry = np.hstack((key.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3], wide[:, -16:]))
                     part = (_mix(key.astype(np.uint64)) % np.uint64(split)).astype(np.int64)
                     order = np.argsort(part, kind="stable")
                     present, first = np.unique(part[order], return_index=True)
@@ -228,7 +243,7 @@ def _cells(prints_of: DataFrame, split: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], schema=cells)
 
     dealt = prints_of.mapInArrow(deal, "cell long, data binary")
-    return dealt.repartition(max(tables * split // 4, 1), "cell").sortWithinPartitions("cell")
+    return dealt.repartition(min(max(tables * split // 4, 1), _PARTITIONS), "cell").sortWithinPartitions("cell")
 
 
 def _links_of_cells(batches):
@@ -242,9 +257,9 @@ def _links_of_cells(batches):
         return x
 
     def found(parts):
-        data = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 18) for x in parts])
+        data = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 19) for x in parts])
         pairs = []
-        for x, y in zip(*(data[k, 2:] for k in cell_links(data))):
+        for x, y in zip(*(data[k, 3:] for k in cell_links(data))):
             a, b = _node(x.tobytes()), _node(y.tobytes())
             ra, rb = find(a), find(b)
             if ra != rb:
@@ -297,8 +312,8 @@ def searched(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[D
     """``(id, fp, wide, digest)`` for each row and the links ``(a, b)`` of fps: documents whose sets of shingles have a
     similarity of 0.8 or more. fp stands for the confirming bits, digest for the text, null as empty.
 
-    A similarity of 0.8 puts about 15 % of the bits apart. Each of the 216 tables keys the fingerprints by 16 of their
-    448 bits; a pair that shares a key and is at most NEAR_BITS of the 128 confirming bits apart is a candidate, which
+    A similarity of 0.8 puts about 15 % of the bits apart. Each of 216 tables (for up to 2^24 texts, more beyond) keys the
+    fingerprints by 16 of their 448 bits; a pair that shares a key and is at most NEAR_BITS of the 128 confirming bits apart is a candidate, which
     a pair at the limit is with a probability of about 0.9995. Chains of candidates make groups; inside each, sets
     are compared exactly, so a link never rests on bits alone. Texts with equal confirming bits are linked. Texts
     without a word have one fingerprint, in no table.
@@ -314,8 +329,8 @@ def searched(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[D
     picked = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     rows = table(picked.mapInArrow(prints, "id long, fp long, wide binary, digest binary"))
     prints_of = table(rows.filter("length(wide) > 0").select("wide").distinct())
-    split = max(1, -(-prints_of.count() // _SPLIT))
-    found = components(_cells(prints_of, split).mapInArrow(_links_of_cells, "a long, b long").distinct())
+    n = prints_of.count()
+    found = components(_cells(prints_of, max(1, -(-n // _SPLIT)), segment_bits(n)).mapInArrow(_links_of_cells, "a long, b long").distinct())
     drop(prints_of)
     members = table(found.select("node", "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct()))
     first = table(_firsts(rows).join(members, F.col("fp") == F.col("node")).select("fp", "root", F.col("x.id").alias("own_id"), F.col("x.digest").alias("own_digest")))
@@ -353,7 +368,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     twins = rows.groupBy("id", "digest").agg(F.count("*").alias("_n")).filter("_n > 1")
     kept = table(kept.join(twins, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest")), "left").select("_id", "_digest", F.coalesce("_n", F.lit(1)).alias("_n")))
     drop(rows)
-    own = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
-    found = docs.withColumn("_own", own).join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")))
+    names = docs.columns
+    src = docs.toDF(*[f"c{k}" for k in range(len(names))])  # no name of the input can clash
+    own = F.unhex(F.md5(F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit("")).cast("binary")))
+    found = src.withColumn("_own", own).join(kept, F.col(f"c{names.index(id_col)}").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")))
     once, more = found.filter("_n = 1"), found.filter("_n > 1").dropDuplicates(["_id", "_digest"])
-    return once.unionByName(more).select(*docs.columns)
+    return once.unionByName(more).select(*src.columns).toDF(*names)

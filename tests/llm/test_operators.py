@@ -263,13 +263,13 @@ def test_exact_links_and_blocks(spark):
 def test_a_cell_links_as_all_pairs_do():
     rng = np.random.default_rng(5)
     for size in (40, 400):  # below and above what is compared by shifts
-        data = np.repeat(rng.integers(0, 256, (3, 18), dtype=np.uint8), size, axis=0)
-        data[:, :2] = [7, 1]
+        data = np.repeat(rng.integers(0, 256, (3, 19), dtype=np.uint8), size, axis=0)
+        data[:, :3] = [7, 1, 9]
         data[: size // 2, 0] = 8
         for row in data:
             for bit in rng.choice(128, 19, replace=False):
-                row[2 + bit // 8] ^= 1 << (bit % 8)
-        bits = np.unpackbits(data[:, 2:], axis=1).astype(np.int64)
+                row[3 + bit // 8] ^= 1 << (bit % 8)
+        bits = np.unpackbits(data[:, 3:], axis=1).astype(np.int64)
         apart = bits.sum(1)[:, None] + bits.sum(1)[None] - 2 * bits @ bits.T
         want = np.argwhere((apart <= similar.NEAR_BITS) & (data[:, None, 0] == data[None, :, 0]))
         found = [tuple(p) for p in zip(*(x.tolist() for x in similar.cell_links(data)))]
@@ -286,21 +286,29 @@ def test_a_cell_links_as_all_pairs_do():
         assert len(data) - len(found) == len(set(top.tolist()))
 
 
-def test_fingerprints_near_in_a_segment_share_a_key():
-    rng, weights = random.Random(6), similar.cover()
-    per = weights.shape[1] // similar.ROUNDS
-    segments = 448 // similar.SEGMENT_BITS
-    covered = segments * similar.SEGMENT_BITS
-    for r in range(similar.ROUNDS):
-        own = weights[:, r * per : (r + 1) * per]
+@pytest.mark.parametrize("n", [1000, 1 << 26, 1 << 31])
+def test_fingerprints_near_in_a_segment_share_a_key(n):
+    rng, size = random.Random(6), similar.segment_bits(n)
+    weights, rounds = similar.cover(size), similar.rounds(size)
+    segments = 448 // size
+    assert weights.shape[1] == 3 * segments * rounds and (np.count_nonzero(weights, 0) == size * 2 // 3).all() and weights.max() < 1 << 24
+    for r in range(min(rounds, 4)):
+        own = weights[:, r * 3 * segments : (r + 1) * 3 * segments]
         used = np.flatnonzero(own.any(1))
-        assert len(used) == covered and per == 3 * segments
+        assert len(used) == segments * size
         for _ in range(50):  # within twice the segments, less one: some segment has one such bit at most
             a = np.array([rng.randrange(256) for _ in range(56)], np.uint8)
             b = np.unpackbits(a, bitorder="little")
             b[rng.sample(used.tolist(), 2 * segments - 1)] ^= 1
             b = np.packbits(b, bitorder="little")
             assert (similar.keys(a[None], own) == similar.keys(b[None], own)).any()
+    miss = 0
+    for _ in range(400):  # pairs as far apart as the limit puts them
+        a = rng.getrandbits(448)
+        b = a ^ sum(1 << k for k in range(448) if rng.random() < similar.APART)
+        x, y = (np.frombuffer(v.to_bytes(56, "little"), np.uint8)[None] for v in (a, b))
+        miss += not (similar.keys(x, weights) == similar.keys(y, weights)).any()
+    assert miss <= 6, miss
 
 
 def test_isolated_pairs_link_just_from_the_limit(spark):
