@@ -134,7 +134,7 @@ def scan(x: np.ndarray, ids: np.ndarray, rx: np.ndarray, q: np.ndarray, own: np.
     return i[rank < k], ids[j[rank < k]], score[rank < k], read
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.94, sample: int = 16384, max_lists: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.96, sample: int = 16384, max_lists: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row of ``queries`` the k rows of ``vectors`` with the largest
     inner product among those in the probed lists, ties to the smaller id; score is exact, in double precision.
     A row with the query's own id is no candidate. Fewer than k candidates give fewer rows.
