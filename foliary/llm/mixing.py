@@ -43,11 +43,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     repeats counted. Whole epochs of a source come first; the rest of its target goes to its documents in the order of
     a hash-random key, and the last one is cut at the exact budget.
 
-    A null text has size 0; null is a source of its own; equal keys are ordered by id and size; an empty table gives
-    an empty result. Only (id, source, size, key) rows are shuffled, with what ``carry`` names. A source is dealt into 4096 key ranges: sums of
+    The key is a hash of id and text, so rows without an id, or of one id, are spread as others are; only rows equal in
+    both share one. A null text has size 0; null is a source of its own; an empty table gives an empty result. Only (id, source, size, key) rows are shuffled, with what ``carry`` names. A source is dealt into 4096 key ranges: sums of
     ranges give each range's start, and rows are ordered inside one range, so no task holds a whole source.
     """
-    key = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.md5(F.col(f"`{text_col}`")), F.lit(""))))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), key.alias("key"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)])
     rows = rows.withColumn("range", F.substring("key", 1, 3))
     rows = rows if carry else table(rows)  # carried texts are read again rather than stored
@@ -68,7 +68,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
 MIX_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(md5(text), '')) AS key
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
