@@ -411,7 +411,7 @@ def s3_pdf_spans(spark, sf_dir):
     return pdf.table(_pdf_files(spark, sf_dir), "spans").groupBy("page_num", "span_id", "text", "x0").agg(F.count("*").alias("n"))
 
 
-@_query(f"SELECT page_num, native_char_count, drawing_count, count(*) AS n FROM (SELECT page AS page_num, CAST(sum(length(text)) AS BIGINT) AS native_char_count, 0 AS drawing_count FROM ({_PDF}) GROUP BY doc_id, page) GROUP BY ALL")
+@_query(f"SELECT page_num, native_char_count, drawing_count, count(*) AS n FROM (SELECT page AS page_num, CAST(sum(length(text)) AS BIGINT) AS native_char_count, CAST(0 AS BIGINT) AS drawing_count FROM ({_PDF}) GROUP BY doc_id, page) GROUP BY ALL")
 def s5_pdf_pages(spark, sf_dir):
     own = pdf.table(_pdf_files(spark, sf_dir), "pages").filter("n_fonts > 0")
     return own.groupBy("page_num", "native_char_count", "drawing_count").agg(F.count("*").alias("n"))

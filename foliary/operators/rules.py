@@ -38,7 +38,7 @@ def content_means(pages: DataFrame) -> DataFrame:
     fonts = F.array_distinct(F.flatten(F.collect_set("fonts")))
     return pages.groupBy("doc_id").agg(
         F.count("*").alias("n_pages"), F.avg("chars").alias("chars"), F.avg("image_ratio").alias("images"), F.avg("blocks").alias("blocks"),
-        share(F.col("image_ratio") > 0.85).alias("full"), share(standard_size(F.col("width"), F.col("height"))).alias("standard"), F.size(fonts).alias("n_fonts"),
+        share(F.col("image_ratio") > 0.85).alias("full"), share(standard_size(F.col("width"), F.col("height"))).alias("standard"), F.size(fonts).cast("long").alias("n_fonts"),
     )
 
 
