@@ -13,6 +13,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -291,7 +292,7 @@ def gram_logs(distinct: DataFrame, model: tuple[DataFrame, DataFrame, float], or
     return reduce(DataFrame.unionByName, done), steps
 
 
-_SLICE, _SHARD = 32 << 20, 24 << 20
+_SLICE, _SHARD, _PIECE = 16 << 20, 24 << 20, 1 << 16
 
 
 def _packed(batch: pa.RecordBatch) -> bytes:
@@ -302,10 +303,11 @@ def _packed(batch: pa.RecordBatch) -> bytes:
 
 
 def _sliced(batches, text_col: str):
-    """``(name, slice)``: rows of about 32 MB of text, named by a hash of their texts. Slices of equal texts may share a
-    name: they ask for the same n-grams."""
-    for b in slices(batches, _SLICE, text_col):
-        own = xxhash.xxh64(seed=b.num_rows)
+    """``(name, slice)``: rows of about 16 MB of text, named by a hash of their partition, place and texts, so that
+    slices of equal texts go to tasks of their own."""
+    part = TaskContext.get().partitionId()
+    for place, b in enumerate(slices(batches, _SLICE, text_col)):
+        own = xxhash.xxh64(f"{part} {place} {b.num_rows} ".encode())
         for t in utf8(b.column(text_col)):
             own.update(b"\xff" if t is None else t + b"\xfe")
         yield own.intdigest() - (1 << 63), b
@@ -313,7 +315,8 @@ def _sliced(batches, text_col: str):
 
 def _text_hashes(column: pa.Array, order: int):
     """For pieces of a column's texts: the code points, the hashes of the n-grams, their places among the points, and
-    the row of each; a long text comes in several pieces. Null and empty texts have none."""
+    the row of each; a long text comes in several pieces, which are short enough to stay in a processor's cache. Null
+    and empty texts have none."""
     at = 0
     for part in slices([pa.RecordBatch.from_arrays([column], names=["text"])], 1 << 20):
         texts = part.column(0).to_pylist()
@@ -323,12 +326,18 @@ def _text_hashes(column: pa.Array, order: int):
             continue
         points, starts = _stream([t for t in texts if t], order)
         ends = np.append(starts[1:], len(points))
-        for a in range(0, len(points), _CHUNK):
-            h = _mix(_hashes(points[a : a + _CHUNK + order - 1], order)[order], order)
-            place = np.arange(a, a + len(h))
-            who = np.searchsorted(starts, place, side="right") - 1
-            inside = place + order <= ends[who]
-            yield points, h[inside], place[inside], rows[who[inside]]
+        who = np.repeat(rows, ends - starts)
+        inside = np.ones(len(points), bool)
+        inside[(ends[:, None] - np.arange(1, order)).ravel()] = False  # would reach into the next text
+        for a in range(0, len(points), _PIECE):
+            place = a + np.flatnonzero(inside[a : a + _PIECE])
+            own = points[a : a + _PIECE + order - 1].astype(np.uint64) + _U(1)
+            h = own[: len(own) - order + 1].copy()
+            for k in range(1, order):
+                h *= _U(_P)
+                h += own[k : k + len(h)]
+            if len(place):
+                yield points, _mix(h[place - a], order), place, who[place]
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -338,23 +347,31 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 _ASKED = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("grams", pa.string())])
 
 
-def _asked(column: pa.Array, order: int, shards: int) -> list[tuple[int, str]]:
-    """``(shard, n-grams in a row, in the order of their hashes)`` of the distinct n-grams of a slice."""
-    known, grams = np.empty(0, np.uint64), np.empty((0, order), np.uint32)
+def _distinct(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of a slice's n-grams, and the n-grams' code points."""
+    known, grams, waiting = np.empty(0, np.uint64), np.empty((0, order), np.uint32), []
     seen = np.zeros(1 << 21, np.uint64)  # the last hash of each slot: most n-grams were seen a moment ago
+
+    def merged():
+        own, first = np.unique(np.concatenate((known, *[h for h, _ in waiting])), return_index=True)
+        return own, np.concatenate((grams, *[g for _, g in waiting]))[first], []
+
     for points, h, place, _ in _text_hashes(column, order):
         slot = (h >> _U(43)).astype(np.int64)
         late = seen[slot] != h
         h, place = h[late], place[late]
         seen[slot[late]] = h
-        h, first = np.unique(h, return_index=True)
         new = ~_in(known, h)
-        if not new.any():
-            continue
-        known = np.concatenate((known, h[new]))
-        grams = np.concatenate((grams, points[place[first[new]][:, None] + np.arange(order)]))
-        by = np.argsort(known)
-        known, grams = known[by], grams[by]
+        h, first = np.unique(h[new], return_index=True)
+        waiting.append((h, points[place[new][first][:, None] + np.arange(order)]))
+        if sum(len(x) for x, _ in waiting) > 1 << 17:
+            known, grams, waiting = merged()
+    return merged()[:2]
+
+
+def _asked(column: pa.Array, order: int, shards: int) -> list[tuple[int, str]]:
+    """``(shard, n-grams in a row, in the order of their hashes)`` of the distinct n-grams of a slice."""
+    known, grams = _distinct(column, order)
     cut = np.searchsorted(_shard(known, shards), np.arange(shards + 1))
     parts = [slice(cut[k], cut[k + 1]) for k in range(shards)]
     return [(k, grams[p].tobytes().decode("utf-32-le", "surrogatepass")) for k, p in enumerate(parts) if p.stop > p.start]
@@ -369,12 +386,13 @@ def _gram_hashes(grams: str, order: int) -> np.ndarray:
 
 
 def score_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame, float], text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """As ``score``, for tables of any size. Rows are taken in slices of about 32 MB of text. A slice asks for its
+    """As ``score``, for tables of any size. Rows are taken in slices of about 16 MB of text. A slice asks for its
     distinct n-grams, dealt to shards by hash; a shard's distinct ones meet the model's counts (one join an order), and
-    what the slice asked for comes back to its rows, which are summed up there. Only distinct n-grams of slices, their
-    logs and the rows themselves, compressed, are shuffled. A task holds one slice, or one shard: the number of shards
-    follows the amount of text. Slices have the same names whenever ``docs`` gives its rows in the same batches; an
-    n-gram that was not asked for fails the query rather than giving a wrong sum."""
+    the logs of what the slice asked for come back to its rows in the order of the n-grams' hashes, which the slice
+    works out again, and are summed up there. Only distinct n-grams of slices, their logs and the rows themselves,
+    compressed, are shuffled. A task holds one slice, or one shard: the number of shards follows the amount of text.
+    Slices have the same names whenever ``docs`` gives its rows in the same partitions and batches; if the hashes are
+    not those that were asked for, the query fails rather than giving a wrong sum."""
     names = docs.columns
     at = names.index(text_col)
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
@@ -405,7 +423,8 @@ def score_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame, float], t
         h, log = h[by], own.column("log").to_numpy()[by]
         keys = [_gram_hashes(x, order) for x in t.column("grams").to_pylist()]
         logs = [log[np.searchsorted(h, x)].tobytes() for x in keys]
-        return pa.table([t.column("slice"), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array(logs, pa.binary())], names=["slice", "keys", "logs"])
+        sums = [int(np.bitwise_xor.reduce(x).view(np.int64)) for x in keys]
+        return pa.table([t.column("slice"), t.column("shard"), pa.array(sums, pa.int64()), pa.array(logs, pa.binary())], names=["slice", "shard", "hashes", "logs"])
 
     def pack(batches):
         for name, b in _sliced(batches, text_col):
@@ -414,21 +433,22 @@ def score_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame, float], t
     fields = [*docs.schema.fields, *T._parse_datatype_string("chars long, perplexity double").fields]
 
     def measure(t, known):
-        logs = None
-        if known.num_rows:
-            logs = Lookup(np.concatenate([np.frombuffer(x, np.uint64) for x in known.column("keys").to_pylist()]), np.concatenate([np.frombuffer(x, np.float32) for x in known.column("logs").to_pylist()]))
+        known = known.sort_by("shard")  # shards follow the order of the hashes
+        answered = np.frombuffer(b"".join(known.column("logs").to_pylist()), np.float32)
+        hashes = np.bitwise_xor.reduce(known.column("hashes").to_numpy().view(np.uint64))
         out = []
         for blob in t.column("rows").to_pylist():
             for b in pa.ipc.open_stream(blob):
-                sums = np.zeros(b.num_rows)
+                sums, own = np.zeros(b.num_rows), _distinct(b.column(at), order)[0]
+                if len(own) != len(answered) or np.bitwise_xor.reduce(own) != hashes:
+                    raise ValueError("the rows of a slice changed between two readings")
+                logs = Lookup(own, answered)
                 for _, h, _, who in _text_hashes(b.column(at), order):
-                    log, missing = logs.get(h, 0.0)
-                    if missing.any():
-                        raise ValueError("the rows of a slice changed between two readings")
-                    sums += np.bincount(who, log, b.num_rows)
+                    sums += np.bincount(who, logs.get(h, 0.0)[0], b.num_rows)
                 chars = np.array([len(x.as_py() or "") for x in b.column(at)], np.int64)
                 means = pa.array(np.exp(-sums / (chars + 1)), mask=chars == 0)
                 out.append(pa.RecordBatch.from_arrays([*b.columns, pa.array(chars), means], names=[f.name for f in fields]))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out)
 
     asked = table(docs.mapInArrow(ask, "slice long, shard int, grams string"))
@@ -439,7 +459,7 @@ def score_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame, float], t
         drop(x)
     release(docs.sparkSession)
     logs = logs.mapInArrow(hashed, "shard int, h long, log float")
-    answers = asked.dropDuplicates(["slice", "shard"]).groupBy("shard").cogroup(logs.groupBy("shard")).applyInArrow(answer, "slice long, keys binary, logs binary")
+    answers = asked.groupBy("shard").cogroup(logs.groupBy("shard")).applyInArrow(answer, "slice long, shard int, hashes long, logs binary")
     rows = docs.mapInArrow(pack, "slice long, rows binary")
     return rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(measure, T.StructType(fields))
 
