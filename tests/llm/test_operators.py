@@ -477,6 +477,29 @@ def test_model_is_a_distribution(spark):
         assert got[t] == pytest.approx(np.exp(-np.mean(logs)), rel=1e-5)
 
 
+def test_hashes_of_a_slice():
+    import pyarrow as pa
+
+    texts = [None, "", "a", "abcabc", "é\U0001f600x" * 3, None, "long text " * 150_000, "abcabc"]
+    pad, found = kneser_ney.BEGIN * 4, {}
+    for k, t in enumerate(texts):
+        whole = pad + (t or "") + kneser_ney.END
+        for i in range(len(whole) - 4 if t else 0):
+            found.setdefault(whole[i : i + 5], []).append(k)
+    column = pa.array(texts)
+    known, grams = kneser_ney._distinct(column, 5)
+    names = [g.tobytes().decode("utf-32-le") for g in grams]
+    assert sorted(names) == sorted(found) and (known[1:] > known[:-1]).all()
+    assert (kneser_ney._gram_hashes("".join(names), 5) == known).all()
+    got = {}
+    for _, h, _, who in kneser_ney._text_hashes(column, 5):
+        for x, k in zip(h.tolist(), who.tolist()):
+            got.setdefault(x, []).append(k)
+    assert got == {h: found[n] for h, n in zip(known.tolist(), names)}
+    asked = kneser_ney._asked(column, 5, 16)
+    assert "".join(g for _, g in asked) == "".join(names) and [k for k, _ in asked] == sorted({k for k, _ in asked})
+
+
 def test_scoring_by_joins_equals_scoring_in_place(spark, docs, rows):
     model = kneser_ney.train(docs.filter("doc_id % 3 = 0").select("text"), "text")
     here = kneser_ney.scored(model, send=True)(docs).collect()
