@@ -1,10 +1,10 @@
-"""The operators' queries over the tables ``documents embeddings pages labels``."""
+"""The operators' queries over the tables ``documents embeddings pages labels benchmark``."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, kneser_ney, mixing, packing, png_media, sharding, simhash, suffix_levels, token_spans, url_filter
+from . import ann, curve, importance, kneser_ney, merkle, mixing, packing, png_media, sharding, simhash, suffix_levels, token_spans, url_filter
 from .common import read
 
 
@@ -52,10 +52,22 @@ def op10_suffix_levels(spark, sf_dir):
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+def op12_hilbert_packing(spark, sf_dir):
+    return curve.pack_along_curve(read(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark, sf_dir):
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    own = (op1_url_filter, op2_adaptive_scan, op3_mix_sources, op4_simhash, op5_karmarkar_karp, op6_best_fit, op7_kneser_ney, op8_token_spans, op9_png_media, op10_suffix_levels)
+    own = (op1_url_filter, op2_adaptive_scan, op3_mix_sources, op4_simhash, op5_karmarkar_karp, op6_best_fit, op7_kneser_ney, op8_token_spans, op9_png_media, op10_suffix_levels, op11_merkle_manifest, op12_hilbert_packing, op13_importance)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql():
-    return {"op1_url_filter": url_filter.URL_SQL, "op3_mix_sources": mixing.MIX_SQL}
+    return {"op1_url_filter": url_filter.URL_SQL, "op3_mix_sources": mixing.MIX_SQL, "op11_merkle_manifest": merkle.manifest_sql(), "op13_importance": importance.RESAMPLE_SQL}
