@@ -41,28 +41,31 @@ def _ranked(spec: dict) -> bool:
 
 
 class Encoder:
-    """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` with special tokens' strings read
-    as ordinary text. Plain texts go through the faster library with the same vocabulary if the file's merges are in
-    the order of the ids and its other settings agree, which is tested here: the ids are ranks then. Texts with other
-    characters or very long words, and every text for another file, go through ``tokenizers``."""
+    """``ids(text)`` equals ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``: a special token's
+    string in a text is that token. Plain texts go through the faster library with the same vocabulary if the file's
+    merges are in the order of the ids and its other settings agree, which is tested here: the ids are ranks then. Texts with
+    a special token's string, other characters or very long words, and every text for another file, go through
+    ``tokenizers``."""
 
     def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"] for x in spec.get("added_tokens", ())}
+        added = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
         byte_of = _byte_of()
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
         self.fast = tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}) if _ranked(spec) else None
-        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        self.lengths[list(ranks.values())] = [len(t) for t in ranks]
+        size = {i: len(t) for t, i in ranks.items()} | {i: len(t.encode()) for t, i in added.items()}
+        self.lengths = np.zeros(max(size) + 1, np.int64)
+        self.lengths[list(size)] = list(size.values())
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or _PLAIN.search(text) or max(map(len, text.split()), default=0) > _LONG_WORD:
+        slow = self.fast is None or _PLAIN.search(text) or self.special and self.special.search(text)
+        if slow or max(map(len, text.split()), default=0) > _LONG_WORD:
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from foliary.llm import ann, components, kneser_ney, mixing, packing, png_media, sharding, similar, simhash, suffix_levels, token_spans, url_filter
 from foliary.llm.tokens import byte_bpe_path, encoder
@@ -391,14 +392,19 @@ def test_differencing_is_exact_and_tight():
     assert max(sums) - min(sums) <= 5 and sharding.differenced([], 8) == []
 
 
+def fresh():
+    """The file's tokenizer as it is, nothing set."""
+    return Tokenizer.from_file(byte_bpe_path())
+
+
 def test_packing(docs, empty, rows):
-    enc = encoder(byte_bpe_path())
+    slow = fresh()
     got = {}
     for r in packing.pack_documents(docs).collect():
         got.setdefault(r.doc_id, []).append(r)
     seen = {}
     for i, t, *_ in rows:
-        ids = np.array([*enc.slow.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        ids = np.array([*slow.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         own = sorted(got[i], key=lambda r: r.piece)
         assert [r.start for r in own] == np.cumsum([0, *[r.length for r in own]])[:-1].tolist() and sum(r.length for r in own) == len(ids)
         assert [r.piece for r in own] == list(range(len(own))) and all(r.length == 2048 for r in own[1:])
@@ -452,8 +458,18 @@ def test_local_search_empties_bins():
 def test_ids_equal_those_of_the_slow_encoder():
     enc, rng = encoder(byte_bpe_path()), random.Random(9)
     texts = ["", "a" * 5000, "<|endoftext|> x", "don't I'LL  \n\n x", "naïve café", "日本語 \u00a0 x\u2003y", "\x00\x1f"] + ["".join(chr(rng.choice((rng.randrange(32, 127), rng.randrange(161, 592), 10, 32, 9))) for _ in range(80)) for _ in range(200)]
+    slow = fresh()
     for t in texts:
-        assert enc.ids(t) == enc.slow.encode(t, add_special_tokens=False).ids
+        assert enc.ids(t) == slow.encode(t, add_special_tokens=False).ids
+
+
+def test_special_tokens_in_a_text(spark):
+    text = "hello <|endoftext|> there"
+    frame = spark.createDataFrame([(1, text), (2, "<|endoftext|>" * 3)], "doc_id long, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(frame).collect()}
+    assert got[1] == (5, 169683840) and got[2][0] == 4
+    spans = token_spans.section_tokens(frame).collect()
+    assert {r.doc_id: (r.length, r.tokens) for r in spans} == {1: (len(text), 4), 2: (39, 3)}
 
 
 def test_model_is_a_distribution(spark):
@@ -566,7 +582,7 @@ def test_classifier_edges(docs, empty, spark):
 
 @pytest.mark.parametrize("rule", token_spans.RULES)
 def test_token_spans(docs, empty, rows, rule):
-    enc = encoder(byte_bpe_path())
+    enc, slow = encoder(byte_bpe_path()), fresh()
     got = {}
     for r in token_spans.section_tokens(docs, rule=rule).collect():
         got.setdefault(r.doc_id, []).append(r)
@@ -575,7 +591,7 @@ def test_token_spans(docs, empty, rows, rule):
         own = sorted(got[i], key=lambda r: r.section)
         assert sum(r.length for r in own) == len(raw)
         spans, at = [], 0
-        for k in enc.slow.encode(t or "", add_special_tokens=False).ids:
+        for k in slow.encode(t or "", add_special_tokens=False).ids:
             spans.append((at, at + int(enc.lengths[k])))
             at = spans[-1][1]
         assert at == len(raw)
@@ -613,7 +629,7 @@ def test_token_spans_equal_the_offsets_of_the_slow_encoder(rows):
         t = (t or "")[:2000]
         ends = np.cumsum(enc.lengths[enc.ids(t)])
         char = np.cumsum([0, *[len(c.encode()) for c in t]])
-        offsets = enc.slow.encode(t, add_special_tokens=False).offsets
+        offsets = fresh().encode(t, add_special_tokens=False).offsets
         assert len(offsets) == len(ends)
         for (a, b), end in zip(offsets, ends):
             assert char[b - 1] < end <= char[b] or a == b
