@@ -28,6 +28,23 @@ TOC = "SELECT CAST(p_partkey % 200 AS BIGINT) AS doc_id, CAST(p_partkey AS BIGIN
 #: Lines with dotted leaders.
 LEADERS = "SELECT CAST(p_partkey % 200 AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS pos, p_name || ' ' || repeat('.', CAST(4 + p_partkey % 9 AS INT)) || ' ' || CAST(p_size AS VARCHAR(9)) AS line FROM part"
 
+#: Lines of pages of contents: whole entries, prose that ends with a number, entries whose page or leaders come later.
+LEADER_PAGES = """
+SELECT CAST(floor(p_partkey / 12) AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS pos, CASE p_partkey % 7
+  WHEN 0 THEN p_name || ' ' || repeat('.', CAST(3 + p_partkey % 9 AS INT)) || ' ' || CAST(p_size AS VARCHAR(9))
+  WHEN 1 THEN 'The ' || p_brand || ' market grew in ' || CAST(2000 + p_size AS VARCHAR(9))
+  WHEN 2 THEN p_name || ' ____'
+  WHEN 3 THEN CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR(9)) ELSE p_type END
+  WHEN 4 THEN '- - - ' || CAST(p_size AS VARCHAR(9))
+  WHEN 5 THEN p_name || '   ' || CAST(p_size AS VARCHAR(9)) ELSE p_type END AS line
+FROM part"""
+
+#: Titles, and lines of pages that equal them, contain them or have nothing to do with them.
+TITLES = "SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS pos, p_name AS title FROM part"
+TITLE_LINES = """
+SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS doc_id, CAST(1 + p_partkey % 9 AS BIGINT) AS page, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) || '.' WHEN 1 THEN 'see ' || p_name || ', there' WHEN 2 THEN p_name ELSE CAST(p_retailprice AS VARCHAR(20)) END AS text
+FROM part"""
+
 #: Questions with hints of every kind.
 QUESTIONS = """
 SELECT CAST(o_orderkey AS BIGINT) AS q_id, CASE o_orderkey % 8

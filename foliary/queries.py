@@ -207,19 +207,34 @@ def r11_detect_toc(spark, sf_dir):
     return r10_toc_page_score(spark, sf_dir).groupBy("doc_id").agg(F.max("score").alias("score"), F.count_if(F.col("score") >= 3).alias("n_selected"))
 
 
-@_query()
+_LEADER = r"^(.*?)\s*(?:[.\-_ ]{3,})\s*(\d+)?\s*$"
+
+
+@_query(f"""WITH RECURSIVE w AS (SELECT doc_id, trim(line) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM ({inputs.LEADER_PAGES})),
+f AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS held, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS BIGINT) AS page FROM w
+ UNION ALL SELECT doc_id, n, CASE WHEN number = '' AND (held IS NOT NULL OR hit) THEN whole END, CASE WHEN number <> '' AND (held IS NOT NULL OR head <> '') THEN head END, CASE WHEN number <> '' AND (held IS NOT NULL OR head <> '') THEN CAST(number AS BIGINT) END
+ FROM (SELECT f.doc_id, w.n, held, concat_ws(' ', held, line) AS whole, regexp_matches(concat_ws(' ', held, line), '{_LEADER}') AS hit, trim(regexp_extract(concat_ws(' ', held, line), '{_LEADER}', 1)) AS head, regexp_extract(concat_ws(' ', held, line), '{_LEADER}', 2) AS number
+  FROM f JOIN w ON f.doc_id = w.doc_id AND w.n = f.n + 1))
+SELECT doc_id, CAST(0 AS BIGINT) AS page_num, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos, title, page FROM f WHERE page IS NOT NULL""")
 def w5_multi_line_leaders(spark, sf_dir):
-    own = run_sql(spark, sf_dir, inputs.LEADERS).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text"))
-    return toc.multi_line_entries(own.withColumn("page_num", F.lit(0).cast("long")))
+    lines = run_sql(spark, sf_dir, inputs.LEADER_PAGES).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line")))["line"].alias("lines"))
+    return toc.multi_line_entries(lines.select("doc_id", F.array_join("lines", "\n").alias("text"), F.lit(0).cast("long").alias("page_num")))
 
 
 @_query()
 def j7_align_titles(spark, sf_dir):
-    own = run_sql(spark, sf_dir, inputs.TOC)
-    lines = own.select("doc_id", "page", F.when(F.col("pos") % 3 == 0, F.col("title")).otherwise(F.concat("title", F.lit("s x"))).alias("text"))
+    own = run_sql(spark, sf_dir, inputs.TITLES)
+    lines = run_sql(spark, sf_dir, inputs.TITLE_LINES)
     return toc.align_titles(own.select("doc_id", "pos", "title"), lines)
 
 
+@_query(f"""SELECT doc_id, pos, arg_min(page, (-score, page)) AS page, max(score) AS score FROM (SELECT t.doc_id, t.pos, page, CASE WHEN k = x THEN 1.0::DOUBLE WHEN contains(x, k) OR contains(k, x) THEN 0.92::DOUBLE END AS score
+ FROM (SELECT doc_id, pos, lower(title) AS k FROM ({inputs.TITLES})) t JOIN (SELECT doc_id, page, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]+', ' ', 'g'), ' +', ' ', 'g')) AS x FROM ({inputs.TITLE_LINES})) l ON t.doc_id = l.doc_id) WHERE score IS NOT NULL GROUP BY doc_id, pos""")
+def j7_equal_or_inside(spark, sf_dir):
+    found = j7_align_titles(spark, sf_dir)
+    return found.filter(F.col("score").isin(1.0, toc.INSIDE))
+
+
 # --- pages and documents ------------------------------------------------------
 
 _TYPE = """CASE WHEN native_char_count + ocr_char_count < 10 AND n_images = 0 AND drawing_count < 3 THEN 'empty' WHEN n_fonts = 0 AND coverage >= 0.85 THEN 'scanned'
