@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -493,6 +496,82 @@ def test_model_is_a_distribution(spark):
         assert got[t] == pytest.approx(np.exp(-np.mean(logs)), rel=1e-5)
 
 
+def plain_kneser_ney(texts, order):
+    """Perplexities by interpolated modified Kneser-Ney as it is written in books, from dictionaries of counts."""
+    levels = {order: Counter()}
+    for t in texts:
+        s = kneser_ney.BEGIN * (order - 1) + t + kneser_ney.END
+        levels[order].update(s[i : i + order] for i in range(len(t) + 1))
+    for k in range(order - 1, 0, -1):  # continuation counts: different code points before
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    cut = {}
+    for k, counts in levels.items():
+        n = Counter(counts.values())
+        if n[1] and n[2] and n[3]:
+            y = n[1] / (n[1] + 2 * n[2])
+            cut[k] = [min(max(c - (c + 1) * y * n[c + 1] / n[c], 0.05), c - 0.05) for c in (1, 2, 3)]
+        else:
+            cut[k] = [0.5, 0.75, 0.9]
+
+    def prob(gram):
+        k = len(gram)
+        own = {g: c for g, c in levels[k].items() if g[:-1] == gram[:-1]}
+        total = sum(own.values())
+        if not total:
+            return prob(gram[1:])
+        less = {g: cut[k][min(c, 3) - 1] for g, c in own.items()}
+        back = sum(less.values()) / total
+        lower = prob(gram[1:]) if k > 1 else 1 / (len(levels[1]) + 1)
+        return (own[gram] - less[gram] if gram in own else 0) / total + back * lower
+
+    prob = lru_cache(None)(prob)
+
+    def perplexity(t):
+        s = kneser_ney.BEGIN * (order - 1) + t + kneser_ney.END
+        return math.exp(-sum(math.log(prob(s[i : i + order])) for i in range(len(t) + 1)) / (len(t) + 1))
+
+    return perplexity
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_perplexities_equal_plain_kneser_ney(spark, order):
+    rng = random.Random(order)
+    say = lambda: " ".join(rng.choice(("river", "stone", "rivers", "to", "on", "é", "stones")) for _ in range(rng.randrange(1, 30)))
+    texts = [say() for _ in range(60)]
+    asked = [*texts[:5], *[say() for _ in range(10)], "", "zzz ö", "river" * 40, "\x02", "日本 stone"]
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts + ["", None]], "text string"), "text", order)
+    frame = spark.createDataFrame([(t,) for t in asked], "text string").repartition(3)
+    plain = plain_kneser_ney(texts, order)
+    for found in (kneser_ney.score_by_joins(frame, model, order=order), kneser_ney.score(frame, kneser_ney.scorer(model, order))):
+        got = found.collect()
+        assert len(got) == len(asked)
+        for r in got:
+            assert r.perplexity == (pytest.approx(plain(r.text), rel=1e-5) if r.text else None), r.text
+
+
+def test_thresholds_are_quantiles_of_held_out_documents(spark):
+    rng = random.Random(3)
+    words = {"en": "the river runs to the sea".split(), "fr": "la mer est bleue et belle".split()}
+    rows = [(i, " ".join(rng.choice(words[g]) for _ in range(rng.randrange(5, 40))) + ("xqzj" * rng.randrange(9) if i % 5 == 0 else ""), g) for i in range(900) for g in (("en", "fr")[i % 2],)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), int(i % 50 == 1)) for i in range(900)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in kneser_ney.classify(docs_, labels, quantile=0.9).collect()}
+    train, held = [{r.k for r in x.collect()} for x in kneser_ney.trusted(labels, 5)]
+    assert train | held == {i for i in range(900) if i % 5 and i % 50 != 1} and not train & held
+    plain = plain_kneser_ney([rows[i][1] for i in train], 5)
+    for lang in words:
+        own = sorted(plain(rows[i][1]) for i in held if rows[i][2] == lang)
+        middle = own[math.ceil(len(own) / 2) - 1]
+        judged = lambda i: math.exp((len(rows[i][1]) * math.log(plain(rows[i][1])) + 60 * math.log(middle)) / (len(rows[i][1]) + 60))
+        top = sorted(judged(i) for i in held if rows[i][2] == lang)
+        limit = top[math.ceil(0.9 * len(top)) - 1]
+        for i in range(900):
+            if rows[i][2] == lang:
+                assert got[i].judged == pytest.approx(judged(i), rel=1e-5) and got[i].threshold == pytest.approx(limit, rel=1e-5)
+                assert got[i].keep == (got[i].judged <= got[i].threshold)
+    assert sum(not got[i].keep for i in range(0, 900, 5)) > 100
+
+
 def test_hashes_of_a_slice():
     import pyarrow as pa
 
