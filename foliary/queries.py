@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fixed, metadata, question, text
-from .operators import backend, fragments, inputs, pages, retrieval, toc, translate
+from .operators import backend, fragments, inputs, pages, retrieval, search_index, toc, translate
+from .sources.shared import new_folder
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -99,6 +100,15 @@ def t3_bm25(spark, sf_dir):
     return retrieval.bm25(docs(spark, sf_dir), ["the", "that", "shonat"])
 
 
+@_query(_SQL["t3_bm25"].replace("'the', 'that', 'shonat'", "'the', 'shonat', 'ciones', 'und', 'thou'"))
+def l2_index_search(spark, sf_dir):
+    """All documents go into an index in two batches, one of them English, and the index answers."""
+    index, own = search_index.SearchIndex(spark, new_folder(spark, "search")), docs(spark, sf_dir)
+    index.add(own.filter("lang <=> 'en'"), "english")
+    index.add(own.filter("NOT lang <=> 'en'"), "others")
+    return index.search(["the", "shonat", "ciones", "und", "thou"])
+
+
 @_query(f"SELECT doc_id, term, tf FROM (SELECT term, doc_id, count(*) AS tf FROM ({_TERMS}) WHERE term IN ('shonat', 'thou') GROUP BY ALL)")
 def j2_postings_join(spark, sf_dir):
     wanted = spark.createDataFrame([("shonat",), ("thou",)], "term string")
