@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fixed, metadata, question, text
-from .operators import backend, fragments, inputs, pages, retrieval, search_index, toc, translate
+from .operators import backend, fragments, inputs, pages, retrieval, search_index, terms, toc, translate
 from .sources.shared import new_folder
 
 _QUERIES: dict[str, Callable] = {}
@@ -361,10 +361,7 @@ _CHANGES = "SELECT p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN p_brand EL
 JOIN ({inputs.GLOSSARY}) g ON contains(lower(text), lower(term)), unnest(range(1, length(text) + 1)) AS u(i) WHERE substr(lower(text), i, length(term)) = lower(term) AND NOT regexp_matches(substr(' ' || text, i, 1), '\\p{{L}}') AND NOT regexp_matches(substr(text || ' ', i + length(term), 1), '\\p{{L}}')""")
 def j6_glossary(spark, sf_dir):
     own = run_sql(spark, sf_dir, "SELECT o_orderkey AS id, 'The ' || n_name || ' branch, not x' || n_name || '.' AS text FROM orders JOIN nation ON o_orderkey % 25 = n_nationkey")
-    terms = run_sql(spark, sf_dir, inputs.GLOSSARY)
-    found = own.join(terms, F.contains(F.lower("text"), F.lower("term")))
-    at = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: (F.substr(F.lower("text"), i, F.length("term")) == F.lower("term")) & ~F.rlike(F.substr(F.concat(F.lit(" "), "text"), i, F.lit(1)), F.lit(r"\p{L}")) & ~F.rlike(F.substr(F.concat("text", F.lit(" ")), i + F.length("term"), F.lit(1)), F.lit(r"\p{L}")))
-    return found.select("id", "term", F.explode(at).alias("i")).select("id", "term", F.col("i").cast("long").alias("start"))
+    return terms.find_terms(own, run_sql(spark, sf_dir, inputs.GLOSSARY))
 
 
 @_query(f"SELECT term, CASE WHEN keep_as_is THEN 'keep_as_is' WHEN term = upper(term) AND length(term) <= 5 AND target IS NULL THEN 'keep_as_is' ELSE 'translate' END AS decision FROM (SELECT term, target, keep_as_is FROM ({inputs.GLOSSARY}) UNION ALL SELECT c_mktsegment, NULL, FALSE FROM customer UNION ALL SELECT c_name, NULL, FALSE FROM customer)")
