@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_case
+from . import grid
 
 WHITE = 16777215
 LINE = ("doc_id", "page", "line")
@@ -150,11 +151,14 @@ def coverage(images: DataFrame, area: float) -> DataFrame:
 
 def outside_tables(blocks: DataFrame, tables: DataFrame, most: float = 0.5) -> DataFrame:
     """Blocks (doc_id, page, x0, y0, x1, y1) that no table of their page covers by more than ``most``."""
-    t = tables.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
-    w = F.least("x1", "_x1") - F.greatest("x0", "_x0")
-    h = F.least("y1", "_y1") - F.greatest("y0", "_y0")
+    w = F.least("x1", "b_x1") - F.greatest("x0", "b_x0")
+    h = F.least("y1", "b_y1") - F.greatest("y0", "b_y0")
     area = F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1))
-    return blocks.join(t, (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")) & (w > 0) & (h > 0) & (w * h / area > most), "left_anti")
+    key = ["doc_id", "page", *grid.BOX]
+    pairs = grid.meeting(blocks.select(*key).distinct(), tables.select(*key))
+    covered = pairs.filter((w > 0) & (h > 0) & (w * h / area > most)).select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
+    same = [F.col(c) == F.col(f"_{c}") for c in key]
+    return blocks.join(covered, same, "left_anti")
 
 
 def images_in_documents(images: DataFrame, least: int = 1) -> DataFrame:
@@ -172,9 +176,9 @@ def store_stats(images: DataFrame) -> DataFrame:
 def cell_colors(cells: DataFrame, rects: DataFrame) -> DataFrame:
     """``(doc_id, page, row_id, col, color)`` for the centre (cx, cy) of a cell in the first rectangle (pos, x0, y0, x1, y1,
     color) of its page that is wider and higher than 10; a white one ends the search without a colour."""
-    r = rects.filter((F.col("x1") - F.col("x0") > 10) & (F.col("y1") - F.col("y0") > 10)).select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), "pos", "x0", "y0", "x1", "y1", "color")
-    inside = F.col("cx").between(F.col("x0"), F.col("x1")) & F.col("cy").between(F.col("y0"), F.col("y1"))
-    found = cells.join(r, (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")) & inside)
+    r = rects.filter((F.col("x1") - F.col("x0") > 10) & (F.col("y1") - F.col("y0") > 10)).select("doc_id", "page", "pos", "color", *grid.BOX)
+    points = cells.select("doc_id", "page", "row_id", "col", *[F.col(c).alias(n) for c, n in zip(("cx", "cy", "cx", "cy"), grid.BOX)])
+    found = grid.meeting(points, r).select("doc_id", "page", "row_id", "col", F.col("b_pos").alias("pos"), F.col("b_color").alias("color"))
     found = found.groupBy("doc_id", "page", "row_id", "col").agg(F.min(F.struct("pos", "color"))["color"].alias("color"))
     return found.filter(F.col("color") != WHITE).withColumn("color", F.upper(F.substring(rgb(F.col("color")), 2, 6)))
 
@@ -182,9 +186,10 @@ def cell_colors(cells: DataFrame, rects: DataFrame) -> DataFrame:
 def in_band(paragraphs: DataFrame, targets: DataFrame, band: float = BAND) -> DataFrame:
     """For each target (doc_id, page, key, y0, y1) the paragraphs (doc_id, page, pos, y, text) of its page from ``band``
     above to ``band`` below it, in order."""
-    t = targets.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), "key", "y0", "y1")
-    hit = F.col("y").between(F.col("y0") - band, F.col("y1") + band)
-    own = paragraphs.join(t, (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")) & hit)
+    flat = lambda frame, *more: frame.select("doc_id", "page", *more, F.lit(0.0).alias("x0"), F.lit(0.0).alias("x1"))
+    p = flat(paragraphs, "pos", "text", F.col("y").cast("double").alias("y0"), F.col("y").cast("double").alias("y1"))
+    t = flat(targets.filter("y0 <= y1 + %r" % (2.0 * band)), "key", (F.col("y0") - band).cast("double").alias("y0"), (F.col("y1") + band).cast("double").alias("y1"))
+    own = grid.meeting(p, t).select("doc_id", "page", F.col("b_key").alias("key"), "pos", "text")
     return own.groupBy("doc_id", "page", "key").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), " ").alias("text"))
 
 
