@@ -8,7 +8,8 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 _ITEM = re.compile(r"[•·\-–—]|\d+[.)]\s")
 
@@ -33,6 +34,31 @@ def group_fragments(fragments: DataFrame, least: float = 0.75) -> DataFrame:
     return fragments.select("doc_id", "pos", "columns").groupBy("doc_id").applyInPandas(run, "doc_id long, pos long, group int")
 
 
+def merged_tables(rows: DataFrame, least: float = 0.75) -> DataFrame:
+    """``(doc_id, group, row_id, cells, schema)``: the rows of the tables that fragments make up.
+
+    ``rows`` (doc_id, pos, row, cells: variant) are the rows of fragments ``pos`` of a document, objects of cells by column. Fragments are
+    grouped by their columns (``group_fragments``), and a group's rows follow one another in order, counted from 0, without those
+    that have no value at all; a fragment without such rows adds nothing. Columns may differ: each row keeps the cells it has, typed as it has them, and ``schema`` is
+    that of the whole table, merged over its rows in the cluster. Nothing but a fragment's column names meets in one place."""
+    keys = F.expr("map_keys(cast(cells as map<string, variant>))")
+    columns = rows.select("doc_id", "pos", F.explode(keys).alias("c")).groupBy("doc_id", "pos").agg(F.sort_array(F.collect_set("c")).alias("columns"))
+    groups = group_fragments(columns, least)
+    some = F.expr("exists(map_values(cast(cells as map<string, variant>)), x -> NOT is_variant_null(x) AND x IS NOT NULL)")
+    own = rows.filter(some).join(groups, ["doc_id", "pos"])
+    place = Window.partitionBy("doc_id", "group").orderBy("pos", "row")
+    own = own.withColumn("row_id", (F.row_number().over(place) - 1).cast("long"))
+    schemas = own.groupBy("doc_id", "group").agg(F.schema_of_variant_agg("cells").alias("schema"))
+    return own.join(schemas, ["doc_id", "group"]).select("doc_id", "group", "row_id", "cells", "schema")
+
+
+def cells_by_name(tables: DataFrame) -> DataFrame:
+    """``(doc_id, group, row_id, column, value)``: each cell of ``merged_tables`` as text, null for those a row lacks."""
+    names = tables.select("doc_id", "group", F.explode(F.expr("map_keys(cast(cells as map<string, variant>))")).alias("column")).distinct()
+    value = F.expr("cast(element_at(cast(cells as map<string, variant>), column) as string)")
+    return tables.select("doc_id", "group", "row_id", "cells").join(names, ["doc_id", "group"]).select("doc_id", "group", "row_id", "column", value.alias("value"))
+
+
 def continues(text: str, font: str | None, following: str, next_font: str | None) -> bool:
     """Whether ``following`` is the rest of a paragraph: not after a full stop or before a list item, always after a
     comma, else after a short text in the same font."""

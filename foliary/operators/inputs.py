@@ -123,3 +123,20 @@ SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(c_custkey % 20 AS VARCHAR(9)) A
   CASE c_custkey % 4 WHEN 0 THEN 'ABCDEF+TimesNewRoman-Bold' WHEN 1 THEN 'Helvetica,Italic' WHEN 2 THEN 'Calibri' ELSE '' END AS font,
   CASE c_custkey % 7 WHEN 0 THEN 'LibreOffice user' WHEN 1 THEN 'Google' WHEN 2 THEN 'WPS' WHEN 3 THEN 'pages' WHEN 4 THEN '' ELSE c_name END AS author, c_custkey % 10 AS code
 FROM customer"""
+
+#: Blocks of pages 600 wide: some pages have two columns under headings of full width, some have one.
+BLOCKS = """
+SELECT CAST(floor(p_partkey / 30) AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS pos,
+  CASE WHEN p_partkey % 11 = 0 THEN 30.0 WHEN p_partkey % 2 = 0 OR floor(p_partkey / 30) % 3 = 0 THEN 40.0 + p_partkey % 7 WHEN p_partkey % 13 = 1 THEN 200.0 ELSE 310.0 - p_partkey % 9 END AS x0,
+  CASE WHEN p_partkey % 11 = 0 THEN 560.0 WHEN p_partkey % 2 = 0 OR floor(p_partkey / 30) % 3 = 0 THEN 240.0 + p_size WHEN p_partkey % 13 = 1 THEN 420.0 ELSE 560.0 END AS x1,
+  CAST((p_partkey * 37) % 791 AS DOUBLE) AS y0, CAST((p_partkey * 37) % 791 + 12 AS DOUBLE) AS y1
+FROM part"""
+
+#: Entries whose levels jump, of documents that grow with the table.
+NESTED = "SELECT CAST(floor(p_partkey / 15) AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS pos, CAST(1 + (p_partkey * 7 + p_size) % 4 AS INT) AS level, p_name || CASE WHEN p_size % 9 = 0 THEN ' \"' || p_brand || '\"' ELSE '' END AS title, CASE WHEN p_size % 8 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) END AS page FROM part"
+
+#: Rows of fragments of tables: of a document's fragments those of two columns are one table, those of three another.
+FRAGMENT_ROWS = """
+SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS doc_id, CAST(floor(p_partkey / 4) AS BIGINT) AS pos, CAST(p_partkey % 4 AS BIGINT) AS row,
+  CAST(floor(p_partkey / 4) AS BIGINT) % 3 AS kind, p_brand AS a, CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) END AS b, p_partkey % 10 = 3 AS blank
+FROM part"""

@@ -57,6 +57,31 @@ def numbered(frame: DataFrame, name: str, by: tuple[str, ...], order: tuple[str,
     return frame.withColumn(name, n.cast("long"))
 
 
+#: From this part of the page's width on a block is a full-width one, how far a column's blocks may reach over the
+#: middle, and how many blocks make a column.
+FULL_WIDTH, OVER_MIDDLE, COLUMN_BLOCKS = 0.55, 20, 3
+
+
+def in_columns(blocks: DataFrame, width: float) -> DataFrame:
+    """``blocks`` (doc_id, page, pos, x0, y0, x1, y1 and others) with the page's ``columns`` (1 or 2), the block's ``band`` and ``side``
+    (wide, left or right) and ``n``, its place in reading order from 1.
+
+    A page has two columns if at least three narrow blocks end left of the middle and three begin right of it, give or take what may
+    reach over it. Full-width blocks then cut the page into bands, each of which is read down the left column, then down the right one; a narrow
+    block that lies over the middle counts where its own middle is. A page of one column is read by height, then from the left."""
+    page = Window.partitionBy("doc_id", "page")
+    narrow = F.col("x1") - F.col("x0") <= width * FULL_WIDTH
+    left, right = narrow & (F.col("x1") < width / 2 + OVER_MIDDLE), narrow & (F.col("x0") > width / 2 - OVER_MIDDLE)
+    enough = (F.count_if(left).over(page) >= COLUMN_BLOCKS) & (F.count_if(right).over(page) >= COLUMN_BLOCKS)
+    out = blocks.withColumn("columns", F.when(enough, 2).otherwise(1))
+    side = F.when(~narrow, "wide").when((F.col("x0") + F.col("x1")) / 2 <= width / 2, "left").otherwise("right")
+    out = out.withColumn("side", F.when(F.col("columns") == 1, "wide").otherwise(side))
+    down = page.orderBy("y0", "x0", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("band", F.when(F.col("columns") == 1, F.lit(0)).otherwise(F.count_if(F.col("side") == "wide").over(down)).cast("int"))
+    column = F.when((F.col("side") == "wide") | (F.col("columns") == 1), 0).when(F.col("side") == "left", 1).otherwise(2)
+    return out.withColumn("n", F.row_number().over(page.orderBy("band", column, "y0", "x0", "pos")).cast("long"))
+
+
 def first_of_each(frame: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """The first row of each group; groups are cut down where they are before they move."""
     row = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in frame.columns if c not in order and c not in by])

@@ -39,6 +39,34 @@ def parents(toc: DataFrame) -> DataFrame:
     return out.withColumn("parent_pos", F.greatest(*[F.when(F.col("level") > j, F.col(f"_p{j}")) for j in range(1, DEEPEST)], F.lit(None))).select(*toc.columns, "parent_pos")
 
 
+def depths(toc: DataFrame) -> DataFrame:
+    """``toc`` with ``depth``, the number of entries that an entry lies in. One of level j still holds the following ones if it is the last of
+    its level and no entry of a smaller level came after it."""
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    out = toc.select("*", *[F.last(F.when(F.col("level") == j, F.col("pos")), ignorenulls=True).over(before).alias(f"_p{j}") for j in range(1, DEEPEST)])
+    holds = []
+    for j in range(1, DEEPEST):
+        cut = F.greatest(*[F.col(f"_p{i}") for i in range(1, j)], F.lit(None), F.lit(None))
+        holds.append((F.col(f"_p{j}").isNotNull() & (F.col("level") > j) & (cut.isNull() | (F.col(f"_p{j}") > cut))).cast("int"))
+    return out.withColumn("depth", sum(holds[1:], holds[0])).select(*toc.columns, "depth")
+
+
+def nested_json(toc: DataFrame) -> DataFrame:
+    """``(doc_id, json)``: the entries (doc_id, pos, level, title, page, indicator) as a forest in which each has its ``children``; a missing level
+    is 1, a missing page -1, levels below ``DEEPEST`` count as that. An entry opens its object where it stands and closes as many as end before
+    the next one, so a document's text is its entries' parts in order, and one grouping makes it."""
+    rows = toc.withColumn("level", F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(DEEPEST)).cast("int")).withColumn("page", F.coalesce("page", F.lit(-1)))
+    by_doc = Window.partitionBy("doc_id").orderBy("pos")
+    rows = depths(rows.select("doc_id", "pos", "level", "title", "page", "indicator"))
+    rows = rows.withColumn("_next", F.lead("depth").over(by_doc)).withColumn("_last", F.lag("depth").over(by_doc))
+    own = F.to_json(F.struct("level", "title", "page", "indicator"), {"ignoreNullFields": "false"})
+    comma = F.when(F.col("_last") >= F.col("depth"), ",").otherwise("")
+    closed = F.repeat(F.lit("]}"), F.col("depth") - F.coalesce("_next", F.lit(0)) + 1)
+    part = F.concat(comma, F.substr(own, F.lit(1), F.length(own) - 1), F.lit(',"children":['), closed)
+    parts = rows.select("doc_id", "pos", part.alias("part")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "part")))["part"].alias("parts"))
+    return parts.select("doc_id", F.concat(F.lit("["), F.array_join("parts", ""), F.lit("]")).alias("json"))
+
+
 #: A title, three or more leader characters, and maybe the page; line ends of a page's text.
 LEADER = r"(?U)^(.*?)\s*(?:[.\-_ ]{3,})\s*(\d+)?\s*$"
 _LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fixed, metadata, question, text
-from .operators import backend, fragments, inputs, pages, retrieval, search_index, terms, toc, translate
+from .operators import backend, fragments, inputs, layout, pages, retrieval, search_index, terms, toc, translate
 from .sources.shared import new_folder
 
 _QUERIES: dict[str, Callable] = {}
@@ -484,6 +484,24 @@ def w8_fragment_groups(spark, sf_dir):
     return fragments.group_fragments(own.select("doc_id", "pos", F.slice(F.concat(F.split("p_name", " "), F.array(*[F.lit(f"c{i}") for i in range(4)])), F.lit(1), F.col("p_size") % 5 + 1).alias("columns")))
 
 
+_FRAGMENTS = f"""SELECT *, CASE kind WHEN 0 THEN '{{"name":' || x || ',"size":' || y || '}}' WHEN 1 THEN '{{"name":' || x || ',"weight":' || y || '}}' ELSE '{{"maker":' || x || ',"size":' || y || ',"row":' || CASE WHEN blank THEN 'null' ELSE CAST(row AS VARCHAR(9)) END || '}}' END AS json
+FROM (SELECT *, CASE WHEN blank THEN 'null' ELSE '"' || a || '"' END AS x, CASE WHEN blank OR b IS NULL THEN 'null' ELSE CAST(b AS VARCHAR(9)) END AS y FROM ({inputs.FRAGMENT_ROWS}))"""
+
+
+@_query(f"""WITH r AS ({inputs.FRAGMENT_ROWS}), g AS (SELECT *, CASE WHEN kind = 2 THEN 3 ELSE 2 END AS width FROM r),
+n AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INT) AS "group" FROM (SELECT *, min(pos) OVER (PARTITION BY doc_id, width) AS first FROM g)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, "group" ORDER BY pos, row) - 1 AS row_id FROM n WHERE NOT blank),
+two AS (SELECT doc_id, "group", row_id, a AS name, NULL AS maker, CASE WHEN kind = 0 THEN CAST(b AS VARCHAR) END AS size, CASE WHEN kind = 1 THEN CAST(b AS VARCHAR) END AS weight, NULL AS row, kind FROM k WHERE width = 2),
+three AS (SELECT doc_id, "group", row_id, a AS maker, CAST(b AS VARCHAR) AS size, CAST(row AS VARCHAR) AS row, kind FROM k WHERE width = 3),
+merged AS (SELECT * FROM two UNION ALL BY NAME SELECT * FROM three),
+long AS (SELECT doc_id, "group", row_id, kind, unnest(['name', 'maker', 'size', 'weight', 'row']) AS "column", unnest([name, maker, size, weight, row]) AS value FROM merged),
+has AS (SELECT DISTINCT doc_id, "group", unnest(CASE kind WHEN 0 THEN ['name', 'size'] WHEN 1 THEN ['name', 'weight'] ELSE ['maker', 'size', 'row'] END) AS "column" FROM k)
+SELECT doc_id, "group", row_id, "column", value FROM long JOIN has USING (doc_id, "group", "column")""")
+def w8_merged_tables(spark, sf_dir):
+    rows = run_sql(spark, sf_dir, _FRAGMENTS).select("doc_id", "pos", "row", F.parse_json("json").alias("cells"))
+    return fragments.cells_by_name(fragments.merged_tables(rows))
+
+
 @_query()
 def w9_merged_paragraphs(spark, sf_dir):
     own = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
@@ -518,6 +536,32 @@ def k4_toc_json(spark, sf_dir):
     return translate.toc_json(run_sql(spark, sf_dir, inputs.TOC))
 
 
+_ENTRY = """'{"level":' || CAST(level AS VARCHAR) || ',"title":' || CAST(to_json(title) AS VARCHAR) || ',"page":' || CAST(coalesce(page, -1) AS VARCHAR) || ',"indicator":"L' || CAST(level AS VARCHAR) || '","children":['"""
+_HELD = "SELECT *, (SELECT max(u.pos) FROM t u WHERE u.doc_id = t.doc_id AND u.pos < t.pos AND u.level < t.level) AS up FROM t"
+_FOLDS = ", ".join(
+    f"f{k} AS (SELECT p.doc_id, p.pos, p.up, p.own || coalesce(string_agg(c.json, ',' ORDER BY c.pos), '') || ']}}' AS json FROM (SELECT * FROM h WHERE level = {k}) p LEFT JOIN ({' UNION ALL '.join(f'SELECT * FROM f{j}' for j in range(k + 1, 5)) or 'SELECT doc_id, pos, up, own AS json FROM h WHERE false'}) c ON c.doc_id = p.doc_id AND c.up = p.pos GROUP BY p.doc_id, p.pos, p.up, p.own)"
+    for k in (4, 3, 2, 1)
+)
+
+
+@_query(f"""WITH t AS ({inputs.NESTED}), h AS (SELECT *, {_ENTRY} AS own FROM ({_HELD})), {_FOLDS}
+SELECT doc_id, '[' || string_agg(json, ',' ORDER BY pos) || ']' AS json FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3 UNION ALL SELECT * FROM f4) WHERE up IS NULL GROUP BY doc_id""")
+def k4_nested_json(spark, sf_dir):
+    own = run_sql(spark, sf_dir, inputs.NESTED)
+    return toc.nested_json(own.withColumn("indicator", F.concat(F.lit("L"), "level")))
+
+
+_SIDES = f"""WITH b AS (SELECT *, x1 - x0 <= 330 AS narrow, x1 - x0 <= 330 AND x1 < 320 AS l, x1 - x0 <= 330 AND x0 > 280 AS r FROM ({inputs.BLOCKS})),
+c AS (SELECT doc_id, page, CASE WHEN count(*) FILTER (WHERE l) >= 3 AND count(*) FILTER (WHERE r) >= 3 THEN 2 ELSE 1 END AS columns FROM b GROUP BY doc_id, page),
+s AS (SELECT *, CASE WHEN columns = 1 OR NOT narrow THEN 'wide' WHEN (x0 + x1) / 2 <= 300 THEN 'left' ELSE 'right' END AS side FROM b JOIN c USING (doc_id, page)),
+n AS (SELECT *, CASE WHEN columns = 1 THEN 0 ELSE (SELECT count(*) FROM s w WHERE w.doc_id = s.doc_id AND w.page = s.page AND w.side = 'wide' AND (w.y0, w.x0, w.pos) <= (s.y0, s.x0, s.pos)) END AS band FROM s)"""
+
+
+@_query(_SIDES + " SELECT doc_id, page, pos, CAST(columns AS INT) AS columns, side, CAST(band AS INT) AS band, row_number() OVER (PARTITION BY doc_id, page ORDER BY band, CASE side WHEN 'wide' THEN 0 WHEN 'left' THEN 1 ELSE 2 END, y0, x0, pos) AS n FROM n")
+def t6_column_order(spark, sf_dir):
+    return layout.in_columns(run_sql(spark, sf_dir, inputs.BLOCKS), 600).select("doc_id", "page", "pos", "columns", "side", "band", "n")
+
+
 from . import document_queries  # noqa: E402, F401  registers the queries of documents' layout, contents and rules
 
 
