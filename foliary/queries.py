@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import fixed, metadata, question, text
 from .operators import backend, fragments, inputs, layout, pages, retrieval, search_index, terms, toc, translate
 from .sources.shared import new_folder
+from .streaming.images import ImageStore
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -502,6 +503,21 @@ def w8_merged_tables(spark, sf_dir):
     return fragments.cells_by_name(fragments.merged_tables(rows))
 
 
+@_query(f"""WITH i AS ({inputs.IMAGES}), d AS (SELECT hash, count(*) AS n, count(DISTINCT doc_id) AS docs FROM i GROUP BY hash),
+f AS (SELECT hash, doc_id AS first_doc, page, width, height FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id, page, pos, width, height) AS k FROM i) WHERE k = 1)
+SELECT hash, n, docs, first_doc, page, width, height FROM d JOIN f USING (hash)""")
+def s4_image_store(spark, sf_dir):
+    """All occurrences go into a store in three batches, one of them twice, with a compaction between."""
+    store, own = ImageStore(spark, new_folder(spark, "images"), buckets=8), run_sql(spark, sf_dir, inputs.IMAGES)
+    part = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(3))
+    store.add(own.filter(part == 0), 0)
+    store.add(own.filter(part == 1), 1)
+    store.compact("first")
+    for _ in range(2):
+        store.add(own.filter(part == 2), 2)
+    return store.images()
+
+
 @_query()
 def w9_merged_paragraphs(spark, sf_dir):
     own = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
