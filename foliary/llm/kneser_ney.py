@@ -391,9 +391,12 @@ def score_by_joins(docs: DataFrame, model: tuple[DataFrame, DataFrame, float], t
     the logs of what the slice asked for come back to its rows in the order of the n-grams' hashes, which the slice
     works out again, and are summed up there. Only distinct n-grams of slices, their logs and the rows themselves,
     compressed, are shuffled. A task holds one slice, or one shard: the number of shards follows the amount of text.
-    Slices have the same names whenever ``docs`` gives its rows in the same partitions and batches; if the hashes are
-    not those that were asked for, the query fails rather than giving a wrong sum."""
+    ``docs`` is read twice and must give its rows in the same partitions and batches, as a scan of files does; what comes from a
+    shuffle may not, so such rows are written first. If the hashes still are not those that were asked for, the query fails rather
+    than giving a wrong sum."""
     names = docs.columns
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = table(docs)
     at = names.index(text_col)
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     shards = max(16, -(-total // (8 * _SHARD)))

@@ -382,11 +382,25 @@ def test_groups_stay_whole_and_shards_tight(spark, sf):
 def test_lots_of_groups_are_differenced_in_turn(spark):
     rng = random.Random(6)
     frame = spark.createDataFrame([(i, str(i) + "z" * rng.randrange(400)) for i in range(3000)], "doc_id long, text string")
-    rows = sharding.shard_by_bytes(frame, groups_a_lot=200).collect()
+    rows = sharding.shard_by_bytes(frame, groups_a_lot=200, lots_a_task=5).collect()
     sums = [sum(r.size for r in rows if r.shard == k) for k in range(8)]
     assert max(sums) - min(sums) <= 8
 
 
+def test_lots_are_differenced_in_rounds(spark):
+    """Places follow the rounds down: sums of the lots' parts by shard are those of the differencing, and tight."""
+    rng = random.Random(8)
+    lots = [[rng.randrange(1000) for _ in range(4)] for _ in range(200)]
+    frame = spark.createDataFrame(list(enumerate(lots)), "id long, sums array<bigint>")
+    for fan in (3, 50, 4096):
+        got = {r.id: r.place for r in sharding.lots_in_shards(frame, 4, fan).collect()}
+        assert sorted(got) == list(range(200)) and all(sorted(p) == [0, 1, 2, 3] for p in got.values())
+        sums = [sum(lots[i][k] for i in got for k in range(4) if got[i][k] == s) for s in range(4)]
+        assert max(sums) - min(sums) <= {3: 1000, 50: 200, 4096: 10}[fan]
+    one = sharding.lots_in_shards(frame.limit(1), 4).first()
+    assert sorted(one.place) == [0, 1, 2, 3] and sharding.lots_in_shards(frame.limit(0), 4).count() == 0
+
+
 def test_differencing_is_exact_and_tight():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 10_000) for _ in range(9000)]
