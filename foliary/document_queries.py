@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import fixed, question, text
-from .operators import contents, inputs, layout, pages, rules
+from .operators import contents, inputs, layout, pages, rules, rulings
 from .operators import scope as scopes
 from .queries import _SQL, _TOC_PAGE, _TYPE, _query, pair, read, run_sql
 from .sources import pdf
@@ -89,6 +89,20 @@ def j13_band_join(spark, sf_dir):
     return layout.in_band(run_sql(spark, sf_dir, _PARAGRAPHS), run_sql(spark, sf_dir, _TARGETS))
 
 
+_RULED = f"""s AS (SELECT doc_id, page, seg, abs(y1 - y0) <= 3 AS across, floor(least(x0, x1) / 3 + 0.5) * 3 AS a, floor(greatest(x0, x1) / 3 + 0.5) * 3 AS b, floor(least(y0, y1) / 3 + 0.5) * 3 AS c, floor(greatest(y0, y1) / 3 + 0.5) * 3 AS d
+ FROM ({inputs.SEGMENTS}) WHERE (abs(y1 - y0) <= 3) <> (abs(x1 - x0) <= 3)),
+e AS (SELECT h.doc_id, h.page, h.seg AS u, v.seg AS w FROM s h JOIN s v ON h.doc_id = v.doc_id AND h.page = v.page AND h.across AND NOT v.across AND v.a BETWEEN h.a - 3 AND h.b + 3 AND h.c BETWEEN v.c - 3 AND v.d + 3),
+reach AS (SELECT doc_id, page, u, w FROM e UNION SELECT doc_id, page, w, u FROM e UNION SELECT r.doc_id, r.page, r.u, x.w FROM reach r JOIN (SELECT doc_id, page, u, w FROM e UNION ALL SELECT doc_id, page, w, u FROM e) x ON r.doc_id = x.doc_id AND r.page = x.page AND r.w = x.u),
+p AS (SELECT doc_id, page, u AS seg, min(w) AS component FROM reach GROUP BY ALL),
+t AS (SELECT doc_id, page, component, count(DISTINCT c) FILTER (WHERE across) - 1 AS n_rows, count(DISTINCT a) FILTER (WHERE NOT across) - 1 AS n_cols, min(a) FILTER (WHERE NOT across) AS x0, min(c) FILTER (WHERE across) AS y0, max(a) FILTER (WHERE NOT across) AS x1, max(c) FILTER (WHERE across) AS y1 FROM p JOIN s USING (doc_id, page, seg) GROUP BY doc_id, page, component),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, component) - 1 AS table_num FROM t WHERE n_rows > 0 AND n_cols > 0)"""
+
+
+@_query(f"WITH RECURSIVE {_RULED} SELECT doc_id, page, CAST(table_num AS INT) AS table_num, CAST(n_rows AS INT) AS n_rows, CAST(n_cols AS INT) AS n_cols, x0, y0, x1, y1 FROM n")
+def s8_ruled_tables(spark, sf_dir):
+    return rulings.ruled_tables(run_sql(spark, sf_dir, inputs.SEGMENTS)).drop("xs", "ys")
+
+
 @_query("SELECT p_partkey, min(p_partkey) OVER (PARTITION BY lower(left(trim(p_name), 40))) AS first_pos FROM part")
 def j12_text_lookup(spark, sf_dir):
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name")

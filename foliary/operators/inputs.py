@@ -140,3 +140,12 @@ FRAGMENT_ROWS = """
 SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS doc_id, CAST(floor(p_partkey / 4) AS BIGINT) AS pos, CAST(p_partkey % 4 AS BIGINT) AS row,
   CAST(floor(p_partkey / 4) AS BIGINT) % 3 AS kind, p_brand AS a, CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) END AS b, p_partkey % 10 = 3 AS blank
 FROM part"""
+
+#: Line segments of pages: two grids of rulings a page, slightly off, some lines drawn twice, and lines that belong to none.
+SEGMENTS = """
+SELECT CAST(floor(p_partkey / 48) AS BIGINT) AS doc_id, CAST(floor(p_partkey / 24) % 2 AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS seg, k, j,
+  CAST(CASE WHEN k < 6 THEN 50 - j WHEN k < 11 THEN 50 * (k - 5) + j WHEN k < 15 THEN 300 WHEN k < 19 THEN 300 + 60 * (k - 15) WHEN k = 19 THEN 300 - j ELSE 20 + 3 * k END AS DOUBLE) AS x0,
+  CAST(CASE WHEN k < 6 THEN 100 + 20 * k + j WHEN k < 11 THEN 200 WHEN k < 15 THEN 400 + 30 * (k - 11) WHEN k < 19 THEN 490 + j WHEN k = 19 THEN 430 + j ELSE 600 + 7 * k END AS DOUBLE) AS y0,
+  CAST(CASE WHEN k < 6 THEN 250 + j WHEN k < 11 THEN 50 * (k - 5) WHEN k < 15 THEN 480 + j WHEN k < 19 THEN 300 + 60 * (k - 15) + j WHEN k = 19 THEN 470 ELSE 20 + 3 * k + 40 * (k % 2) END AS DOUBLE) AS x1,
+  CAST(CASE WHEN k < 6 THEN 100 + 20 * k WHEN k < 11 THEN 100 - j WHEN k < 15 THEN 400 + 30 * (k - 11) + j WHEN k < 19 THEN 400 WHEN k = 19 THEN 430 ELSE 650 + 7 * k END AS DOUBLE) AS y1
+FROM (SELECT p_partkey, p_partkey % 24 AS k, CAST(p_size % 3 AS DOUBLE) / 3 AS j FROM part)"""

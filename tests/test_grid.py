@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from foliary import queries
-from foliary.operators import grid, layout
+from foliary.operators import grid, layout, rulings
 
 SF = "/root/testdata/sf0.001"
 BOX = "doc_id long, page long, n long, x0 double, y0 double, x1 double, y1 double"
@@ -51,3 +51,58 @@ def test_no_page_is_joined_whole(spark):
     for name in ("j10_cell_colors", "j13_band_join", "f10_table_overlap"):
         plan = queries.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "_gx" in plan and "_gy" in plan
+
+
+def test_tables_from_rulings(spark):
+    """Grids of lines, broken into pieces and slightly off, against a search over all pairs."""
+    rng = random.Random(12)
+    segments, seg = [], 0
+    for d in range(3):
+        for t in range(12):
+            x, y, n, m = (t % 4) * 200.0, (t // 4) * 200.0, rng.randrange(2, 6), rng.randrange(2, 6)
+            off = lambda: rng.uniform(-0.7, 0.7)
+            for i in range(n):
+                cut = rng.uniform(30, 60)
+                for a, b in ((0, cut), (cut, 120)):  # a line in two pieces
+                    segments.append((d, 1, seg, x + a + off(), y + 30 * i + off(), x + b + off(), y + 30 * i + off()))
+                    seg += 1
+            for j in range(m):
+                segments.append((d, 1, seg, x + 30 * j + off(), y + 30 * (n - 1) + 1, x + 30 * j + off(), y + off()))
+                seg += 1
+        segments += [(d, 1, seg, 900.0, 900.0, 950.0, 960.0), (d, 1, seg + 1, 900.0, 10.0, 900.5, 90.0), (d, 1, seg + 2, 1.0, 800.0, 2.0, 800.0)]
+        seg += 3
+    frame = spark.createDataFrame(segments, "doc_id long, page long, seg long, x0 double, y0 double, x1 double, y1 double")
+    tables = rulings.ruled_tables(frame)
+    got = sorted((r.doc_id, r.n_rows, r.n_cols, r.x0, r.y0, r.x1, r.y1) for r in tables.collect())
+    snap = lambda v: np.floor(v / 3 + 0.5) * 3
+    want = []
+    for d in range(3):
+        own = {}
+        for e, _, s, a, b, c, f in segments:
+            across, upright = abs(f - b) <= 3, abs(c - a) <= 3
+            if e == d and across != upright:
+                own[s] = (across, snap(min(a, c)), snap(min(b, f)), snap(min(a, c) if upright else max(a, c)), snap(min(b, f) if across else max(b, f)))
+        label = {s: s for s in own}
+        for _ in own:
+            before = dict(label)
+            for s, p in own.items():
+                for t, q in own.items():
+                    if p[0] and not q[0] and p[1] - 3 <= q[1] <= p[3] + 3 and q[2] - 3 <= p[2] <= q[4] + 3:
+                        label[s] = label[t] = min(label[s], label[t])
+            if before == label:
+                break
+        for k in set(label.values()):
+            xs = sorted({own[s][1] for s in own if label[s] == k and not own[s][0]})
+            ys = sorted({own[s][2] for s in own if label[s] == k and own[s][0]})
+            if len(xs) > 1 and len(ys) > 1:
+                want.append((d, len(ys) - 1, len(xs) - 1, xs[0], ys[0], xs[-1], ys[-1]))
+    assert got == sorted(want) and len(got) >= 30
+    cells = rulings.ruled_cells(tables)
+    assert cells.count() == sum(r[1] * r[2] for r in got)
+    assert cells.filter("x1 <= x0 OR y1 <= y0").count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(1, 1, i, i + 1) for i in range(300)] + [(1, 2, 5, 9)], "doc_id long, page long, seg long, other long")
+    got = {(r.page, r.seg): r.component for r in rulings.components(edges).collect()}
+    assert got == {(1, i): 0 for i in range(301)} | {(2, 5): 5, (2, 9): 5}
