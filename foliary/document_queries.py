@@ -331,6 +331,7 @@ def k9_overlay_plan(spark, sf_dir):
 
 _TERMS = "SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS term, p_type AS target, p_partkey FROM part"
 pair("s20_glossary_last_wins", _TERMS, "SELECT lower(term) AS term, arg_max(target, p_partkey) AS target FROM {source} GROUP BY lower(term)", lambda g: rules.last_of_each(g, "p_partkey"))
+pair("k11_glossary_entries", inputs.GLOSSARY, "SELECT term, '{\"term\":\"' || term || '\",\"target\":\"' || target || '\"}' AS json FROM {source}", rules.glossary_entries)
 pair("k11_glossary_json", inputs.GLOSSARY, "SELECT '[' || string_agg('{\"term\":\"' || term || '\",\"target\":\"' || target || '\"}', ',' ORDER BY term) || ']' AS json FROM {source}", rules.glossary_json)
 
 

@@ -210,7 +210,8 @@ TOOLS = (
     ("wkhtmltopdf", "wkhtmltopdf"), ("weasyprint", "WeasyPrint"), ("prince", "Prince"), ("chromium", "Chromium"), ("skia", "Chrome / Skia"),
     ("quartz pdfcontext", "macOS Quartz"), ("macos quartz", "macOS Quartz"), ("pdf-xchange", "PDF-XChange"), ("pdfsharp", "PDFsharp"), ("pdfium", "PDFium"),
 )
-SCANNERS = TOOLS[39:71]  # from the first to the last scanner of the table
+_NAMES = [part for part, _ in TOOLS]
+SCANNERS = TOOLS[_NAMES.index("hp scanjet") : _NAMES.index("scanner") + 1]  # from the first to the last scanner of the table
 
 #: What an unclear question refers to.
 REFERENTS = (
@@ -228,16 +229,16 @@ MADE_WITH = (
 PAGE_SIZES, SIZE_TOLERANCE = ((595, 842), (612, 792), (420, 595), (842, 1191)), 0.05
 MIN_PAGE_CHARS, MIN_TEXT_QUALITY, DESIGN_IMAGES, DESIGN_CHARS, COMPLEX_IMAGES = 50, 0.60, 0.55, 120, 0.50
 
-# Conversion engines, what they are called, whether their result can be edited, and how close it comes.
+# Conversion engines, whether their result can be edited, and how close it comes; their labels are our own.
 ENGINES = {
-    "adobe": ("AdobeConverter (cloud, qualité Acrobat Pro)", True, "pixel-perfect"),
-    "msword": ("MSWordConverter (PDF Reflow natif)", True, "high"),
-    "docling": ("DoclingConverter (IBM ML, offline)", True, "high"),
-    "libreoffice": ("LibreOfficeConverter (headless)", True, "high"),
-    "text": ("TextConverter (pdf2docx)", True, "high"),
-    "ocr": ("OCRConverter (tesseract)", True, "approximate"),
-    "hybrid": ("HybridConverter (image+overlay, 200dpi)", False, "pixel-perfect"),
-    "smart": ("SmartConverter (PyMuPDF)", True, "approximate"),
+    "adobe": ("Adobe cloud service", True, "pixel-perfect"),
+    "msword": ("Microsoft Word", True, "high"),
+    "docling": ("Docling", True, "high"),
+    "libreoffice": ("LibreOffice", True, "high"),
+    "text": ("Text layer", True, "high"),
+    "ocr": ("Text recognition", True, "approximate"),
+    "hybrid": ("Page image with hidden text", False, "pixel-perfect"),
+    "smart": ("Layout rebuilt", True, "approximate"),
 }
 
 # Patterns of page ranges in requests.

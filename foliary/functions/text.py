@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -37,6 +37,13 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
+def chunks(docs: DataFrame, size: int) -> DataFrame:
+    """``(doc_id, pos, text)``: parts of ``size`` characters; a null or empty text has none."""
+    starts = F.when(F.length("text") > 0, F.sequence(F.lit(1), F.length("text"), F.lit(size)))
+    parts = docs.select("doc_id", F.posexplode(F.transform(starts, lambda i: F.substr("text", i, F.lit(size)))).alias("pos", "text"))
+    return parts.withColumn("pos", F.col("pos").cast("long"))
+
+
 def query_tokens(text: Column) -> Column:
     return F.filter(words(text), lambda t: F.length(t) > 2)
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The most terms of a query, so the most rows of their table of frequencies.
+MOST_TERMS = 256
+
+
 def text_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, line, text)``: a row for each line that is not blank."""
     out = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
@@ -34,7 +38,9 @@ def postings(docs: DataFrame, pattern: str = "[a-z]+") -> DataFrame:
 
 
 def bm25(docs: DataFrame, query: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k best documents; only postings of the query's terms leave the scan. ``idf`` has a floor of 1e-6."""
+    """The k best documents, by a scan of all texts (``search_index`` keeps an index); only postings of the query's terms leave the scan. ``idf`` has a floor of 1e-6."""
+    if len(set(query)) > MOST_TERMS:
+        raise ValueError(f"a query has at most {MOST_TERMS} terms")
     counted = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("terms"))
     counted = counted.select("doc_id", F.size("terms").cast("long").alias("length"), F.filter("terms", lambda t: t.isin(*query)).alias("hits"))
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
@@ -47,8 +53,8 @@ def bm25(docs: DataFrame, query: list[str], k: int = 20, k1: float = 1.2, b: flo
 
 
 def cosine(vectors: DataFrame, query_id: int, k: int = 10) -> DataFrame:
-    """The k nearest rows to one row by cosine; 0 where a norm is 0."""
-    q = vectors.filter(F.col("vec_id") == query_id).select(F.col("embedding").alias("q"))
+    """The k nearest rows to one row by cosine; 0 where a norm is 0. Of rows with that id one is the query."""
+    q = vectors.filter(F.col("vec_id") == query_id).select(F.col("embedding").alias("q")).limit(1)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(dot("embedding", "embedding")) * F.sqrt(dot("q", "q"))
     out = vectors.join(F.broadcast(q)).withColumn("score", F.round(F.when(norm > 0, dot("embedding", "q") / norm).otherwise(F.lit(0.0)), 6))

@@ -195,6 +195,17 @@ def glossary_json(glossary: DataFrame) -> DataFrame:
     return glossary.agg(F.to_json(F.sort_array(F.collect_list(row))).alias("json"))
 
 
+def glossary_entries(glossary: DataFrame) -> DataFrame:
+    """``(term, json)``: an object for each entry (term, target), a line of a file; a null target is left out. Written by range of the term,
+    the files' lines are the glossary in order, whatever its size."""
+    return glossary.select("term", F.to_json(F.struct("term", "target")).alias("json"))
+
+
+def write_glossary(glossary: DataFrame, path: str) -> None:
+    entries = glossary_entries(glossary)
+    entries.repartitionByRange("term").sortWithinPartitions("term").select("json").write.mode("overwrite").text(path)
+
+
 def route(source: Column, target: Column) -> Column:
     """What converts a file of one extension to another; null where nothing does."""
     known = {("pdf", "docx"): "pdf_to_word", ("pdf", "xlsx"): "pdf_to_excel", ("docx", "pdf"): "word_to_pdf", ("xlsx", "db"): "excel_to_sqlite", ("xlsx", "sqlite"): "excel_to_sqlite"}

@@ -87,6 +87,9 @@ def apply(lines: DataFrame, spans: DataFrame, scope: Scope) -> tuple[DataFrame,
 
 
 def in_order(body: DataFrame, cells: DataFrame) -> DataFrame:
-    """Body and cell spans together; a column ``pos``, where there is one, holds their order."""
+    """Body and cell spans together; a column ``pos``, where there is one, holds their order, and a document's rows follow one another in
+    it. Documents come in no order, so none but their own rows are sorted."""
     both = body.unionByName(cells)
-    return both.sort(*[c for c in ("doc_id", "pos") if c in both.columns]) if "pos" in both.columns else both
+    if "pos" not in both.columns:
+        return both
+    return both.repartition("doc_id").sortWithinPartitions("doc_id", "pos") if "doc_id" in both.columns else both.sort("pos")

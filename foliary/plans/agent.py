@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.backend import Backend
-from .guard import fenced, read_only
+from .guard import NotAllowed, fenced, read_only
 
 
 def describe(tables: dict[str, DataFrame]) -> str:
@@ -24,7 +25,7 @@ def ask(spark: SparkSession, tables: dict[str, DataFrame], question: str, backen
     sql = fenced(backend(f"{describe(tables)}\n\nWrite one SELECT that answers: {question}"))
     try:
         return read_only(spark, sql, list(tables))
-    except Exception as e:
+    except (NotAllowed, AnalysisException, ParseException) as e:
         return spark.createDataFrame([(str(e).split("\n")[0], sql)], "error string, sql string")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import fixed, metadata, question, text
+from .functions import fixed, metadata, older, question, text
 from .operators import backend, fragments, inputs, layout, pages, retrieval, search_index, terms, toc, translate
 from .sources.shared import new_folder
 from .streaming.images import ImageStore
@@ -159,6 +159,12 @@ _text_query("x26_language", f"CASE WHEN {_EN} > {_FR} THEN 'en' WHEN {_FR} > {_E
 _text_query("s1_content_hash", "sha256(text) AS doc_hash, md5(text) AS image_hash", doc_hash=lambda c: F.sha2(c, 256), image_hash=F.md5)
 _text_query("w11_chunks", "CAST(ceil(length(text) / 3000e0) AS BIGINT) AS chunks", chunks=lambda c: F.ceil(F.length(c) / 3000.0).cast("long"))
 
+
+@_query("SELECT doc_id, CAST(i AS BIGINT) AS pos, substr(text, CAST(1 + i * 3000 AS BIGINT), 3000) AS text FROM documents, unnest(range(CAST(ceil(length(text) / 3000e0) AS BIGINT))) AS u(i)")
+def w11_chunk_texts(spark, sf_dir):
+    return text.chunks(docs(spark, sf_dir), 3000)
+
+
 # --- tables of contents -------------------------------------------------------
 
 
@@ -407,10 +413,29 @@ _question("q6_shape", f"CASE WHEN {_INTENT} = 'qa' THEN {_SHAPE} ELSE 'text' END
 
 @_query(f"SELECT intent, shape, layout_hint, format, count(*) AS n FROM (SELECT {_INTENT} AS intent, CASE WHEN {_INTENT} = 'qa' THEN {_SHAPE} ELSE 'text' END AS shape, {_LAYOUT} AS layout_hint, {_FORMAT} AS format FROM ({inputs.QUESTIONS})) GROUP BY ALL")
 def q8_plans(spark, sf_dir):
-    own = run_sql(spark, sf_dir, inputs.QUESTIONS).select(question.plan(F.col("question")).alias("p")).select("p.*")
+    q = F.col("question")
+    own = run_sql(spark, sf_dir, inputs.QUESTIONS).select("question", question.intent(q).alias("intent"))
+    shape = F.when(F.col("intent") == "qa", question.answer_shape(q)).otherwise(F.lit("text"))
+    own = own.select("intent", shape.alias("shape"), question.layout_hint(q).alias("layout_hint"), question.format_constraint(q).alias("format"))
     return own.groupBy("intent", "shape", "layout_hint", "format").agg(F.count("*").alias("n"))
 
 
+_OLD_LAYOUT = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(question), $${w}$$)' for w in words)} THEN '{name}'" for name, words in older.LAYOUTS) + " END"
+_OLD_FORMAT = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(question), $${w}$$)' for w in words)} THEN '{name}'" for name, words in older.FORMATS) + " END"
+_ALL_OF = lambda patterns, group, flags: "list_concat(" + ", ".join(f"regexp_extract_all(question, '{flags}{p.replace(chr(39), chr(39) * 2)}', {group})" for p in patterns) + ")"
+_ONCE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_OLD_ASKED = f"SELECT q_id, question FROM ({inputs.QUESTIONS}) UNION ALL SELECT -q_id, question FROM ({inputs.ASIDES}) UNION ALL SELECT CAST(1000000000 + c_custkey AS BIGINT), 'See section ' || c_mktsegment || ' of c, page ' || CAST(c_custkey AS VARCHAR(9)) || '; is ISO-9001 or RC-' || CAST(c_custkey AS VARCHAR(9)) || ' meant, in one sentence, in the Grid of 2024, pas la limite but not the ' || c_mktsegment FROM customer"
+
+
+@_query(f"""WITH q AS ({_OLD_ASKED}), h AS (SELECT q_id, nullif(trim(coalesce(regexp_extract_all(question, '(?i){older.SECTION}', 1)[1], '')), '') AS section_hint, CAST(regexp_extract_all(question, '(?i){older.PAGE}', 1)[1] AS INT) AS page_hint, {_OLD_LAYOUT} AS layout_hint, {_OLD_FORMAT} AS format,
+ {_ONCE.format(_ALL_OF(older.ANCHORS, 0, ''))} AS anchors, {_ONCE.format(_ALL_OF(older.ASIDE, 1, '(?i)'))} AS aside FROM q)
+SELECT q_id, section_hint, page_hint, layout_hint, format, array_to_string(anchors, '|') AS anchors, CASE WHEN len(aside) > 0 THEN '{older.INSTRUCTION[0]}' || array_to_string(aside, ', ') || '{older.INSTRUCTION[1]}' END AS instruction FROM h""")
+def q11_older_hints(spark, sf_dir):
+    q = F.col("question")
+    own = run_sql(spark, sf_dir, _OLD_ASKED).select("q_id", older.hints(q).alias("h"), older.wanted_format(q).alias("format"), older.anchors(q).alias("a"), older.set_aside(q)["instruction"].alias("instruction"))
+    return own.select("q_id", "h.*", "format", F.array_join("a", "|").alias("anchors"), "instruction")
+
+
 def _request(name: str, sql: str, /, **columns) -> None:
     def run(spark, sf_dir):
         return run_sql(spark, sf_dir, inputs.REQUESTS).select("r_id", *[f(F.col("message")).alias(n) for n, f in columns.items()])
@@ -423,13 +448,20 @@ _request("q15_target_language", "CASE r_id % 6 WHEN 0 THEN 'de' WHEN 1 THEN 'es'
 _request("q16_style_and_pages", "CASE r_id % 6 WHEN 0 THEN 'formal' WHEN 1 THEN 'casual' WHEN 2 THEN 'technical' WHEN 3 THEN 'formal' ELSE 'default' END AS style, CAST(CASE r_id % 6 WHEN 0 THEN r_id % 9 WHEN 2 THEN 3 END AS INT) AS first_page, CAST(CASE r_id % 6 WHEN 0 THEN r_id % 9 + 3 WHEN 2 THEN r_id % 20 + 3 END AS INT) AS last_page", style=question.style, first_page=lambda m: question.page_range(m)["first"], last_page=lambda m: question.page_range(m)["last"])
 
 
-@_query()
+_ASKED_BACK = " OR ".join("contains(low, '%s')" % w.replace("'", "''") for w in fixed.REFERENTS)
+
+
+@_query(f"SELECT conv_id, turn, NOT turn > 0 AND length(low) <= 60 AND ({_ASKED_BACK}) AS unclear FROM (SELECT conv_id, turn, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS low FROM conversations WHERE role = 'user')")
 def q10_needs_clarification(spark, sf_dir):
     own = read(spark, sf_dir, "conversations").filter("role = 'user'")
     return own.select("conv_id", "turn", question.needs_clarification(F.col("text"), F.col("turn") > 0).alias("unclear"))
 
 
-@_query()
+_FIRST_WORDS = "array_to_string(list_filter(regexp_split_to_array(string_split({0}, chr(10) || chr(10))[-1], '\\s+'), lambda w: w <> '')[1:12], ' ')"
+
+
+@_query(f"""WITH p AS (SELECT doc_id, i, {_FIRST_WORDS.format("substr(text, CAST(1 + i * 3000 AS BIGINT), 3000)")} AS reply FROM documents, unnest(range(greatest(1, CAST(ceil(length(text) / 3000e0) AS BIGINT)))) AS u(i)),
+d AS (SELECT doc_id, string_agg(reply, chr(10) ORDER BY i) AS joined FROM p GROUP BY doc_id) SELECT doc_id, {_FIRST_WORDS.format("joined")} AS summary FROM d""")
 def l4_summaries(spark, sf_dir):
     return backend.summarize(docs(spark, sf_dir))
 
@@ -518,7 +550,15 @@ def s4_image_store(spark, sf_dir):
     return store.images()
 
 
-@_query()
+_STRIP = "trim({0}, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@_query(f"""WITH RECURSIVE p AS (SELECT doc_id, i AS pos, string_split(text, chr(10))[i + 1] AS text, CASE WHEN i % 3 < 2 THEN 'Arial' ELSE 'Times' END AS font FROM documents, unnest(range(len(string_split(text, chr(10))))) AS u(i)),
+f AS (SELECT doc_id, pos, pos AS start, CAST(1 AS INT) AS n, text, font FROM p WHERE pos = 0
+ UNION ALL SELECT doc_id, pos, CASE WHEN more THEN start ELSE pos END, CASE WHEN more THEN n + 1 ELSE 1 END, CASE WHEN more THEN held || text ELSE text END, CASE WHEN more THEN old ELSE font END
+ FROM (SELECT p.*, f.start, f.n, f.text AS held, f.font AS old, a <> '' AND b <> '' AND NOT regexp_matches(a, '[.!?:;]$') AND NOT regexp_matches(b, '^([•·\-–—]|[0-9]+[.)]\s)') AND (right(a, 1) = ',' OR (f.font = p.font AND length(a) < 80)) AS more
+  FROM f JOIN p ON p.doc_id = f.doc_id AND p.pos = f.pos + 1, LATERAL (SELECT {_STRIP.format("f.text")} AS a, {_STRIP.format("p.text")} AS b)))
+SELECT doc_id, start AS pos, max(n) AS n, arg_max(text, n) AS text FROM f GROUP BY doc_id, start""")
 def w9_merged_paragraphs(spark, sf_dir):
     own = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return fragments.merge_paragraphs(own.withColumn("font", F.when(F.col("pos") % 3 < 2, "Arial").otherwise("Times")))
