@@ -141,14 +141,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
 
     The lists (about twice the square root of the number of vectors, ``max_lists`` at most) are fitted on a sample of
     ``sample`` vectors; every vector is indexed. A query probes as many lists of the nearest centres as
-    held ``share`` of the nearest neighbours within the sample, and in any case until they hold more than k candidates.
+    held ``share`` of the nearest neighbours within the part of the sample that they were not fitted on (all of it, if it is the table), and in any case until they hold more than k candidates.
     The nearest part of these (``EARLY``) is scanned first; the k-th distance found there bounds the scan of the others
     from their first block of columns on.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
     neither do null ids. Of queries with equal ids one counts; repeated vectors are all candidates. A list is cut into
     blocks of about ``BLOCK_ROWS`` rows, and meets its queries in blocks too: a task holds one block of each, also
-    where one vector makes up a third of the table.
+    where one vector makes up a third of the table. An empty table, or no queries, gives an empty result; further columns don't matter.
+    Of a query whose id is repeated, all rows with that id are left out of its candidates.
     """
     spark = vectors.sparkSession
     lists_of = lambda df: pick(df, id=id_col, vec=vector_col).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
@@ -162,8 +163,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     lists = max(1, min(max_lists, round(2 * math.sqrt(shapes.n))))
     picked = src.orderBy(F.xxhash64("id"), "id").limit(min(sample, shapes.n)).select("vec").toArrow()
     picked = _matrix(picked.column(0))
-    index = Index(picked, lists, float(shapes.top))
-    least = index.probes(picked, max(1, round(k * len(picked) / shapes.n)), share)
+    # vectors that centres were fitted on lie nearer to them than others do: unless these are all, a quarter is set aside to measure on
+    held = picked if len(picked) == shapes.n else picked[len(picked) * 3 // 4 :]
+    index = Index(picked if len(picked) == shapes.n else picked[: len(picked) * 3 // 4], lists, float(shapes.top))
+    lists = len(index.centres)
+    least = index.probes(held, max(1, round(k * len(held) / shapes.n)), share)
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches):

@@ -506,7 +506,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, prior: in
     that of all documents, to the power 1 + 1/n for n held-out ones, counts for the missing ones (geometric mean by
     number). A language without trusted text, and
     null, takes the figures of all; without any trusted text everything is kept. A null or empty text has no
-    perplexity and is rejected. Repeated rows are judged alike; an empty table gives an empty result.
+    perplexity and is rejected. Repeated rows are judged alike; an empty table gives an empty result. A very long text is a slice of
+    its own, held whole and scored in pieces.
 
     The model is joined on the cluster (``score_by_joins``), or sent to the rows with ``send``. Up to ``send_ids`` label
     ids (8 bytes each) are sent to the texts; with more, the join with them is Spark's choice.

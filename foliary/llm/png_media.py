@@ -141,7 +141,8 @@ def payload(text: bytes | None) -> bytes:
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, media)``: each whole text as the grey samples of a PNG 64 pixels wide. A null text is an
-    empty one and gives one row of zeros; an empty table gives an empty result; repeated rows stay."""
+    empty one and gives one row of zeros; an empty table gives an empty result; repeated rows stay; further columns don't matter. A
+    text and its image are held whole, some four times the text's bytes, so a text may be as long as a task's memory allows a quarter of."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches):

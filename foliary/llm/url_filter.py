@@ -110,7 +110,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     Rules are given by the caller and become one file, which Spark brings to each executor and its workers map. The
     suffixes of the host at a dot, as far as they are no longer than the longest host of a rule, with each prefix of
     the path as long as some rule's path, are looked up at once, so the keys of a url are bounded by the rules, not by
-    the url. A null url has empty host and path and fits no rule, nor does any other with an empty host.
+    the url. A null url has empty host and path and fits no rule, nor does any other with an empty host. Repeated rows are judged
+    alike, one by one; an empty table, or no rules, gives a result without rules; further columns don't matter.
     """
     own = {(h, p): v for h, p, v in rules}
     name = _spread(pages.sparkSession, own)

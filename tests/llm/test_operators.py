@@ -63,6 +63,32 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), url_filter.RULES).count() == 0
 
 
+def test_url_rules_over_odd_tables(spark):
+    """Repeated rows, and columns with the names of the result's."""
+    rows = [(1, "http://x.net/de/9", "h", "v", "r", "p")] * 3 + [(2, None, "h", "v", "r", "p"), (None, "http://a.com/en/", "h", "v", "r", "p")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string, rule string, path string")
+    got = sorted((str(r.page_id), r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(frame, url_filter.RULES).collect())
+    assert got == [("1", "x.net", "/de/9", "net/de/", "allow")] * 3 + [("2", "", "", None, "allow"), ("None", "a.com", "/en/", "com/en/", "block")]
+    assert url_filter.filter_urls(frame, []).filter("rule is not null").count() == 0
+
+
+def test_nearest_over_odd_tables(spark):
+    """Columns with the names of the operator's own; recall over 64 dimensions and lists that matter."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 64)) * np.where(np.arange(64) < 16, 1.0, 0.3)
+    rows = [(i, v.tolist(), 7, [1.0], 3, "s") for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, vec array<double>, list int, score string")
+    asked = frame.filter("vec_id % 20 = 0")
+    got = {}
+    for r in ann.nearest(frame, asked, sample=1024).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = x[::20] @ x.T
+    s[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    hits = sum(len(got[20 * k] & set(np.argsort(-s[k])[:20].tolist())) for k in range(200))
+    assert hits / 4000 >= 0.9 and all(len(v) == 20 for v in got.values())
+    assert ann.nearest(frame, asked.limit(0)).count() == 0
+
+
 def test_digest_collisions_are_confirmed():
     block = lambda keys, **more: np.frombuffer(url_filter.DigestArray.build(keys, **more), np.uint8)
     array = url_filter.DigestArray(block([b"a", b"b", b"c"], digest=lambda k: 7), digest=lambda k: 7)
