@@ -15,7 +15,7 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text the language model of trusted text finds likely enough."""
+    """Documents whose text the language model of trusted text finds likely enough. Null and empty texts go, repeated rows are judged alike."""
     return kneser_ney.judge(docs, read(spark, sf_dir, "labels")).filter("keep").select(*COLUMNS)
 
 
@@ -34,7 +34,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it; the one at the exact end of a budget keeps its first
-    words, one space apart."""
+    words, one space apart. Null and empty texts have no words and go; which of equal rows comes first doesn't matter, as they are equal."""
     out = mixing.mix_sources(docs, carry=("text", "lang", "n_chars"))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
     rest = F.col("taken") - whole * F.col("size")
@@ -46,6 +46,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all texts with their place in a sequence; a null or empty text is a piece of one id, repeated rows are packed one by
+    one."""
     return packing.pack_documents(docs)
 
 

@@ -89,6 +89,14 @@ def j13_band_join(spark, sf_dir):
     return layout.in_band(run_sql(spark, sf_dir, _PARAGRAPHS), run_sql(spark, sf_dir, _TARGETS))
 
 
+@_query(f"""WITH b AS ({inputs.BODY}), l AS ({inputs.PRINTED}), a AS ({inputs.MARKS}),
+m AS (SELECT DISTINCT a.doc_id, a.page, a.annotation, a.type, a.author, a.content, l.line AS pos FROM a JOIN l ON a.doc_id = l.doc_id AND a.page = l.page AND a.x0 <= l.x1 AND l.x0 <= a.x1 AND a.y0 <= l.y1 AND l.y0 <= a.y1
+ WHERE (a.x1 - a.x0) * (a.y1 - a.y0) <= 0 OR (least(a.x1, l.x1) - greatest(a.x0, l.x0)) * (least(a.y1, l.y1) - greatest(a.y0, l.y0)) / ((l.x1 - l.x0) * (l.y1 - l.y0)) >= 0.5)
+SELECT b.doc_id, b.pos, style, text, page, annotation, type, author, content FROM b LEFT JOIN m ON b.doc_id = m.doc_id AND b.pos = m.pos""")
+def j11_annotated_paragraphs(spark, sf_dir):
+    return contents.consolidated(run_sql(spark, sf_dir, inputs.BODY), run_sql(spark, sf_dir, inputs.MARKS), run_sql(spark, sf_dir, inputs.PRINTED))
+
+
 _RULED = f"""s AS (SELECT doc_id, page, seg, abs(y1 - y0) <= 3 AS across, floor(least(x0, x1) / 3 + 0.5) * 3 AS a, floor(greatest(x0, x1) / 3 + 0.5) * 3 AS b, floor(least(y0, y1) / 3 + 0.5) * 3 AS c, floor(greatest(y0, y1) / 3 + 0.5) * 3 AS d
  FROM ({inputs.SEGMENTS}) WHERE (abs(y1 - y0) <= 3) <> (abs(x1 - x0) <= 3)),
 e AS (SELECT h.doc_id, h.page, h.seg AS u, v.seg AS w FROM s h JOIN s v ON h.doc_id = v.doc_id AND h.page = v.page AND h.across AND NOT v.across AND v.a BETWEEN h.a - 3 AND h.b + 3 AND h.c BETWEEN v.c - 3 AND v.d + 3),

@@ -104,6 +104,32 @@ def legacy_pages(toc: DataFrame, pages: DataFrame, fuzzy: bool = False) -> DataF
     return out.withColumn("page_num", F.col("page_num_real")).withColumnRenamed("displayed", "displayed_page")
 
 
+def consolidated(blocks: DataFrame, annotations: DataFrame, pages: DataFrame, least: float = 0.5) -> DataFrame:
+    """``(doc_id, pos, style, text, page, annotation, type, author, content)``: the paragraphs of a text document with the annotations of its printed
+    form, a row for each pair, and a row for each paragraph without any.
+
+    ``blocks`` (doc_id, pos, style, text) are paragraphs as the source has them, ``pages`` (doc_id, page, line, text, x0, y0, x1, y1) the printed
+    lines, ``annotations`` (doc_id, page, annotation, type, author, content, x0, y0, x1, y1) what readers left there. An annotation belongs to the lines
+    whose area it covers by ``least`` or more (a point or a line on them counts too); a line belongs to the first paragraph of its document that holds its normalized
+    text. Lines and annotations meet on grid cells, lines and paragraphs by the first word of the line."""
+    from .grid import BOX, meeting
+
+    area = F.greatest((F.col("b_x1") - F.col("b_x0")) * (F.col("b_y1") - F.col("b_y0")), F.lit(1e-9))
+    w = F.least("x1", "b_x1") - F.greatest("x0", "b_x0")
+    h = F.least("y1", "b_y1") - F.greatest("y0", "b_y0")
+    flat = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) <= 0
+    marks = annotations.select("doc_id", "page", "annotation", "type", "author", "content", *BOX)
+    hit = meeting(marks, pages.select("doc_id", "page", "line", "text", *BOX)).filter(flat | (w * h / area >= least))
+    hit = hit.withColumn("key", rules.normalize(F.col("b_text"))).filter("key <> ''")
+    words = blocks.select(F.col("doc_id").alias("d"), "pos", rules.normalize(F.col("text")).alias("own"))
+    words = words.select("d", "pos", "own", F.explode(F.array_distinct(F.split("own", " "))).alias("word"))
+    inside = F.contains(F.concat(F.lit(" "), "own", F.lit(" ")), F.concat(F.lit(" "), "key", F.lit(" ")))
+    met = hit.join(words, (F.col("doc_id") == F.col("d")) & (F.element_at(F.split("key", " "), 1) == F.col("word")) & inside)
+    key = ["doc_id", "page", "annotation"]
+    met = met.groupBy(*key, "b_line").agg(F.min("pos").alias("pos")).select(*key, "pos").distinct().join(marks.drop(*BOX), key)
+    return blocks.select("doc_id", "pos", "style", "text").join(met, ["doc_id", "pos"], "left")
+
+
 def empty_toc(spark) -> DataFrame:
     return spark.createDataFrame([], ", ".join(f"{n} {k}" for n, k in (("doc_id", "bigint"), *SCHEMA, ("page_num", "bigint"), ("title", "string"), ("page", "bigint"))))
 

@@ -141,6 +141,11 @@ SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS doc_id, CAST(floor(p_partkey / 4
   CAST(floor(p_partkey / 4) AS BIGINT) % 3 AS kind, p_brand AS a, CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) END AS b, p_partkey % 10 = 3 AS blank
 FROM part"""
 
+#: Paragraphs, printed lines and annotations of documents that grow with the table: each paragraph is printed as one line, some are marked.
+BODY = "SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS pos, p_brand AS style, p_name || ', no. ' || CAST(p_partkey AS VARCHAR(9)) AS text FROM part"
+PRINTED = "SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS doc_id, CAST(1 + p_partkey % 2 AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS line, upper(p_name) || ' (No ' || CAST(p_partkey AS VARCHAR(9)) || ')' AS text, CAST(50 AS DOUBLE) AS x0, CAST(p_partkey % 20 * 30 AS DOUBLE) AS y0, CAST(250 AS DOUBLE) AS x1, CAST(p_partkey % 20 * 30 + 12 AS DOUBLE) AS y1 FROM part"
+MARKS = "SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS doc_id, CAST(1 + p_partkey % 2 AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS annotation, CASE p_size % 3 WHEN 0 THEN 'Highlight' WHEN 1 THEN 'Text' ELSE 'Square' END AS type, p_brand AS author, p_type AS content, CAST(50 AS DOUBLE) AS x0, CAST(p_partkey % 20 * 30 + CASE WHEN p_size % 7 = 0 THEN 14 ELSE 0 END AS DOUBLE) AS y0, CAST(50 + CASE p_size % 3 WHEN 0 THEN 200 WHEN 1 THEN 0 ELSE 60 + p_size * 2 END AS DOUBLE) AS x1, CAST(p_partkey % 20 * 30 + 12 + CASE WHEN p_size % 7 = 0 THEN 14 WHEN p_size % 5 = 0 AND p_size % 3 = 0 THEN 60 ELSE 0 END AS DOUBLE) AS y1 FROM part WHERE p_size % 2 = 0"
+
 #: Line segments of pages: two grids of rulings a page, slightly off, some lines drawn twice, and lines that belong to none.
 SEGMENTS = """
 SELECT CAST(floor(p_partkey / 48) AS BIGINT) AS doc_id, CAST(floor(p_partkey / 24) % 2 AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS seg, k, j,
