@@ -117,7 +117,7 @@ def j12_text_lookup(spark, sf_dir):
     return layout.looked_up(part, part, "p_partkey", "p_name").select("p_partkey", "first_pos")
 
 
-pair("s9_tables", "SELECT CAST(o_custkey % 20 AS BIGINT) AS doc_id, o_orderpriority AS tbl, CAST(row_number() OVER (PARTITION BY o_custkey % 20, o_orderpriority ORDER BY o_orderkey) - 1 AS BIGINT) AS row_id, CAST(3 AS BIGINT) AS col, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS text FROM orders",
+pair("s9_tables", "SELECT CAST(o_custkey AS BIGINT) AS doc_id, o_orderpriority AS tbl, CAST(row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) - 1 AS BIGINT) AS row_id, CAST(3 AS BIGINT) AS col, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS text FROM orders",
      "SELECT doc_id, tbl, row_id, col, coalesce(max(head) OVER (PARTITION BY doc_id, tbl), 'col_3') AS name, text FROM (SELECT *, CASE WHEN row_id = 0 THEN text END AS head FROM {source}) QUALIFY row_id > 0", layout.table_cells)
 pair("s16_sheet_rows", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE o_totalprice END AS price, CAST(NULL AS VARCHAR(9)) AS nothing FROM orders", "SELECT o_orderkey, status, price FROM {source} WHERE NOT (status IS NULL AND price IS NULL)", lambda s: layout.filled(s, ("o_orderkey",)))
 pair("a21_invoice_totals", "SELECT l_orderkey, l_quantity, l_extendedprice, l_tax FROM lineitem", "SELECT l_orderkey, CAST(sum(CAST(round(l_quantity * l_extendedprice) AS BIGINT)) AS BIGINT) AS subtotal, CAST(sum(CAST(round(l_quantity * l_extendedprice * l_tax) AS BIGINT)) AS BIGINT) AS tax, CAST(sum(CAST(round(l_quantity * l_extendedprice) AS BIGINT) + CAST(round(l_quantity * l_extendedprice * l_tax) AS BIGINT)) AS BIGINT) AS total FROM {source} GROUP BY l_orderkey",

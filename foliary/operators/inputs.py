@@ -23,10 +23,10 @@ SELECT CAST(l_orderkey AS BIGINT) AS doc_id,
 FROM lineitem"""
 
 #: Entries of tables of contents, with pages that may run back and levels that may jump.
-TOC = "SELECT CAST(p_partkey % 200 AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS pos, CAST(1 + p_size % 4 AS INT) AS level, CAST(p_size AS BIGINT) AS page, p_name AS title FROM part"
+TOC = "SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS pos, CAST(1 + p_size % 4 AS INT) AS level, CAST(p_size AS BIGINT) AS page, p_name AS title FROM part"
 
 #: Lines with dotted leaders.
-LEADERS = "SELECT CAST(p_partkey % 200 AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS pos, p_name || ' ' || repeat('.', CAST(4 + p_partkey % 9 AS INT)) || ' ' || CAST(p_size AS VARCHAR(9)) AS line FROM part"
+LEADERS = "SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS pos, p_name || ' ' || repeat('.', CAST(4 + p_partkey % 9 AS INT)) || ' ' || CAST(p_size AS VARCHAR(9)) AS line FROM part"
 
 #: Lines of pages of contents: whole entries, prose that ends with a number, entries whose page or leaders come later.
 LEADER_PAGES = """

@@ -513,7 +513,7 @@ _made("x14_fences", _MARKED, "p_id", "name AS body, name AS whole", body=lambda
 
 @_query()
 def w8_fragment_groups(spark, sf_dir):
-    own = run_sql(spark, sf_dir, "SELECT CAST(p_partkey % 100 AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS pos, p_name, p_size FROM part")
+    own = run_sql(spark, sf_dir, "SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS pos, p_name, p_size FROM part")
     return fragments.group_fragments(own.select("doc_id", "pos", F.slice(F.concat(F.split("p_name", " "), F.array(*[F.lit(f"c{i}") for i in range(4)])), F.lit(1), F.col("p_size") % 5 + 1).alias("columns")))
 
 
@@ -575,15 +575,15 @@ _made("r6_page_tool", _SCANS, "doc_id", f"CASE WHEN scan = 1 AND kind = 0 THEN '
       tool=lambda c: metadata.page_tool(F.when(c("scan") == 1, "scanned").otherwise("native"), F.lit("other"), c("creator"), c("producer"), F.when(c("kind") == 0, F.array(F.lit("figma"), F.lit("xerox 7"), F.lit("canon"))).when(c("kind") == 1, F.array(F.lit("figma")))))
 
 
-@_query("SELECT CAST(p_partkey % 40 AS BIGINT) AS doc_id, 's' || CAST(p_partkey AS VARCHAR) AS span_id, p_name AS text FROM part")
+@_query("SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS doc_id, 's' || CAST(p_partkey AS VARCHAR) AS span_id, p_name AS text FROM part")
 def l5_translated_spans(spark, sf_dir):
-    own = run_sql(spark, sf_dir, "SELECT CAST(p_partkey % 40 AS BIGINT) AS doc_id, p_partkey AS pos, concat('s', p_partkey) AS span_id, p_name AS text FROM part")
+    own = run_sql(spark, sf_dir, "SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS doc_id, p_partkey AS pos, concat('s', p_partkey) AS span_id, p_name AS text FROM part")
     return translate.translate_spans(own, "en")
 
 
-@_query("SELECT doc_id, page, count(*) AS n FROM (SELECT CAST(p_partkey % 40 AS BIGINT) AS doc_id, p_size % 3 AS page FROM part WHERE p_partkey % 2 = 0) GROUP BY ALL")
+@_query("SELECT doc_id, page, count(*) AS n FROM (SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS doc_id, p_size % 3 AS page FROM part WHERE p_partkey % 2 = 0) GROUP BY ALL")
 def k10_page_views(spark, sf_dir):
-    own = run_sql(spark, sf_dir, "SELECT CAST(p_partkey % 40 AS BIGINT) AS doc_id, p_size % 3 AS page, concat('s', p_partkey) AS span_id, p_name AS text, 1.0D AS x0, 2.0D AS y0, 30.0D AS x1, 12.0D AS y1, p_partkey FROM part")
+    own = run_sql(spark, sf_dir, "SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS doc_id, p_size % 3 AS page, concat('s', p_partkey) AS span_id, p_name AS text, 1.0D AS x0, 2.0D AS y0, 30.0D AS x1, 12.0D AS y1, p_partkey FROM part")
     return translate.page_views(own, own.filter("p_partkey % 2 = 0")).select("doc_id", "page", F.col("n").cast("long").alias("n"))
 
 
