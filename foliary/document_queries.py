@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import fixed, question, text
-from .operators import contents, inputs, layout, pages, rules, rulings
+from .operators import contents, inputs, layout, markup, pages, rules, rulings
 from .operators import scope as scopes
 from .queries import _SQL, _TOC_PAGE, _TYPE, _query, pair, read, run_sql
 from .sources import pdf
@@ -97,6 +97,24 @@ def j11_annotated_paragraphs(spark, sf_dir):
     return contents.consolidated(run_sql(spark, sf_dir, inputs.BODY), run_sql(spark, sf_dir, inputs.MARKS), run_sql(spark, sf_dir, inputs.PRINTED))
 
 
+@_query(f"SELECT r.doc_id, r.node, t.target FROM ({inputs.ELEMENTS}) r JOIN ({inputs.ELEMENTS}) h ON h.doc_id = r.doc_id AND h.node = r.parent AND h.tag = 'hyperlink' JOIN ({inputs.RELATIONS}) t ON t.doc_id = h.doc_id AND t.rid = h.rid WHERE r.tag = 'r'")
+def m9_link_targets(spark, sf_dir):
+    return markup.link_targets(run_sql(spark, sf_dir, inputs.ELEMENTS), run_sql(spark, sf_dir, inputs.RELATIONS))
+
+
+@_query(f"""WITH e AS ({inputs.ELEMENTS}) SELECT p.doc_id, p.node, CAST(l.val AS INT) AS level, i.val AS list_id FROM e p JOIN e q ON q.doc_id = p.doc_id AND q.parent = p.node AND q.tag = 'pPr' JOIN e n ON n.doc_id = p.doc_id AND n.parent = q.node AND n.tag = 'numPr'
+LEFT JOIN e l ON l.doc_id = p.doc_id AND l.parent = n.node AND l.tag = 'ilvl' LEFT JOIN e i ON i.doc_id = p.doc_id AND i.parent = n.node AND i.tag = 'numId' WHERE p.tag = 'p'""")
+def m9_list_levels(spark, sf_dir):
+    return markup.list_levels(run_sql(spark, sf_dir, inputs.ELEMENTS))
+
+
+@_query(f"""WITH RECURSIVE e AS ({inputs.ELEMENTS}), up AS (SELECT doc_id, node, parent, CAST(NULL AS VARCHAR) AS mark FROM e WHERE tag = 'r'
+ UNION ALL SELECT u.doc_id, u.node, e.parent, CASE WHEN e.tag IN ('ins', 'del') THEN e.tag END FROM up u JOIN e ON e.doc_id = u.doc_id AND e.node = u.parent WHERE u.mark IS NULL)
+SELECT doc_id, node, coalesce(max(mark) = 'ins', false) AS is_insertion, coalesce(max(mark) = 'del', false) AS is_deletion FROM up GROUP BY doc_id, node""")
+def m9_tracked_changes(spark, sf_dir):
+    return markup.tracked_changes(run_sql(spark, sf_dir, inputs.ELEMENTS))
+
+
 _RULED = f"""s AS (SELECT doc_id, page, seg, abs(y1 - y0) <= 3 AS across, floor(least(x0, x1) / 3 + 0.5) * 3 AS a, floor(greatest(x0, x1) / 3 + 0.5) * 3 AS b, floor(least(y0, y1) / 3 + 0.5) * 3 AS c, floor(greatest(y0, y1) / 3 + 0.5) * 3 AS d
  FROM ({inputs.SEGMENTS}) WHERE (abs(y1 - y0) <= 3) <> (abs(x1 - x0) <= 3)),
 e AS (SELECT h.doc_id, h.page, h.seg AS u, v.seg AS w FROM s h JOIN s v ON h.doc_id = v.doc_id AND h.page = v.page AND h.across AND NOT v.across AND v.a BETWEEN h.a - 3 AND h.b + 3 AND h.c BETWEEN v.c - 3 AND v.d + 3),

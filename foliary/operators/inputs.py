@@ -146,6 +146,16 @@ BODY = "SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS doc_id, CAST(p_partkey A
 PRINTED = "SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS doc_id, CAST(1 + p_partkey % 2 AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS line, upper(p_name) || ' (No ' || CAST(p_partkey AS VARCHAR(9)) || ')' AS text, CAST(50 AS DOUBLE) AS x0, CAST(p_partkey % 20 * 30 AS DOUBLE) AS y0, CAST(250 AS DOUBLE) AS x1, CAST(p_partkey % 20 * 30 + 12 AS DOUBLE) AS y1 FROM part"
 MARKS = "SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS doc_id, CAST(1 + p_partkey % 2 AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS annotation, CASE p_size % 3 WHEN 0 THEN 'Highlight' WHEN 1 THEN 'Text' ELSE 'Square' END AS type, p_brand AS author, p_type AS content, CAST(50 AS DOUBLE) AS x0, CAST(p_partkey % 20 * 30 + CASE WHEN p_size % 7 = 0 THEN 14 ELSE 0 END AS DOUBLE) AS y0, CAST(50 + CASE p_size % 3 WHEN 0 THEN 200 WHEN 1 THEN 0 ELSE 60 + p_size * 2 END AS DOUBLE) AS x1, CAST(p_partkey % 20 * 30 + 12 + CASE WHEN p_size % 7 = 0 THEN 14 WHEN p_size % 5 = 0 AND p_size % 3 = 0 THEN 60 ELSE 0 END AS DOUBLE) AS y1 FROM part WHERE p_size % 2 = 0"
 
+#: Elements of text documents, ten for each paragraph: properties, wrappers of several kinds inside one another, and runs at three depths.
+ELEMENTS = """
+SELECT CAST(floor(p_partkey / 30) AS BIGINT) AS doc_id, CAST(p_partkey * 10 + k AS BIGINT) AS node,
+  CASE WHEN k = 0 THEN NULL WHEN k IN (1, 5, 9) THEN CAST(p_partkey * 10 AS BIGINT) WHEN k = 2 THEN CAST(p_partkey * 10 + 1 AS BIGINT) WHEN k IN (3, 4) THEN CAST(p_partkey * 10 + 2 AS BIGINT) WHEN k IN (6, 8) THEN CAST(p_partkey * 10 + 5 AS BIGINT) ELSE CAST(p_partkey * 10 + 6 AS BIGINT) END AS parent,
+  CASE WHEN k = 0 THEN 'p' WHEN k = 1 THEN 'pPr' WHEN k = 2 THEN CASE WHEN p_size % 3 = 0 THEN 'numPr' ELSE 'jc' END WHEN k = 3 THEN CASE WHEN p_size % 2 = 0 THEN 'ilvl' ELSE 'x' END WHEN k = 4 THEN 'numId'
+    WHEN k = 5 THEN CASE p_size % 5 WHEN 0 THEN 'ins' WHEN 1 THEN 'del' WHEN 2 THEN 'hyperlink' ELSE 'sdt' END WHEN k = 6 THEN CASE p_partkey % 4 WHEN 0 THEN 'hyperlink' WHEN 1 THEN 'ins' WHEN 2 THEN 'smartTag' ELSE 'del' END ELSE 'r' END AS tag,
+  CASE WHEN k IN (5, 6) THEN 'rId' || CAST(p_partkey % 7 AS VARCHAR(9)) END AS rid, CASE WHEN k = 3 THEN CAST(p_size % 4 AS VARCHAR(9)) WHEN k = 4 THEN CAST(p_partkey % 5 AS VARCHAR(9)) END AS val
+FROM part CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9) AS kinds"""
+RELATIONS = "SELECT DISTINCT CAST(floor(p_partkey / 30) AS BIGINT) AS doc_id, 'rId' || CAST(p_partkey % 5 AS VARCHAR(9)) AS rid, 'https://example.org/' || CAST(p_partkey % 5 AS VARCHAR(9)) AS target FROM part"
+
 #: Line segments of pages: two grids of rulings a page, slightly off, some lines drawn twice, and lines that belong to none.
 SEGMENTS = """
 SELECT CAST(floor(p_partkey / 48) AS BIGINT) AS doc_id, CAST(floor(p_partkey / 24) % 2 AS BIGINT) AS page, CAST(p_partkey AS BIGINT) AS seg, k, j,

@@ -451,7 +451,7 @@ _request("q16_style_and_pages", "CASE r_id % 6 WHEN 0 THEN 'formal' WHEN 1 THEN
 _ASKED_BACK = " OR ".join("contains(low, '%s')" % w.replace("'", "''") for w in fixed.REFERENTS)
 
 
-@_query(f"SELECT conv_id, turn, NOT turn > 0 AND length(low) <= 60 AND ({_ASKED_BACK}) AS unclear FROM (SELECT conv_id, turn, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS low FROM conversations WHERE role = 'user')")
+@_query(f"SELECT conv_id, turn, NOT turn > 0 AND length(low) <= 60 AND ({_ASKED_BACK}) AS unclear FROM (SELECT conv_id, turn, regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g') AS low FROM conversations WHERE role = 'user')")
 def q10_needs_clarification(spark, sf_dir):
     own = read(spark, sf_dir, "conversations").filter("role = 'user'")
     return own.select("conv_id", "turn", question.needs_clarification(F.col("text"), F.col("turn") > 0).alias("unclear"))
@@ -556,7 +556,7 @@ _STRIP = "trim({0}, ' ' || chr(9) || chr(10) || chr(13))"
 @_query(f"""WITH RECURSIVE p AS (SELECT doc_id, i AS pos, string_split(text, chr(10))[i + 1] AS text, CASE WHEN i % 3 < 2 THEN 'Arial' ELSE 'Times' END AS font FROM documents, unnest(range(len(string_split(text, chr(10))))) AS u(i)),
 f AS (SELECT doc_id, pos, pos AS start, CAST(1 AS INT) AS n, text, font FROM p WHERE pos = 0
  UNION ALL SELECT doc_id, pos, CASE WHEN more THEN start ELSE pos END, CASE WHEN more THEN n + 1 ELSE 1 END, CASE WHEN more THEN held || text ELSE text END, CASE WHEN more THEN old ELSE font END
- FROM (SELECT p.*, f.start, f.n, f.text AS held, f.font AS old, a <> '' AND b <> '' AND NOT regexp_matches(a, '[.!?:;]$') AND NOT regexp_matches(b, '^([•·\-–—]|[0-9]+[.)]\s)') AND (right(a, 1) = ',' OR (f.font = p.font AND length(a) < 80)) AS more
+ FROM (SELECT p.*, f.start, f.n, f.text AS held, f.font AS old, a <> '' AND b <> '' AND NOT regexp_matches(a, '[.!?:;]$') AND NOT regexp_matches(b, '^([•·\\-–—]|[0-9]+[.)]\\s)') AND (right(a, 1) = ',' OR (f.font = p.font AND length(a) < 80)) AS more
   FROM f JOIN p ON p.doc_id = f.doc_id AND p.pos = f.pos + 1, LATERAL (SELECT {_STRIP.format("f.text")} AS a, {_STRIP.format("p.text")} AS b)))
 SELECT doc_id, start AS pos, max(n) AS n, arg_max(text, n) AS text FROM f GROUP BY doc_id, start""")
 def w9_merged_paragraphs(spark, sf_dir):

@@ -7,7 +7,7 @@ from foliary import queries
 from foliary.plans.guard import NotAllowed, fenced, read_only
 
 SF = "/root/testdata/sf0.001"
-SOME = ["j11_annotated_paragraphs", "k11_glossary_entries", "q11_older_hints", "w11_chunk_texts", "q10_needs_clarification", "l4_summaries", "w9_merged_paragraphs", "q8_plans", "w5_multi_line_leaders", "s8_ruled_tables", "s4_image_store", "w8_merged_tables", "k4_nested_json", "t6_column_order", "j13_band_join", "l2_index_search", "j7_equal_or_inside", "j10_cell_colors", "w4_isolated_numbers", "a5_body_size", "r21_block_class", "a10_page_offset", "m2_real_pages", "r12_native", "r13_links", "r2_content_rules", "r1_classified", "j4_linked_spans", "j5_cells_bypass", "f10_table_overlap", "q10_clarification", "s2_lines", "l1_retrieve", "t3_bm25", "t2_cosine", "x1_normalize", "x19_ocr_quality", "x20_readable_share", "x26_language", "w1_page_end", "w2_indicator", "w3_parent", "r3_source_category", "r7_page_type", "a6_document_summary", "j6_glossary", "q1_hints", "q2_anchors", "q6_shape", "q15_target_language", "q16_style_and_pages", "s6_line_collector", "f4_sections", "q4_distinctions", "q7_bricks", "q14_request", "q18_section_and_document", "x16_xmp", "x2_metadata"]
+SOME = ["m9_link_targets", "m9_list_levels", "m9_tracked_changes", "j11_annotated_paragraphs", "k11_glossary_entries", "q11_older_hints", "w11_chunk_texts", "q10_needs_clarification", "l4_summaries", "w9_merged_paragraphs", "q8_plans", "w5_multi_line_leaders", "s8_ruled_tables", "s4_image_store", "w8_merged_tables", "k4_nested_json", "t6_column_order", "j13_band_join", "l2_index_search", "j7_equal_or_inside", "j10_cell_colors", "w4_isolated_numbers", "a5_body_size", "r21_block_class", "a10_page_offset", "m2_real_pages", "r12_native", "r13_links", "r2_content_rules", "r1_classified", "j4_linked_spans", "j5_cells_bypass", "f10_table_overlap", "q10_clarification", "s2_lines", "l1_retrieve", "t3_bm25", "t2_cosine", "x1_normalize", "x19_ocr_quality", "x20_readable_share", "x26_language", "w1_page_end", "w2_indicator", "w3_parent", "r3_source_category", "r7_page_type", "a6_document_summary", "j6_glossary", "q1_hints", "q2_anchors", "q6_shape", "q15_target_language", "q16_style_and_pages", "s6_line_collector", "f4_sections", "q4_distinctions", "q7_bricks", "q14_request", "q18_section_and_document", "x16_xmp", "x2_metadata"]
 
 
 def _value(v):

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from foliary.operators import fragments, toc
+from foliary.operators import fragments, markup, toc
 from foliary.operators.ledger import Ledger, Retries, Settings, call
 from foliary.streaming.images import ImageStore
 from foliary.streaming.ingest import append_new
@@ -100,6 +100,16 @@ def test_waits_double_up_to_a_limit():
     assert call(lambda p, s: None, "p", Settings(), Retries(1))[1] == "TypeError: no text but NoneType"
 
 
+def test_marks_far_above_a_run(spark):
+    """A deep tree, the nearest mark wins, and a cycle is an error."""
+    deep = [(1, i, i - 1 if i else None, "ins" if i == 1 else "del" if i == 20 else "r" if i in (10, 60) else "x") for i in range(61)] + [(2, 60, None, "r"), (2, 61, 999, "r")]
+    frame = spark.createDataFrame(deep, "doc_id long, node long, parent long, tag string")
+    got = {(r.doc_id, r.node): (r.is_insertion, r.is_deletion) for r in markup.tracked_changes(frame).collect()}
+    assert got == {(1, 10): (True, False), (1, 60): (False, True), (2, 60): (False, False), (2, 61): (False, False)}
+    with pytest.raises(ValueError):
+        markup.tracked_changes(spark.createDataFrame([(1, 1, 2, "r"), (1, 2, 1, "x")], frame.schema))
+
+
 def test_nested_contents_as_by_a_stack(spark):
     import json
 
