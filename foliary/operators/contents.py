@@ -206,6 +206,25 @@ def detailed(raw: DataFrame, lines: DataFrame) -> DataFrame:
     return cleaned(raw).join(found, ["doc_id", "pos"], "left").select(*raw.columns, F.col("at.line").alias("title_line"), F.col("at.x0").alias("title_x0"), F.col("at.y0").alias("title_y0"))
 
 
+_REPLY = "struct<entries:array<struct<title:string,page_num:bigint,level:bigint>>>"
+
+
+def by_model(pages: DataFrame, ledger=None, ask=None, first: int = 10, **how) -> DataFrame:
+    """Entries (doc_id, pos, level, title, page) that a model reads from the first pages (doc_id, page, text) of each document. ``ledger.complete``
+    asks (``operators.ledger``), once for equal texts; a reply is JSON with ``entries`` (title, page_num, level), in a fence or not. Without ``ask``, or where the
+    reply is none, a document has no entries; entries without a title or page go, and a missing level is 1."""
+    own = first_pages(pages, first + 1, "page").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("page", "text")))["text"], "\n").alias("text"))
+    asked = own.select("doc_id", F.concat(F.lit("Read the table of contents. Reply with JSON: {\"entries\": [{\"title\", \"page_num\", \"level\"}]}.\n\n"), "text").alias("prompt"))
+    if ask is None or ledger is None:
+        replies = asked.select("doc_id", F.lit(None).cast("string").alias("reply"))
+    else:
+        replies = ledger.complete(asked, ask, **how).select("doc_id", "reply")
+    body = F.regexp_extract(F.coalesce("reply", F.lit("")), r"(?s)(\{.*\})", 1)
+    found = replies.select("doc_id", F.posexplode(F.from_json(body, _REPLY)["entries"]).alias("pos", "e"))
+    found = found.select("doc_id", F.col("pos").cast("long").alias("pos"), F.coalesce("e.level", F.lit(1)).alias("level"), F.trim("e.title").alias("title"), F.col("e.page_num").alias("page"))
+    return found.filter("title <> '' AND page > 0")
+
+
 def cascade(steps: list[DataFrame]) -> DataFrame:
     """Entries (doc_id, pos, title) of the first of the sources, in order, that has any for a document, and its number
     from 1 as ``priority``."""

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from foliary.operators import fragments, markup, toc
+from foliary.operators import contents, fragments, markup, toc
 from foliary.operators.ledger import Ledger, Retries, Settings, call
 from foliary.streaming.images import ImageStore
 from foliary.streaming.ingest import append_new
@@ -90,6 +90,18 @@ def test_no_prompt_is_asked_twice(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/ledger/errors").filter("error like 'ConnectionError%'").count() == 1
 
 
+def test_contents_by_a_model(spark, tmp_path):
+    def ask(prompt, settings):
+        if "Broken" in prompt:
+            return "I could not find any."
+        return 'Here:\n```json\n{"entries": [{"title": " One ", "page_num": 3, "level": null}, {"title": "", "page_num": 4, "level": 1}, {"title": "Two", "page_num": 9, "level": 2}, {"title": "No page", "level": 2}]}\n```'
+
+    pages = spark.createDataFrame([(1, 1, "Contents"), (1, 2, "One 3"), (2, 1, "Broken"), (3, 1, None)], "doc_id long, page long, text string")
+    got = contents.by_model(pages, Ledger(spark, f"file://{tmp_path}/ledger"), ask, calls=1).orderBy("doc_id", "pos").collect()
+    assert [tuple(r) for r in got if r.doc_id == 1] == [(1, 0, 1, "One", 3), (1, 2, 2, "Two", 9)] and not [r for r in got if r.doc_id == 2]
+    assert contents.by_model(pages).collect() == []
+
+
 def test_waits_double_up_to_a_limit():
     waits = []
 
