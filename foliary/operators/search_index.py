@@ -56,7 +56,7 @@ class SearchIndex:
             F.max("tf").alias("top_tf"), F.min("length").alias("least_length"), F.max(F.struct("tf", -F.col("length"))).alias("best"), F.min("doc_id").alias("first_doc"),
         )
         blocks = blocks.select("term", F.size("p").alias("n"), "top_tf", (-F.col("best.col2")).alias("top_length"), "least_length", "first_doc", F.col("p.doc_id").alias("doc_ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"), self._bucket(F.col("term")).alias("bucket"))
-        blocks = blocks.repartition("bucket", F.pmod(F.xxhash64("term", "part"), F.lit(4))).sortWithinPartitions("bucket", "term", "first_doc")
+        blocks = blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "first_doc")  # a large bucket is split, small ones share a task
         blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/blocks/batch={batch}")
         sizes = own.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("terms").cast("long")), F.lit(0)).alias("words"))
         sizes.select(F.lit(batch).alias("name"), "docs", "words").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")

@@ -26,7 +26,7 @@ class ImageStore:
     def _put(self, rows: DataFrame, at: str) -> None:
         bucket = F.pmod(F.xxhash64("hash"), F.lit(self.buckets)).cast("int")
         out = rows.select("hash", "doc_id", "n", "first", bucket.alias("bucket"))
-        out.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{at}")
+        out.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{at}")
 
     def add(self, occurrences: DataFrame, batch) -> None:
         """``occurrences``: (hash, doc_id, page, pos, width, height); rows without a hash are none."""
