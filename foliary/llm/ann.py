@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import pick, table
 
 BLOCK_ROWS, BLOCK_QUERIES, DIMS, CHUNK = 4096, 2048, 8, 512
+#: Numbers that a worker holds at once while it looks for centres or writes a query's vector for each of its lists.
+HELD = 1 << 21
 #: How clearly a partial distance must exceed the bound; the part of a query's lists that is scanned for the bound.
 EPSILON, EARLY = 1.3, 0.125
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -41,7 +43,16 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.concatenate([_distances(x[i : i + 4096], c).argmin(1) for i in range(0, len(x), 4096)]) if len(x) else np.empty(0, np.int64)
+    step = max(1, HELD // len(c))
+    return np.concatenate([_distances(x[i : i + step], c).argmin(1) for i in range(0, len(x), step)]) if len(x) else np.empty(0, np.int64)
+
+
+def sliced(batches, width: int):
+    """Cuts batches so that ``width`` numbers for each row stay within ``HELD``, or to single rows."""
+    step = max(1, HELD // width)
+    for b in batches:
+        for a in range(0, b.num_rows, step):
+            yield b.slice(a, step)
 
 
 class Index:
@@ -180,7 +191,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     sizes = np.array([count.get(i, 0) for i in range(lists)])
 
     def probes(batches):
-        for b in batches:
+        for b in sliced(batches, lists * (shapes.d + 1)):  # each query is copied once for each of its lists
             far = _distances(shared.value.asked(_matrix(b.column(1))), shared.value.centres)
             order = np.argsort(far, axis=1, kind="stable")
             held = np.cumsum(sizes[: far.shape[1]][order], axis=1)

@@ -36,13 +36,13 @@ def strategy(kind: Column) -> Column:
 
 def document_summary(pages: DataFrame) -> DataFrame:
     """One row a document from pages with ``page_type`` and ``quality``: counts, content type, the quality of its text
-    layer and what to do with it. One aggregation over the pages."""
+    layer (mean quality to nine decimals, so that no order of summing decides a label) and what to do with it. One aggregation over the pages."""
     t = F.col("page_type")
     n = lambda *kinds: F.count_if(t.isin(*kinds))
     out = pages.groupBy("doc_id").agg(
         F.count("*").alias("n_pages"), n("empty").alias("n_empty"), n("scanned").alias("n_scanned"), n("scanned_ocr_good", "scanned_ocr_bad").alias("n_ocr"),
         n("native", "native_with_image").alias("n_native"), n("mixed").alias("n_mixed"),
-        F.avg(F.when(t.isin("scanned_ocr_good", "scanned_ocr_bad"), F.col("quality"))).alias("mean_quality"),
+        F.round(F.avg(F.when(t.isin("scanned_ocr_good", "scanned_ocr_bad"), F.col("quality"))), 9).alias("mean_quality"),
     )
     useful = (F.col("n_pages") - F.col("n_empty")).cast("double")
     over = lambda x: x / useful >= fixed.DOC_RATIO

@@ -33,11 +33,13 @@ def standard_size(width: Column, height: Column) -> Column:
 
 def content_means(pages: DataFrame) -> DataFrame:
     """One row a document from its pages (doc_id, chars, image_ratio, blocks, width, height, fonts: array): means, the
-    shares of full-page images and standard sizes, and the number of different fonts."""
+    shares of full-page images and standard sizes, and the number of different fonts. Image ratios are added as decimals of twelve
+    places: sums of doubles depend on the order of the pages, and a rule's limit or a rounded per cent on their last bits."""
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    ratio = F.col("image_ratio").try_cast("decimal(28,12)")
     fonts = F.array_distinct(F.flatten(F.collect_set("fonts")))
     return pages.groupBy("doc_id").agg(
-        F.count("*").alias("n_pages"), F.avg("chars").alias("chars"), F.avg("image_ratio").alias("images"), F.avg("blocks").alias("blocks"),
+        F.count("*").alias("n_pages"), F.avg("chars").alias("chars"), (F.sum(ratio).cast("double") / F.count(ratio)).alias("images"), F.avg("blocks").alias("blocks"),
         share(F.col("image_ratio") > 0.85).alias("full"), share(standard_size(F.col("width"), F.col("height"))).alias("standard"), F.size(fonts).cast("long").alias("n_fonts"),
     )
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliary.functions import question
-from foliary.operators import contents, fragments, scope, toc
+from foliary.operators import contents, fragments, pages, rules, scope, toc
 from foliary.sources import office
 
 
@@ -166,3 +166,20 @@ def test_page_ranges(spark):
     cases = {"pages 3 jusqu'à 7": (3, 7), "page 2 jusqu’a 4": (2, 4), "de la page 5 jusqu'à la page 9": (5, 9), "de la page 1 à 2": (1, 2), "pages 4-6": (4, 6), "from page 3 to 8": (3, 8), "page 3": None}
     frame = spark.createDataFrame([(m,) for m in cases], "m string").select("m", question.page_range(F.col("m")).alias("r"))
     assert {r.m: (r.r.first, r.r.last) if r.r else None for r in frame.collect()} == cases
+
+
+def test_a_mean_at_the_limit_is_labelled_as_it_is_rounded(spark):
+    quality = [0.92, 0.28, 0.92, 0.28, 0.6]
+    for own in (quality, quality[::-1], sorted(quality), [0.1, 0.7, 1.0]):
+        df = spark.createDataFrame([(1, "scanned_ocr_good", q) for q in own], "doc_id long, page_type string, quality double").coalesce(1)
+        assert [(r.mean_quality, r.ocr_label) for r in pages.document_summary(df).collect()] == [(0.6, "degraded")]
+
+
+def test_no_order_of_pages_changes_what_a_document_is(spark):
+    schema = "doc_id long, chars int, image_ratio double, blocks int, width int, height int, fonts array<string>"
+    ratios = [0.1, 0.2, 0.3, 0.7, 0.7, 0.8, 0.9, 0.7]  # 0.55 on average, the limit of a rule; some orders add up to less
+    assert sum(ratios) / 8 != sum(ratios[::-1]) / 8
+    for own in (ratios, ratios[::-1], sorted(ratios)):
+        df = spark.createDataFrame([(1, 300, x, 2, 500, 500, ["f"]) for x in own], schema).coalesce(1)
+        r = rules.content_means(df).select("images", rules.by_content().alias("x")).first()
+        assert r.images == 0.55 and r.x.category == "design_tool"
