@@ -176,8 +176,8 @@ _NUMBERED = f"SELECT doc_id, pos, CAST(floor(pos / 1300) AS BIGINT) AS page, CAS
 pair("w4_isolated_numbers", _NUMBERED, """WITH RECURSIVE r AS (SELECT *, row_number() OVER w AS i, coalesce(regexp_full_match(replace(trim(title), '.', ''), '[0-9]+') AND lead(page) OVER w = page, FALSE) AS takes, lead(title) OVER w AS follows FROM {source} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 g AS (SELECT *, takes AS merges, FALSE AS gone FROM r WHERE i = 1 UNION ALL SELECT r.*, r.takes AND NOT g.merges, g.merges FROM r JOIN g ON r.doc_id = g.doc_id AND r.i = g.i + 1)
 SELECT doc_id, pos, page, CASE WHEN merges THEN trim(title) || ' ' || follows ELSE title END AS title FROM g WHERE NOT gone""", contents.grouped_numbers)
-_SHOWN = f"SELECT doc_id, pos, title, page - doc_id % 4 + CASE WHEN pos % 7 = 0 THEN 1 ELSE 0 END AS displayed FROM ({TOC})"
-_TEXTS = f"SELECT doc_id, page, 'see ' || title || ' here' AS text FROM ({TOC}) WHERE pos % 9 > 0"
+_SHOWN = f"SELECT doc_id, pos, title, page - doc_id % 4 + CASE WHEN pos % 7 = 0 THEN 1 ELSE 0 END AS displayed FROM ({inputs.LONG_TOC})"
+_TEXTS = f"SELECT doc_id, page, 'see ' || title || ' here' AS text FROM ({inputs.LONG_TOC}) WHERE pos % 9 > 0"
 _OFFSETS = f"""WITH t AS ({_SHOWN}), p AS ({_TEXTS}), f AS (SELECT t.doc_id, t.pos, any_value(displayed) AS displayed, min(p.page) AS page FROM t JOIN p ON t.doc_id = p.doc_id AND contains(p.text, t.title) GROUP BY t.doc_id, t.pos),
 v AS (SELECT doc_id, page - displayed AS shift, count(*) AS n, min(pos) AS seen FROM f GROUP BY ALL), b AS (SELECT doc_id, first(shift ORDER BY n DESC, seen) AS shift FROM v GROUP BY doc_id)"""
 

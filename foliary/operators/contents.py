@@ -73,16 +73,19 @@ def grouped_numbers(toc: DataFrame) -> DataFrame:
 def page_offsets(toc: DataFrame, pages: DataFrame, fuzzy: bool = False, least: float = MIN_SIMILARITY) -> DataFrame:
     """``(doc_id, page_offset, validated)`` for each document: the most frequent distance from an entry's displayed page
     to the first page (doc_id, page, text) that has its title, the first seen of equals; 0 where no title is found.
-    ``fuzzy`` also takes lines that are similar enough to a title."""
+    ``fuzzy`` also takes lines that are similar enough to a title. Each different title of a document meets each different
+    text of it once."""
     own = toc.select("doc_id", "pos", "title", "displayed")
     key = lambda c: rules.normalize(F.col(c))
     if fuzzy:
         lines = pages.select("doc_id", "page", F.explode(F.split("text", "\n")).alias("text"))
         found = align_titles(own.select("doc_id", "pos", "title"), lines).filter(F.col("score") >= least).select("doc_id", "pos", "page")
     else:
-        at = pages.select(F.col("doc_id").alias("_d"), F.col("page"), key("text").alias("_text"))
-        found = own.filter(key("title") != "").join(at, (F.col("doc_id") == F.col("_d")) & F.contains(F.col("_text"), key("title")))
-        found = found.groupBy("doc_id", "pos").agg(F.min("page").alias("page"))
+        at = pages.groupBy(F.col("doc_id").alias("_d"), key("text").alias("_text")).agg(F.min("page").alias("page"))
+        titles = own.select("doc_id", key("title").alias("_title")).filter("_title <> ''").distinct()
+        met = titles.join(at, (F.col("doc_id") == F.col("_d")) & F.contains(F.col("_text"), F.col("_title")))
+        met = met.groupBy("doc_id", "_title").agg(F.min("page").alias("page"))
+        found = own.select("doc_id", "pos", key("title").alias("_title")).join(met, ["doc_id", "_title"]).select("doc_id", "pos", "page")
     votes = own.filter("displayed is not null").join(found, ["doc_id", "pos"]).groupBy("doc_id", (F.col("page") - F.col("displayed")).alias("page_offset")).agg(F.count("*").alias("n"), F.min("pos").alias("seen"))
     best = votes.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("seen")).alias("seen"), "page_offset"))["page_offset"].alias("page_offset"))
     every = toc.select("doc_id").distinct().join(best, "doc_id", "left")

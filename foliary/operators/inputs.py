@@ -25,6 +25,9 @@ FROM lineitem"""
 #: Entries of tables of contents, with pages that may run back and levels that may jump.
 TOC = "SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS pos, CAST(1 + p_size % 4 AS INT) AS level, CAST(p_size AS BIGINT) AS page, p_name AS title FROM part"
 
+#: The same entries in 200 documents, which grow with the table.
+LONG_TOC = TOC.replace("floor(p_partkey / 25)", "p_partkey % 200")
+
 #: Lines with dotted leaders.
 LEADERS = "SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS doc_id, CAST(p_partkey AS BIGINT) AS pos, p_name || ' ' || repeat('.', CAST(4 + p_partkey % 9 AS INT)) || ' ' || CAST(p_size AS VARCHAR(9)) AS line FROM part"
 

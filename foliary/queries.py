@@ -203,9 +203,9 @@ def w2_indicator(spark, sf_dir):
     return toc.indicators(run_sql(spark, sf_dir, inputs.TOC))
 
 
-@_query(f"SELECT a.doc_id, a.pos, a.level, a.page, a.title, max(b.pos) AS parent_pos FROM ({inputs.TOC}) a LEFT JOIN ({inputs.TOC}) b ON a.doc_id = b.doc_id AND b.pos < a.pos AND b.level < a.level GROUP BY ALL")
+@_query(f"SELECT a.doc_id, a.pos, a.level, a.page, a.title, max(b.pos) AS parent_pos FROM ({inputs.LONG_TOC}) a LEFT JOIN ({inputs.LONG_TOC}) b ON a.doc_id = b.doc_id AND b.pos < a.pos AND b.level < a.level GROUP BY ALL")
 def w3_parent(spark, sf_dir):
-    return toc.parents(run_sql(spark, sf_dir, inputs.TOC))
+    return toc.parents(run_sql(spark, sf_dir, inputs.LONG_TOC))
 
 
 _TOC_PAGE = "SELECT doc_id, page_num, doc_id % 9 AS links, CASE page_num % 3 WHEN 0 THEN 'Sommaire' || chr(10) || 'Intro ..... 3' || chr(10) || 'Fin ..... 9' WHEN 1 THEN 'A line' || chr(10) || 'Total 42' ELSE 'plain prose' END AS text FROM (" + inputs.PAGES + ")"

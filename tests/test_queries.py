@@ -73,3 +73,17 @@ def test_each_referent_needs_clarification(spark):
     got = got.withColumn("got", question.needs_clarification(queries.F.col("text"), queries.F.col("turn") > 0)).collect()
     assert tuple(words) == fixed.REFERENTS and [r.got for r in got] == [r.want for r in got]
     assert queries.q10_needs_clarification(spark, SF).columns == ["conv_id", "turn", "unclear"]
+
+
+def test_entries_lie_in_200_documents(spark, con):
+    n = con.execute("select count(distinct p_partkey % 200) from part").fetchone()[0]
+    assert queries.queries()["a10_page_offset"](spark, SF).count() == n == queries.queries()["w3_parent"](spark, SF).select("doc_id").distinct().count()
+
+
+def test_each_different_title_meets_each_different_text_once(spark):
+    from foliary.operators import contents
+
+    own = spark.createDataFrame([(1, p, f"title {p % 3}", p % 3 + 1) for p in range(600)] + [(1, 600, "?", 1), (2, 0, "gone", 1)], "doc_id long, pos long, title string, displayed long")
+    texts = spark.createDataFrame([(1, p % 3 + 4, f"See Title {p % 3}, here") for p in range(600)] + [(1, 9, None)], "doc_id long, page long, text string")
+    found = contents.page_offsets(own, texts)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 3, True), (2, 0, False)]
