@@ -131,7 +131,7 @@ def _candidates(titles: DataFrame, lines: DataFrame, least: float) -> DataFrame:
         own = titles.select("doc_id", "pos", F.length("k").alias("a"), F.explode(_grams(F.col("k"), n)).alias("g"))
         there = lines.select(F.col("doc_id").alias("d"), "line_id", F.length("t").alias("b"), F.explode(_grams(F.col("t"), n)).alias("h"))
         common = there.groupBy("d", "h").agg(F.count("*").alias("f"))
-        rare = own.join(common, (F.col("doc_id") == F.col("d")) & (F.col("g") == F.col("h")), "left").drop("d", "h")
+        rare = own.join(common.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("g") == F.col("h")), "left").drop("d", "h")
         rank = F.row_number().over(Window.partitionBy("doc_id", "pos").orderBy(F.coalesce("f", F.lit(0)), "g"))
         shared = matched(F.col("a")) if n == 1 else 3 * matched(F.col("a")) - F.col("a") - short(F.col("a")) - 1
         # one table serves a title: pairs where they are sure to be shared, else characters
@@ -140,10 +140,10 @@ def _candidates(titles: DataFrame, lines: DataFrame, least: float) -> DataFrame:
         first = F.col("rank") == 1
         keyed = rare.withColumn("rank", rank).filter(used | (first & F.lit(n == 2))).select("doc_id", "pos", "a", "g", used.alias("used"))
         fits = (F.col("b") >= short(F.col("a"))) & (F.col("a") >= short(F.col("b")))
-        met = keyed.join(there, (F.col("doc_id") == F.col("d")) & (F.col("g") == F.col("h")) & ((F.col("used") & fits) | (F.lit(n == 2) & (F.col("b") > F.col("a")))))
+        met = keyed.join(there.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("g") == F.col("h")) & ((F.col("used") & fits) | (F.lit(n == 2) & (F.col("b") > F.col("a")))))
         out.append(met.select("doc_id", "pos", "line_id"))
         begin = lines.filter(F.length("t") == 1 if n == 1 else F.length("t") >= 2).select(F.col("doc_id").alias("d"), "line_id", F.concat(F.substring("t", 1, n), F.lit("\u00000")).alias("h"))
-        out.append(own.join(begin, (F.col("doc_id") == F.col("d")) & (F.col("g") == F.col("h"))).select("doc_id", "pos", "line_id"))
+        out.append(own.join(begin.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("g") == F.col("h"))).select("doc_id", "pos", "line_id"))
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).distinct()
 
 
@@ -160,15 +160,16 @@ def align_titles(toc: DataFrame, lines: DataFrame, least: float = LEAST) -> Data
     have no page, and lines without any are none.
 
     Equal texts meet in a join. The other titles meet lines of their document only where runs of characters allow the score
-    (``_candidates``), each different line once; only these pairs are compared, in Arrow batches wherever they are."""
+    (``_candidates``), each different line once; only these pairs are compared, in Arrow batches wherever they are. All joins are by sorted
+    shuffles: Spark takes the tables for as small as their compressed files, and would send millions of runs through the driver."""
     own = toc.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("pos").cast("long").alias("pos"), rules.normalize(F.col("title")).alias("k")).filter(F.length("k") >= SHORTEST)
     places = lines.select(F.col("doc_id").cast("long").alias("doc_id"), rules.normalize(F.col("text")).alias("t"), F.col("page").cast("long").alias("page")).filter(F.length("t") > 0)
     places = places.groupBy("doc_id", "t").agg(F.min("page").alias("page"))
-    found = own.join(places.withColumnRenamed("doc_id", "d"), (F.col("doc_id") == F.col("d")) & (F.col("k") == F.col("t")), "left")
+    found = own.join(places.withColumnRenamed("doc_id", "d").hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("k") == F.col("t")), "left")
     exact = found.filter("page is not null").select("doc_id", "pos", "page", F.lit(1.0).alias("score"))
     open_ = found.filter("page is null").select("doc_id", "pos", "k")
     texts = places.select("doc_id", "t", "page", F.xxhash64("t").alias("line_id"))  # equal hashes only add candidates
-    pairs = _candidates(open_, texts, least).join(open_, ["doc_id", "pos"]).join(texts, ["doc_id", "line_id"])
+    pairs = _candidates(open_, texts, least).join(open_.hint("merge"), ["doc_id", "pos"]).join(texts.hint("merge"), ["doc_id", "line_id"])
 
     def run(batches):
         for b in batches:

@@ -193,3 +193,10 @@ def test_means_of_doubles_are_those_of_sql(spark):
     r = rules.content_means(df, exact=False).select("images", rules.by_content().alias("x")).first()
     assert r.images == duckdb.execute("select avg(x) from (values (0.4e0), (0.45e0)) t(x)").fetchone()[0]
     assert r.x.signals == ["content:sparse_text=51chars", "content:image_present=43%"]
+
+
+def test_no_join_of_titles_goes_through_the_driver(spark):
+    texts = spark.createDataFrame([(1, 0, 1, "Introduction"), (1, 1, 2, "The results")], "doc_id long, pos long, page long, title string")
+    found = toc.align_titles(texts.select("doc_id", "pos", "title"), texts.select("doc_id", "page", F.col("title").alias("text")))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 1, 1.0), (1, 1, 2, 1.0)]
