@@ -87,3 +87,11 @@ def test_each_different_title_meets_each_different_text_once(spark):
     texts = spark.createDataFrame([(1, p % 3 + 4, f"See Title {p % 3}, here") for p in range(600)] + [(1, 9, None)], "doc_id long, page long, text string")
     found = contents.page_offsets(own, texts)
     assert sorted(tuple(r) for r in found.collect()) == [(1, 3, True), (2, 0, False)]
+
+
+def test_spans_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(queries, "TASK_ROWS", 100)
+    lines = queries.read(spark, SF, "lineitem").count()
+    spans = queries.run_sql(spark, SF, queries.inputs.SPANS)
+    found = queries.layout.page_metrics(spans)
+    assert spans.count() == lines and found.rdd.getNumPartitions() >= lines // 100
