@@ -106,3 +106,14 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(1, 1, i, i + 1) for i in range(300)] + [(1, 2, 5, 9)], "doc_id long, page long, seg long, other long")
     got = {(r.page, r.seg): r.component for r in rulings.components(edges).collect()}
     assert got == {(1, i): 0 for i in range(301)} | {(2, 5): 5, (2, 9): 5}
+
+
+def test_points_go_to_the_grids_of_their_own_page(spark):
+    """Rectangles of six sizes, one size a page: a point went to six grids, wherever it lay."""
+    points = spark.createDataFrame([(d, 1, n, 10.0 * n, 10.0 * n, 10.0 * n, 10.0 * n) for d in range(60) for n in range(50)] + [(99, 1, 0, 1.0, 1.0, 1.0, 1.0)], BOX)
+    rects = spark.createDataFrame([(d, 1, d, 5.0, 5.0, 5.0 + 15 * 2 ** (d % 6), 25.0) for d in range(60)] + [(98, 1, 0, float("nan"), 0.0, 1.0, 1.0)], BOX)
+    levels = grid._levels(rects, grid.CELL)
+    near, grids = grid._within(points, rects, ("doc_id", "page"), levels, grid.CELL)
+    assert len(levels) == 6 and grid._dealt(points, levels, grid.CELL).count() == 6 * 3001
+    assert grid._dealt(near, grids, grid.CELL).count() == 60 * 2  # those at 10 and 20
+    assert grid.meeting(points, rects).count() == 120 and "_bits" in grid.meeting(points, rects)._jdf.queryExecution().optimizedPlan().toString()
