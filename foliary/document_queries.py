@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import fixed, question, text
 from .operators import contents, inputs, layout, markup, pages, rules, rulings
 from .operators import scope as scopes
-from .queries import _SQL, _TOC_PAGE, _TYPE, _query, pair, read, run_sql
+from .queries import _SQL, _TOC_PAGE, _TYPE, _query, dealt, pair, read, run_sql
 from .sources import pdf
 
 SPANS, IMAGES, PAGES, TOC, LEADERS = inputs.SPANS, inputs.IMAGES, inputs.PAGES, inputs.TOC, inputs.LEADERS
@@ -94,7 +94,7 @@ m AS (SELECT DISTINCT a.doc_id, a.page, a.annotation, a.type, a.author, a.conten
  WHERE (a.x1 - a.x0) * (a.y1 - a.y0) <= 0 OR (least(a.x1, l.x1) - greatest(a.x0, l.x0)) * (least(a.y1, l.y1) - greatest(a.y0, l.y0)) / ((l.x1 - l.x0) * (l.y1 - l.y0)) >= 0.5)
 SELECT b.doc_id, b.pos, style, text, page, annotation, type, author, content FROM b LEFT JOIN m ON b.doc_id = m.doc_id AND b.pos = m.pos""")
 def j11_annotated_paragraphs(spark, sf_dir):
-    return contents.consolidated(run_sql(spark, sf_dir, inputs.BODY), run_sql(spark, sf_dir, inputs.MARKS), run_sql(spark, sf_dir, inputs.PRINTED))
+    return contents.consolidated(*[dealt(run_sql(spark, sf_dir, s), "doc_id") for s in (inputs.BODY, inputs.MARKS, inputs.PRINTED)])
 
 
 @_query(f"SELECT r.doc_id, r.node, t.target FROM ({inputs.ELEMENTS}) r JOIN ({inputs.ELEMENTS}) h ON h.doc_id = r.doc_id AND h.node = r.parent AND h.tag = 'hyperlink' JOIN ({inputs.RELATIONS}) t ON t.doc_id = h.doc_id AND t.rid = h.rid WHERE r.tag = 'r'")

@@ -114,7 +114,8 @@ def consolidated(blocks: DataFrame, annotations: DataFrame, pages: DataFrame, le
     ``blocks`` (doc_id, pos, style, text) are paragraphs as the source has them, ``pages`` (doc_id, page, line, text, x0, y0, x1, y1) the printed
     lines, ``annotations`` (doc_id, page, annotation, type, author, content, x0, y0, x1, y1) what readers left there. An annotation belongs to the lines
     whose area it covers by ``least`` or more (a point or a line on them counts too); a line belongs to the first paragraph of its document that holds its normalized
-    text. Lines and annotations meet on grid cells, lines and paragraphs by the first word of the line."""
+    text. Lines and annotations meet on grid cells, lines and paragraphs by the first word of the line, in sorted
+    shuffles: by their compressed files Spark takes millions of words for few enough to send them through the driver."""
     from .grid import BOX, meeting
 
     area = F.greatest((F.col("b_x1") - F.col("b_x0")) * (F.col("b_y1") - F.col("b_y0")), F.lit(1e-9))
@@ -127,10 +128,10 @@ def consolidated(blocks: DataFrame, annotations: DataFrame, pages: DataFrame, le
     words = blocks.select(F.col("doc_id").alias("d"), "pos", rules.normalize(F.col("text")).alias("own"))
     words = words.select("d", "pos", "own", F.explode(F.array_distinct(F.split("own", " "))).alias("word"))
     inside = F.contains(F.concat(F.lit(" "), "own", F.lit(" ")), F.concat(F.lit(" "), "key", F.lit(" ")))
-    met = hit.join(words, (F.col("doc_id") == F.col("d")) & (F.element_at(F.split("key", " "), 1) == F.col("word")) & inside)
+    met = hit.join(words.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.element_at(F.split("key", " "), 1) == F.col("word")) & inside)
     key = ["doc_id", "page", "annotation"]
-    met = met.groupBy(*key, "b_line").agg(F.min("pos").alias("pos")).select(*key, "pos").distinct().join(marks.drop(*BOX), key)
-    return blocks.select("doc_id", "pos", "style", "text").join(met, ["doc_id", "pos"], "left")
+    met = met.groupBy(*key, "b_line").agg(F.min("pos").alias("pos")).select(*key, "pos").distinct().join(marks.drop(*BOX).hint("merge"), key)
+    return blocks.select("doc_id", "pos", "style", "text").join(met.hint("merge"), ["doc_id", "pos"], "left")
 
 
 def empty_toc(spark) -> DataFrame:

@@ -95,3 +95,10 @@ def test_spans_are_dealt_by_rows(spark, monkeypatch):
     spans = queries.run_sql(spark, SF, queries.inputs.SPANS)
     found = queries.layout.page_metrics(spans)
     assert spans.count() == lines and found.rdd.getNumPartitions() >= lines // 100
+
+
+def test_annotated_paragraphs_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(queries, "TASK_ROWS", 20)
+    plan = queries.queries()["j11_annotated_paragraphs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    parts = queries.read(spark, SF, "part").count()
+    assert "hashpartitioning(doc_id#" in plan and f", {-(-parts // 20)}), REPARTITION_BY_NUM" in plan and plan.count("SortMergeJoin") >= 3
