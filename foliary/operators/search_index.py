@@ -20,6 +20,16 @@ def _terms(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _counted(terms: DataFrame) -> DataFrame:
+    """``(doc_id, length, term, tf)`` from (doc_id, terms): each different term of an array and how often it is there. Terms are sorted inside
+    their row, and a run of equal ones reaches to where the next begins, so nothing is shuffled."""
+    own = terms.select("doc_id", F.size("terms").cast("long").alias("length"), F.array_sort("terms").alias("own")).filter("length > 0")
+    starts = F.expr("filter(sequence(0, size(own) - 1), i -> i = 0 OR own[i] <> own[greatest(i - 1, 0)])")
+    own = own.withColumn("starts", starts).withColumn("ends", F.expr("concat(slice(starts, 2, size(starts)), array(size(own)))"))
+    runs = own.select("doc_id", "length", F.explode(F.expr("transform(starts, (s, k) -> struct(own[s] AS term, CAST(ends[k] - s AS BIGINT) AS tf))")).alias("c"))
+    return runs.select("doc_id", "length", "c.term", "c.tf")
+
+
 class SearchIndex:
     """An index in a folder.
 
@@ -46,12 +56,12 @@ class SearchIndex:
         if exists(self.spark, f"{self.path}/batches/{batch}/_SUCCESS"):
             return False
         own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _terms(F.col(text_col), self.pattern).alias("terms"))
-        counted = own.select("doc_id", F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term"))
-        posted = counted.groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
         # a part of a term: ids are spread over as many parts as its documents need, a fixed number of ids each
         part = F.floor(F.col("doc_id") / (BLOCK * 64))
-        rank = F.row_number().over(Window.partitionBy("term", part).orderBy("doc_id")) - 1
-        blocks = posted.withColumn("part", part).withColumn("block", F.floor(rank / BLOCK)).groupBy("term", "part", "block").agg(
+        posted = _counted(own).withColumn("part", part).repartition("term", "part")  # the one time that postings move
+        posted = posted.groupBy("term", "part", "doc_id", "length").agg(F.sum("tf").alias("tf"))  # rows that share an id and a length
+        rank = F.row_number().over(Window.partitionBy("term", "part").orderBy("doc_id")) - 1
+        blocks = posted.withColumn("block", F.floor(rank / BLOCK)).groupBy("term", "part", "block").agg(
             F.sort_array(F.collect_list(F.struct("doc_id", "tf", "length"))).alias("p"),
             F.max("tf").alias("top_tf"), F.min("length").alias("least_length"), F.max(F.struct("tf", -F.col("length"))).alias("best"), F.min("doc_id").alias("first_doc"),
         )

@@ -93,3 +93,14 @@ def test_nothing_indexed_and_plain_scan(spark, corpus, tmp_path):
     assert index.search(["wa"]).collect() == []
     found = like_search(spark.createDataFrame(corpus, "doc_id long, text string"), ["WA"], 5)
     assert [r.doc_id for r in found.collect()] == sorted(d for d, t in corpus if t and "wa" in t.lower())[:5]
+
+
+def test_terms_are_counted_in_their_rows(spark):
+    from collections import Counter
+
+    from foliary.operators import search_index
+
+    rows = [(1, ["b", "a", "b"]), (2, []), (3, ["z"]), (4, ["q"] * 300 + ["é", "a"] * 50)]
+    found = search_index._counted(spark.createDataFrame(rows, "doc_id long, terms array<string>"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted((d, len(t), w, n) for d, t in rows for w, n in Counter(t).items())
