@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,16 +70,28 @@ def continues(text: str, font: str | None, following: str, next_font: str | None
 
 def merge_paragraphs(paragraphs: DataFrame) -> DataFrame:
     """``(doc_id, pos, n, text)`` from (doc_id, pos, text, font): each paragraph with the ``n`` pieces that make it up.
-    Blank ones stay and end a paragraph; the font is that of the first piece."""
-    def run(key, rows):
-        out = []
-        for pos, text, font in rows.sort_values("pos")[["pos", "text", "font"]].itertuples(index=False):
-            text = text or ""
-            if out and out[-1][3].strip() and text.strip() and continues(out[-1][3].strip(), out[-1][4], text.strip(), font):
-                out[-1][2] += 1
-                out[-1][3] += text
-            else:
-                out.append([key[0], pos, 1, text, font])
-        return pd.DataFrame([r[:4] for r in out], columns=["doc_id", "pos", "n", "text"])
-
-    return paragraphs.select("doc_id", "pos", "text", "font").groupBy("doc_id").applyInPandas(run, "doc_id long, pos long, n int, text string")
+    Blank ones stay and end a paragraph; the font is that of the first piece. A task runs down its sorted rows and holds the
+    paragraph that it is in; a call for each document would cost more than the work."""
+    schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()), ("n", pa.int32()), ("text", pa.string())])
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    def run(batches):
+        last = None
+        for b in batches:
+            out = []
+            for doc, pos, text, font in zip(*[c.to_pylist() for c in b.columns]):
+                text = text or ""
+                if last and last[0] == doc and last[3].strip() and text.strip() and continues(last[3].strip(), last[4], text.strip(), font):
+                    last[2] += 1
+                    last[3] += text
+                else:
+                    out += [last] if last else []
+                    last = [doc, pos, 1, text, font]
+            yield table(out)
+        if last:
+            yield table([last])
+
+    own = paragraphs.select("doc_id", "pos", "text", "font").repartition("doc_id").sortWithinPartitions("doc_id", F.asc_nulls_last("pos"))
+    return own.mapInArrow(run, "doc_id long, pos long, n int, text string")

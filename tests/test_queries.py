@@ -102,3 +102,14 @@ def test_annotated_paragraphs_are_dealt_by_rows(spark, monkeypatch):
     plan = queries.queries()["j11_annotated_paragraphs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     parts = queries.read(spark, SF, "part").count()
     assert "hashpartitioning(doc_id#" in plan and f", {-(-parts // 20)}), REPARTITION_BY_NUM" in plan and plan.count("SortMergeJoin") >= 3
+
+
+def test_paragraphs_are_merged_in_one_run_over_sorted_rows(spark):
+    from foliary.operators import fragments
+
+    rows = [(d, p, t, "Arial") for d in (1, 2, None) for p, t in ((2, "end."), (0, "one,"), (1, " two"), (3, "next"), (4, None), (5, "last,"))]
+    found = fragments.merge_paragraphs(spark.createDataFrame(rows, "doc_id long, pos int, text string, font string"))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    want = [(0, 3, "one, twoend."), (3, 1, "next"), (4, 1, ""), (5, 1, "last,")]
+    got = sorted(((r.doc_id or 0, r.pos, r.n, r.text) for r in found.collect()))
+    assert got == [(d, *w) for d in (0, 1, 2) for w in want]
