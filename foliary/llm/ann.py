@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import pick, table
 
-BLOCK_ROWS, BLOCK_QUERIES, DIMS, CHUNK = 4096, 2048, 8, 512
-#: Numbers that a worker holds at once while it looks for centres or writes a query's vector for each of its lists.
+#: Rows of a block of lists, at least and at most, and parts into which a table is cut between these; queries that meet a block at once.
+LEAST_ROWS, MOST_ROWS, PARTS, BLOCK_QUERIES, DIMS, CHUNK = 4096, 32768, 64, 16384, 8, 512
+#: Numbers that a worker holds at once while it looks for centres or writes a query's vector for each group of its lists.
 HELD = 1 << 21
 #: How clearly a partial distance must exceed the bound; the part of a query's lists that is scanned for the bound.
 EPSILON, EARLY = 1.3, 0.125
@@ -145,6 +146,53 @@ def scan(x: np.ndarray, ids: np.ndarray, rx: np.ndarray, q: np.ndarray, own: np.
     return i[rank < k], ids[j[rank < k]], score[rank < k], read
 
 
+def grouped(sizes: np.ndarray, rows: int) -> np.ndarray:
+    """The group of each list: lists that follow each other share one as long as it holds ``rows`` rows at most."""
+    out, group, held = np.zeros(len(sizes), np.int32), 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > rows:
+            group, held = group + 1, 0
+        out[i], held = group, held + n
+    return out
+
+
+def probed(order: np.ndarray, first: np.ndarray, n: np.ndarray, group: np.ndarray):
+    """From each query's lists in order (its ``first`` ones are early, ``n`` are probed) a row for each group and part: the query's
+    number, the group, whether its lists are early ones, and these as offsets and numbers."""
+    row, col = np.nonzero(np.arange(order.shape[1])[None] < n[:, None])
+    of, late = order[row, col], col >= first[row]
+    by = np.lexsort((of, group[of], late, row))
+    row, of, late = row[by], of[by], late[by]
+    own = group[of]
+    at = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (late[1:] != late[:-1]) | (own[1:] != own[:-1])]) if len(row) else row
+    return row[at], own[at], ~late[at], np.append(at, len(row)), of
+
+
+def scan_lists(x: np.ndarray, ids: np.ndarray, of: np.ndarray, rx: np.ndarray, q: np.ndarray, own: np.ndarray, rq: np.ndarray, asks: list, k: int, limit: np.ndarray, far):
+    """Scans the lists of a block (``of``: the list of each row, ascending) for the queries that probe them (``asks``: offsets and numbers
+    of lists): query number, id and score of the k best of each query. What a query found bounds its further lists;
+    ``far`` gives the squared distance of queries' scores."""
+    best, limit = np.full((len(q), k), -np.inf), limit.copy()
+    asking, wanted = np.repeat(np.arange(len(q)), np.diff(asks[0])), asks[1]
+    found = []
+    for a, b in zip(*(np.searchsorted(of, np.unique(of), side) for side in ("left", "right"))):
+        mine = asking[wanted == of[a]]
+        for c in range(0, len(mine), 256):
+            part = mine[c : c + 256]
+            i, j, s, _ = scan(x[a:b], ids[a:b], rx[a:b], q[part], own[part], rq[part], k, limit[part])
+            more = np.full((len(part), k), -np.inf)
+            more[i, np.arange(len(i)) - np.searchsorted(i, i)] = s
+            best[part] = -np.partition(-np.concatenate((best[part], more), 1), k - 1, axis=1)[:, :k]
+            limit[part] = np.minimum(limit[part], far(part, best[part].min(1)))
+            keep = s >= best[part].min(1)[i]
+            found.append((part[i[keep]], j[keep], s[keep]))
+    i, j, s = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    by = np.lexsort((j, -s, i))
+    i, j, s = i[by], j[by], s[by]
+    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[top], j[top], s[top]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.96, sample: int = 16384, max_lists: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row of ``queries`` the k rows of ``vectors`` with the largest
     inner product among those in the probed lists, ties to the smaller id; score is exact, in double precision.
@@ -157,9 +205,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     from their first block of columns on.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
-    neither do null ids. Of queries with equal ids one counts; repeated vectors are all candidates. A list is cut into
-    blocks of about ``BLOCK_ROWS`` rows, and meets its queries in blocks too: a task holds one block of each, also
-    where one vector makes up a third of the table. An empty table, or no queries, gives an empty result; further columns don't matter.
+    neither do null ids. Of queries with equal ids one counts; repeated vectors are all candidates. Lists are put together in
+    groups, or cut, so that a block holds a 64th of the table (``PARTS``), but not less than ``LEAST_ROWS`` or more than ``MOST_ROWS`` rows, and meet their
+    queries in blocks of ``BLOCK_QUERIES``. A query's vector moves once for each group it probes, with the numbers of its lists; a task holds
+    one block of rows and one of queries, also where one vector makes up a third of the table. An empty table, or no queries, gives an empty result; further columns don't matter.
     Of a query whose id is repeated, all rows with that id are left out of its candidates.
     """
     spark = vectors.sparkSession
@@ -171,6 +220,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     if shapes is None:
         return spark.createDataFrame([], schema)
     src = src.filter(F.size("vec") == shapes.d)
+    floats = all(frame.schema[vector_col].dataType.simpleString() == "array<float>" for frame in (vectors, queries))
+    kind = "array<float>" if floats else "array<double>"
+    src = src.withColumn("vec", F.col("vec").cast(kind))  # floats move as floats; all sums are of doubles
     lists = max(1, min(max_lists, round(2 * math.sqrt(shapes.n))))
     picked = src.orderBy(F.xxhash64("id"), "id").limit(min(sample, shapes.n)).select("vec").toArrow()
     picked = _matrix(picked.column(0))
@@ -186,53 +238,60 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
             own = _nearest(shared.value.stored(_matrix(b.column(1))), shared.value.centres)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32))], names=["id", "vec", "list"])
 
-    placed = table(src.mapInArrow(assign, "id long, vec array<double>, list int"))
+    placed = table(src.mapInArrow(assign, f"id long, vec {kind}, list int"))
     count = {r.list: r.n for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a list
     sizes = np.array([count.get(i, 0) for i in range(lists)])
+    block_rows = max(LEAST_ROWS, min(MOST_ROWS, shapes.n // PARTS))
+    group = grouped(sizes, block_rows)
 
     def probes(batches):
-        for b in sliced(batches, lists * (shapes.d + 1)):  # each query is copied once for each of its lists
+        for b in sliced(batches, 8 * lists + (int(group[-1]) + 1) * (shapes.d + 1)):
             far = _distances(shared.value.asked(_matrix(b.column(1))), shared.value.centres)
             order = np.argsort(far, axis=1, kind="stable")
             held = np.cumsum(sizes[: far.shape[1]][order], axis=1)
             enough = (held < k + b.column(2).to_numpy()[:, None]).sum(1) + 1  # rows with the query's id don't count
             n = np.maximum(least, enough)
-            first = np.maximum(np.ceil(n * EARLY), enough)
-            row, col = np.nonzero(np.arange(order.shape[1])[None] < n[:, None])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(order[row, col].astype(np.int32)), pa.array(col < first[row])], names=["id", "vec", "list", "early"])
+            row, own, early, at, of = probed(order, np.maximum(np.ceil(n * EARLY), enough), n, group)
+            of = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(of.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(own), of, pa.array(early)], names=["id", "vec", "group", "lists", "early"])
 
-    asked = lists_of(queries).filter(sane).filter(F.size("vec") == shapes.d).dropDuplicates(["id"])
+    asked = lists_of(queries).filter(sane).filter(F.size("vec") == shapes.d).withColumn("vec", F.col("vec").cast(kind)).dropDuplicates(["id"])
     twins = placed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
     asked = asked.join(twins, "id", "left").select("id", "vec", F.coalesce("n", F.lit(1)).alias("n"))
-    asked = table(asked.mapInArrow(probes, "id long, vec array<double>, list int, early boolean"))
-    load = asked.groupBy("list").agg(F.count_if("early").alias("a"), F.count_if(~F.col("early")).alias("b")).collect()  # a row a list
-    load = {r.list: (r.a, r.b) for r in load}
+    asked = table(asked.mapInArrow(probes, f"id long, vec {kind}, group int, lists array<int>, early boolean"))
+    load = asked.groupBy("group").agg(F.count_if("early").alias("a"), F.count_if(~F.col("early")).alias("b")).collect()  # a row a group
+    load = {r.group: (r.a, r.b) for r in load}
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    key = ["list", "block", "ask"]
+    key = ["group", "block", "ask"]
 
     def met(asked, part):
-        """The best of each meeting of a block of a list with a block of its queries (id, vec, list, limit)."""
-        cuts = [(i, math.ceil(n / BLOCK_ROWS), math.ceil(load[i][part] / BLOCK_QUERIES)) for i, n in count.items() if load.get(i, (0, 0))[part]]
-        cuts = F.broadcast(spark.createDataFrame(cuts, "list int, rows int, asks int"))  # a row a list
-        stored = placed.join(cuts, "list").withColumn("block", deal("rows", 1)).select("*", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"))
-        asked = asked.join(cuts, "list").withColumn("ask", deal("asks", 2)).select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("block"))
-        return stored.select(*key, "id", "vec").groupBy(*key).cogroup(asked.select(*key, "id", "vec", "limit").groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
+        """The best of each meeting of a block of a group of lists with a block of its queries (id, vec, group, lists, limit)."""
+        held = np.bincount(group, sizes).astype(int)
+        cuts = [(int(g), math.ceil(held[g] / block_rows), math.ceil(load[g][part] / BLOCK_QUERIES)) for g in range(len(held)) if held[g] and load.get(g, (0, 0))[part]]
+        cuts = spark.createDataFrame(cuts, "group int, rows int, asks int")  # a row a group
+        of = spark.createDataFrame([(i, int(g)) for i, g in enumerate(group)], "list int, group int").join(cuts, "group")  # a row a list
+        stored = placed.join(F.broadcast(of), "list").withColumn("block", deal("rows", 1)).select("*", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"))
+        asked = asked.join(F.broadcast(cuts), "group").withColumn("ask", deal("asks", 2)).select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("block"))
+        met = stored.select(*key, "id", "vec", "list").groupBy(*key).cogroup(asked.select(*key, "id", "vec", "lists", "limit").groupBy(*key))
+        return met.applyInArrow(search, "query_id long, vec_id long, score double")
 
     def search(t, u):
         if not t.num_rows or not u.num_rows:
             return _FOUND.empty_table()
         x, q = _matrix(t.column("vec")), _matrix(u.column("vec"))
-        ids, own = t.column("id").to_numpy(), u.column("id").to_numpy()
-        limit = (q * q).sum(1) + shared.value.top - 2 * u.column("limit").to_numpy()
-        limit += 1e-9 * (1 + np.abs(limit))
-        order = np.argsort(ids, kind="stable")
-        x, ids = x[order], ids[order]
-        found, rx = [], shared.value.stored(x)
-        for a in range(0, len(q), 256):
-            part = q[a : a + 256]
-            i, j, s, _ = scan(x, ids, rx, part, own[a : a + 256], shared.value.asked(part), k, np.where(np.isnan(limit[a : a + 256]), np.inf, limit[a : a + 256]))
-            found.append(pa.table([pa.array(own[a : a + 256][i]), pa.array(j), pa.array(s)], schema=_FOUND))
-        return pa.concat_tables(found)
+        ids, own, of = t.column("id").to_numpy(), u.column("id").to_numpy(), t.column("list").to_numpy()
+        norm = (q * q).sum(1) + shared.value.top
+
+        def far(part, score):
+            limit = norm[part] - 2 * score
+            return np.where(np.isfinite(limit), limit + 1e-9 * (1 + np.abs(limit)), np.inf)
+
+        order = np.lexsort((ids, of))
+        x, ids, of = x[order], ids[order], of[order]
+        asks = u.column("lists").combine_chunks()
+        asks = [np.append(0, np.cumsum(asks.value_lengths().to_numpy())), asks.flatten().to_numpy()]
+        i, j, s = scan_lists(x, ids, of, shared.value.stored(x), q, own, shared.value.asked(q), asks, k, far(slice(None), u.column("limit").to_numpy()), far)
+        return pa.table([pa.array(own[i]), pa.array(j), pa.array(s)], schema=_FOUND)
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best = lambda found: found.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -161,6 +161,27 @@ def test_nearest_with_repeated_ids(spark):
     assert {r.query_id: r["count"] for r in got} == {0: 15, 20: 15}
 
 
+def test_queries_move_once_for_each_group_of_lists(spark, monkeypatch):
+    """Rows written for 200 queries over 126 lists, in one group and in groups of 500 rows; what is found stays as good."""
+    x = np.random.default_rng(6).standard_normal((4000, 16)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(np.float64)
+    s = x[::20] @ x.T
+    s[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    want = {20 * k: set(np.argsort(-s[k])[:20].tolist()) for k in range(200)}
+    write = ann.table
+    for least, groups in ((4096, 1), (500, 10)):
+        made, got = [], {}
+        monkeypatch.setattr(ann, "table", lambda df: made.append(write(df)) or made[-1])
+        monkeypatch.setattr(ann, "LEAST_ROWS", least, raising=False)
+        for r in ann.nearest(frame, frame.filter("vec_id % 20 = 0")).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+            assert abs(r.score - s[r.query_id // 20, r.vec_id]) < 1e-12
+        asked = next(t for t in made if "early" in t.columns)
+        assert asked.count() <= 200 * 2 * groups
+        assert sum(len(got[q] & w) for q, w in want.items()) / 4000 >= 0.9
+
+
 def test_mixing(docs, empty, rows):
     got = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
     assert len(got) == len(rows)
