@@ -23,23 +23,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows of a task where a table is dealt out by rows.
 TASK_ROWS = 1 << 18
+_ORDERS, _PARTS = "JOIN orders ON l_orderkey = o_orderkey", "JOIN part ON l_partkey = p_partkey"
 
 
-def dealt(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` by hash of ``by`` into as many partitions as its rows need. Spark cuts by compressed bytes, which says little about
+def dealt(df: DataFrame, *by: str, rows: int | None = None) -> DataFrame:
+    """``df`` by hash of ``by`` into as many partitions as its rows (or ``rows``) need. Spark cuts by compressed bytes, which says little about
     the rows: 64 MB may hold five million, and sorts and groups of a task hold them all."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS)), *by)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-(rows or df.count()) // TASK_ROWS)), *by)
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Runs SQL over the tables it names. The views are resolved at once, so a later call may replace them. Where lines meet their
-    orders they are dealt by order, and so is what is grouped by document after that."""
-    for t in TABLES:
-        if t in sql:
-            own = read(spark, sf_dir, t)
-            if t == "lineitem" and "JOIN orders ON l_orderkey = o_orderkey" in sql:
-                own = dealt(own, "l_orderkey")
-            own.createOrReplaceTempView(t)
+    orders they are dealt by order, and so is what is grouped by document after that. Parts that a task can hold are broadcast; more come
+    first: lines and parts are dealt by part, then both and orders by order, so that groups by document need no further deal."""
+    own = {t: read(spark, sf_dir, t) for t in TABLES if t in sql}
+    if f"{_ORDERS} {_PARTS}" in sql and own["part"].count() > TASK_ROWS:
+        sql, lines = sql.replace(f"{_ORDERS} {_PARTS}", f"{_PARTS} {_ORDERS}"), own["lineitem"].count()
+        own["part"], own["orders"] = dealt(own["part"], "p_partkey", rows=lines), dealt(own["orders"], "o_orderkey", rows=lines).hint("merge")
+    elif _ORDERS in sql:
+        own["lineitem"] = dealt(own["lineitem"], "l_orderkey")
+        if f"{_ORDERS} {_PARTS}" in sql:
+            own["part"] = F.broadcast(own["part"])
+    for t, frame in own.items():
+        frame.createOrReplaceTempView(t)
     return spark.sql(sql)
 
 

@@ -1,4 +1,5 @@
 import os
+import re
 
 import duckdb
 import pytest
@@ -97,6 +98,24 @@ def test_spans_are_dealt_by_rows(spark, monkeypatch):
     assert spans.count() == lines and found.rdd.getNumPartitions() >= lines // 100
 
 
+def test_many_parts_are_met_before_orders(spark, monkeypatch):
+    """Neither parts nor lines are cut by bytes where parts are too many to be held, and groups by document need no deal of their own."""
+    names = ("t5_title_candidates", "r17_title_lines", "r21_block_class", "a4_mode_size", "a17_ocr_blocks", "w10_span_numbers", "t6_reading_order", "a18_address_zone")
+    held = {n: sorted(map(str, queries.queries()[n](spark, SF).collect())) for n in names}
+    monkeypatch.setattr(queries, "TASK_ROWS", 100)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = -(-queries.read(spark, SF, "lineitem").count() // 100)
+        for name in names:
+            found = queries.queries()[name](spark, SF)
+            cuts = set(re.findall(r"Exchange hashpartitioning\([^()]*, (\d+)\)", found._jdf.queryExecution().executedPlan().toString()))
+            assert cuts == {str(n)}, (name, cuts)
+            assert sorted(map(str, found.collect())) == held[name]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_annotated_paragraphs_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(queries, "TASK_ROWS", 20)
     plan = queries.queries()["j11_annotated_paragraphs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
