@@ -285,7 +285,8 @@ _HIDDEN = f"SELECT doc_id, page, pos AS line, text || CASE WHEN pos % 4 = 0 THEN
 @_query(f"""SELECT l.doc_id, l.page, has_ocr, full_page, CASE WHEN has_ocr AND full_page THEN CASE WHEN t IS NULL THEN 0e0 ELSE round(CASE WHEN m BETWEEN 3 AND 10 THEN 1e0 WHEN m < 2 OR m > 15 THEN 0.8e0 ELSE 1e0 END, 3) END END AS text_quality FROM ({_LAYERED}) l
 LEFT JOIN (SELECT doc_id, page, string_agg(text, ' ') AS t, sum(length(replace(text, ' ', ''))) / CAST(sum(len(string_split(text, ' '))) AS DOUBLE) AS m FROM ({_HIDDEN}) WHERE invisible GROUP BY doc_id, page) h ON l.doc_id = h.doc_id AND l.page = h.page""")
 def r9_page_quality(spark, sf_dir):
-    return rules.page_quality(run_sql(spark, sf_dir, _LAYERED), run_sql(spark, sf_dir, _HIDDEN))
+    lines = read(spark, sf_dir, "lineitem").count()  # no fewer than the pages
+    return rules.page_quality(dealt(run_sql(spark, sf_dir, _LAYERED), "doc_id", "page", rows=lines), run_sql(spark, sf_dir, _HIDDEN))
 
 
 _CASES = "SELECT CAST(o_orderkey AS BIGINT) AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'word_native' WHEN 1 THEN 'scanned' WHEN 2 THEN 'design_tool' ELSE 'other' END AS category, CASE o_orderkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS is_complex FROM orders"

@@ -100,7 +100,7 @@ def test_spans_are_dealt_by_rows(spark, monkeypatch):
 
 def test_many_parts_are_met_before_orders(spark, monkeypatch):
     """Neither parts nor lines are cut by bytes where parts are too many to be held, and groups by document need no deal of their own."""
-    names = ("t5_title_candidates", "r17_title_lines", "r21_block_class", "a4_mode_size", "a17_ocr_blocks", "w10_span_numbers", "t6_reading_order", "a18_address_zone")
+    names = ("t5_title_candidates", "r17_title_lines", "r21_block_class", "a4_mode_size", "a17_ocr_blocks", "r9_page_quality", "w10_span_numbers", "t6_reading_order", "a18_address_zone")
     held = {n: sorted(map(str, queries.queries()[n](spark, SF).collect())) for n in names}
     monkeypatch.setattr(queries, "TASK_ROWS", 100)
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
